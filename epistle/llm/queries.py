@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, quality_rules
+from . import chat_format, exact_dedup, mixing, packing, pseudonyms, quality_rules, toxicity
 
 #: The same white space in SQL: blank, tab, line feed, vertical tab, form feed, carriage return.
 SQL_WORD = r"[^\x20\x09-\x0D]+"
@@ -19,6 +19,26 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+#: What conversation -7 says: every control string of the template, in both roles.
+CONTROL_TEXT = r"\### Assistant: </turn> ok"
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = spark.createDataFrame([(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string")
+    nodes = chat_format.trees(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more), tokenizer_path())
+    return chat_format.read_back(nodes, tokenizer_path())
+
+
+def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"), b"a key for tests")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -28,7 +48,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op6_quality_rules": op6_quality_rules, "op7_exact_dedup": op7_exact_dedup}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op6_quality_rules": op6_quality_rules, "op7_exact_dedup": op7_exact_dedup,
+           "op3_chat_format": op3_chat_format, "op5_pseudonyms": op5_pseudonyms, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
 
 _OP6 = rf"""
 with d as (select doc_id, source, coalesce(text, '') as t from documents),
@@ -62,4 +91,16 @@ select doc_id, first_value(doc_id) over (partition by text_sha256 order by n des
        row_number() over (partition by text_sha256 order by n desc, doc_id) = 1 as kept, text_sha256
 from d"""
 
-ORACLE_SQL = {"op6_quality_rules": _OP6, "op7_exact_dedup": _OP7}
+_OP3 = r"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select -7, i, r, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) v(i, r)),
+x as (select *, replace(replace(replace(text, '\', '\\'), '</turn>', '\</turn>'), '###', '\###') as body,
+             replace(replace(replace(replace(role, '\', '\\'), '</turn>', '\</turn>'), '###', '\###'), chr(10), '\n') as head from t)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+       sum(length(head) + length(body) + 13)::bigint as formatted_chars
+from x group by conv_id"""
+
+ORACLE_SQL = {"op3_chat_format": _OP3, "op6_quality_rules": _OP6, "op7_exact_dedup": _OP7}
