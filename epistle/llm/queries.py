@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing, packing, pseudonyms, quality_rules, toxicity
+from . import chat_format, exact_dedup, jaccard_join, mixing, packing, pseudonyms, quality_rules, substring_dedup, toxicity
 
 #: The same white space in SQL: blank, tab, line feed, vertical tab, form feed, carriage return.
 SQL_WORD = r"[^\x20\x09-\x0D]+"
@@ -19,6 +19,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("kept_text")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -35,6 +39,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(nodes, tokenizer_path())
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymised(table(spark, sf_dir, "documents"), b"a key for tests")
 
@@ -57,7 +65,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_mixing": op1_mixing, "op6_quality_rules": op6_quality_rules, "op7_exact_dedup": op7_exact_dedup,
-           "op3_chat_format": op3_chat_format, "op5_pseudonyms": op5_pseudonyms, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
+           "op3_chat_format": op3_chat_format, "op2_substring_dedup": op2_substring_dedup, "op4_jaccard_join": op4_jaccard_join, "op5_pseudonyms": op5_pseudonyms, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
 
 _OP6 = rf"""
 with d as (select doc_id, source, coalesce(text, '') as t from documents),
@@ -103,4 +111,15 @@ select conv_id, count(*) as n_turns,
        sum(length(head) + length(body) + 13)::bigint as formatted_chars
 from x group by conv_id"""
 
-ORACLE_SQL = {"op3_chat_format": _OP3, "op6_quality_rules": _OP6, "op7_exact_dedup": _OP7}
+_OP2 = rf"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '{SQL_WORD}') as w from documents),
+win as (select doc_id, unnest(range(1, len(w) - 11)) as i from d where len(w) >= 13),
+h as (select doc_id, i, md5_number(list_aggregate(w[i:i+12], 'string_agg', ' ')) as g from win join d using (doc_id)),
+dup as (select doc_id, i from (select *, min(doc_id) over (partition by g) as lo from h) where lo < doc_id),
+gone as (select distinct doc_id, i + k as i from dup, (select unnest(range(13)) as k)),
+pos as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d),
+kept as (select pos.doc_id, string_agg(w[i], ' ' order by i) as t, count(*) as n from pos anti join gone using (doc_id, i) group by pos.doc_id)
+select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+from d left join kept using (doc_id)"""
+
+ORACLE_SQL = {"op2_substring_dedup": _OP2, "op3_chat_format": _OP3, "op6_quality_rules": _OP6, "op7_exact_dedup": _OP7}
