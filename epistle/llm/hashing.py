@@ -59,6 +59,15 @@ def ranges(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return mixed((total[stop] - total[start]) * powers(INVERSE, len(h) + 1)[start] + (stop - start).astype(np.uint64) * M1)
 
 
+def heads(*keys: np.ndarray) -> np.ndarray:
+    """Where a new group of the sorted ``keys`` begins."""
+    new = np.zeros(len(keys[0]), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return new
+
+
 def anchors(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Winnowing: for each run of windows that share their least gram, (first window, last window, that gram's hash).
 

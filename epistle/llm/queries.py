@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, jaccard_join, mixing, packing, pseudonyms, quality_rules, substring_dedup, toxicity
+from . import chat_format, exact_dedup, jaccard_join, mixing, packing, pseudonyms, quality_rules, substring_dedup, suffix_dedup, toxicity
 
 #: The same white space in SQL: blank, tab, line feed, vertical tab, form feed, carriage return.
 SQL_WORD = r"[^\x20\x09-\x0D]+"
@@ -56,6 +56,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -65,7 +69,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_mixing": op1_mixing, "op6_quality_rules": op6_quality_rules, "op7_exact_dedup": op7_exact_dedup,
-           "op3_chat_format": op3_chat_format, "op2_substring_dedup": op2_substring_dedup, "op4_jaccard_join": op4_jaccard_join, "op5_pseudonyms": op5_pseudonyms, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
+           "op3_chat_format": op3_chat_format, "op2_substring_dedup": op2_substring_dedup, "op4_jaccard_join": op4_jaccard_join, "op5_pseudonyms": op5_pseudonyms, "op8_suffix_dedup": op8_suffix_dedup, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
 
 _OP6 = rf"""
 with d as (select doc_id, source, coalesce(text, '') as t from documents),

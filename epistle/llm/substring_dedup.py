@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import staged
-from .hashing import Hashes, anchors, ranges
+from .hashing import Hashes, anchors, heads, ranges
 
 WINDOW = 13
 GRAM = 4
@@ -71,15 +71,6 @@ def frame(**columns) -> pd.DataFrame:
     return df[COLUMNS].astype({"share": "Int32", "id": "Int64", "entry": "Int32", "span": "Int64", "old": "boolean", "sure": "boolean"})
 
 
-def heads(*keys: np.ndarray) -> np.ndarray:
-    """Where a new group of the sorted ``keys`` begins."""
-    new = np.zeros(len(keys[0]), bool)
-    new[:1] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
-    return new
-
-
 class SubstringIndex:
     """Runs of entries of all documents added so far; add batches in order of ascending ids."""
 
@@ -194,8 +185,9 @@ def repeated_windows(docs: DataFrame, open_: DataFrame, window: int, gram: int)
                 first, last, _, _ = entries(h, window, gram)
                 at = np.unique(at[at < len(first)])
                 start = np.concatenate([np.zeros(0, np.int64), *(np.arange(first[i], last[i] + 1) for i in at)])
-                out.append(pd.DataFrame({"id": doc, "start": start, "hash": ranges(h, start, start + window).view(np.int64)}))
-            yield pd.concat(out) if out else pd.DataFrame({"id": [], "start": [], "hash": []})
+                out.append((np.full(len(start), doc, np.int64), start, ranges(h, start, start + window).view(np.int64)))
+            if out:
+                yield pd.DataFrame(dict(zip(("id", "start", "hash"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     each = with_marks(docs, open_.groupBy("id").agg(F.collect_set("entry").alias("at")), "inner")
     seen = staged(each.select("id", "text", "at").mapInPandas(hashed, "id long, start int, hash long"), "windows")
