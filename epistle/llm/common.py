@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components, shared_dir, staged  # noqa: F401
+
 #: White space is what the regex class [\x20\x09-\x0D] matches, nothing else.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -15,27 +14,6 @@ BLANKS = " \t\n\x0b\x0c\r"
 BROADCAST_ROWS = 500_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that executors and driver share; a temporary one only where none is set (tests)."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    at = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if at.isDefined():
-        return at.get().rstrip("/")
-    path = tempfile.mkdtemp(prefix="epistle-")
-    spark.sparkContext.setCheckpointDir(path)
-    return shared_dir(spark)
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/epistle/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint when its counted rows are few; else Spark shuffles it and AQE splits skew."""
     return F.broadcast(df) if rows <= limit else df
@@ -47,29 +25,3 @@ def text_of(column: str | Column) -> Column:
 
 def words_of(column: str | Column) -> Column:
     return F.regexp_extract_all(text_of(column), F.lit(WORD), F.lit(0))
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges`` (a, b long): rows (id, root), root the smallest id reachable.
-
-    Alternating large-star and small-star steps; every step is a grouping on the edge table alone, which is
-    staged each round, so neither nodes nor edges reach the driver. Ends when no edge changes.
-    """
-    e = staged(edges.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "edges")
-    seen = None
-    for _ in range(rounds):
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = staged(large.where("a <> b").distinct(), "edges")
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a")
-        e = staged(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components did not settle")
-    roots = e.groupBy("a").agg(F.min("b").alias("root"))
-    return roots.select(F.col("a").alias("id"), "root").union(roots.select("root", "root").distinct())
