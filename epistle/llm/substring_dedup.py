@@ -31,8 +31,6 @@ GRAM = 4
 FANOUT = 4
 #: Characters of text for each share of the index; some 250,000 entries.
 SHARE_CHARS = 8_000_000
-#: Marks of documents are broadcast up to so many in total, else they meet the texts in a shuffle.
-BROADCAST_MARKS = 4_000_000
 LOW48 = np.uint64((1 << 48) - 1)
 
 OUT = "share int, run binary, id long, entry int, span long, old boolean, sure boolean"
@@ -167,10 +165,8 @@ class SubstringIndex:
 
 
 def with_marks(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
-    """``docs`` (id, text) joined with the arrays of ``marks`` by id."""
-    marks = staged(marks, "marks")
-    total = marks.agg(F.sum(sum((F.size(c) for c in marks.columns[1:]), F.lit(0)))).first()[0] or 0
-    return docs.join(F.broadcast(marks) if total <= BROADCAST_MARKS else marks, "id", how)
+    """``docs`` (id, text) joined with the arrays of ``marks`` by id, in a shuffle at every size: marks grow with the corpus."""
+    return docs.join(marks, "id", how)
 
 
 def repeated_windows(docs: DataFrame, open_: DataFrame, window: int, gram: int) -> DataFrame:
