@@ -54,3 +54,30 @@ def year_holes(items: DataFrame, item_sources: DataFrame) -> DataFrame:
     years = item_sources.join(items.select("item_id", F.substring("occurred", 1, 4).cast("int").alias("year")), "item_id").select("source_id", "year").distinct()
     inner = years.groupBy("source_id").agg(F.min("year").alias("lo"), F.max("year").alias("hi"), F.collect_set("year").alias("has"))
     return inner.where("hi - lo > 1").select("source_id", F.explode(F.array_except(F.sequence(F.col("lo") + 1, F.col("hi") - 1), "has")).alias("year"))
+
+
+def resolve(ledger: DataFrame, decisions: DataFrame, now: str) -> DataFrame:
+    """The ledger with users' ``decisions`` (KEY, new_state, new_note): closing states get ``now`` as their time."""
+    d = keyed(decisions).select(*KEY, "new_state", "new_note")
+    j = keyed(ledger).join(d, KEY, "left")
+    closing = F.col("new_state").isin("resolved", "explained", "wont_fix")
+    resolved = F.when(closing, F.lit(now)).when(F.col("new_state").isNull(), F.col("resolved_at"))
+    return j.withColumns({"resolved_at": resolved, "state": F.coalesce("new_state", "state"), "note": F.coalesce("new_note", "note")}).drop("new_state", "new_note")
+
+
+def partial_parse(claims: DataFrame, item_sources: DataFrame, least: float = 0.95) -> DataFrame:
+    """(source_id, claimed, got, loss) of sources that gave less than that part of the items they claim."""
+    got = item_sources.groupBy("source_id").agg(F.count("*").alias("got"))
+    j = claims.join(got, "source_id", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    return j.where(F.col("got") < least * F.col("claimed")).select("source_id", "claimed", "got", (F.col("claimed") - F.col("got")).alias("loss"))
+
+
+# Local parts of addresses that several people share.
+ROLES = ["info", "sales", "support", "admin", "office", "contact", "billing", "help"]
+
+
+def over_merged(sightings: DataFrame, names: int = 8) -> DataFrame:
+    """(address, names, role): addresses seen (address, name) under more names than that, or of a shared mailbox."""
+    role = F.split("address", "@")[0].isin(ROLES)
+    g = sightings.where("name is not null").groupBy("address").agg(F.countDistinct("name").alias("names"))
+    return g.withColumn("role", role).where((F.col("names") > names) | F.col("role"))

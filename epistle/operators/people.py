@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import jaro_winkler, normalized_name, surname
+from .graph import components
 
 
 def statistics(participations: DataFrame, items: DataFrame) -> DataFrame:
@@ -49,11 +50,27 @@ def source_overlap(item_sources: DataFrame, least_items: int, least_share: float
 
 
 def same_name(people: DataFrame) -> DataFrame:
-    """(a, b, confidence): people whose normalised names are equal, of two words and four characters at least."""
-    n = people.select("person_id", "org", normalized_name(F.col("name")).alias("norm")).where("length(norm) >= 4 and norm like '% %' and name not like '%@%'" if "name" in people.columns else "length(norm) >= 4 and norm like '% %'")
-    a, b = n.alias("a"), n.alias("b")
-    both = a.join(b, (F.col("a.norm") == F.col("b.norm")) & (F.col("a.person_id") < F.col("b.person_id")))
-    return both.select(F.col("a.person_id").alias("a"), F.col("b.person_id").alias("b"), F.when(F.col("a.org") == F.col("b.org"), 0.9).otherwise(0.75).alias("confidence"))
+    """(a, b, confidence): people whose normalised names are equal, of two words and four characters at least.
+
+    Each person is paired with the smallest id of the same name and organisation (0.9), and that one with the smallest
+    of the name (0.75), so pairs grow with people and not with their squares; merging them merges the whole group.
+    """
+    n = people.where("name not like '%@%'").select("person_id", "org", normalized_name(F.col("name")).alias("norm")).where("length(norm) >= 4 and norm like '% %'")
+    inner = n.groupBy("norm", "org").agg(F.min("person_id").alias("k"))
+    outer = inner.groupBy("norm").agg(F.min("k").alias("k"))
+    i, o = inner.alias("i"), outer.alias("o")
+    within = n.alias("n").join(i, F.expr("n.norm = i.norm and n.org <=> i.org and n.person_id > i.k")).select(F.col("i.k").alias("a"), F.col("n.person_id").alias("b"), F.when(F.col("n.org").isNull(), 0.75).otherwise(0.9).alias("confidence"))
+    across = i.join(o, F.expr("i.norm = o.norm and i.k > o.k")).select(F.col("o.k").alias("a"), F.col("i.k").alias("b"), F.lit(0.75).alias("confidence"))
+    return within.union(across)
+
+
+def merged(participations: DataFrame, merges: DataFrame) -> DataFrame:
+    """Participations with every person replaced by the last of its chain of ``merges`` (loser, winner), the smallest id.
+
+    The rows given stay as they are, so a merge is undone by leaving it out of ``merges``.
+    """
+    found = components(merges.select(F.col("loser").alias("a"), F.col("winner").alias("b"))).select(F.col("id").alias("person_id"), "root")
+    return participations.join(found, "person_id", "left").withColumn("person_id", F.coalesce("root", "person_id")).drop("root").distinct()
 
 
 def similar_names(people: DataFrame, links: DataFrame, least: float) -> DataFrame:

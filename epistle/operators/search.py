@@ -54,3 +54,13 @@ def bm25(posts: DataFrame, terms: list[str]) -> DataFrame:
     idf = F.when(idf > 0, idf).otherwise(1e-6)
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     return tf.join(F.broadcast(df), "term").join(lengths, "doc_id").join(F.broadcast(size)).groupBy("doc_id").agg(F.sum(weight).alias("score"))
+
+
+def snippets(docs: DataFrame, terms: list[str], words: int = 24, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, snippet): up to ``words`` words from six before the first hit, hits marked, of documents with a hit."""
+    w = F.filter(F.split(F.coalesce(text_col, F.lit("")), r"\s+"), lambda x: x != "")
+    bare = lambda x: F.lower(F.regexp_replace(x, r"[^\p{L}\p{N}]", ""))
+    hit = lambda x: bare(x).isin(list(terms))
+    d = docs.select(F.col(id_col).alias("doc_id"), w.alias("w")).withColumn("at", F.array_position(F.transform("w", hit), True)).where("at > 0")
+    part = F.slice("w", F.greatest(F.lit(1), F.col("at").cast("int") - 6), F.lit(words))
+    return d.select("doc_id", F.array_join(F.transform(part, lambda x: F.when(hit(x), F.concat(F.lit("<mark>"), x, F.lit("</mark>"))).otherwise(x)), " ").alias("snippet"))

@@ -392,3 +392,69 @@ def export_rows(a):
         "item_id", "kind", F.substring("occurred", 1, 10).alias("date"), F.substring("occurred", 12, 5).alias("time"), X.safe_cell(F.col("subject")).alias("subject"), "first_person",
         F.coalesce("people", F.lit(0)).alias("people"), F.coalesce("sources", F.lit(0)).alias("sources"), F.when(F.col("sources").isNull(), "no source").otherwise("").alias("data_quality"),
     )
+
+
+@query(
+    """, n as (select person_id, nation as org, person_id % 500 as norm from people), i as (select norm, org, min(person_id) as k from n group by all), o as (select norm, min(k) as k from i group by norm)
+select i.k as a, person_id as b, 0.9::double as confidence from n join i using (norm, org) where person_id > i.k
+union all select o.k, i.k, 0.75 from i join o using (norm) where i.k > o.k"""
+)
+def merge_proposals_same_name(a):
+    named = a.people.select("person_id", F.concat(F.lit("Dr. Pat Number"), (F.col("person_id") % 500).cast("string")).alias("name"), F.col("nation").alias("org"))
+    return people.same_name(named)
+
+
+@query(
+    """, p as (select item_id, case when person_id between 5 and 999999999 then person_id - person_id % 4 else person_id end as person_id from participations)
+select person_id, count(distinct item_id) as items from p group by 1"""
+)
+def merge_apply(a):
+    k = F.col("c_custkey")
+    chain = a.table("customer").where((k > 4) & (k % 4 != 0)).select(k.alias("loser"), (k - 1).alias("winner"))
+    return people.merged(a.participations, chain).groupBy("person_id").agg(F.countDistinct("item_id").alias("items"))
+
+
+@query(
+    _LEDGER
+    + """, d as (select s_suppkey as source_id, case when s_suppkey % 4 = 0 then 'explained' else 'open' end as new_state from supplier where s_suppkey % 7 = 0)
+select code, source_id, item_id, period, coalesce(new_state, state) as state, loss, first_seen, last_seen,
+case when new_state = 'explained' then '2024-07-01' when new_state is null then resolved_at end as resolved_at, case when new_state is not null then 'seen' else note end as note from ledger left join d using (source_id)"""
+)
+def findings_resolve(a):
+    ledger, _ = _ledger(a)
+    k = F.col("source_id")
+    d = ledger.where(k % 7 == 0).select(*integrity.KEY, F.when(k % 4 == 0, "explained").otherwise("open").alias("new_state"), F.lit("seen").alias("new_note"))
+    return integrity.resolve(ledger, d, "2024-07-01")
+
+
+@query(
+    """, g as (select source_id, count(*) as got from item_sources group by 1), c as (select source_id, (100 + source_id % 12) * got // 100 as claimed from g union all select 0, 7)
+select source_id, claimed, coalesce(got, 0) as got, claimed - coalesce(got, 0) as loss from c left join g using (source_id) where coalesce(got, 0) < 0.95 * claimed"""
+)
+def partial_parse(a):
+    k, n = F.col("source_id"), F.count("*")
+    claims = a.item_sources.groupBy("source_id").agg(n.alias("n")).select("source_id", F.floor((k % 12 + 100) * F.col("n") / 100).alias("claimed"))
+    claims = claims.union(a.spark.range(1).select("id", F.lit(7).cast("long")))
+    return integrity.partial_parse(claims, a.item_sources)
+
+
+@query(
+    """, s as (select case when user_id % 50 = 0 then 'info@' || user_id else 'u@' || user_id end as address, event_type || '-' || event_id % 3 as name from events)
+select address, count(distinct name) as names, starts_with(address, 'info@') as role from s group by 1 having count(distinct name) > 8 or starts_with(address, 'info@')"""
+)
+def over_merged_risk(a):
+    user = F.col("user_id").cast("string")
+    seen = a.table("events").select(F.concat(F.when(F.col("user_id") % 50 == 0, "info@").otherwise("u@"), user).alias("address"), F.concat("event_type", F.lit("-"), (F.col("event_id") % 3).cast("string")).alias("name"))
+    return integrity.over_merged(seen)
+
+
+_HIT = r"regexp_replace(lower(x), '[^\p{L}\p{N}]', '', 'g') in ('stat', 'clown')"
+
+
+@query(
+    rf"""with d as (select doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as w from documents where text is not null),
+h as (select *, list_position(list_transform(w, lambda x: {_HIT}), true)::int as p from d)
+select doc_id, array_to_string(list_transform(w[greatest(1, p - 6):greatest(1, p - 6) + 23], lambda x: case when {_HIT} then '<mark>' || x || '</mark>' else x end), ' ') as snippet from h where p > 0"""
+)
+def search_snippets(a):
+    return search.snippets(a.table("documents"), ["stat", "clown"])
