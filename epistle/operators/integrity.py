@@ -72,12 +72,20 @@ def partial_parse(claims: DataFrame, item_sources: DataFrame, least: float = 0.9
     return j.where(F.col("got") < least * F.col("claimed")).select("source_id", "claimed", "got", (F.col("claimed") - F.col("got")).alias("loss"))
 
 
-# Local parts of addresses that several people share.
-ROLES = ["info", "sales", "support", "admin", "office", "contact", "billing", "help"]
+# Local parts of addresses that several people share, and names that are nobody's own.
+ROLES = [
+    "info", "office", "admin", "sales", "support", "help", "noreply", "no-reply", "donotreply", "postmaster", "mailer-daemon", "contact",
+    "enquiries", "inquiries", "accounts", "billing", "hr", "jobs", "careers", "newsletter", "marketing", "webmaster", "abuse", "security",
+]
+GENERIC = [
+    "administrator", "admin", "support", "helpdesk", "help desk", "reception", "office", "accounts", "sales", "info", "enquiries", "webmaster",
+    "postmaster", "mailer-daemon", "system", "noreply", "no-reply", "unknown", "undisclosed recipients", "recipients",
+]
 
 
 def over_merged(sightings: DataFrame, names: int = 8) -> DataFrame:
-    """(address, names, role): addresses seen (address, name) under more names than that, or of a shared mailbox."""
+    """(address, names, role): addresses seen (address, name) under more names than that, of a shared mailbox, or under a name that is nobody's own."""
     role = F.split("address", "@")[0].isin(ROLES)
-    g = sightings.where("name is not null").groupBy("address").agg(F.countDistinct("name").alias("names"))
-    return g.withColumn("role", role).where((F.col("names") > names) | F.col("role"))
+    generic = F.bool_or(F.lower(F.trim("name")).isin(GENERIC))
+    g = sightings.where("name is not null").groupBy("address").agg(F.countDistinct("name").alias("names"), generic.alias("generic"))
+    return g.withColumn("role", role).where((F.col("names") > names) | F.col("role") | F.col("generic")).drop("generic")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import jaro_winkler, normalized_name, surname
+from ..functions.text import given_name, jaro_winkler, normalized_name, surname
 from .graph import components
 
 
@@ -64,6 +64,33 @@ def same_name(people: DataFrame) -> DataFrame:
     return within.union(across)
 
 
+def same_surname(people: DataFrame) -> DataFrame:
+    """(a, b, confidence): people (person_id, name, domain) with one surname and domain and given names that agree.
+
+    Equal or missing given names count 0.8, an initial of the other 0.7. Everybody is paired with the smallest id of the
+    same full name, and only these with one another, so a common name costs no more pairs than it has people.
+    """
+    n = people.select("person_id", "domain", surname(F.col("name")).alias("last"), given_name(F.col("name")).alias("given")).where("length(last) >= 3 and domain is not null")
+    first = n.groupBy("last", "domain", "given").agg(F.min("person_id").alias("k"))
+    f, g = first.alias("f"), first.alias("g")
+    alike = n.join(first, ["last", "domain", "given"]).where("person_id > k").select(F.col("k").alias("a"), F.col("person_id").alias("b"), F.lit(0.8).alias("confidence"))
+    pair = lambda c: (F.least("f.k", "g.k").alias("a"), F.greatest("f.k", "g.k").alias("b"), F.lit(c).alias("confidence"))
+    bare = f.where("given = ''").join(g.where("given <> ''"), F.expr("f.last = g.last and f.domain = g.domain")).select(*pair(0.8))
+    initial = f.where("length(given) between 1 and 2").join(
+        g, F.expr("f.last = g.last and f.domain = g.domain and left(f.given, 1) = left(g.given, 1) and (length(f.given) < length(g.given) or (length(f.given) = length(g.given) and f.given < g.given))")
+    )
+    return alike.union(bare).union(initial.select(*pair(0.7)))
+
+
+def merge_queue(proposals: DataFrame, refused: DataFrame, statistics_: DataFrame) -> DataFrame:
+    """(keep, merge, confidence): the best proposal of each pair that nobody refused (a, b); the person with more items stays."""
+    best = proposals.groupBy("a", "b").agg(F.max("confidence").alias("confidence")).join(refused, ["a", "b"], "left_anti")
+    size = lambda c: statistics_.select(F.col("person_id").alias(c), F.col("items").alias(f"n_{c}"))
+    j = best.join(size("a"), "a", "left").join(size("b"), "b", "left").fillna(0, ["n_a", "n_b"])
+    larger = F.col("n_b") > F.col("n_a")
+    return j.select(F.when(larger, F.col("b")).otherwise(F.col("a")).alias("keep"), F.when(larger, F.col("a")).otherwise(F.col("b")).alias("merge"), "confidence")
+
+
 def merged(participations: DataFrame, merges: DataFrame) -> DataFrame:
     """Participations with every person replaced by the last of its chain of ``merges`` (loser, winner), the smallest id.
 
@@ -74,8 +101,8 @@ def merged(participations: DataFrame, merges: DataFrame) -> DataFrame:
 
 
 def similar_names(people: DataFrame, links: DataFrame, least: float) -> DataFrame:
-    """(a, b, score) of people with a shared correspondent (person_id, other_id) whose surnames begin alike and names are similar."""
-    n = people.select("person_id", normalized_name(F.col("name")).alias("norm"), surname(F.col("name")).alias("last"))
+    """(a, b, score) of people with a shared correspondent (person_id, other_id) whose names differ and are similar."""
+    n = people.select("person_id", normalized_name(F.col("name")).alias("norm"))
     a = links.join(n, "person_id").select("other_id", F.col("person_id").alias("a"), F.col("norm").alias("na"))
     b = links.join(n, "person_id").select("other_id", F.col("person_id").alias("b"), F.col("norm").alias("nb"))
     pairs = a.join(b, "other_id").where("a < b and na <> nb").select("a", "b", "na", "nb").distinct()

@@ -8,12 +8,29 @@ from pyspark.sql import functions as F
 from .graph import components
 
 
-def subject_links(messages: DataFrame, days: int) -> DataFrame:
+# Subjects too common to link messages.
+WEAK_SUBJECTS = [
+    "", "hello", "hi", "hey", "thanks", "thank you", "fyi", "test", "meeting", "invoice", "update", "question", "quick question", "info", "information",
+    "follow up", "reminder", "no subject", "(no subject)", "read receipt", "out of office", "автоответ", "delivery status notification",
+]
+
+
+def chain_links(messages: DataFrame) -> DataFrame:
+    """Edges (a, b) from replies to what they answer: item_id, message_id, in_reply_to, refs; the first item with an id stands for it."""
+    bare = lambda c: F.regexp_replace(F.trim(c), r"^<|>$", "")
+    known = messages.where("message_id is not null").groupBy(bare(F.col("message_id")).alias("ref")).agg(F.min("item_id").alias("b"))
+    named = F.array_distinct(F.transform(F.array_compact(F.array_append(F.coalesce("refs", F.array().cast("array<string>")), F.col("in_reply_to"))), bare))
+    return messages.select(F.col("item_id").alias("a"), F.explode(named).alias("ref")).join(known, "ref").where("a <> b").select("a", "b")
+
+
+def subject_links(messages: DataFrame, days: int, shortest: int = 6) -> DataFrame:
     """Edges (a, b) between messages of one subject and participant within ``days`` of each other.
 
     ``messages``: item_id, subject, participant, day. Each is linked to the one before it in time only: those between two
-    that are near enough are near enough too, so the components are those of all pairs.
+    that are near enough are near enough too, so the components are those of all pairs. Subjects under ``shortest`` characters or
+    too common to mean anything link nothing, nor do undated messages.
     """
+    messages = messages.where((F.length("subject") >= shortest) & ~F.col("subject").isin(WEAK_SUBJECTS) & F.col("day").isNotNull())
     w = Window.partitionBy("subject", "participant").orderBy("day", "item_id")
     m = messages.select("item_id", "day", F.lag("item_id").over(w).alias("b"), F.lag("day").over(w).alias("before"))
     return m.where(F.datediff("day", "before") <= days).select(F.col("item_id").alias("a"), "b")

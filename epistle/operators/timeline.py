@@ -61,6 +61,15 @@ def timeline(items: DataFrame, item_sources: DataFrame, chars: int, kinds: list[
     return counts.join(i.join(item_sources, "item_id").groupBy("period").agg(F.countDistinct("source_id").alias("sources")), "period", "left").fillna(0, ["sources"])
 
 
+def dense(timeline_: DataFrame, unit: str) -> DataFrame:
+    """A timeline with its empty periods: every ``unit`` (year, month or day) of the years from first to last."""
+    chars = {"year": 4, "month": 7, "day": 10}[unit]
+    year = lambda f, tail: F.to_date(F.concat(f(F.substring("period", 1, 4)), F.lit(tail)))
+    span = timeline_.agg(year(F.min, "-01-01").alias("lo"), year(F.max, "-12-31").alias("hi")).where("lo is not null")
+    spine = span.select(F.explode(F.sequence("lo", "hi", F.expr(f"interval 1 {unit}"))).alias("d")).select(F.substring(F.col("d").cast("string"), 1, chars).alias("period"))
+    return spine.join(timeline_, "period", "left").fillna(0)
+
+
 def facets(items: DataFrame, item_sources: DataFrame, top: int = 100) -> DataFrame:
     """(facet, value, n): kinds, subjects and the ``top`` sources by items."""
     one = lambda name, c: items.groupBy(F.col(c).cast("string").alias("value")).agg(F.count("*").alias("n")).select(F.lit(name).alias("facet"), "value", "n")

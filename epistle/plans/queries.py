@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import integrity, people, search, threads, timeline
+from ..operators import checks, integrity, people, search, threads, timeline
 from .archive import KINDS, SQL, Archive
 
 THIS_YEAR = 2024
@@ -111,17 +111,21 @@ def source_overlap(a):
     return people.source_overlap(a.item_sources, 10, 0.05)
 
 
-_THIN = "(item_id % 97) <> 5 and subject = '1-URGENT'"
+_YEARS = """, y as (select distinct o_custkey as source_id, year(o_orderdate)::int as year from orders)"""
+
+
+def _mailboxes(a: Archive) -> DataFrame:
+    """Each sender's own mailbox as a source of what they sent."""
+    return a.table("orders").select(F.col("o_orderkey").alias("item_id"), F.col("o_custkey").alias("source_id"))
 
 
 @query(
-    f""", y as (select distinct source_id, occurred[1:4]::int as year from items join item_sources using (item_id) where {_THIN} and (source_id % 3 <> 0 or occurred[1:4]::int % 3 <> 0)),
-s as (select source_id, unnest(range(min(year) + 1, max(year))) as year from y group by source_id)
+    _YEARS
+    + """, s as (select source_id, unnest(range(min(year) + 1, max(year))) as year from y group by source_id)
 select source_id, year::int as year from s anti join y using (source_id, year)"""
 )
 def source_year_holes(a):
-    thin = a.items.where(_THIN).join(a.item_sources, "item_id").where("source_id % 3 <> 0 or cast(substring(occurred, 1, 4) as int) % 3 <> 0")
-    return integrity.year_holes(thin.select("item_id", "occurred").distinct(), thin.select("item_id", "source_id"))
+    return integrity.year_holes(a.items, _mailboxes(a))
 
 
 @query(
@@ -225,15 +229,15 @@ def name_parts(a):
 
 
 @query(
-    """, l as (select distinct a.person_id, b.person_id as other_id from participations a join participations b using (item_id) where a.role = 'from' and b.role = 'to' and a.person_id <= 60),
-n as (select person_id, lower(replace(name, '#', ' ')) as norm from people),
-p as (select distinct x.person_id as a, y.person_id as b, u.norm as na, v.norm as nb from l x join l y using (other_id) join n u on u.person_id = x.person_id join n v on v.person_id = y.person_id where x.person_id < y.person_id)
-select a, b, round(jaro_winkler_similarity(na, nb), 6) as score from p where na <> nb and jaro_winkler_similarity(na, nb) >= 0.92"""
+    """, l as (select distinct l_partkey as person_id, l_orderkey as other_id from lineitem),
+p as (select distinct x.person_id as a, y.person_id as b, u.p_name as na, v.p_name as nb from l x join l y using (other_id) join part u on u.p_partkey = x.person_id join part v on v.p_partkey = y.person_id where x.person_id < y.person_id)
+select a, b, round(jaro_winkler_similarity(na, nb), 6) as score from p where na <> nb and jaro_winkler_similarity(na, nb) >= 0.8"""
 )
 def jaro_winkler_pairs(a):
-    sent, got = a.participations.where("role = 'from' and person_id <= 60"), a.participations.where("role = 'to'")
-    links = sent.select("item_id", "person_id").join(got.select("item_id", F.col("person_id").alias("other_id")), "item_id").select("person_id", "other_id").distinct()
-    return people.similar_names(a.people, links, 0.92).select("a", "b", F.round("score", 6).alias("score"))
+    """Names of parts that met in an order; an order has few lines, so the pairs grow with the orders."""
+    names = a.table("part").select(F.col("p_partkey").alias("person_id"), F.col("p_name").alias("name"))
+    links = a.table("lineitem").select(F.col("l_partkey").alias("person_id"), F.col("l_orderkey").alias("other_id")).distinct()
+    return people.similar_names(names, links, 0.8).select("a", "b", F.round("score", 6).alias("score"))
 
 
 def _messages(a: Archive) -> DataFrame:
@@ -249,10 +253,38 @@ r as (select *, sum(new) over (partition by s, p order by day, item_id) as run f
 select min(item_id) as thread_id, count(*) as messages, min(day) as first_day, max(day) as last_day from r group by s, p, run"""
 )
 def thread_summary(a):
+    """Short subjects link too here."""
+    m = _messages(a)
+    return threads.summary(m, threads.threads(m, threads.subject_links(m, 180, shortest=1)))
+
+
+@query(
+    """, m as (select o_orderkey as item_id, o_custkey as p, o_orderpriority as s, o_orderdate::date as day from orders where o_orderstatus = 'O'),
+g as (select *, case when length(s) >= 6 and day - lag(day) over w <= 180 then 0 else 1 end as new from m window w as (partition by s, p order by day, item_id)),
+r as (select *, sum(new) over (partition by s, p order by day, item_id) as run from g)
+select min(item_id) as thread_id, count(*) as messages, min(day) as first_day, max(day) as last_day from r group by s, p, run"""
+)
+def thread_summary_strict(a):
+    """Subjects under six characters link nothing."""
     m = _messages(a)
     return threads.summary(m, threads.threads(m, threads.subject_links(m, 180)))
 
 
+@query(
+    """, c as (select conv_id, turn, count(*) filter (turn % 5 = 3 or turn = 0) over (partition by conv_id order by turn) as part from conversations)
+select min(conv_id * 1000000 + turn) as thread_id, count(*) as messages from c group by conv_id, part"""
+)
+def thread_chains(a):
+    """Conversation turns as replies by message id; every fifth turn answers nothing and begins a thread of its own."""
+    name = lambda t: F.concat(F.lit("<"), F.col("conv_id").cast("string"), F.lit("-"), t.cast("string"), F.lit("@x>"))
+    t = F.col("turn")
+    m = a.table("conversations").select(
+        (F.col("conv_id") * 1000000 + t).alias("item_id"), name(t).alias("message_id"), F.when((t % 5 != 3) & (t % 2 == 0), name(t - 1)).alias("in_reply_to"),
+        F.when((t % 5 != 3) & (t % 2 == 1), F.array(name(t - 1), F.lit("<lost@x>"))).alias("refs"),
+    )
+    return threads.threads(m, threads.chain_links(m)).groupBy("thread_id").agg(F.count("*").alias("messages"))
+
+
 @query(
     """ select c.conv_id, count(*) as orphans from conversations c anti join conversations p on p.conv_id = c.conv_id and p.turn = c.turn - 1 and p.turn % 4 <> 1
 where c.turn > 0 group by c.conv_id"""
@@ -458,3 +490,117 @@ select doc_id, array_to_string(list_transform(w[greatest(1, p - 6):greatest(1, p
 )
 def search_snippets(a):
     return search.snippets(a.table("documents"), ["stat", "clown"])
+
+
+@query(f""", t as ({_timeline(7)}), s as (select strftime(unnest(generate_series((min(period)[1:4] || '-01-01')::date, (max(period)[1:4] || '-12-31')::date, interval 1 month)), '%Y-%m') as period from t)
+select period, coalesce(message, 0) as message, coalesce(event, 0) as event, coalesce(task, 0) as task, coalesce(total, 0) as total, coalesce(sources, 0) as sources from s left join t using (period)""")
+def timeline_dense_month(a):
+    return timeline.dense(timeline_month_rows(a), "month")
+
+
+def timeline_month_rows(a: Archive) -> DataFrame:
+    return timeline.timeline(a.items, a.item_sources, 7, KINDS)
+
+
+@query(""" select * from (select min(year(o_orderdate))::int as first_item, (select min(1991 + s_suppkey % 5)::int from supplier) as oldest_file from orders) where first_item - oldest_file >= 3""")
+def edge_truncation(a):
+    files = a.table("supplier").select((F.col("s_suppkey") % 5 + 1991).alias("year"))
+    return checks.edge_truncation(a.items, files, THIS_YEAR)
+
+
+@query(
+    _YEARS
+    + """, n as (select c_custkey as source_id, (1995 + c_custkey % 7)::int as year from customer), s as (select source_id, min(year) as lo, max(year) as hi from y group by 1)
+select source_id, year from n join s using (source_id) anti join y using (source_id, year) where year > lo and year < hi"""
+)
+def source_named_years(a):
+    path = F.concat(F.lit("mail of "), (F.col("c_custkey") % 7 + 1995).cast("string"), F.lit("/"), "c_name")
+    return checks.named_years(a.table("customer").select(F.col("c_custkey").alias("source_id"), path.alias("path")), a.items, _mailboxes(a))
+
+
+@query(""" select c_custkey as source_id, (c_custkey % 4)::int as folders from customer where c_custkey % 4 > 0 and not exists (select 1 from orders where o_custkey = c_custkey)""")
+def empty_tree(a):
+    return checks.empty_tree(a.table("customer").select(F.col("c_custkey").alias("source_id"), (F.col("c_custkey") % 4).cast("int").alias("folders")), _mailboxes(a))
+
+
+@query(""" select l_suppkey as source_id, count(*) as a, count(distinct l_orderkey) as b from lineitem group by 1 having count(*) <> count(distinct l_orderkey) and count(*) - count(distinct l_orderkey) >= 0.02 * count(*)""")
+def backend_disagreement(a):
+    g = a.table("lineitem").groupBy(F.col("l_suppkey").alias("source_id"))
+    return checks.backend_disagreement(g.agg(F.count("*").alias("n")), g.agg(F.countDistinct("l_orderkey").alias("n")), 0.02)
+
+
+@query(""" select source_id, count(*) as failed from (select l_orderkey as item_id from lineitem where l_returnflag = 'R') join item_sources using (item_id) group by 1""")
+def attachment_unreadable(a):
+    files = a.table("lineitem").select(F.col("l_orderkey").alias("item_id"), F.when(F.col("l_returnflag") == "R", "failed").otherwise("done").alias("status"))
+    return checks.unreadable_attachments(files, a.item_sources)
+
+
+@query(""" select md5(l_partkey::varchar) as content_hash, count(*) as attachments from lineitem where l_partkey not in (select p_partkey from part where p_size > 5) group by 1""")
+def missing_blob(a):
+    md5 = lambda c: F.md5(F.col(c).cast("string")).alias("content_hash")
+    return checks.missing_blobs(a.table("lineitem").select(md5("l_partkey")), a.table("part").where("p_size > 5").select(md5("p_partkey")))
+
+
+@query(
+    """, r as (select c.conv_id % 20 as source_id, p.conv_id is null as orphan from conversations c left join conversations p on p.conv_id = c.conv_id and p.turn = c.turn - 1 and p.turn % 4 <> 1 where c.turn > 0)
+select source_id, count(*) as replies, count(*) filter (orphan) as orphans, case when count(*) filter (orphan) / count(*) >= 0.3 then 'high' else 'medium' end as severity
+from r group by 1 having orphans > 0 and (orphans >= 10 or orphans / replies >= 0.2)"""
+)
+def orphan_reply(a):
+    c = a.table("conversations").select("conv_id", "turn")
+    parents = c.where("turn % 4 <> 1").select("conv_id", (F.col("turn") + 1).alias("turn"), F.lit(True).alias("found"))
+    return checks.orphan_reply(c.where("turn > 0").join(parents, ["conv_id", "turn"], "left").select((F.col("conv_id") % 20).alias("source_id"), F.col("found").isNull().alias("orphan")))
+
+
+_OWN = "select person_id from people where nation < 8"
+
+
+@query(f""" select person_id, count(*) as sent, count(*) / (select count(*) from orders) as share from participations where role = 'from' and person_id not in ({_OWN}) group by 1 having share >= 0.001""")
+def self_identity_unclaimed(a):
+    return checks.unclaimed_self(a.participations, a.people.where("nation < 8").select("person_id"), 0.001)
+
+
+@query(
+    f""", m as (select * from participations where person_id in ({_OWN})), b as (select distinct x.item_id from m x join m y using (item_id) where x.role = 'from' and y.role = 'to' and x.person_id <> y.person_id)
+select source_id, count(distinct item_id) as items from b join item_sources using (item_id) group by 1"""
+)
+def identity_conflict(a):
+    return checks.identity_conflict(a.participations, a.people.where("nation < 8").select("person_id"), a.item_sources)
+
+
+@query(""" select person_id, count(distinct item_id) as items from participations where person_id % 3 = 0 and person_id % 6 <> 0 group by 1""")
+def ambiguous_legacydn(a):
+    k = F.col("person_id")
+    raw = F.array_compact(F.array(F.when(k % 3 == 0, F.concat(F.lit("/o=Org/ou=x/cn="), "name")), F.when((k % 3 != 0) | (k % 6 == 0), F.concat(k.cast("string"), F.lit("@x.example")))))
+    ids = a.people.select("person_id", F.explode(raw).alias("raw")).select("person_id", X.identity(F.col("raw")).alias("i")).select("person_id", "i.*")
+    return checks.legacy_only(ids, a.participations)
+
+
+_NAMED = """, n as (select person_id, 'smith' || person_id % 30 as last, nation as domain, case person_id % 5 when 0 then '' when 1 then 'p' when 2 then 'pat' when 3 then 'paula' else 'quinn' end as given from people),
+f as (select last, domain, given, min(person_id) as k from n group by all),
+p as (select k as a, person_id as b, 0.8::double as confidence from n join f using (last, domain, given) where person_id > k
+union all select least(f.k, g.k), greatest(f.k, g.k), 0.8 from f join f g using (last, domain) where f.given = '' and g.given <> ''
+union all select least(f.k, g.k), greatest(f.k, g.k), 0.7 from f join f g using (last, domain) where f.given = 'p' and g.given in ('pat', 'paula'))
+"""
+
+
+def _surnames(a: Archive) -> DataFrame:
+    k = F.col("person_id")
+    given = F.element_at(F.array(*map(F.lit, ("", "P. ", "Pat ", "Paula ", "Quinn "))), (k % 5 + 1).cast("int"))
+    return people.same_surname(a.people.select("person_id", F.concat(given, F.lit("Smith"), (k % 30).cast("string")).alias("name"), F.col("nation").alias("domain")))
+
+
+@query(_NAMED + "select * from p")
+def merge_proposals_surname(a):
+    return _surnames(a)
+
+
+@query(
+    _NAMED
+    + """, s as (select person_id, count(distinct item_id) as items from participations group by 1)
+select case when coalesce(y.items, 0) > coalesce(x.items, 0) then b else a end as keep, case when coalesce(y.items, 0) > coalesce(x.items, 0) then a else b end as merge, confidence
+from p left join s x on x.person_id = a left join s y on y.person_id = b where (a + b) % 7 <> 0"""
+)
+def merge_queue(a):
+    p = _surnames(a)
+    return people.merge_queue(p, p.where("(a + b) % 7 = 0").select("a", "b"), people.statistics(a.participations, a.items))
