@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MESSAGE = (
     "path string, message_id string, in_reply_to string, refs array<string>, subject string, sender string, receivers array<string>, "
@@ -18,6 +19,9 @@ MESSAGE = (
 )
 
 
+COLUMNS = "path message_id in_reply_to refs subject sender receivers occurred tz_known body html attachments error".split()
+
+
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import datetime
     from email import message_from_bytes, policy
@@ -54,9 +58,8 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         except Exception as e:  # a damaged message is a row with its error, never a failed job
             return (path, None, None, [], None, None, [], None, False, None, None, [], f"{type(e).__name__}: {e}")
 
-    columns = "path message_id in_reply_to refs subject sender receivers occurred tz_known body html attachments error".split()
     for b in batches:
-        yield pd.DataFrame([one(p, bytes(r)) for p, r in zip(b["path"], b["raw"], strict=True)], columns=columns)
+        yield pd.DataFrame([one(p, bytes(r)) for p, r in zip(b["path"], b["raw"], strict=True)], columns=COLUMNS)
 
 
 def read_eml(spark: SparkSession, path: str) -> DataFrame:
@@ -74,13 +77,13 @@ def records(spark: SparkSession, path: str, separator: str, glob: str) -> DataFr
     return t.select(F.col("_metadata.file_path").alias("path"), "value")
 
 
-def read_mbox(spark: SparkSession, path: str) -> DataFrame:
-    """Messages of ``.mbox`` files, split at lines that begin with ``From ``; quoted ``>From `` lines are restored."""
+def read_mbox(spark: SparkSession, path: str, glob: str = "*.{mbox,mbx}") -> DataFrame:
+    """Messages of ``.mbox`` files and text ``.mbx`` files, split at lines that begin with ``From ``; quoted ``>From `` lines are restored."""
     body = F.regexp_replace(F.regexp_replace("value", r"^(?:From )?[^\n]*\n", ""), r"(?m)^>(>*From )", "$1")
     # the record's first line is the rest of the separator line; bytes that are not UTF-8 stay as they are
     first = F.locate("\n", "value")
     raw = F.when(F.is_valid_utf8("value"), body.cast("binary")).otherwise(F.expr("substring(cast(value as binary), locate('\n', value) + 1)"))
-    return records(spark, path, "\nFrom ", "*.mbox").where(first > 0).select("path", raw.alias("raw")).mapInPandas(_parsed, MESSAGE)
+    return records(spark, path, "\nFrom ", glob).where(first > 0).select("path", raw.alias("raw")).mapInPandas(_parsed, MESSAGE)
 
 
 def _unfolded(c: Column) -> Column:
@@ -117,6 +120,134 @@ def read_ics(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+@F.pandas_udf(T.StringType())
+def _quoted(values: pd.Series) -> pd.Series:
+    """Quoted-printable text, as UTF-8 where it is that, else as a western code page."""
+    import quopri
+
+    def one(v: str | None) -> str | None:
+        if v is None:
+            return None
+        raw = quopri.decodestring(v.encode())
+        try:
+            return raw.decode()
+        except UnicodeDecodeError:
+            return raw.decode("cp1252", "replace")
+
+    return values.map(one)
+
+
+def read_vcs(spark: SparkSession, path: str) -> DataFrame:
+    """Events of version 1.0 calendars (``.vcs``): quoted-printable texts, floating times, positional rules put as RFC 5545 ones.
+
+    Rules with more than an interval, weekdays and a count stay as they are.
+    """
+    text = F.regexp_replace(_unfolded(F.regexp_replace(F.split("value", "END:VEVENT")[0], r"=\r?\n", "")), r"\r", "")
+    e = records(spark, path, "BEGIN:VEVENT", "*.vcs").where(F.col("value").contains("END:VEVENT")).select("path", text.alias("v"))
+    v, start = F.col("v"), _property(F.col("v"), "DTSTART")
+    iso = lambda c: F.regexp_replace(F.regexp_replace(c, r"^(\d{4})(\d\d)(\d\d)", "$1-$2-$3"), r"T(\d\d)(\d\d)(\d\d)", "T$1:$2:$3")
+    soft = lambda name: _plain(F.when(F.upper(_property(v, name, 1)).contains("QUOTED-PRINTABLE"), _quoted(_property(v, name))).otherwise(_property(v, name)))
+    raw = F.trim(_property(v, "RRULE"))
+    at = r"^(D|W)(\d+)((?: (?:MO|TU|WE|TH|FR|SA|SU))*)(?: #(\d+))?$"
+    days = F.regexp_replace(F.trim(F.regexp_extract(raw, at, 3)), " ", ",")
+    count = F.regexp_extract(raw, at, 4)
+    rule = F.concat_ws(
+        ";", F.concat(F.lit("FREQ="), F.when(F.regexp_extract(raw, at, 1) == "D", "DAILY").otherwise("WEEKLY")), F.concat(F.lit("INTERVAL="), F.regexp_extract(raw, at, 2)),
+        F.when(days != "", F.concat(F.lit("BYDAY="), days)), F.when((count != "") & (count != "0"), F.concat(F.lit("COUNT="), count)),
+    )
+    return e.select(
+        "path", _property(v, "UID").alias("uid"), soft("SUMMARY").alias("subject"), soft("LOCATION").alias("location"), soft("DESCRIPTION").alias("body"), iso(start).alias("starts"), iso(_property(v, "DTEND")).alias("ends"),
+        F.when(start.endswith("Z"), "UTC").alias("tz"), (F.length(start) == 8).alias("all_day"), F.when(raw.rlike(at), rule).otherwise(raw).alias("rule"),
+        F.lower(F.regexp_replace(_property(v, "ORGANIZER"), "(?i)^mailto:", "")).alias("organizer"),
+        F.transform(F.regexp_extract_all(v, F.lit(r"(?mi)^ATTENDEE(?:;[^:\n]*)?:(?:mailto:)?([^\n]*)$"), F.lit(1)), F.lower).alias("attendees"),
+    )
+
+
+def _archived(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Messages of zipped XML archives; a member that is too large, swells too much or is broken gives a row with its error."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    empty = dict.fromkeys(COLUMNS) | {"refs": [], "receivers": [], "attachments": [], "tz_known": False}
+
+    def message(m, path: str) -> dict | None:
+        get = lambda tag: (m.findtext(f"OPFMessageCopy{tag}") or "").strip() or None
+        addresses = lambda tag: [a.get("OPFContactEmailAddressAddress").lower() for a in m.iterfind(f"OPFMessageCopy{tag}/emailAddress") if a.get("OPFContactEmailAddressAddress")]
+        at, body = get("SentTime") or get("ReceivedTime"), get("Body")
+        sender = next(iter(addresses("FromAddresses") or addresses("SenderAddress")), None)
+        if not (at or body or get("Subject") or sender):
+            return None
+        html = body if body and body.lstrip()[:1] == "<" else None
+        files = [(a.get("OPFAttachmentName"), a.get("OPFAttachmentContentType"), int(a.get("OPFAttachmentContentFileSize") or 0)) for a in m.iterfind("OPFMessageCopyAttachmentList/messageAttachment")]
+        receivers = addresses("ToAddresses") + addresses("CCAddresses") + addresses("BCCAddresses")
+        return empty | {
+            "path": path, "message_id": get("MessageID"), "in_reply_to": get("InReplyTo"), "refs": (get("References") or "").split(), "subject": get("Subject"), "sender": sender, "receivers": receivers,
+            "occurred": at and at[:19] + "Z", "tz_known": bool(at), "body": None if html else body, "html": html, "attachments": files,
+        }
+
+    def rows(path: str, raw: bytes) -> Iterator[dict]:
+        try:
+            z = zipfile.ZipFile(io.BytesIO(raw))
+        except zipfile.BadZipFile as e:
+            yield empty | {"path": path, "error": f"BadZipFile: {e}"}
+            return
+        for i in z.infolist():
+            if not i.filename.lower().endswith(".xml") or "message" not in i.filename.lower():
+                continue
+            if i.file_size > OLM_MEMBER_BYTES or i.file_size > OLM_SWELL * max(i.compress_size, 1):
+                yield empty | {"path": path, "error": f"member too large: {i.filename}"}
+                continue
+            try:
+                for _, m in ElementTree.iterparse(io.BytesIO(z.read(i))):
+                    if m.tag == "email":
+                        if found := message(m, path):
+                            yield found
+                        m.clear()
+            except (ElementTree.ParseError, zipfile.BadZipFile, ValueError) as e:
+                yield empty | {"path": path, "error": f"{i.filename}: {e}"}
+
+    for b in batches:
+        for p, r in zip(b["path"], b["raw"], strict=True):
+            found = list(rows(p, bytes(r)))
+            for k in range(0, len(found), 1000):
+                yield pd.DataFrame(found[k : k + 1000], columns=COLUMNS)
+
+
+#: Bytes of one archive member, and how many times its packed size it may unpack to.
+OLM_MEMBER_BYTES, OLM_SWELL = 256 << 20, 200
+
+
+def read_olm(spark: SparkSession, path: str) -> DataFrame:
+    """Messages of zipped XML mail archives (``.olm``), a file to a task: a zip cannot be split, and Spark reads whole files up to 2 GB."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.olm").load(path)
+    return files.select("path", F.col("content").alias("raw")).mapInPandas(_archived, MESSAGE)
+
+
+def _strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import re
+
+    wide, mail = re.compile(rb"(?:[\x20-\x7e\xa0-\xff]\x00){3,}"), re.compile(r"^[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+$")
+
+    def cards(path: str, raw: bytes) -> list[tuple]:
+        found, seen, out = [m.group().decode("utf-16-le").strip() for m in wide.finditer(raw)], set(), []
+        for k, text in enumerate(found):
+            if mail.match(text) and text.lower() not in seen:
+                seen.add(text.lower())
+                before = (t for t in reversed(found[max(0, k - 4) : k]) if "@" not in t and re.search(r"[^\W\d_]{2}", t))
+                out.append((path, next(before, None), None, None, [text.lower()], [], 0.5))
+        return out
+
+    for b in batches:
+        yield pd.DataFrame([c for p, r in zip(b["path"], b["raw"], strict=True) for c in cards(p, bytes(r))], columns="path name org title emails phones confidence".split())
+
+
+def read_wab(spark: SparkSession, path: str) -> DataFrame:
+    """Addresses saved from binary address books (``.wab``), each with the nearest name among the four texts before it; confidence 0.5."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wab").load(path)
+    return files.select("path", F.col("content").alias("raw")).mapInPandas(_strings, "path string, name string, org string, title string, emails array<string>, phones array<string>, confidence double")
+
+
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
     """Cards of ``.vcf`` files: name, organisation, title, e-mail addresses and telephone numbers."""
     text = _unfolded(F.split("value", "END:VCARD")[0])
