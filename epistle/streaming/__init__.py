@@ -1 +1 @@
-
+"""Incremental work on streams of new records."""
