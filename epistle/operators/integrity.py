@@ -89,3 +89,19 @@ def over_merged(sightings: DataFrame, names: int = 8) -> DataFrame:
     generic = F.bool_or(F.lower(F.trim("name")).isin(GENERIC))
     g = sightings.where("name is not null").groupBy("address").agg(F.countDistinct("name").alias("names"), generic.alias("generic"))
     return g.withColumn("role", role).where((F.col("names") > names) | F.col("role") | F.col("generic")).drop("generic")
+
+
+def summary(findings: DataFrame) -> DataFrame:
+    """(code, findings, open, estimated_missing, sources) of a ledger, states of every kind counted."""
+    open_ = F.col("state").isin(OPEN)
+    return findings.groupBy("code").agg(
+        F.count("*").alias("findings"), F.count_if(open_).alias("open"), F.sum(F.when(open_ & (F.col("loss") > 0), F.col("loss"))).alias("estimated_missing"),
+        F.countDistinct(F.when(F.col("source_id") >= 0, F.col("source_id"))).alias("sources"),
+    )
+
+
+def statement(selection: DataFrame, item_sources: DataFrame, findings: DataFrame) -> DataFrame:
+    """(code, findings, items): open findings of the sources that a selection's items (item_id) come from, with the items they may touch."""
+    found = selection.select("item_id").distinct().join(item_sources, "item_id")
+    touched = found.groupBy("source_id").agg(F.count("*").alias("items"))
+    return findings.where(F.col("state").isin(OPEN)).join(touched, "source_id").groupBy("code").agg(F.count("*").alias("findings"), F.sum("items").alias("items"))

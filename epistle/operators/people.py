@@ -107,3 +107,11 @@ def similar_names(people: DataFrame, links: DataFrame, least: float) -> DataFram
     b = links.join(n, "person_id").select("other_id", F.col("person_id").alias("b"), F.col("norm").alias("nb"))
     pairs = a.join(b, "other_id").where("a < b and na <> nb").select("a", "b", "na", "nb").distinct()
     return pairs.withColumn("score", jaro_winkler("na", "nb")).where(F.col("score") >= least).select("a", "b", "score")
+
+
+def identities(sightings: DataFrame) -> DataFrame:
+    """(address, uses, names, first_name, first_seen, last_seen) of sightings (address, name, at): the name seen first is kept."""
+    named = F.struct("at", "name")
+    return sightings.groupBy("address").agg(
+        F.count("*").alias("uses"), F.countDistinct("name").alias("names"), F.min(F.when(F.col("name").isNotNull(), named))["name"].alias("first_name"), F.min("at").alias("first_seen"), F.max("at").alias("last_seen"),
+    )

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.repair import stemmed
+
 TOKEN = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
 
@@ -16,6 +19,52 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(tokens).alias("pos", "term"))
 
 
+def stems(posts: DataFrame) -> DataFrame:
+    """Postings of word stems without accents; query terms are stemmed by the same function."""
+    return posts.withColumn("term", stemmed("term"))
+
+
+def documents(items: DataFrame, participations: DataFrame, people: DataFrame, cap: int = 200_000) -> DataFrame:
+    """(doc_id, text): subject, names of everybody in it and body of each item; of a body at most ``cap`` characters are indexed."""
+    names = participations.join(people.select("person_id", "name"), "person_id").groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("name")), " ").alias("names"))
+    body = F.substring("body", 1, cap) if "body" in items.columns else F.lit(None)
+    return items.join(names, "item_id", "left").select(F.col("item_id").alias("doc_id"), F.concat_ws("\n", "subject", "names", body).alias("text"))
+
+
+def bounds(since: str | None, until: str | None) -> tuple[str | None, str | None]:
+    """First instant and the one after the last of a range given by years, months or days ('1999', '1999-07', '1999-07-31')."""
+
+    def after(d: str) -> str:
+        parts = [int(x) for x in d.split("-")]
+        if len(parts) == 1:
+            return f"{parts[0] + 1:04d}"
+        if len(parts) == 2:
+            return f"{parts[0] + parts[1] // 12:04d}-{parts[1] % 12 + 1:02d}"
+        return str(datetime.date(*parts) + datetime.timedelta(1))
+
+    return since, until and after(until)
+
+
+def selected(items: DataFrame, kinds: list[str] = (), since: str | None = None, until: str | None = None, undated: bool = False, people: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """Items of these kinds and dates that are linked to ``people`` and ``sources`` (tables with item_id); undated sets dates aside."""
+    low, high = bounds(since, until)
+    if kinds:
+        items = items.where(F.col("kind").isin(list(kinds)))
+    if undated:
+        items = items.where("occurred is null")
+    else:
+        items = items.where(F.col("occurred") >= low) if low else items
+        items = items.where(F.col("occurred") < high) if high else items
+    for links in (people, sources):
+        items = items if links is None else items.join(links, "item_id", "left_semi")
+    return items
+
+
+def page(rows: DataFrame, *order: Column, offset: int = 0, limit: int = 500) -> DataFrame:
+    """Rows ``offset`` to ``offset`` + ``limit`` in a total order; a page has 500 at most."""
+    return rows.orderBy(*order).offset(max(offset, 0)).limit(min(max(limit, 1), 500))
+
+
 def with_term(posts: DataFrame, term: str) -> DataFrame:
     """Ids of documents that hold ``term``; a star at its end stands for any ending."""
     hit = F.col("term").startswith(term[:-1]) if term.endswith("*") else F.col("term") == term

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import checks, integrity, people, search, threads, timeline
+from ..sources import sinks
 from .archive import KINDS, SQL, Archive
 
 THIS_YEAR = 2024
@@ -604,3 +605,90 @@ from p left join s x on x.person_id = a left join s y on y.person_id = b where (
 def merge_queue(a):
     p = _surnames(a)
     return people.merge_queue(p, p.where("(a + b) % 7 = 0").select("a", "b"), people.statistics(a.participations, a.items))
+
+
+@query(
+    """ select kind, count(*) as items, min(occurred) as first_seen, max(occurred) as last_seen, count(distinct subject) as subjects, count(*) filter (not exists (select 1 from item_sources s where s.item_id = items.item_id)) as without_source
+from items group by kind"""
+)
+def home_counts(a):
+    found = a.item_sources.select("item_id").distinct().withColumn("found", F.lit(True))
+    j = a.items.join(found, "item_id", "left")
+    return j.groupBy("kind").agg(
+        F.count("*").alias("items"), F.min("occurred").alias("first_seen"), F.max("occurred").alias("last_seen"), F.countDistinct("subject").alias("subjects"), F.count_if(F.col("found").isNull()).alias("without_source"),
+    )
+
+
+@query(""" select source_id, count(*) as items, min(occurred) as first_seen, max(occurred) as last_seen, count(distinct occurred[1:7]) as months from item_sources join items using (item_id) group by 1""")
+def sources_summary(a):
+    j = a.item_sources.join(a.items.select("item_id", "occurred"), "item_id")
+    return j.groupBy("source_id").agg(F.count("*").alias("items"), F.min("occurred").alias("first_seen"), F.max("occurred").alias("last_seen"), F.countDistinct(F.substring("occurred", 1, 7)).alias("months"))
+
+
+@query(
+    """ select 'u' || user_id as address, count(*) as uses, count(distinct name) as names, arg_min(name, struct_pack(a := ts, n := name)) filter (name is not null) as first_name, min(ts) as first_seen, max(ts) as last_seen
+from (select *, case when event_id % 4 > 0 then event_type end as name from events) group by 1"""
+)
+def identity_usage(a):
+    seen = a.table("events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("address"), F.when(F.col("event_id") % 4 > 0, F.col("event_type")).alias("name"), F.col("ts").alias("at"))
+    return people.identities(seen)
+
+
+@query(
+    _UPSERT
+    + """select code, count(*) as findings, count(*) filter (state in ('open', 'acknowledged')) as open, sum(loss) filter (state in ('open', 'acknowledged') and loss > 0)::bigint as estimated_missing,
+count(distinct source_id) filter (source_id >= 0) as sources from merged group by code"""
+)
+def findings_summary(a):
+    return integrity.summary(integrity.upsert(*_ledger(a), "2024-06-01"))
+
+
+@query(
+    _UPSERT
+    + """, t as (select source_id, count(*) as items from items join item_sources using (item_id) where kind = 'event' and occurred >= '1996-03' and occurred < '1998-01' group by 1)
+select code, count(*) as findings, sum(items)::bigint as items from merged join t using (source_id) where state in ('open', 'acknowledged') group by code"""
+)
+def export_statement(a):
+    chosen = search.selected(a.items, ["event"], "1996-03", "1997")
+    return integrity.statement(chosen, a.item_sources, integrity.upsert(*_ledger(a), "2024-06-01"))
+
+
+@query(
+    """ select item_id, kind, occurred, subject from items where kind in ('message', 'task') and occurred >= '1997' and occurred < '1999-03-01'
+and item_id in (select item_id from participations where role = 'from' and person_id in (select person_id from people where nation = 3))
+order by occurred desc, item_id limit 50 offset 50"""
+)
+def search_filters(a):
+    sent = a.participations.where("role = 'from'").join(a.people.where("nation = 3").select("person_id"), "person_id", "left_semi").select("item_id")
+    chosen = search.selected(a.items, ["message", "task"], "1997", "1999-02-28", people=sent)
+    return search.page(chosen, F.desc("occurred"), F.col("item_id"), offset=50, limit=50)
+
+
+@query(
+    """, n as (select item_id, string_agg(distinct name, ' ' order by name) as names from participations join people using (person_id) group by 1),
+d as (select item_id as doc_id, regexp_extract_all(lower(subject || ' ' || coalesce(names, '')), '[\\p{L}\\p{N}]+') as t from items left join n using (item_id))
+select t.term as term, count(distinct doc_id) as docs, count(*) as uses from (select doc_id, unnest(t) as term from d) t group by 1"""
+)
+def search_vocabulary(a):
+    posts = search.postings(search.documents(a.items, a.participations, a.people))
+    return posts.groupBy("term").agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("uses"))
+
+
+@query()
+def search_stems(a):
+    """Documents and uses of each stem; no SQL function stems."""
+    posts = search.stems(search.postings(a.table("documents")))
+    return posts.groupBy("term").agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("uses"))
+
+
+@query(
+    """, f as (select l_orderkey * 10 + l_linenumber as attachment_id, case l_linenumber when 1 then ' report?.PDF' when 2 then 'photo.jpg' when 3 then '' else 'Note' end || case when l_linenumber < 4 then '' else l_orderkey::varchar end as filename from lineitem),
+s as (select *, case when trim(filename) = '' then 'attachment-' || attachment_id else replace(trim(filename), '?', '_') end as safe from f), r as (select *, row_number() over (partition by lower(safe) order by attachment_id) as n from s)
+select attachment_id, filename, case when n = 1 then safe when safe like '%.%' then string_split(safe, '.')[1] || ' (' || n || ').' || string_split(safe, '.')[2] else safe || ' (' || n || ')' end as copied,
+md5(attachment_id::varchar)[1:2] || '/' || md5(attachment_id::varchar)[3:4] || '/' || md5(attachment_id::varchar) || case l when 1 then '.pdf' when 2 then '.jpg' else '' end as blob from (select *, attachment_id % 10 as l from r)"""
+)
+def attachment_copies(a):
+    n = F.col("l_linenumber")
+    name = F.when(n == 1, " report?.PDF").when(n == 2, "photo.jpg").when(n == 3, "").otherwise(F.concat(F.lit("Note"), F.col("l_orderkey").cast("string")))
+    files = a.table("lineitem").select((F.col("l_orderkey") * 10 + n).alias("attachment_id"), name.alias("filename"))
+    return sinks.copied_names(files).withColumn("blob", sinks.blob_path(F.md5(F.col("attachment_id").cast("string")), F.col("filename")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_cell
@@ -20,6 +20,35 @@ def write_json(df: DataFrame, findings: DataFrame, path: str) -> int:
     return _counted(df, lambda w: w.json(f"{path}/records"))
 
 
+def write_markdown(items: DataFrame, path: str) -> int:
+    """Write items (item_id, kind, occurred, subject) as Markdown, a folder a year and a heading a month, in order of time.
+
+    Years and months are ranges of one sort, so no task holds more than its range; undated ones come last under their own heading.
+    """
+    month = F.coalesce(F.substring("occurred", 1, 7), F.lit("undated"))
+    line = F.concat(F.lit("- "), F.coalesce(F.regexp_replace(F.substring("occurred", 1, 16), "T", " "), F.lit("?")), F.lit(" **"), "kind", F.lit("** "), F.coalesce("subject", F.lit("")))
+    rows = items.select(month.alias("month"), F.col("occurred").alias("at"), "item_id", line.alias("value"))
+    heads = rows.select("month").distinct().select("month", F.lit("").alias("at"), F.lit(-1).cast("long").alias("item_id"), F.concat(F.lit("## "), "month").alias("value"))
+    every = rows.withColumn("at", F.coalesce("at", F.lit("~"))).union(heads).repartitionByRange("month", "at", "item_id").sortWithinPartitions("month", "at", "item_id")
+    out = every.select("value", F.substring("month", 1, 4).alias("year"))
+    return _counted(out, lambda w: w.partitionBy("year").text(path)) - heads.count()
+
+
+def copied_names(attachments: DataFrame) -> DataFrame:
+    """``attachments`` (attachment_id, filename) with ``copied``: safe names, repeats numbered by id as 'name (n).ext'."""
+    safe = F.substring(F.regexp_replace(F.trim(F.coalesce("filename", F.lit(""))), r'[<>:"/\\\\|?*\x00-\x1f]', "_"), 1, 150)
+    safe = F.when(safe == "", F.concat(F.lit("attachment-"), F.col("attachment_id").cast("string"))).otherwise(safe)
+    nth = F.row_number().over(Window.partitionBy(F.lower("safe")).orderBy("attachment_id"))
+    numbered = F.concat(F.regexp_replace("safe", r"\.[^.]*$", ""), F.lit(" ("), F.col("n").cast("string"), F.lit(")"), F.regexp_extract("safe", r"(\.[^.]*)$", 1))
+    return attachments.withColumn("safe", safe).withColumn("n", nth).withColumn("copied", F.when(F.col("n") > 1, numbered).otherwise(F.col("safe"))).drop("safe", "n")
+
+
+def blob_path(content_hash: Column, filename: Column) -> Column:
+    """Place of a content in a store addressed by its hash: two folders of its first characters, then the hash and the extension."""
+    h = F.lower(content_hash)
+    return F.concat(F.substring(h, 1, 2), F.lit("/"), F.substring(h, 3, 2), F.lit("/"), h, F.lower(F.regexp_extract(F.coalesce(filename, F.lit("")), r"(\.[A-Za-z0-9]{1,10})$", 1)))
+
+
 def _counted(df: DataFrame, write) -> int:
     """Rows written, counted in the writing job itself."""
     seen = Observation()

@@ -3,7 +3,7 @@
 from email.message import EmailMessage
 
 from epistle.sources.mail import read_eml, read_ics, read_mbox, read_vcf
-from epistle.sources.sinks import write_csv, write_json
+from epistle.sources.sinks import write_csv, write_json, write_markdown
 
 
 def message(n, date="Tue, 02 Mar 2004 10:00:00 +0200"):
@@ -60,3 +60,11 @@ def test_sinks(spark, tmp_path):
     assert {r["t"] for r in back.collect()} == {"'=1+1", 'a "b", c\nd', None}
     assert write_json(df, df.limit(0), f"{tmp_path}/json") == 3
     assert spark.read.json(f"{tmp_path}/json/records").count() == 3
+
+
+def test_markdown(spark, tmp_path):
+    rows = [(1, "message", "1999-02-03T10:00:00Z", "b"), (2, "event", "1999-01-03T10:00:00Z", None), (3, "task", None, "u"), (4, "message", "2000-01-01T00:00:00Z", "c")]
+    df = spark.createDataFrame(rows, "item_id long, kind string, occurred string, subject string")
+    assert write_markdown(df, f"{tmp_path}/md") == 4
+    lines = [x for p in sorted((tmp_path / "md").glob("year=*/part-*")) for x in p.read_text().splitlines()]
+    assert lines == ["## 1999-01", "- 1999-01-03 10:00 **event** ", "## 1999-02", "- 1999-02-03 10:00 **message** b", "## 2000-01", "- 2000-01-01 00:00 **message** c", "## undated", "- ? **task** u"]
