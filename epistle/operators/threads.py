@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -26,14 +26,19 @@ def chain_links(messages: DataFrame) -> DataFrame:
 def subject_links(messages: DataFrame, days: int, shortest: int = 6) -> DataFrame:
     """Edges (a, b) between messages of one subject and participant within ``days`` of each other.
 
-    ``messages``: item_id, subject, participant, day. Each is linked to the one before it in time only: those between two
-    that are near enough are near enough too, so the components are those of all pairs. Subjects under ``shortest`` characters or
-    too common to mean anything link nothing, nor do undated messages.
+    ``messages``: item_id, subject, participant, day. Time is cut into spans of ``days`` + 1 days, within which any two are near
+    enough: each message is linked to the smallest of its span, and a span to the next one where its last day and the next
+    one's first are near enough. The components are those of all pairs, and no task has to hold a subject as a whole.
+    Subjects under ``shortest`` characters or too common to mean anything link nothing, nor do undated messages.
     """
-    messages = messages.where((F.length("subject") >= shortest) & ~F.col("subject").isin(WEAK_SUBJECTS) & F.col("day").isNotNull())
-    w = Window.partitionBy("subject", "participant").orderBy("day", "item_id")
-    m = messages.select("item_id", "day", F.lag("item_id").over(w).alias("b"), F.lag("day").over(w).alias("before"))
-    return m.where(F.datediff("day", "before") <= days).select(F.col("item_id").alias("a"), "b")
+    at = ["subject", "participant", "span"]
+    m = messages.where((F.length("subject") >= shortest) & ~F.col("subject").isin(WEAK_SUBJECTS) & F.col("day").isNotNull() & F.col("participant").isNotNull())
+    m = m.select("item_id", "subject", "participant", "day", F.floor(F.unix_date("day") / (days + 1)).alias("span"))
+    spans = m.groupBy(at).agg(F.min("item_id").alias("first"), F.min("day").alias("lo"), F.max("day").alias("hi"))
+    within = m.join(spans, at).where("item_id <> first").select(F.col("item_id").alias("a"), F.col("first").alias("b"))
+    before = spans.select("subject", "participant", (F.col("span") + 1).alias("span"), F.col("first").alias("b"), F.col("hi").alias("last"))
+    across = spans.join(before, at).where(F.datediff("lo", "last") <= days).select(F.col("first").alias("a"), "b")
+    return within.union(across)
 
 
 def threads(messages: DataFrame, edges: DataFrame) -> DataFrame:
