@@ -1,6 +1,6 @@
 """Best-fit-decreasing packing of tokenised documents into sequences of at most CAPACITY tokens.
 
-Documents are tokenised where they are read; only lengths, check sums and places move. Lengths are whole
+Documents are tokenised where they are read, and the ids stay in the files written there; only lengths and places move. Lengths are whole
 numbers from 1 to CAPACITY, so best-fit decreasing over *all* pieces is decided on their histogram (CAPACITY
 numbers, whatever the corpus): for each length from the longest, a segment tree over remaining capacities
 finds the tightest open capacity in logarithmic time, and all bins of that capacity are filled at once. The
@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import json
 import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,10 +24,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import if_small, staged
+from .common import BROADCAST_ROWS, staged
 
 CAPACITY = 1024
 END = 2
+#: Bytes of ids that a tokenising task hands over at once.
+HANDED = 1 << 23
 #: How a byte-level tokenizer splits text before it merges bytes.
 SPLIT = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Texts of other characters go to the tokenizer itself, since libraries may class rare characters differently.
@@ -85,25 +86,30 @@ def encoder(path: str) -> Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32, part, nth); nth counts a task's pieces of equal length."""
+    """Rows (doc_id, piece, start, length, ids, part, nth); ids are little-endian 32-bit, nth counts a task's pieces of equal length."""
+    names = ["doc_id", "piece", "start", "length", "ids", "part", "nth"]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, seen, part = encoder(tokenizer), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for doc, text in zip(batch["id"], batch["text"], strict=True):
                 ids = encode(text or "") + end
                 n = len(ids) // 4
                 first = n % capacity or capacity
                 for k, start in enumerate([0, *range(first, n, capacity)]):
                     stop = first if k == 0 else start + capacity
-                    rows.append((doc, k, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop]), part, seen[stop - start]))
+                    rows.append((doc, k, start, stop - start, ids[4 * start : 4 * stop], part, seen[stop - start]))
                     seen[stop - start] += 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]).astype({"doc_id": "Int64"})
+                held += len(ids)
+                if held > HANDED:
+                    yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long")
+    return slim.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids binary, part int, nth long")
 
 
 class Capacities:
@@ -170,7 +176,7 @@ def best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int
 
 
 def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids (little-endian 32-bit).
 
     A document is its ids and END; only one longer than ``capacity`` is cut, its first piece being the short one,
     so the rest fill sequences alone. Null and empty texts are one piece of END. Repeated rows are documents
@@ -180,20 +186,35 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     counts = staged(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = cut.join(if_small(offsets, counts.count()), ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth"))
+    offsets = staged(counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "offsets")
     runs = np.array(best_fit(totals, capacity) or [(0, 0, 0, 1, 0)], np.int64)
     key = (runs[:, 0] << 44) + runs[:, 1]
     order = np.argsort(key, kind="stable")
     key, runs = key[order], runs[order]
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            length, rank = b["length"].to_numpy(np.int64), b["rank"].to_numpy(np.int64)
-            run = runs[np.searchsorted(key, (length << 44) + rank, "right") - 1]
-            nth = rank - run[:, 1]
-            b["sequence_id"] = run[:, 2] + nth // run[:, 3]
-            b["offset"] = run[:, 4] + nth % run[:, 3] * length
-            yield b[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]].astype({"doc_id": "Int64"})
-
-    return ranked.mapInPandas(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        length, rank = length.to_numpy(np.int64), rank.to_numpy(np.int64)
+        run = runs[np.searchsorted(key, (length << 44) + rank, "right") - 1]
+        nth = rank - run[:, 1]
+        return pd.DataFrame({"sequence_id": run[:, 2] + nth // run[:, 3], "offset": run[:, 4] + nth % run[:, 3] * length})
+
+    # Each range of parts has few enough offsets for a broadcast, so the ids never go through a shuffle.
+    width = max(1, BROADCAST_ROWS // capacity)
+    last = counts.agg(F.max("part")).first()[0] or 0
+    ranked = None
+    for lo in range(0, last + 1, width):
+        within = F.col("part").between(lo, lo + width - 1)
+        some = cut.where(within).join(F.broadcast(offsets.where(within)), ["length", "part"])
+        ranked = some if ranked is None else ranked.union(some)
+    out = ranked.withColumn("at", place("length", F.col("before") + F.col("nth")))
+    return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "at.sequence_id", "at.offset", "ids")
+
+
+def sequences(placed: DataFrame) -> DataFrame:
+    """One row per sequence of ``packed``: sequence_id, length, ids (little-endian 32-bit), and its pieces (offset, length, doc_id, piece) in order."""
+    own = F.array_sort(F.collect_list(F.struct("offset", "length", "doc_id", "piece", "ids")))
+    rows = placed.groupBy("sequence_id").agg(own.alias("own"))
+    ids = F.unhex(F.array_join(F.transform("own", lambda x: F.hex(x["ids"])), ""))
+    slim = F.transform("own", lambda x: F.struct(x["offset"].alias("offset"), x["length"].alias("length"), x["doc_id"].alias("doc_id"), x["piece"].alias("piece")))
+    return rows.select("sequence_id", (F.octet_length(ids) / 4).cast("long").alias("length"), ids.alias("ids"), slim.alias("pieces"))

@@ -65,7 +65,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
 QUERIES = {"op1_mixing": op1_mixing, "op6_quality_rules": op6_quality_rules, "op7_exact_dedup": op7_exact_dedup,

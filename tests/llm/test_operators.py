@@ -329,6 +329,23 @@ def test_packing(docs, rows, none):
     assert packing.packed(none, TOKENIZER).count() == 0
 
 
+def test_packing_keeps_ids(docs, rows, none, monkeypatch):
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", 1024)  # a join for each part
+    tok = Tokenizer.from_file(TOKENIZER)
+    tok.encode_special_tokens = True
+    placed = packing.packed(docs, TOKENIZER)
+    ids = lambda x: np.frombuffer(bytes(x), "<u4").tolist()
+    texts = {r[0]: [*tok.encode(r[1] or "", add_special_tokens=False).ids, 2] for r in rows}
+    got = placed.collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got)
+    assert all(ids(r.ids) == texts[r.doc_id][r.start : r.start + r.length] for r in got)
+    whole = {r.sequence_id: r for r in packing.sequences(placed).collect()}
+    assert set(whole) == {r.sequence_id for r in got} and sum(r.length for r in whole.values()) == sum(len(texts[r[0]]) for r in rows)
+    for r in got:
+        assert ids(whole[r.sequence_id].ids)[r.offset : r.offset + r.length] == ids(r.ids)
+    assert packing.sequences(packing.packed(none, TOKENIZER)).count() == 0
+
+
 def test_best_fit_equals_one_by_one():
     rnd = random.Random(6)
     for _ in range(60):
