@@ -12,6 +12,10 @@ a whole block. Sets that agree on a block form candidate groups; within a group
 intersections counted in full. A group larger than a task's share is cut into chunks, and each two chunks meet
 in a task of their own.
 
+``linked`` needs components only, so it keeps stars and spanning forests. ``links`` gives every linked pair of classes:
+in the light groups each two sets are paired that leave out nothing in common, which is so in the subset equal to
+their intersection alone, and the heavy scans hand on all verified pairs.
+
 The boundary minimises the counted rows and list reads of both ways over the histogram of small sizes.
 """
 
@@ -19,7 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -37,6 +41,8 @@ PERCENT = 90
 SMALL = 48
 #: Shingles that one scanning task takes at once.
 SHARE = 2_000_000
+#: Sets of a light group that one task pairs with each other.
+PAIRED = 1000
 
 
 def differ(a: int) -> int:
@@ -112,32 +118,58 @@ def boundary_of(histogram: dict[int, int]) -> int:
     return min(range(SMALL + 1), key=lambda b: (cost(b), b))
 
 
-def light_edges(sets: DataFrame, boundary: int) -> DataFrame:
-    """Star edges between linked sets of at most ``boundary`` elements. ``sets``: id, n, small."""
+def subsets_of(sets: DataFrame, boundary: int, gone_too: bool) -> DataFrame:
+    """Rows (sig, s, id, n, gone): the subsets of ``sets`` (id, n, small) and, if asked, the elements that each leaves out."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out: list[tuple] = []
             for doc, n, small in zip(b["id"], b["n"], b["small"], strict=True):
-                m = mixed(np.asarray(small, np.int64).view(np.uint64))
+                small = np.asarray(small, np.int64)
+                m = mixed(small.view(np.uint64))
                 total = m.sum(dtype=np.uint64)
                 for j in range(differ(min(boundary, int(n) * 100 // PERCENT)) + 1):
-                    gone = np.array([m[list(c)].sum(dtype=np.uint64) for c in combinations(range(n), j)], np.uint64)
-                    out += [(int(x), n - j, doc, n) for x in _signed(mixed((total - gone) ^ (np.full(1, n - j, np.uint64) * M1)))]
+                    left = [list(c) for c in combinations(range(n), j)]
+                    gone = np.array([m[c].sum(dtype=np.uint64) for c in left], np.uint64)
+                    out += [(int(x), n - j, doc, n, small[c] if gone_too else None) for x, c in zip(_signed(mixed((total - gone) ^ (np.full(1, n - j, np.uint64) * M1))), left, strict=True)]
                 if len(out) > 50_000:
-                    yield pd.DataFrame(out, columns=["sig", "s", "id", "n"])
+                    yield pd.DataFrame(out, columns=["sig", "s", "id", "n", "gone"])
                     out = []
-            yield pd.DataFrame(out, columns=["sig", "s", "id", "n"])
+            yield pd.DataFrame(out, columns=["sig", "s", "id", "n", "gone"])
 
-    subsets = staged(sets.mapInPandas(rows, "sig long, s long, id long, n long"), "subsets")
-    hubs = subsets.groupBy("sig", "s").agg(F.min(F.struct("n", "id")).alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    met = subsets.join(hubs, ["sig", "s"]).where(F.col("id") != F.col("hub.id"))
+    return sets.mapInPandas(rows, "sig long, s long, id long, n long, gone array<long>")
+
+
+def met_in(subsets: DataFrame) -> DataFrame:
+    """The members of each subset's group that are linked to its smallest set, that one (``hub``) included."""
+    hubs = subsets.groupBy("sig", "s").agg(F.min(F.struct("n", "id")).alias("hub"), F.count("*").alias("c")).where("c > 1")
     linked = 100 * F.col("s") >= PERCENT * (F.col("n") + F.col("hub.n") - F.col("s"))
-    return met.where(linked).select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
+    return subsets.join(hubs, ["sig", "s"]).where(linked)
+
+
+def light_edges(sets: DataFrame, boundary: int) -> DataFrame:
+    """Star edges between linked sets of at most ``boundary`` elements. ``sets``: id, n, small."""
+    met = met_in(staged(subsets_of(sets, boundary, False).drop("gone"), "subsets")).where(F.col("id") != F.col("hub.id"))
+    return met.select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
+
+
+def light_pairs(sets: DataFrame, boundary: int) -> DataFrame:
+    """All linked pairs (a < b) of sets of at most ``boundary`` elements; each two chunks of a group meet in a task."""
+    met = met_in(staged(subsets_of(sets, boundary, True), "subsets")).withColumn("chunks", F.ceil(F.col("c") / PAIRED).cast("int"))
+    met = met.withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = met.select("sig", "s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "gone")
+    one, two = (met.select("sig", "s", "i", "j", *(F.col(c).alias(f"{c}_{x}") for c in ("own", "id", "n", "gone"))) for x in "ab")
+    meet = (F.col("id_a") < F.col("id_b")) & ((F.col("i") == F.col("j")) | (F.col("own_a") != F.col("own_b")))
+    linked = 100 * F.col("s") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("s"))
+    both = one.join(two, ["sig", "s", "i", "j"]).where(meet & linked & ~F.arrays_overlap("gone_a", "gone_b"))
+    return both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
-def scan(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the linked sets of a group, from counts over inverted lists."""
+def scan(ids: np.ndarray, sets: list[np.ndarray], every: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
+    """Edges of a spanning forest of the linked sets of a group, from counts over inverted lists.
+
+    With ``every``, all linked pairs of places (i, others) for which it holds.
+    """
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(np.concatenate(sets), kind="stable")
     values = np.concatenate(sets)[order]
@@ -154,22 +186,28 @@ def scan(ids: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
             x = root[x]
         return x
 
-    edges = []
     for i, s in enumerate(sets):
         at = np.searchsorted(keys, s)
         n = length[at]
         places = np.repeat(start[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         both = np.bincount(owner[places], minlength=len(sets))[:i]
-        for j in np.flatnonzero(100 * both >= PERCENT * (sizes[:i] + sizes[i] - both)):
+        found = np.flatnonzero(100 * both >= PERCENT * (sizes[:i] + sizes[i] - both))
+        if every is not None:
+            found = found[every(i, found)]
+            yield from zip(np.full(len(found), ids[i]).tolist(), ids[found].tolist(), strict=True)
+            continue
+        for j in found:
             a, b = find(i), find(int(j))
             if a != b:
                 root[max(a, b)] = min(a, b)
-                edges.append((int(ids[i]), int(ids[j])))
-    return edges
+                yield int(ids[i]), int(ids[j])
+
 
+def heavy_edges(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, k: int, above: int | None = None) -> DataFrame:
+    """Edges of spanning forests of linked sets within candidate groups. ``groups``: id, n, root.
 
-def heavy_edges(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """Edges of spanning forests of linked sets within candidate groups. ``groups``: id, n, root."""
+    With ``above``, all linked pairs of which a set is larger than that.
+    """
     totals = groups.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("members")).where("members > 1")
     groups = staged(groups.join(totals, "root").select("id", "root", F.ceil(F.col("total") / SHARE).cast("int").alias("chunks")), "groups")
 
@@ -182,52 +220,83 @@ def heavy_edges(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str,
     sets = text.select("id", "root", "chunks", "text").mapInPandas(rows, "id long, root long, chunks int, elements binary")
     own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
     sets = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    sets = sets.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select("root", "i", "j", "id", "elements")
+    sets = sets.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select("root", "i", "j", "own", "id", "elements")
 
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, ids, sets_ = None, [], []
+        key, ids, own, sets_ = None, [], [], []
         edges: list[tuple[int, int]] = []
+
+        def group() -> Iterator[tuple[int, int]]:
+            if len(ids) < 2:
+                return iter(())
+            if above is None:
+                return scan(np.array(ids), sets_)
+            chunk, large = np.array(own), np.array([len(s) > above for s in sets_])
+            once = key[1] == key[2]  # two sets of one chunk are paired where it meets itself
+            return scan(np.array(ids), sets_, lambda i, js: (large[js] | large[i]) & (once | (chunk[js] != chunk[i])))
+
         for b in batches:
-            for r, i, j, doc, s in b.itertuples(index=False):
+            for r, i, j, mine, doc, s in b.itertuples(index=False):
                 if (r, i, j) != key:
-                    if len(ids) > 1:
-                        edges += scan(np.array(ids), sets_)
-                    key, ids, sets_ = (r, i, j), [], []
+                    for e in group():
+                        edges.append(e)
+                        if len(edges) >= 100_000:
+                            yield pd.DataFrame(edges, columns=["a", "b"])
+                            edges = []
+                    key, ids, own, sets_ = (r, i, j), [], [], []
                 ids.append(doc)
+                own.append(mine)
                 sets_.append(np.frombuffer(s, np.uint64))
             if edges:
                 yield pd.DataFrame(edges, columns=["a", "b"])
                 edges = []
-        if len(ids) > 1:
-            edges += scan(np.array(ids), sets_)
+        for e in group():
+            edges.append(e)
+            if len(edges) >= 100_000:
+                yield pd.DataFrame(edges, columns=["a", "b"])
+                edges = []
         yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
     return sets.repartition(F.col("root"), F.col("i"), F.col("j")).sortWithinPartitions("root", "i", "j", "id").mapInPandas(scanned, "a long, b long")
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, class_id (smallest id with the same set), component_id.
-
-    Words are lower-cased in A-Z only. Null and empty texts have empty sets, link nothing and are their own
-    component. Rows that share an id are one node, linked by either text; rows without an id link nothing and have a null
-    component. Whole texts are used whatever their length; other columns are ignored; an empty table gives no rows.
-    """
+def prepared(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
+    """Profiles, classes (digest, class_id, n), the light sets, the candidate groups of the heavy ones, and the boundary."""
     base = staged(profiles(docs, id_col, text_col, k), "profiles")
-    slim = base.select("id", "n", "digest")
-    classes = staged(slim.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("class_id"), F.first("n").alias("n")), "classes")
+    classes = staged(base.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("class_id"), F.first("n").alias("n")), "classes")
     histogram = {r["n"]: r["count"] for r in classes.where(F.col("n") <= 2 * SMALL).groupBy("n").count().collect()}  # at most 2 * SMALL rows
     boundary = boundary_of(histogram)
     heads = classes.select(F.col("class_id").alias("id")).distinct()
-    n_heads = heads.count()
-
-    small = base.where(F.col("n").between(1, boundary) & F.col("id").isNotNull()).select("id", "n", "small").join(if_small(heads, n_heads), "id", "left_semi")
-    edges = light_edges(small.select("id", "n", "small"), boundary)
+    small = base.where(F.col("n").between(1, boundary) & F.col("id").isNotNull()).select("id", "n", "small").join(if_small(heads, heads.count()), "id", "left_semi")
 
     marks = base.where(F.col("id").isNotNull() & (100 * F.col("n") >= PERCENT * (boundary + 1))).select("id", F.explode("blocks").alias("sig"))
     agree = Window.partitionBy("sig")
     coarse = marks.select("id", F.min("id").over(agree).alias("lo")).where("id <> lo").select(F.col("id").alias("a"), F.col("lo").alias("b"))
     groups = components(coarse).join(classes.select(F.col("class_id").alias("id"), "n"), "id")
-    edges = edges.union(heavy_edges(docs, groups.select("id", "n", "root"), id_col, text_col, k))
+    return base, classes, small.select("id", "n", "small"), groups.select("id", "n", "root"), boundary
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
+    """Every linked pair of classes once: rows (a, b), a < b, their ``class_id`` in ``linked``.
+
+    Documents of one class are linked to each other and to all documents of the classes linked to it, so links per
+    document are sums over class sizes. An id with several texts stands for each class that it is the smallest id of.
+    """
+    _, _, small, groups, boundary = prepared(docs, id_col, text_col, k)
+    pairs = light_pairs(small, boundary).union(heavy_edges(docs, groups, id_col, text_col, k, boundary))
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, class_id (smallest id with the same set), component_id.
+
+    Words are lower-cased in A-Z only. Null and empty texts have empty sets, link nothing and are their own
+    component. Rows that share an id are one node, linked by either text; rows without an id link nothing and have a null
+    component. Whole texts are used whatever their length; other columns are ignored; an empty table gives no rows.
+    """
+    base, classes, small, groups, boundary = prepared(docs, id_col, text_col, k)
+    slim = base.select("id", "n", "digest")
+    edges = light_edges(small, boundary).union(heavy_edges(docs, groups, id_col, text_col, k))
 
     roots = staged(components(edges), "roots")
     named = classes.select("digest", "class_id").join(if_small(roots.withColumnRenamed("id", "class_id"), roots.count()), "class_id", "left").select("digest", "class_id", F.coalesce("root", "class_id").alias("root"))

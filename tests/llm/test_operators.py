@@ -295,6 +295,28 @@ def test_light_and_heavy_agree(spark, boundary, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_links(near)
 
 
+def plain_pairs(pairs, sets_of, percent):
+    first = {}
+    for i, t in sorted(pairs):
+        if s := sets_of(t):
+            first.setdefault(s, i)
+    sets = [(i, s) for s, i in first.items()]
+    return sorted((i, j) for i, s in sets for j, u in sets if i < j and 100 * len(s & u) >= percent * len(s | u))
+
+
+@pytest.mark.parametrize(("boundary", "share"), [(0, 700), (24, 700), (24, 2_000_000)])
+def test_jaccard_links_are_all_pairs(spark, boundary, share, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "boundary_of", lambda _: boundary)
+    monkeypatch.setattr(jaccard_join, "SHARE", share)
+    monkeypatch.setattr(jaccard_join, "PAIRED", 2)
+    base = [f"c{i}" for i in range(22)]
+    near = near_copies(4)[:80] + [" ".join([*base, f"end{i}"]) for i in range(7)]  # all seven are linked to each other
+    near = list(enumerate([*near, *near[:5], "", None]))
+    got = jaccard_join.links(spark.createDataFrame(near, "doc_id long, text string").repartition(3)).collect()
+    want = plain_pairs(near, shingle_set, 90)
+    assert sorted((r.a, r.b) for r in got) == want and sum(80 <= a < b < 87 for a, b in want) == 21
+
+
 def test_packing(docs, rows, none):
     tok = Tokenizer.from_file(TOKENIZER)
     tok.encode_special_tokens = True
