@@ -22,16 +22,24 @@ ROUNDS = 8
 FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
 
-_FIND = re.compile(
-    r"(?P<email>[^\W_](?:[\w.+-]*\w)?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
-    r"|(?<![\w])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)"
-    r"|(?<![\w.])(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?![\w]|\.\d)"
-    r"|(?<![\w/.-])(?P<date>\d{4}-\d\d-\d\d|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/]|[.-]\d)"
-    r"|(?<![\w-])(?P<ssn>\d{3}-\d\d-\d{4})(?![\w]|-\d)"
-    r"|(?<![\w.,-])(?P<card>\d(?:[ -]?\d){12,18})(?![\w]|[.,-]\d)"
-    r"|(?<![\w])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w]|-\d)"
-)
+_PATTERNS = {
+    "email": r"(?P<email>[^\W_](?:[\w.+-]*\w)?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)",
+    "iban": r"(?<![\w])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?!\w)",
+    "ip": r"(?<![\w.])(?P<ip>\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})(?![\w]|\.\d)",
+    "date": r"(?<![\w/.-])(?P<date>\d{4}-\d\d-\d\d|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\w/]|[.-]\d)",
+    "ssn": r"(?<![\w-])(?P<ssn>\d{3}-\d\d-\d{4})(?![\w]|-\d)",
+    "card": r"(?<![\w.,-])(?P<card>\d(?:[ -]?\d){12,18})(?![\w]|[.,-]\d)",
+    "phone": r"(?<![\w])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\w]|-\d)",
+}
+_FIND = re.compile("|".join(_PATTERNS.values()))
+#: For a place where the first kind fails its check.
+_EACH = {kind: re.compile(p) for kind, p in _PATTERNS.items()}
 _DIGITS = re.compile(r"\d")
+#: Characters of an account number by country.
+IBAN_LENGTH = {c: int(x[:2]) for x in (
+    "15 NO", "16 BE", "18 DK FI FO GL NL", "19 MK SI", "20 AT BA EE KZ LT LU XK", "21 CH HR LI LV", "22 BG BH CR DE GB GE IE ME RS VA", "23 AE GI IL IQ TL",
+    "24 AD CZ ES MD PK RO SA SE SK TN VG", "25 LY PT ST", "26 IS TR", "27 FR GR IT MC MR SM", "28 AL AZ BY CY DO GT HU LB PL", "29 BR EG PS QA UA", "30 JO KW MU", "31 MT SC", "32 LC",
+) for c in x[3:].split()}
 
 
 def luhn(digits: str) -> int:
@@ -148,22 +156,51 @@ class Pseudonyms:
         a, b = (new.month, new.day) if sep == "/" and int(p[1]) > 12 else (new.day, new.month)
         return f"{a:0{len(p[0])}d}{sep}{b:0{len(p[1])}d}{sep}{new.year:04d}"
 
+    def new(self, kind: str, value: str) -> str:
+        """The pseudonym of ``value``, empty where it fails its check."""
+        new = self.known.get((kind, value))
+        if new is None:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            new = self.known[kind, value] = getattr(self, kind)(value) or ""
+        return new
+
     def replace(self, text: str) -> tuple[str, dict[str, int]]:
-        counts: dict[str, int] = {}
+        """``text`` with pseudonyms and their counts by kind.
 
-        def one(m: re.Match) -> str:
-            kind, value = m.lastgroup, m[0]
-            new = self.known.get((kind, value))
-            if new is None:
-                if len(self.known) > 100_000:
-                    self.known.clear()
-                new = self.known[kind, value] = getattr(self, kind)(value) or ""
+        Where a match fails its check, its shorter prefixes are tried, then the other kinds at this place; then the
+        search goes on inside the match.
+        """
+        counts: dict[str, int] = {}
+        out, done, at = [], 0, 0
+        while m := _FIND.search(text, at):
+            at, kind = m.start(), m.lastgroup
+            tried = [(kind, m[0])]
+            new = self.new(*tried[0])
             if not new:
-                return value
-            counts[kind] = counts.get(kind, 0) + 1
-            return new
-
-        return _FIND.sub(one, text), counts
+                others = [(k, x[0]) for k, p in _EACH.items() if k != kind and (x := p.match(text, at))]
+                tried = [(k, p) for k, v in (*tried, *others) for p in (v, *prefixes(k, v))]
+            for kind, value in tried:  # noqa: B007
+                if new := new or self.new(kind, value):
+                    out += [text[done:at], new]
+                    at = done = at + len(value)
+                    counts[kind] = counts.get(kind, 0) + 1
+                    break
+            else:
+                at += 1
+        return "".join([*out, text[done:]]), counts
+
+
+def prefixes(kind: str, value: str) -> Iterator[str]:
+    """Shorter values that ``value`` may begin with, the longest first; each ends at a separator."""
+    if kind not in ("card", "iban", "phone"):
+        return
+    for k in range(len(value) - 1, 0, -1):
+        if value[k] not in " .-" or not value[k - 1].isalnum():
+            continue
+        n = sum(c.isalnum() for c in value[:k])
+        if kind == "iban" and n == IBAN_LENGTH.get(value[:2], n) or kind == "card" and n >= 13 or kind == "phone" and _EACH["phone"].fullmatch(value[:k]):
+            yield value[:k]
 
 
 def pseudonymised(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

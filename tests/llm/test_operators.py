@@ -458,6 +458,20 @@ def test_pseudonyms(spark, docs, rows, none):
     assert pseudonyms.pseudonymised(docs, b"k").count() == len(rows) and pseudonyms.pseudonymised(none, b"k").count() == 0
 
 
+def test_pseudonyms_inside_failed_matches():
+    names = pseudonyms.Pseudonyms(b"k")
+    card, iban = "4111 1111 1111 1111", "ES9121000418450200051332"
+    alone = {x: names.replace(x)[0] for x in (card, iban, "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "555-123-4567")}
+    assert all(a != b for a, b in alone.items())
+    for before, x, after, kind in [
+        ("", card, " 123", "card"), ("no ", card, " 12/27", "card"), ("", card, " 7.", "card"), ("123 ", card, "", "card"), ("", iban, " BIC", "iban"), ("at ", iban, " 77 x", "iban"),
+        ("", "GB82 WEST 1234 5698 7654 32", " ABCD", "iban"), ("", "NO93 8601 1117 947", " ABC", "iban"), ("", "555-123-4567", " 124", "phone"),
+    ]:
+        assert names.replace(before + x + after) == (before + alone[x] + after, {kind: 1}), (before, x, after)
+    for text in ("4111 1111 1111 1112", "GB82 WEST 1234 5698 7654 33", "1234567 items", "300.1.2.3"):
+        assert names.replace(text) == (text, {})
+
+
 def test_toxicity(spark, docs, none):
     rnd = random.Random(8)
     vocab = [f"word{i}" for i in range(300)]
