@@ -10,7 +10,7 @@ from epistle.llm.queries import tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the quality rules reject."""
+    """Drop documents that the quality rules reject, and the others' lines that are common on their host."""
     return quality_rules.keep_good(docs)
 
 

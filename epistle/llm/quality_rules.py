@@ -2,8 +2,8 @@
 
 Normalised lines (lower case, blanks collapsed) are hashed; for each host the distinct documents that hold
 a line are counted, documents with identical text counting once, so that copies of a good page do not turn
-its own lines into boilerplate. Lines above the host's limit are removed, and a document that has fewer than
-``MIN_WORDS`` words left is rejected as depleted. Rules on the document itself come first.
+its own lines into boilerplate. Lines above the host's limit are removed from the texts that stay, and a document
+that has fewer than ``MIN_WORDS`` words left is rejected as depleted. Rules on the document itself come first.
 """
 
 from __future__ import annotations
@@ -44,12 +44,22 @@ def repeated_words(words: Column) -> Column:
     return F.when(n >= WINDOW, let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), 0).otherwise(covered(h)))).otherwise(0)
 
 
+def normal_lines(text: Column) -> Column:
+    """The normalised lines of ``text``, one for each of its lines."""
+    return F.transform(F.split(F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]+", " "), "\n"), lambda x: F.btrim(x, F.lit(" ")))
+
+
+def without(text: Column, gone: Column) -> Column:
+    """``text`` without the lines whose normalised form has its hash in ``gone``."""
+    lines = F.arrays_zip(F.split(text, "\n").alias("line"), F.transform(normal_lines(text), lambda x: F.xxhash64(x)).alias("h"))
+    return F.array_join(F.transform(F.filter(lines, lambda x: ~F.array_contains(gone, x["h"])), lambda x: x["line"]), "\n")
+
+
 def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
     """Id, host, hash of the text, the base figures, and the (hash, words) of each line with a word."""
     text = text_of(text_col)
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    norm = F.split(F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]+", " "), "\n")
-    norm = F.filter(F.transform(norm, lambda x: F.btrim(x, F.lit(" "))), lambda x: x != "")
+    norm = F.filter(normal_lines(text), lambda x: x != "")
     return docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col(id_col).alias("id"),
@@ -64,7 +74,7 @@ def measured(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Data
 
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: id, the figures, base_failed, n_line_words (words in removed lines), kept.
+    """One row per row of ``docs``: id, the figures, base_failed, n_line_words (words in removed lines), gone (their hashes), kept.
 
     Null text counts as empty (and fails for want of words); rows without a host form one host. Repeated rows
     are judged one by one and alike, but count once for line frequency. An empty table gives no rows; further
@@ -75,7 +85,7 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     sizes = base.groupBy(F.coalesce("host", F.lit("\0")).alias("host"), "text_hash").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("docs"))
     spread = lines.groupBy("host", "h", "text_hash").agg(F.lit(1)).groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > LINE_MIN_DOCS)
     common = staged(spread.join(sizes, "host").where(F.col("n") > LINE_SHARE * F.col("docs")).select("host", "h"), "common_lines")
-    lost = lines.join(if_small(common, common.count()), ["host", "h"]).groupBy("row").agg(F.sum("w").alias("n_line_words"))
+    lost = lines.join(if_small(common, common.count()), ["host", "h"]).groupBy("row").agg(F.sum("w").alias("n_line_words"), F.collect_set("h").alias("gone"))
     out = base.drop("lines").join(lost, "row", "left").withColumn("n_line_words", F.coalesce("n_line_words", F.lit(0)).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     out = out.withColumn("base_failed", failed)
@@ -83,12 +93,17 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """``docs`` (all its columns, whole texts) without the rejected rows.
+    """``docs`` (all its columns) without the rejected rows, and texts without the lines above their host's limit.
 
-    Verdicts meet the rows again by id and text hash, which all rows of equal content share.
+    Where lines go, a column ``n_chars`` is counted anew. Verdicts meet the rows again by id and text hash, which all
+    rows of equal content share.
     """
     keys = ["__i", "__u", "__h", "__s"]
     mark = lambda df, h, s: df.withColumns({"__i": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "__u": F.col(id_col).isNull(), "__h": h, "__s": F.coalesce(s, F.lit("\0"))})
     base = verdicts(docs, id_col, text_col, host_col)
-    bad = mark(base.where("not kept"), F.col("text_hash"), F.col("host")).select(keys).distinct()
-    return mark(docs, F.xxhash64(text_of(text_col), F.lit(1)), F.col(host_col)).join(bad, keys, "left_anti").drop(*keys)
+    touched = mark(base.where("not kept or gone is not null"), F.col("text_hash"), F.col("host")).select(*keys, F.col("kept").alias("__kept"), F.col("gone").alias("__gone")).dropDuplicates(keys)
+    out = mark(docs, F.xxhash64(text_of(text_col), F.lit(1)), F.col(host_col)).join(touched, keys, "left").where(F.coalesce("__kept", F.lit(True)))
+    out = out.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(without(F.col(text_col), F.col("__gone"))))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.char_length(text_col).cast(docs.schema["n_chars"].dataType)))
+    return out.select(docs.columns)

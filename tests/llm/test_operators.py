@@ -124,6 +124,19 @@ def test_quality_line_frequency(spark):
     assert got[101].n_line_words == 28 and not got[100].base_failed
 
 
+def test_quality_removes_common_lines(spark):
+    rnd = random.Random(3)
+    fresh = lambda: " ".join(str(rnd.random()) for _ in range(12))
+    note = "this  Line is on ÉVERY page"
+    own = {i: (fresh(), fresh()) for i in range(60)}
+    pages = [(i, f"{a}\n \n{note.upper() if i % 2 else note}\t\n{b}\n", "h", 7) for i, (a, b) in own.items()]
+    pages += [(100, note, "h", 7), (101, f"{fresh()}\n{note}", None, 7), (None, pages[0][1], "h", 7), (0, pages[0][1], "h", 7)]
+    df = spark.createDataFrame(pages, "doc_id long, text string, source string, n_chars long")
+    got = quality_rules.keep_good(df).collect()
+    want = [(i, f"{a}\n \n{b}\n") for i, (a, b) in [*own.items(), (None, own[0]), (0, own[0])]]
+    assert sorted((str(r.doc_id), r.text, r.n_chars) for r in got) == sorted([(str(i), t, len(t)) for i, t in want] + [("101", pages[61][1], 7)])
+
+
 def test_mixing(docs, rows, none, spark):
     got = mixing.mixture(docs).collect()
     again = mixing.mixture(docs.repartition(5)).collect()
