@@ -20,11 +20,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group linked at a similarity of 0.9 on three-word shingles.
-
-    The general rule for near duplicates here is five words and 0.8; the operator's own contract fixes three words and 0.9.
-    """
-    return jaccard_join.keep_one(docs)
+    """Keep one document of each group linked at a similarity of 0.8 on five-word shingles."""
+    return jaccard_join.keep_one(docs, k=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,14 +1,16 @@
 """N-gram Jaccard join: size-aware heavy-light join on word shingles, exact at its threshold.
 
-Sets that are equal are one class and take part once. Two sets with Jaccard similarity of 0.9 or more differ in
-at most 2/19 of the larger size on either side together.
+Sets that are equal are one class and take part once. Two sets with Jaccard similarity of 0.9 or more (the default;
+the threshold is a parameter) differ in at most 2/19 of the larger size on either side together.
 
 Light: sets up to a boundary emit all subsets that leave out as many elements as a partner may lack. Linked sets
 meet in the subset that is their intersection; there each set is held against the smallest one only. If two
 sets of the group are linked, both are linked to it, so a star keeps the component whole.
 
 Heavy: larger sets are cut by hash range into one block more than partners may differ in elements, so linked sets agree on
-a whole block. Sets that agree on a block form candidate groups; within a group inverted lists are scanned and
+a whole block. At lower thresholds blocks are small and some are empty or hold one element; then some more blocks are
+cut than that and each set leaves out as many of its smallest, as the largest block that two linked sets agree on
+is left out by neither. Sets that agree on a block form candidate groups; within a group inverted lists are scanned and
 intersections counted in full. A group larger than a task's share is cut into chunks, and each two chunks meet
 in a task of their own.
 
@@ -35,7 +37,7 @@ from .common import components, if_small, staged
 from .hashing import M1, Hashes, mixed, runs
 
 SHINGLE = 3
-#: Similarity in per cent; the bounds below are its arithmetic.
+#: Similarity in per cent where no other is asked for.
 PERCENT = 90
 #: Sets up to this size may be enumerated; the boundary lies at or below it.
 SMALL = 48
@@ -45,16 +47,21 @@ SHARE = 2_000_000
 PAIRED = 1000
 
 
-def differ(a: int) -> int:
+def differ(a: int, percent: int = PERCENT) -> int:
     """Most elements in which a set of ``a`` and a linked one of at most ``a`` elements differ."""
-    return 2 * a * (100 - PERCENT) // (100 + PERCENT)
+    return 2 * a * (100 - percent) // (100 + percent)
 
 
-def size_classes(top: int) -> list[int]:
+def spare(d: int, percent: int) -> int:
+    """Blocks more than needed for sets that differ in ``d`` elements; as many of the smallest are left out."""
+    return d // 4 if percent < PERCENT else 0
+
+
+def size_classes(top: int, percent: int = PERCENT) -> list[int]:
     """Upper ends of size classes; a linked partner is in the same class or the next."""
     ends = [1]
     while ends[-1] < top:
-        ends.append((ends[-1] + 1) * 100 // PERCENT)
+        ends.append((ends[-1] + 1) * 100 // percent)
     return ends
 
 
@@ -64,18 +71,20 @@ def shingles(text: str | None, hashes: Hashes, k: int = SHINGLE) -> np.ndarray:
     return np.unique(runs(hashes.of(words), min(k, len(words)))) if words else np.zeros(0, np.uint64)
 
 
-def blocks(s: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+def blocks(s: np.ndarray, ends: np.ndarray, percent: int = PERCENT) -> list[np.ndarray]:
     """Signatures of a set's blocks, for its size class and for the next."""
     c, out = int(np.searchsorted(ends, len(s))), []
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s), dtype=np.uint64)])
     for at in (c, c + 1):
-        m = differ(int(ends[at])) + 1
-        if m < 2 or at > c and len(s) * 100 // PERCENT <= ends[c]:
+        d = differ(int(ends[at]), percent)
+        m = d + 1 + spare(d, percent)
+        if m < 2 or at > c and len(s) * 100 // percent <= ends[c]:
             continue  # only equal sets could be linked
         cuts = np.searchsorted(s, (np.arange(m + 1, dtype=np.float64) * (2.0**64 / m)).clip(0, 2.0**64 - 2048).astype(np.uint64))
         cuts[-1] = len(s)
         tag = np.arange(m, dtype=np.uint64) + np.uint64(m << 32)
-        out.append(mixed((total[cuts[1:]] - total[cuts[:-1]]) ^ (tag * M1)))
+        marks = mixed((total[cuts[1:]] - total[cuts[:-1]]) ^ (tag * M1))
+        out.append(marks[np.lexsort((marks, cuts[1:] - cuts[:-1]))[spare(d, percent) :]])
     return out
 
 
@@ -83,9 +92,9 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def profiles(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+def profiles(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
     """(id, n, digest, blocks, small): set size, hash of the set, block signatures, the set itself if small."""
-    ends = np.array(size_classes(1 << 40), np.int64)
+    ends = np.array(size_classes(1 << 40, percent), np.int64)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Hashes()
@@ -95,7 +104,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 for doc, text in zip(b["id"][lo : lo + 500], b["text"][lo : lo + 500], strict=True):
                     s = shingles(text, hashes, k)
                     n = len(s)
-                    marks = blocks(s, ends) if n else []
+                    marks = blocks(s, ends, percent) if n else []
                     out.append((doc, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), _signed(np.concatenate(marks)) if marks else [], _signed(s) if 0 < n <= SMALL else None))
                 yield pd.DataFrame(out, columns=["id", "n", "digest", "blocks", "small"]).astype({"id": "Int64"})
 
@@ -103,22 +112,27 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return slim.mapInPandas(rows, "id long, n long, digest binary, blocks array<long>, small array<long>")
 
 
-def subset_rows(n: int, boundary: int) -> int:
-    return sum(math.comb(n, j) for j in range(differ(min(boundary, n * 100 // PERCENT)) + 1))
+def subset_rows(n: int, boundary: int, percent: int) -> int:
+    return sum(math.comb(n, j) for j in range(differ(min(boundary, n * 100 // percent), percent) + 1))
 
 
-def boundary_of(histogram: dict[int, int]) -> int:
-    """The size up to which enumerating costs least: rows of subsets, against rows of blocks and list reads."""
-    ends = size_classes(1 << 20)
-    lists = {n: 2 * differ(ends[np.searchsorted(ends, n) + 1]) + 2 + 2 * n for n in histogram}
+def cost_of(histogram: dict[int, int], percent: int) -> Callable[[int], int]:
+    """What a boundary costs: rows of subsets, and rows of blocks and list reads."""
+    ends = size_classes(1 << 20, percent)
+    lists = {n: 2 * differ(ends[np.searchsorted(ends, n) + 1], percent) + 2 + 2 * n for n in histogram}
 
     def cost(boundary: int) -> int:
-        return sum(c * subset_rows(n, boundary) for n, c in histogram.items() if n <= boundary) + sum(c * lists[n] for n, c in histogram.items() if n * 100 >= PERCENT * (boundary + 1))
+        return sum(c * subset_rows(n, boundary, percent) for n, c in histogram.items() if n <= boundary) + sum(c * lists[n] for n, c in histogram.items() if n * 100 >= percent * (boundary + 1))
+
+    return cost
+
 
+def boundary_of(cost: Callable[[int], int]) -> int:
+    """The size up to which enumerating costs least."""
     return min(range(SMALL + 1), key=lambda b: (cost(b), b))
 
 
-def subsets_of(sets: DataFrame, boundary: int, gone_too: bool) -> DataFrame:
+def subsets_of(sets: DataFrame, boundary: int, percent: int, gone_too: bool) -> DataFrame:
     """Rows (sig, s, id, n, gone): the subsets of ``sets`` (id, n, small) and, if asked, the elements that each leaves out."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -128,7 +142,7 @@ def subsets_of(sets: DataFrame, boundary: int, gone_too: bool) -> DataFrame:
                 small = np.asarray(small, np.int64)
                 m = mixed(small.view(np.uint64))
                 total = m.sum(dtype=np.uint64)
-                for j in range(differ(min(boundary, int(n) * 100 // PERCENT)) + 1):
+                for j in range(differ(min(boundary, int(n) * 100 // percent), percent) + 1):
                     left = [list(c) for c in combinations(range(n), j)]
                     gone = np.array([m[c].sum(dtype=np.uint64) for c in left], np.uint64)
                     out += [(int(x), n - j, doc, n, small[c] if gone_too else None) for x, c in zip(_signed(mixed((total - gone) ^ (np.full(1, n - j, np.uint64) * M1))), left, strict=True)]
@@ -140,32 +154,32 @@ def subsets_of(sets: DataFrame, boundary: int, gone_too: bool) -> DataFrame:
     return sets.mapInPandas(rows, "sig long, s long, id long, n long, gone array<long>")
 
 
-def met_in(subsets: DataFrame) -> DataFrame:
+def met_in(subsets: DataFrame, percent: int) -> DataFrame:
     """The members of each subset's group that are linked to its smallest set, that one (``hub``) included."""
     hubs = subsets.groupBy("sig", "s").agg(F.min(F.struct("n", "id")).alias("hub"), F.count("*").alias("c")).where("c > 1")
-    linked = 100 * F.col("s") >= PERCENT * (F.col("n") + F.col("hub.n") - F.col("s"))
+    linked = 100 * F.col("s") >= percent * (F.col("n") + F.col("hub.n") - F.col("s"))
     return subsets.join(hubs, ["sig", "s"]).where(linked)
 
 
-def light_edges(sets: DataFrame, boundary: int) -> DataFrame:
+def light_edges(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
     """Star edges between linked sets of at most ``boundary`` elements. ``sets``: id, n, small."""
-    met = met_in(staged(subsets_of(sets, boundary, False).drop("gone"), "subsets")).where(F.col("id") != F.col("hub.id"))
+    met = met_in(staged(subsets_of(sets, boundary, percent, False).drop("gone"), "subsets"), percent).where(F.col("id") != F.col("hub.id"))
     return met.select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
 
 
-def light_pairs(sets: DataFrame, boundary: int) -> DataFrame:
+def light_pairs(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
     """All linked pairs (a < b) of sets of at most ``boundary`` elements; each two chunks of a group meet in a task."""
-    met = met_in(staged(subsets_of(sets, boundary, True), "subsets")).withColumn("chunks", F.ceil(F.col("c") / PAIRED).cast("int"))
+    met = met_in(staged(subsets_of(sets, boundary, percent, True), "subsets"), percent).withColumn("chunks", F.ceil(F.col("c") / PAIRED).cast("int"))
     met = met.withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     met = met.select("sig", "s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "gone")
     one, two = (met.select("sig", "s", "i", "j", *(F.col(c).alias(f"{c}_{x}") for c in ("own", "id", "n", "gone"))) for x in "ab")
     meet = (F.col("id_a") < F.col("id_b")) & ((F.col("i") == F.col("j")) | (F.col("own_a") != F.col("own_b")))
-    linked = 100 * F.col("s") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("s"))
+    linked = 100 * F.col("s") >= percent * (F.col("n_a") + F.col("n_b") - F.col("s"))
     both = one.join(two, ["sig", "s", "i", "j"]).where(meet & linked & ~F.arrays_overlap("gone_a", "gone_b"))
     return both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
-def scan(ids: np.ndarray, sets: list[np.ndarray], every: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
+def scan(ids: np.ndarray, sets: list[np.ndarray], percent: int, every: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
     """Edges of a spanning forest of the linked sets of a group, from counts over inverted lists.
 
     With ``every``, all linked pairs of places (i, others) for which it holds.
@@ -191,7 +205,7 @@ def scan(ids: np.ndarray, sets: list[np.ndarray], every: Callable[[int, np.ndarr
         n = length[at]
         places = np.repeat(start[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
         both = np.bincount(owner[places], minlength=len(sets))[:i]
-        found = np.flatnonzero(100 * both >= PERCENT * (sizes[:i] + sizes[i] - both))
+        found = np.flatnonzero(100 * both >= percent * (sizes[:i] + sizes[i] - both))
         if every is not None:
             found = found[every(i, found)]
             yield from zip(np.full(len(found), ids[i]).tolist(), ids[found].tolist(), strict=True)
@@ -203,7 +217,7 @@ def scan(ids: np.ndarray, sets: list[np.ndarray], every: Callable[[int, np.ndarr
                 yield int(ids[i]), int(ids[j])
 
 
-def heavy_edges(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, k: int, above: int | None = None) -> DataFrame:
+def heavy_edges(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, k: int, percent: int, above: int | None = None) -> DataFrame:
     """Edges of spanning forests of linked sets within candidate groups. ``groups``: id, n, root.
 
     With ``above``, all linked pairs of which a set is larger than that.
@@ -230,10 +244,10 @@ def heavy_edges(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str,
             if len(ids) < 2:
                 return iter(())
             if above is None:
-                return scan(np.array(ids), sets_)
+                return scan(np.array(ids), sets_, percent)
             chunk, large = np.array(own), np.array([len(s) > above for s in sets_])
             once = key[1] == key[2]  # two sets of one chunk are paired where it meets itself
-            return scan(np.array(ids), sets_, lambda i, js: (large[js] | large[i]) & (once | (chunk[js] != chunk[i])))
+            return scan(np.array(ids), sets_, percent, lambda i, js: (large[js] | large[i]) & (once | (chunk[js] != chunk[i])))
 
         for b in batches:
             for r, i, j, mine, doc, s in b.itertuples(index=False):
@@ -260,43 +274,43 @@ def heavy_edges(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str,
     return sets.repartition(F.col("root"), F.col("i"), F.col("j")).sortWithinPartitions("root", "i", "j", "id").mapInPandas(scanned, "a long, b long")
 
 
-def prepared(docs: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
+def prepared(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
     """Profiles, classes (digest, class_id, n), the light sets, the candidate groups of the heavy ones, and the boundary."""
-    base = staged(profiles(docs, id_col, text_col, k), "profiles")
+    base = staged(profiles(docs, id_col, text_col, k, percent), "profiles")
     classes = staged(base.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("class_id"), F.first("n").alias("n")), "classes")
     histogram = {r["n"]: r["count"] for r in classes.where(F.col("n") <= 2 * SMALL).groupBy("n").count().collect()}  # at most 2 * SMALL rows
-    boundary = boundary_of(histogram)
+    boundary = boundary_of(cost_of(histogram, percent))
     heads = classes.select(F.col("class_id").alias("id")).distinct()
     small = base.where(F.col("n").between(1, boundary) & F.col("id").isNotNull()).select("id", "n", "small").join(if_small(heads, heads.count()), "id", "left_semi")
 
-    marks = base.where(F.col("id").isNotNull() & (100 * F.col("n") >= PERCENT * (boundary + 1))).select("id", F.explode("blocks").alias("sig"))
+    marks = base.where(F.col("id").isNotNull() & (100 * F.col("n") >= percent * (boundary + 1))).select("id", F.explode("blocks").alias("sig"))
     agree = Window.partitionBy("sig")
     coarse = marks.select("id", F.min("id").over(agree).alias("lo")).where("id <> lo").select(F.col("id").alias("a"), F.col("lo").alias("b"))
     groups = components(coarse).join(classes.select(F.col("class_id").alias("id"), "n"), "id")
     return base, classes, small.select("id", "n", "small"), groups.select("id", "n", "root"), boundary
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """Every linked pair of classes once: rows (a, b), a < b, their ``class_id`` in ``linked``.
 
     Documents of one class are linked to each other and to all documents of the classes linked to it, so links per
     document are sums over class sizes. An id with several texts stands for each class that it is the smallest id of.
     """
-    _, _, small, groups, boundary = prepared(docs, id_col, text_col, k)
-    pairs = light_pairs(small, boundary).union(heavy_edges(docs, groups, id_col, text_col, k, boundary))
+    _, _, small, groups, boundary = prepared(docs, id_col, text_col, k, percent)
+    pairs = light_pairs(small, boundary, percent).union(heavy_edges(docs, groups, id_col, text_col, k, percent, boundary))
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
+def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, class_id (smallest id with the same set), component_id.
 
     Words are lower-cased in A-Z only. Null and empty texts have empty sets, link nothing and are their own
     component. Rows that share an id are one node, linked by either text; rows without an id link nothing and have a null
     component. Whole texts are used whatever their length; other columns are ignored; an empty table gives no rows.
     """
-    base, classes, small, groups, boundary = prepared(docs, id_col, text_col, k)
+    base, classes, small, groups, boundary = prepared(docs, id_col, text_col, k, percent)
     slim = base.select("id", "n", "digest")
-    edges = light_edges(small, boundary).union(heavy_edges(docs, groups, id_col, text_col, k))
+    edges = light_edges(small, boundary, percent).union(heavy_edges(docs, groups, id_col, text_col, k, percent))
 
     roots = staged(components(edges), "roots")
     named = classes.select("digest", "class_id").join(if_small(roots.withColumnRenamed("id", "class_id"), roots.count()), "class_id", "left").select("digest", "class_id", F.coalesce("root", "class_id").alias("root"))
@@ -305,8 +319,8 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(none, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(none, F.col("id")).otherwise(F.col("root")).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``docs`` (all its columns) with one document of each component, the one with the smallest id."""
-    found = linked(docs, id_col, text_col, k).where(F.col(id_col).isNotNull())
+    found = linked(docs, id_col, text_col, k, percent).where(F.col(id_col).isNotNull())
     drop = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col)).distinct()
     return docs.join(drop, id_col, "left_anti")

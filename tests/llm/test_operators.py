@@ -330,6 +330,38 @@ def test_jaccard_links_are_all_pairs(spark, boundary, share, monkeypatch):
     assert sorted((r.a, r.b) for r in got) == want and sum(80 <= a < b < 87 for a, b in want) == 21
 
 
+def five_words(t):
+    w = (t or "").encode().lower().split()
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
+
+
+@pytest.mark.parametrize("boundary", [0, 12, None])
+def test_jaccard_at_lower_similarity(spark, boundary, monkeypatch):
+    if boundary is not None:
+        monkeypatch.setattr(jaccard_join, "boundary_of", lambda _: boundary)
+    rnd, texts = random.Random(11), near_copies(6)
+    for n in (30, 60, 90, 200, 300, 500):  # one-word edits about the threshold
+        base = [f"u{rnd.randrange(10**6)}" for _ in range(n)]
+        for _ in range(10):
+            w = list(base)
+            for at in rnd.sample(range(n), n // 50 + rnd.randint(0, 1)):
+                w[at] = f"u{rnd.randrange(10**6)}"
+            texts.append(" ".join(w))
+    near = list(enumerate(texts))
+    want = plain_pairs(near, five_words, 80)
+    got = jaccard_join.links(spark.createDataFrame(near, "doc_id long, text string"), k=5, percent=80).collect()
+    assert sorted((r.a, r.b) for r in got) == want and len(want) > 100
+
+
+def test_pipeline_drops_copies_with_scattered_edits(spark):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(300)]
+    edited = [f"x{i}" if i % 50 == 25 else w for i, w in enumerate(base)]  # 0.82 on five words, 0.89 on three
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(edited)), (3, " ".join(base[::-1]))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near(spark, df, "").collect()) == [1, 3]
+
+
 def test_packing(docs, rows, none):
     tok = Tokenizer.from_file(TOKENIZER)
     tok.encode_special_tokens = True
