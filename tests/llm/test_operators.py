@@ -517,27 +517,54 @@ def test_pseudonyms_inside_failed_matches():
         assert names.replace(text) == (text, {})
 
 
-def test_toxicity(spark, docs, none):
-    rnd = random.Random(8)
+def labelled(insults: list[str], seed: int = 8, first: int = 0) -> tuple[list, list]:
+    rnd = random.Random(seed)
     vocab = [f"word{i}" for i in range(300)]
     data, labels = [], []
-    for i in range(900):
+    for i in range(first, first + 900):
         w = [rnd.choice(vocab) for _ in range(rnd.randint(8, 60))]
-        bad = i % 5 == 0
-        if bad:
+        if i % 5 == 0:
             for _ in range(3):
-                w.insert(rnd.randrange(len(w)), "you " + rnd.choice(["idiot", "m0ron", "stupid", "l*o*s*e*r", "clown"]))
+                w.insert(rnd.randrange(len(w)), rnd.choice(insults))
         data.append((i, " ".join(w)))
-        labels.append((i, int(bad)))
-    data += [(None, None), (5000, "")]
+        labels.append((i, int(i % 5 == 0)))
+    return data, labels
+
+
+def held(i: int) -> bool:
+    return zlib.crc32(str(i).encode()) % 3 == 1
+
+
+def test_toxicity(spark, docs, none):
+    data, labels = labelled(["you " + x for x in ("idiot", "m0ron", "stupid", "l*o*s*e*r", "clown")])
+    long = "word1 " * 50_000
+    data += [(None, None), (5000, ""), (5001, long), (5002, long), (7, data[7][1])]  # the last row is repeated
     known = spark.createDataFrame(labels, "doc_id long, toxic int")
-    df = spark.createDataFrame(data, "doc_id long, text string")
-    got = {r.doc_id: r for r in toxicity.scored(df, known).collect()}
-    assert len(got) == len(data) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in got.values())
-    assert all(r.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, r in got.items() if i is not None)
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in data], "doc_id long, text string, label string, fold int").repartition(3)
+    rows = toxicity.scored(df, known).collect()
+    got = {r.doc_id: r for r in rows}
+    assert sorted(r.doc_id or -1 for r in rows) == sorted(i or -1 for i, _ in data) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in rows)
+    assert got[5001].score == got[5002].score and len({r.score for r in rows if r.doc_id == 7}) == 1
+    assert all(r.held_out == held(i) for i, r in got.items() if i is not None)
     right = [got[i].predicted == y for i, y in labels if got[i].held_out]
     assert sum(right) / len(right) > 0.95
-    wrong = spark.createDataFrame([(i, 1 - y if zlib.crc32(str(i).encode()) % 3 == 1 else y) for i, y in labels], "doc_id long, toxic int")
+    wrong = spark.createDataFrame([(i, 1 - y if held(i) else y) for i, y in labels], "doc_id long, toxic int")
     again = {r.doc_id: r.score for r in toxicity.scored(df, wrong).collect()}
     assert again == {i: r.score for i, r in got.items()}  # held-out labels are never read
     assert toxicity.scored(none, known).count() == 0 and {r.score for r in toxicity.scored(docs, known.limit(0)).collect()} == {0.0}
+
+
+def test_toxicity_learns_words_of_an_unknown_language(spark):
+    data, labels = labelled([f"grmbl{x}" for x in ("", "ak", "ok", "uk", "ek", "ifu", "oza")])
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.scored(spark.createDataFrame(data, "doc_id long, text string"), known).collect()}
+    right = [got[i] == y for i, y in labels if held(i)]
+    assert sum(right) / len(right) > 0.95
+
+
+def test_toxicity_lexicons_leave_their_fold_out(spark):
+    rows = [(i, "fine plain text", 0.0, i % 4) for i in range(80)] + [(100 + i, f"grmbl{i % 4}", 1.0, i % 4) for i in range(80)]
+    found = toxicity.lexicons_of(spark.createDataFrame(rows, "id long, text string, label double, fold int"))
+    for k in range(3):
+        assert {f"grmbl{j}" for j in range(3) if j != k} <= set(found[k]) and f"grmbl{k}" not in found[k]
+    assert {"grmbl0", "grmbl1", "grmbl2", "grmb-"} <= set(found[3]) and "grmbl3" not in found[3]
