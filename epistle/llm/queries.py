@@ -57,7 +57,7 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup.deduplicated(table(spark, sf_dir, "documents")).withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

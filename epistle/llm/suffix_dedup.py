@@ -1,15 +1,18 @@
 """Suffix-array dedup: a common-prefix-aware distributed merge sort of text suffixes.
 
 Every window of WINDOW bytes that repeats is found from a sparse suffix array. Its suffixes start at anchors: the
-least gram of each window, so equal windows have their anchor at the same place in them. Anchors whose gram or whole span
-decides the matter (it occurs nowhere else; or all of it does) are settled by counting hashes. The suffixes of all
-others are sorted in runs where they are read, front-coded (length of the prefix shared with the one before, then the
-rest), exchanged by gram, and combined by a loser tree whose players carry the length of the prefix they share with the last
-winner, so known prefixes are never compared again. The merged order comes with those lengths; together with what stands before
-the anchors they tell which windows are equal.
-
-A gram with more than HOT different surroundings would gather too much in one task: its windows are hashed one by one and
-counted in a shuffle instead, with the same result.
+least gram of each window, so equal windows have their anchor at the same place in them. Grams whose hash occurs once in
+all texts cannot stand in a repeated window and are left out; every other suffix takes part in the sort.
+
+Suffixes are sorted in runs where they are read. Equal ones with equal bytes before the anchor are folded into one with
+its places; runs are front-coded (length of the prefix shared with the one before, then the rest), exchanged by gram,
+and combined by a loser tree whose players carry the length of the prefix they share with the last winner, so known
+prefixes are never compared again. The merged order comes with those lengths; together with the bytes before the
+anchors they tell which windows are equal. Bytes decide, never hashes.
+
+A gram with more than HOT different surroundings would gather too much in one task. It is split by further bytes of
+its suffixes: windows are dealt to anchors STEP bytes apart, so that those which meet share all but STEP - 1 of
+their bytes, and where that is still too common each window is a suffix of its own, which folds with its equals.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ from .hashing import BASE, INVERSE, heads, mixed, powers, ranges
 WINDOW = 400
 GRAM = 32
 HOT = 20_000
+#: Bytes between the anchors that a hot gram is split to.
+STEP = 25
 SHARE_CHARS = 16_000_000
 #: A text is worked on in slices of so many windows, to bound memory; entries may break there.
 SLICE = 1 << 21
@@ -151,7 +156,7 @@ def merged(runs: list[tuple[np.ndarray, bytes]]) -> Iterator[tuple[int, int, int
             node //= 2
 
 
-def equal_windows(shared: list[int], left: list[bytes], low: list[int], high: list[int], window: int) -> list[list[tuple[int, int]]]:
+def equal_windows(shared: list[int], left: list[bytes], low: list[int], high: list[int], window: int, gram: int) -> list[list[tuple[int, int]]]:
     """For suffixes with one gram, in sorted order: ranges of offsets before the anchor at which each has a repeated window.
 
     ``shared[i]`` is the prefix that suffix i shares with i - 1; ``left`` what stands before the anchors; low and high bound
@@ -164,7 +169,7 @@ def equal_windows(shared: list[int], left: list[bytes], low: list[int], high: li
             right = 1 << 30
             for j in range(i + 1, n):
                 right = min(right, shared[j])
-                if right < GRAM:
+                if right < gram:
                     break
                 a, b = left[i][::-1], left[j][::-1]
                 lo, hi = max(low[i], low[j], window - right), min(high[i], high[j], shared_prefix(a, b))
@@ -174,19 +179,19 @@ def equal_windows(shared: list[int], left: list[bytes], low: list[int], high: li
         return out
     lows, highs, right = np.array(low), np.array(high), np.array(shared)
     width = int(highs.max())
-    before = np.zeros((n, width + 1), np.uint8)
+    before = np.full((n, width + 1), 256, np.int64)
     for i, b in enumerate(left):
         before[i, 1 : 1 + len(b)] = np.frombuffer(b[::-1], np.uint8)
-    h = np.zeros(n, np.uint64)
+    same = np.zeros(n, np.int64)  # equal numbers: the same bytes before the anchor, up to the offset
     for o in range(width + 1):
         if o:
-            h = mixed(h + before[:, o] + np.uint64(1))
+            same = np.unique(same * 257 + before[:, o], return_inverse=True)[1]
         on = np.flatnonzero((lows <= o) & (o <= highs))
         if len(on) < 2:
             continue
-        classes = np.cumsum(right < window - o)[on]
-        order = np.lexsort((h[on], classes))
-        new = heads(classes[order], h[on][order])
+        key = np.cumsum(right < window - o)[on] * n + same[on]
+        order = np.argsort(key, kind="stable")
+        new = heads(key[order])
         size = np.diff(np.concatenate([np.flatnonzero(new), [len(on)]]))
         for i in on[order[np.repeat(size, size) > 1]]:
             if out[i] and out[i][-1][1] == o - 1:
@@ -205,54 +210,92 @@ def with_marks(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
 RANGES = "id long, start int, stop int, hash long"
 
 
-def suffix_ranges(docs: DataFrame, open_: DataFrame, shares: int, window: int, gram: int) -> DataFrame:
-    """Ranges of repeated windows (RANGES) of the open entries (id, entry), by the merge sort."""
+def pieces(first: int, last: int, at: int, part: int, step: int) -> Iterator[tuple[int, int, int]]:
+    """Windows first to last of an entry as (anchor, first, last) for anchors ``step`` bytes apart; those of part ``part`` alone, if not negative."""
+    for j in range((at - last) // step, (at - first) // step + 1):
+        if part < 0 or j * step // STEP == part:
+            anchor = at - j * step
+            yield anchor, max(first, anchor - step + 1), min(last, anchor)
+
+
+def suffix_ranges(docs: DataFrame, open_: DataFrame, shares: int, window: int, gram: int, step: int | None = None) -> DataFrame:
+    """Ranges of repeated windows (RANGES) of the open entries (id, entry, part), by the merge sort.
+
+    Suffixes start at the entries' own anchors, or at those ``step`` bytes apart.
+    """
+    common = gram if step is None else window - step + 1
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found: dict[int, list[tuple]] = {}
-            for doc, text, marked in zip(b["id"], encoded(b["text"]), b["entry"], strict=True):
+            for doc, text, marked, parts in zip(b["id"], encoded(b["text"]), b["entry"], b["part"], strict=True):
                 first, last, at, g, _ = entries(text, window, gram)
-                for i in np.unique(marked[marked < len(first)]):
+                for i, part in sorted(set(zip(marked.tolist(), parts.tolist(), strict=True))):
+                    if i >= len(first):
+                        continue
                     s1, s2, p = int(first[i]), int(last[i]), int(at[i])
-                    found.setdefault(int(g[i].view(np.uint64) % np.uint64(shares)), []).append((text[p : s2 + window], text[s1:p], int(doc), s1, p, s2))
+                    key = int(g[i].view(np.uint64))
+                    for p_, lo, hi in [(p, s1, s2)] if step is None else pieces(s1, s2, p, part, step):
+                        key = key if step is None else checksum(text[p_ : p_ + common])
+                        found.setdefault(key % shares, []).append((text[p_ : hi + window], text[lo:p_], int(doc), lo, p_, hi))
             rows = []
             for share, own in found.items():
-                own.sort(key=lambda x: x[0])
-                shape, rest = front_coded([x[0] for x in own])
+                own.sort(key=lambda x: x[:2])
+                new = [k == 0 or x[:2] != own[k - 1][:2] for k, x in enumerate(own)]
+                one = [x for x, is_new in zip(own, new, strict=True) if is_new]
+                shape, rest = front_coded([x[0] for x in one])
                 where = np.array([x[2:] for x in own], np.int64)
-                rows.append((share, shape.tobytes(), rest, b"".join(x[1] for x in own), where.tobytes()))
-            yield pd.DataFrame(rows, columns=["share", "shape", "rest", "before", "places"])
+                rows.append((share, shape.tobytes(), rest, b"".join(x[1] for x in one), where.tobytes(), np.flatnonzero(new).astype(np.int32).tobytes()))
+            yield pd.DataFrame(rows, columns=["share", "shape", "rest", "before", "places", "begin"])
 
     def combine(df: pd.DataFrame) -> pd.DataFrame:
         shapes = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in df["shape"]]
         places = [np.frombuffer(x, np.int64).reshape(-1, 4) for x in df["places"]]
-        begins = [np.concatenate([[0], np.cumsum(p[:, 2] - p[:, 1])]) for p in places]
+        folded = [[*np.frombuffer(x, np.int32).tolist(), len(p)] for x, p in zip(df["begin"], places, strict=True)]  # where each suffix's places begin
+        begins = [np.concatenate([[0], np.cumsum((p[:, 2] - p[:, 1])[f[:-1]])]).tolist() for p, f in zip(places, folded, strict=True)]
         before, rests = list(df["before"]), list(df["rest"])
         out: list[tuple[int, int, int, int]] = []
         group: list[tuple[int, int, int, bytes]] = []
 
         def settle() -> None:
-            if len(group) < 2:
+            shared, left, suffix, where = [], [], [], []
+            seen: dict[tuple[bytes, bytes], int] = {}
+            least_ = 1 << 30
+            for known, r, i, s in group:
+                b = before[r][begins[r][i] : begins[r][i + 1]]
+                least_ = min(least_, known)
+                own = places[r][folded[r][i] : folded[r][i + 1]].tolist()
+                if (k := seen.get((b, s))) is not None:
+                    where[k] += own
+                    continue
+                seen[b, s] = len(left)
+                shared.append(least_)  # with the one before that is not folded into another
+                least_ = 1 << 30
+                left.append(b)
+                suffix.append(s)
+                where.append(own)
+            several = [k for k, x in enumerate(where) if len(x) > 1]
+            for k in several:
+                check = checksum(left[k] + suffix[k])
+                out.extend((doc, lo, hi, check) for doc, lo, _, hi in where[k])
+            if len(left) < 2 or len(several) == len(left):
                 return
-            where = [places[r][i].tolist() for _, r, i, _ in group]
-            left = [before[r][begins[r][i] : begins[r][i + 1]] for _, r, i, _ in group]
-            found = equal_windows([x[0] for x in group], left, [p - s2 for _, _, p, s2 in where], [p - s1 for _, s1, p, _ in where], window)
-            for (doc, s1, p, _), l, (_, _, _, s), spans in zip(where, left, group, found, strict=True):
-                for lo, hi in spans:
-                    covered = l[p - hi - s1 :] + s[: window - lo]
-                    out.append((doc, p - hi, p - lo, checksum(covered)))
-
-        for step in merged(list(zip(shapes, rests, strict=True))):
-            if step[0] < gram:
+            spans = equal_windows(shared, left, [x[0][2] - x[0][3] for x in where], [x[0][2] - x[0][1] for x in where], window, common)
+            for x, l, s, own in zip(where, left, suffix, spans, strict=True):
+                if len(x) == 1:
+                    doc, s1, p, _ = x[0]
+                    out.extend((doc, p - hi, p - lo, checksum(l[p - hi - s1 :] + s[: window - lo])) for lo, hi in own)
+
+        for got in merged(list(zip(shapes, rests, strict=True))):
+            if got[0] < common:
                 settle()
                 group = []
-            group.append(step)
+            group.append(got)
         settle()
         return pd.DataFrame(out, columns=["id", "start", "stop", "hash"])
 
-    each = with_marks(docs, open_.groupBy("id").agg(F.collect_set("entry").alias("entry")), "inner")
-    sorted_runs = each.select("id", "text", "entry").mapInPandas(runs, "share int, shape binary, rest binary, before binary, places binary")
+    each = with_marks(docs, open_.groupBy("id").agg(F.collect_list("entry").alias("entry"), F.collect_list("part").alias("part")), "inner")
+    sorted_runs = each.select("id", "text", "entry", "part").mapInPandas(runs, "share int, shape binary, rest binary, before binary, places binary, begin binary")
     return sorted_runs.groupBy("share").applyInPandas(combine, RANGES)
 
 
@@ -260,44 +303,37 @@ def checksum(covered: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(covered, digest_size=8).digest(), "little", signed=True)
 
 
-def counted_ranges(docs: DataFrame, open_: DataFrame, window: int, gram: int) -> DataFrame:
-    """The same ranges for open entries of hot grams: each window hashed and counted in a shuffle."""
+def split_parts(docs: DataFrame, open_: DataFrame, window: int, gram: int) -> DataFrame:
+    """(id, entry, part, c): the parts of hot entries, and how many parts have the same bytes from their anchor on."""
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            out = []
             for doc, text, marked in zip(b["id"], encoded(b["text"]), b["entry"], strict=True):
-                first, last, _, _, _ = entries(text, window, gram)
-                start = np.concatenate([np.zeros(0, np.int64), *(np.arange(first[i], last[i] + 1) for i in np.unique(marked[marked < len(first)]))])
-                yield pd.DataFrame({"id": doc, "start": start, "stop": start, "hash": [checksum(text[s : s + window]) for s in start]}, columns=["id", "start", "stop", "hash"])
+                first, last, at, _, _ = entries(text, window, gram)
+                for i in np.unique(marked[marked < len(first)]).tolist():
+                    for p, _, _ in pieces(int(first[i]), int(last[i]), int(at[i]), -1, STEP):
+                        out.append((doc, i, (int(at[i]) - p) // STEP, checksum(text[p : p + window - STEP + 1])))
+            yield pd.DataFrame(out, columns=["id", "entry", "part", "key"])
 
     each = with_marks(docs, open_.groupBy("id").agg(F.collect_set("entry").alias("entry")), "inner")
-    seen = staged(each.select("id", "text", "entry").mapInPandas(hashed, RANGES), "windows")
-    return seen.join(seen.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "hash").select("id", "start", "stop", "hash")
+    found = staged(each.select("id", "text", "entry").mapInPandas(keyed, "id long, entry int, part int, key long"), "parts")
+    return found.join(found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key").select("id", "entry", "part", "c")
 
 
-def cut(docs: DataFrame, sure: DataFrame, found: DataFrame, window: int, gram: int) -> DataFrame:
-    kind = "struct<a:int,b:int,h:bigint>"
-    a = sure.select("id", F.struct(F.col("entry").alias("a"), F.lit(-1).alias("b"), F.col("span").alias("h")).cast(kind).alias("m"))
-    b = found.select("id", F.struct(F.col("start").alias("a"), F.col("stop").alias("b"), F.col("hash").alias("h")).cast(kind).alias("m"))
-    marks = a.union(b).groupBy("id").agg(*(F.collect_list(f"m.{f}").alias(f) for f in "abh"))
+def cut(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
+    marks = found.groupBy("id").agg(*(F.collect_list(c).alias(c) for c in ("start", "stop", "hash")))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc, text, a, b, h in zip(batch["id"], encoded(batch["text"]), batch["a"], batch["b"], batch["h"], strict=True):
+            for doc, text, start, stop, hashes in zip(batch["id"], encoded(batch["text"]), batch["start"], batch["stop"], batch["hash"], strict=True):
                 gone = np.zeros(len(text) + 1, np.int32)
-                if a is not None:
-                    first, last, _, _, span = entries(text, window, gram)
-                    for s, e, x in zip(a.tolist(), b.tolist(), h.tolist(), strict=True):
-                        if e >= 0:  # a mark counts only where the bytes it was made for stand
-                            if checksum(text[s : e + window]) != x:
-                                continue
-                        elif s < len(first) and span[s] == x:
-                            s, e = int(first[s]), int(last[s])
-                        else:
-                            continue
-                        gone[s] += 1
-                        gone[e + window] -= 1
+                if start is not None:
+                    for s, e, x in zip(start.tolist(), stop.tolist(), hashes.tolist(), strict=True):
+                        if checksum(text[s : e + window]) == x:  # rows may share an id: a mark is for the bytes that it was made from
+                            gone[s] += 1
+                            gone[e + window] -= 1
                 keep = np.cumsum(gone)[:-1] == 0
                 kept = np.frombuffer(text, np.uint8)[keep].tobytes()
                 runs = int((~keep[:1]).sum() + (keep[:-1] & ~keep[1:]).sum())
@@ -327,13 +363,15 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pd.DataFrame(dict(zip(("id", "entry", "gram", "span"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     every = staged(docs.mapInPandas(listed, "id long, entry int, gram long, span long"), "entries")
-    spans = staged(every.groupBy("gram", "span").agg(F.count("*").alias("n"), F.min(F.struct("id", "entry")).alias("one")), "spans")
-    sure = every.join(spans.where("n > 1").select("gram", "span"), ["gram", "span"]).select("id", "entry", "span")
-    several = spans.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1")
-    open_ = staged(spans.join(several, "gram").select("one.id", "one.entry", "c"), "open")
+    spans = every.groupBy("gram", "span").agg(F.count("*").alias("n"))
+    common = spans.groupBy("gram").agg(F.sum("n").alias("n"), F.count("*").alias("c")).where("n > 1").select("gram", "c")
+    open_ = staged(every.drop("span").join(common, "gram").select("id", "entry", F.lit(-1).alias("part"), "c"), "open")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    found = suffix_ranges(docs, open_.where(F.col("c") <= hot), max(8, -(-chars // SHARE_CHARS)), window, gram)
+    shares = max(8, -(-chars // SHARE_CHARS))
+    found = suffix_ranges(docs, open_.where(F.col("c") <= hot), shares, window, gram)
     if open_.where(F.col("c") > hot).take(1):
-        found = found.union(counted_ranges(docs, open_.where(F.col("c") > hot), window, gram))
-    out = cut(docs, sure, staged(found, "ranges"), window, gram)
+        parts = staged(split_parts(docs, open_.where(F.col("c") > hot), window, gram), "split")
+        found = found.union(suffix_ranges(docs, parts.where(F.col("c") <= hot), shares, window, gram, STEP))
+        found = found.union(suffix_ranges(docs, parts.where(F.col("c") > hot), shares, window, gram, 1))
+    out = cut(docs, staged(found, "ranges"), window)
     return out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id"))).withColumnRenamed("id", id_col)

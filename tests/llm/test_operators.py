@@ -217,7 +217,7 @@ def plain_suffix(pairs, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [20_000, 3])
+@pytest.mark.parametrize("hot", [20_000, 3, 1])
 def test_suffix_dedup(docs, rows, none, hot):
     want = plain_suffix([(r[0], (r[1] or "").encode()) for r in rows], 120)
     got = suffix_dedup.deduplicated(docs, window=120, hot=hot).collect()
@@ -226,6 +226,25 @@ def test_suffix_dedup(docs, rows, none, hot):
         assert suffix_dedup.deduplicated(none).count() == 0
 
 
+def test_suffix_dedup_at_its_own_window(spark):
+    rnd = random.Random(6)
+    prose = lambda n: " ".join("".join(rnd.choice("abcdé") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    shared, just, short = prose(120), "".join(rnd.choice("xyz") for _ in range(400)), "".join(rnd.choice("uvw") for _ in range(399))
+    texts = [prose(80) + shared + prose(60), prose(3) + shared, prose(200), "q" * 900, just + prose(50), prose(50) + just, short + prose(9), prose(9) + short]
+    pairs = [*enumerate(texts), (100, texts[2]), (None, shared), (None, shared)]
+    got = suffix_dedup.deduplicated(spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
+    want = plain_suffix([(-1 if i is None else i, t.encode()) for i, t in pairs], 400)
+    assert sorted(((-1 if r.doc_id is None else r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    assert {r.doc_id: r.n_removed for r in got if r.doc_id in (6, 7)} == {6: 0, 7: 0} and sorted(map(key, got))
+
+
+def test_suffix_marks_come_through_the_merge(docs, monkeypatch):
+    empty = lambda docs, open_, *a: docs.sparkSession.createDataFrame([], suffix_dedup.RANGES)
+    monkeypatch.setattr(suffix_dedup, "suffix_ranges", empty)
+    assert suffix_dedup.deduplicated(docs, window=120).agg(F.sum("n_removed")).first()[0] == 0
+
+
 def test_suffix_groups_by_classes_equal_pairs(monkeypatch):
     rnd = random.Random(4)
     gram = bytes(rnd.randrange(97, 123) for _ in range(32))
@@ -233,7 +252,7 @@ def test_suffix_groups_by_classes_equal_pairs(monkeypatch):
     heads_ = [bytes(rnd.choice(b"ab") for _ in range(60)) for _ in range(4)]
     items = sorted((rnd.choice(tails)[: rnd.randint(85, 102)], rnd.choice(heads_)[-rnd.randint(20, 60) :]) for _ in range(9))
     shared = [suffix_dedup.shared_prefix(items[i - 1][0], items[i][0]) if i else 0 for i in range(9)]
-    args = (shared, [l for _, l in items], [max(0, 100 - len(s)) for s, _ in items], [len(l) for _, l in items], 100)
+    args = (shared, [l for _, l in items], [max(0, 100 - len(s)) for s, _ in items], [len(l) for _, l in items], 100, 32)
     flat = lambda out: [sorted({o for a, b in x for o in range(a, b + 1)}) for x in out]
     by_pairs = flat(suffix_dedup.equal_windows(*args))
     monkeypatch.setattr(suffix_dedup, "PAIRS", 0)
