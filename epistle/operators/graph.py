@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that executors and driver share; a temporary one only where none is set (tests)."""
+    """The folder that executors and driver share; one of this machine's own only where Spark runs on it alone and none is set."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
     at = spark.sparkContext._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="epistle-")
     spark.sparkContext.setCheckpointDir(path)
     return shared_dir(spark)
@@ -30,27 +32,31 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stars_only(edges: DataFrame) -> bool:
+    """Whether each node has one neighbour below it and none of those has one: the edges name their components then."""
+    per = edges.groupBy("a").agg(F.count("*").alias("c"))
+    tops = edges.select(F.col("b").alias("a")).distinct()
+    return not per.where("c > 1").select("a").union(per.select("a").join(tops, "a", "left_semi")).take(1)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b long): rows (id, root), root the smallest id reachable.
 
-    Alternating large-star and small-star steps; every step is a grouping on the edge table alone, which is
-    staged each round, so neither nodes nor edges reach the driver. Ends when no edge changes.
+    Alternating large-star and small-star steps; every step is a grouping on the edge table alone, so neither nodes
+    nor edges reach the driver. The least neighbours are staged before the edges meet them: a hub's edges so come from a
+    shuffle of their own, which adaptive execution splits. Ends as soon as the edges are stars.
     """
     e = staged(edges.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "edges")
-    seen = None
     for _ in range(rounds):
+        if stars_only(e):
+            break
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        low = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "low")
         large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = staged(large.where("a <> b").distinct(), "edges")
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a")
-        e = staged(small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            break
-        seen = now
+        down = staged(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        e = staged(small.union(down.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
     else:
         raise RuntimeError("components did not settle")
-    roots = e.groupBy("a").agg(F.min("b").alias("root"))
-    return roots.select(F.col("a").alias("id"), "root").union(roots.select("root", "root").distinct())
+    return e.select(F.col("a").alias("id"), F.col("b").alias("root")).union(e.select(F.col("b").alias("id"), F.col("b").alias("root")).distinct())
