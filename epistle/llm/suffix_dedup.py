@@ -364,7 +364,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     every = staged(docs.mapInPandas(listed, "id long, entry int, gram long, span long"), "entries")
     spans = every.groupBy("gram", "span").agg(F.count("*").alias("n"))
-    common = spans.groupBy("gram").agg(F.sum("n").alias("n"), F.count("*").alias("c")).where("n > 1").select("gram", "c")
+    # staged, so that a hot gram's entries meet it in a shuffle of their own, which adaptive execution splits
+    common = staged(spans.groupBy("gram").agg(F.sum("n").alias("n"), F.count("*").alias("c")).where("n > 1").select("gram", "c"), "common")
     open_ = staged(every.drop("span").join(common, "gram").select("id", "entry", F.lit(-1).alias("part"), "c"), "open")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shares = max(8, -(-chars // SHARE_CHARS))
