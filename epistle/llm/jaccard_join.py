@@ -10,13 +10,18 @@ sets of the group are linked, both are linked to it, so a star keeps the compone
 Heavy: larger sets are cut by hash range into one block more than partners may differ in elements, so linked sets agree on
 a whole block. At lower thresholds blocks are small and some are empty or hold one element; then some more blocks are
 cut than that and each set leaves out as many of its smallest, as the largest block that two linked sets agree on
-is left out by neither. Sets that agree on a block form candidate groups; within a group inverted lists are scanned and
-intersections counted in full. A group larger than a task's share is cut into chunks, and each two chunks meet
-in a task of their own.
+is left out by neither. The sets of a block are a candidate group, however large, and first each is held against the
+group's hub alone, its smallest id: that joins a cluster of near copies by as many comparisons as it has members.
+Sets that the hub does not link stay open. Jaccard distance is a metric, so an open set can be linked to one that the hub
+links only if their distances from the hub differ by no more than linked sets may be apart; just those stay with
+the open ones. What stays of a group and fits in one task has its inverted lists scanned there. What does not is dealt by
+the elements of the sets' prefixes (linked sets share one) and goes through the hub again. Groups that are still too
+large after ROUNDS of this are cut into chunks, and each two chunks meet in a task: the exact way for the rest.
 
 ``linked`` needs components only, so it keeps stars and spanning forests. ``links`` gives every linked pair of classes:
 in the light groups each two sets are paired that leave out nothing in common, which is so in the subset equal to
-their intersection alone, and the heavy scans hand on all verified pairs.
+their intersection alone, and in the heavy groups inverted lists are scanned and intersections counted in full, a
+pair being given in the least block that it agrees on.
 
 The boundary minimises the counted rows and list reads of both ways over the histogram of small sizes.
 """
@@ -45,6 +50,8 @@ SMALL = 48
 SHARE = 2_000_000
 #: Sets of a light group that one task pairs with each other.
 PAIRED = 1000
+#: How often a group that is too large for one task goes through a hub before it is cut into chunks.
+ROUNDS = 4
 
 
 def differ(a: int, percent: int = PERCENT) -> int:
@@ -156,7 +163,7 @@ def subsets_of(sets: DataFrame, boundary: int, percent: int, gone_too: bool) ->
 
 def met_in(subsets: DataFrame, percent: int) -> DataFrame:
     """The members of each subset's group that are linked to its smallest set, that one (``hub``) included."""
-    hubs = subsets.groupBy("sig", "s").agg(F.min(F.struct("n", "id")).alias("hub"), F.count("*").alias("c")).where("c > 1")
+    hubs = staged(subsets.groupBy("sig", "s").agg(F.min(F.struct("n", "id")).alias("hub"), F.count("*").alias("c")).where("c > 1"), "hubs")
     linked = 100 * F.col("s") >= percent * (F.col("n") + F.col("hub.n") - F.col("s"))
     return subsets.join(hubs, ["sig", "s"]).where(linked)
 
@@ -179,20 +186,62 @@ def light_pairs(sets: DataFrame, boundary: int, percent: int) -> DataFrame:
     return both.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
 
 
-def scan(ids: np.ndarray, sets: list[np.ndarray], percent: int, every: Callable[[int, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[int, int]]:
-    """Edges of a spanning forest of the linked sets of a group, from counts over inverted lists.
-
-    With ``every``, all linked pairs of places (i, others) for which it holds.
+class Group:
+    """The sets of a candidate group (sorted arrays of shingles), with their inverted lists."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.percent, self.wide = percent, 2 * percent - 100  # sets linked to a common one are at least ``wide`` similar
+        self.size = np.array([len(s) for s in sets], np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(self.size)])
+        self.item, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)[1:]
+        owner = np.repeat(np.arange(len(sets)), self.size)
+        rarest = np.lexsort((self.item, often[self.item], owner))  # each set's own items, rare ones first
+        rank = np.arange(len(owner)) - np.repeat(self.begin[:-1], self.size)
+        prefix = rarest[rank < (self.size + np.minimum(0, self.wide * self.size // -100) + 1)[owner]]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(owner[prefix], minlength=len(sets)))])
+        self.prefix = self.item[prefix]
+        by_item = np.argsort(self.prefix, kind="stable")
+        self.lists = owner[prefix][by_item]
+        self.list_begin = np.searchsorted(self.prefix[by_item], np.arange(len(often) + 1))
+        self.mark = np.zeros(len(often), bool)
+
+    @staticmethod
+    def gathered(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The places of the stretches of ``n`` places from ``begin`` on."""
+        return np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+
+    def shared(self, i: int, others: np.ndarray) -> np.ndarray:
+        """How many items set i shares with each of ``others``."""
+        own = self.item[self.begin[i] : self.begin[i + 1]]
+        self.mark[own] = True
+        n = self.size[others]
+        hit = self.mark[self.item[self.gathered(self.begin[others], n)]]
+        self.mark[own] = False
+        return np.bincount(np.repeat(np.arange(len(others)), n), hit, len(others)).astype(np.int64)
+
+    def similar(self, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+        both = self.shared(i, others)
+        return 100 * both >= percent * (self.size[i] + self.size[others] - both)
+
+    def around(self, i: int) -> np.ndarray:
+        """The other sets that are at least ``wide`` similar to set i."""
+        if self.wide <= 0:
+            return np.delete(np.arange(len(self.size)), i)
+        items = self.prefix[self.first[i] : self.first[i + 1]]
+        found = np.unique(self.lists[self.gathered(self.list_begin[items], self.list_begin[items + 1] - self.list_begin[items])])
+        found = found[found != i]
+        return found[self.similar(i, found, self.wide)]
+
+
+def spanning(ids: list[int], sets: list[np.ndarray], pre: list[bool], percent: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the linked sets of a group; those with ``pre`` are connected already.
+
+    Each set that no earlier pivot is linked to becomes a pivot and is held against all that inverted lists of rare
+    items show to be near. Links between sets of different pivots that are not connected yet can only be between those
+    which are near to each other's pivot.
     """
-    sizes = np.array([len(s) for s in sets])
-    order = np.argsort(np.concatenate(sets), kind="stable")
-    values = np.concatenate(sets)[order]
-    owner = np.repeat(np.arange(len(sets)), sizes)[order]
-    first = np.concatenate([[True], values[1:] != values[:-1]])
-    start = np.flatnonzero(first)
-    length = np.diff(np.concatenate([start, [len(values)]]))
-    keys = values[start]
-    root = list(range(len(sets)))
+    g, root = Group(sets, percent), list(range(len(sets)))
+    out = []
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -200,94 +249,222 @@ def scan(ids: np.ndarray, sets: list[np.ndarray], percent: int, every: Callable[
             x = root[x]
         return x
 
-    for i, s in enumerate(sets):
-        at = np.searchsorted(keys, s)
-        n = length[at]
-        places = np.repeat(start[at] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        both = np.bincount(owner[places], minlength=len(sets))[:i]
-        found = np.flatnonzero(100 * both >= percent * (sizes[:i] + sizes[i] - both))
-        if every is not None:
-            found = found[every(i, found)]
-            yield from zip(np.full(len(found), ids[i]).tolist(), ids[found].tolist(), strict=True)
+    def join(i: int, j: int) -> None:
+        a, b = find(i), find(j)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((ids[i], ids[j]))
+
+    known = np.flatnonzero(pre).tolist()
+    for i in known[1:]:
+        root[find(i)] = find(known[0])
+    pivot = np.full(len(sets), -1)
+    near: dict[int, np.ndarray] = {}
+    for i in range(len(sets)):
+        if pivot[i] >= 0:
             continue
-        for j in found:
-            a, b = find(i), find(int(j))
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                yield int(ids[i]), int(ids[j])
+        near[i] = g.around(i)
+        linked = near[i][g.similar(i, near[i], percent)]
+        for j in linked.tolist():
+            join(i, j)
+        pivot[linked[pivot[linked] < 0]] = i
+        pivot[i] = i
+    met: dict[tuple[int, int], list[int]] = {}
+    for q, found in near.items():
+        for x in found.tolist():
+            if pivot[x] != q:
+                met.setdefault((int(pivot[x]), q), []).append(x)
+    for (p, q), xs in met.items():
+        ys = np.array(met.get((q, p), []) if p < q else [], np.int64)
+        for x in xs if len(ys) else []:
+            if find(p) == find(q):
+                break
+            for y in ys[g.similar(x, ys, percent)][:1].tolist():
+                join(x, y)
+    return out
 
 
-def heavy_edges(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, k: int, percent: int, above: int | None = None) -> DataFrame:
-    """Edges of spanning forests of linked sets within candidate groups. ``groups``: id, n, root.
+def pairs(ids: list[int], sets: list[np.ndarray], percent: int, wanted: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
+    """All linked pairs of places (i, j) for which ``wanted`` holds, from counts over inverted lists."""
+    g = Group(sets, percent)
+    for i in range(1, len(sets)):
+        near = g.around(i)
+        near = near[near < i]
+        found = near[g.similar(i, near, percent)]
+        for j in found[wanted(i, found)].tolist():
+            yield ids[i], ids[j]
 
-    With ``above``, all linked pairs of which a set is larger than that.
-    """
-    totals = groups.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("members")).where("members > 1")
-    groups = staged(groups.join(totals, "root").select("id", "root", F.ceil(F.col("total") / SHARE).cast("int").alias("chunks")), "groups")
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Hashes()
+def with_sets(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """``rows`` (id and others), each with the set of its document as ``elements``."""
+    kept = [c for c in rows.columns if c != "id"]
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, last, elements = Hashes(), None, b""
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "root": b["root"], "chunks": b["chunks"], "elements": [shingles(t, hashes, k).tobytes() for t in b["text"]]})
+            out = []
+            for t in b["text"]:
+                if t is not last and t != last:  # rows of a document stand together
+                    last, elements = t, shingles(t, hashes, k).tobytes()
+                out.append(elements)
+            yield b[["id", *kept]].assign(elements=out)
+
+    per = staged(rows.groupBy("id").agg(F.collect_set(F.struct(*kept)).alias("rest")), "wanted")
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(if_small(per, per.count()), "id")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "id")
+    return text.select("id", "text", F.inline("rest")).select("id", *kept, "text").mapInPandas(sets, f"id long, {schema}, elements binary")
+
+
+def hubs_of(groups: DataFrame) -> DataFrame:
+    return staged(groups.groupBy("key").agg(F.min("id").alias("hub")), "hubs")
+
+
+def held_against_hubs(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """Each member of ``groups`` (key, id, n) against its group's hub: rows (hub, id, pre, open, far).
 
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(if_small(groups, groups.count()), "id")
-    sets = text.select("id", "root", "chunks", "text").mapInPandas(rows, "id long, root long, chunks int, elements binary")
+    ``pre``: the two are linked; ``open``: not every text of the id is, ``near`` the least distance of such a text from the
+    hub, ``far`` the largest of any. A hub with many members has its set copied to as many tasks as they fill.
+    """
+    hubs = hubs_of(groups)
+    met = staged(groups.join(if_small(hubs, hubs.count()), "key").where("id <> hub").groupBy("hub", "id").agg(F.max("n").alias("n")), "met")
+    load = staged(met.groupBy("hub").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / SHARE)).cast("int").alias("tasks")), "load")
+    members = met.join(if_small(load, load.count()), "hub").select("id", "hub", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int").alias("task"), F.lit(1).alias("side"))
+    centres = load.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("side"))
+    sets = with_sets(docs, members.union(centres), id_col, text_col, k)
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, centre = None, []
+        for b in batches:
+            out = []
+            for doc, e, hub, task, side in zip(b["id"], b["elements"], b["hub"], b["task"], b["side"], strict=True):
+                s = np.frombuffer(e, np.uint64)
+                if (hub, task) != at:
+                    at, centre = (hub, task), []
+                if side == 0:
+                    centre.append(s)
+                    continue
+                for c in centre:
+                    both = len(np.intersect1d(c, s, assume_unique=True))
+                    union = len(c) + len(s) - both
+                    out.append((hub, doc, 100 * both >= percent * union, 1 - both / max(1, union)))
+            yield pd.DataFrame(out, columns=["hub", "id", "pre", "d"])
+
+    dealt = sets.repartition(F.col("hub"), F.col("task")).sortWithinPartitions("hub", "task", "side").select("id", "elements", "hub", "task", "side")
+    found = dealt.mapInPandas(compared, "hub long, id long, pre boolean, d double")
+    return found.groupBy("hub", "id").agg(F.max("pre").alias("pre"), F.max(~F.col("pre")).alias("open"), F.min(F.when(~F.col("pre"), F.col("d"))).alias("near"), F.max("d").alias("far"))
+
+
+def still_open(groups: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """What stays of ``groups`` (key, id, n) after the hubs: rows (key, id, n, pre) of groups with an open set."""
+    apart = 1 - percent / 100 + 1e-9
+    hubs = staged(hubs_of(groups).join(held.where("open").select("hub").distinct(), "hub"), "hubs")
+    members = staged(groups.join(if_small(hubs, hubs.count()), "key").join(held, ["hub", "id"]).select("key", "id", "n", "pre", "open", "near", "far"), "members")
+    limits = staged(members.groupBy("key").agg(F.min("near").alias("least")).where("least is not null"), "limits")
+    stay = members.join(if_small(limits, limits.count()), "key").where(F.col("open") | (F.col("far") >= F.col("least") - F.lit(apart)))
+    return stay.select("key", "id", "n", "pre")
+
+
+def scanned(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, k: int, percent: int, above: int | None = None) -> DataFrame:
+    """Edges of spanning forests of linked sets within ``groups`` (key, id, n, pre, chunks), each two chunks of a group in a task.
+
+    With ``above``, all linked pairs of which a set is larger than that, once each; ``key`` is a block then.
+    """
+    ends = np.array(size_classes(1 << 40, percent), np.int64)
     own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
-    sets = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    sets = sets.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).select("root", "i", "j", "own", "id", "elements")
+    rows = groups.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("id", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "pre")
+    sets = with_sets(docs, rows, id_col, text_col, k)
 
-    def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, ids, own, sets_ = None, [], [], []
+    def tasks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, ids, own, pre, held = None, [], [], [], []
         edges: list[tuple[int, int]] = []
 
-        def group() -> Iterator[tuple[int, int]]:
+        def settle() -> None:
             if len(ids) < 2:
-                return iter(())
+                return
             if above is None:
-                return scan(np.array(ids), sets_, percent)
-            chunk, large = np.array(own), np.array([len(s) > above for s in sets_])
+                edges.extend(spanning(ids, held, pre, percent))
+                return
+            chunk, large = np.array(own), np.array([len(s) > above for s in held])
+            marks = [np.sort(np.concatenate(blocks(s, ends, percent))) for s in held]
+            block = np.array(key[0], np.int64).astype(np.uint64)
+            least_ = lambda i, j: np.intersect1d(marks[i], marks[j], assume_unique=False)[:1] == block
             once = key[1] == key[2]  # two sets of one chunk are paired where it meets itself
-            return scan(np.array(ids), sets_, percent, lambda i, js: (large[js] | large[i]) & (once | (chunk[js] != chunk[i])))
+            wanted = lambda i, js: (large[js] | large[i]) & (once | (chunk[js] != chunk[i])) & np.array([bool(least_(i, j).all()) for j in js], bool)
+            edges.extend(pairs(ids, held, percent, wanted))
 
         for b in batches:
-            for r, i, j, mine, doc, s in b.itertuples(index=False):
-                if (r, i, j) != key:
-                    for e in group():
-                        edges.append(e)
-                        if len(edges) >= 100_000:
-                            yield pd.DataFrame(edges, columns=["a", "b"])
-                            edges = []
-                    key, ids, own, sets_ = (r, i, j), [], [], []
-                ids.append(doc)
+            for doc, e, this, mine, was in zip(b["id"], b["elements"], zip(b["key"], b["i"], b["j"], strict=True), b["own"], b["pre"], strict=True):
+                if this != key:
+                    settle()
+                    key, ids, own, pre, held = this, [], [], [], []
+                ids.append(int(doc))
                 own.append(mine)
-                sets_.append(np.frombuffer(s, np.uint64))
-            if edges:
-                yield pd.DataFrame(edges, columns=["a", "b"])
-                edges = []
-        for e in group():
-            edges.append(e)
-            if len(edges) >= 100_000:
-                yield pd.DataFrame(edges, columns=["a", "b"])
-                edges = []
+                pre.append(bool(was))
+                held.append(np.frombuffer(e, np.uint64))
+            while len(edges) > 100_000:
+                yield pd.DataFrame(edges[:100_000], columns=["a", "b"])
+                del edges[:100_000]
+        settle()
         yield pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
-    return sets.repartition(F.col("root"), F.col("i"), F.col("j")).sortWithinPartitions("root", "i", "j", "id").mapInPandas(scanned, "a long, b long")
+    dealt = sets.repartition(F.col("key"), F.col("i"), F.col("j")).sortWithinPartitions("key", "i", "j", "id")
+    return dealt.select("id", "elements", "key", "i", "j", "own", "pre").mapInPandas(tasks, "a long, b long")
+
+
+def by_prefix(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """``groups`` (key, id, n) dealt anew by the elements of prefixes: linked sets share one of the n - ceil(n * percent / 100) + 1 least."""
+
+    def dealt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for doc, e, key in zip(b["id"], b["elements"], b["key"], strict=True):
+                s = np.sort(mixed(np.frombuffer(e, np.uint64)))
+                top = s[: len(s) - -(-percent * len(s) // 100) + 1]
+                out += [(x, doc, len(s)) for x in _signed(mixed(top ^ np.array(key, np.int64).astype(np.uint64))).tolist()]
+            yield pd.DataFrame(out, columns=["key", "id", "n"])
+
+    return with_sets(docs, groups.select("id", "key"), id_col, text_col, k).mapInPandas(dealt, "key long, id long, n long")
+
+
+def several(groups: DataFrame) -> DataFrame:
+    """``groups`` without groups of one id."""
+    many = staged(groups.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "keys")
+    return groups.join(if_small(many, many.count()), "key")
+
+
+def heavy_edges(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+    """Edges that connect all linked sets of candidate groups. ``groups``: key, id, n."""
+    edges = docs.sparkSession.createDataFrame([], "a long, b long")
+    for turn in range(ROUNDS + 1):
+        groups = staged(several(groups), "groups")
+        held = staged(held_against_hubs(docs, groups, id_col, text_col, k, percent), "held")
+        edges = edges.union(held.where("pre").select(F.col("id").alias("a"), F.col("hub").alias("b")))
+        if not held.where("open").take(1):
+            break
+        left = staged(still_open(groups, held, percent), "open")
+        sizes = staged(left.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / SHARE)).cast("int").alias("chunks"), F.count("*").alias("c")).where("c > 1").drop("c"), "sizes")
+        left = staged(left.join(sizes, "key"), "sized")
+        fits = left if turn == ROUNDS else left.where("chunks = 1")
+        edges = edges.union(scanned(docs, fits, id_col, text_col, k, percent))
+        rest = left.where("chunks > 1").select("key", "id", "n")
+        if turn == ROUNDS or not rest.take(1):
+            break
+        groups = by_prefix(docs, rest, id_col, text_col, k, percent) if turn == 0 else rest
+    return edges
 
 
 def prepared(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
-    """Profiles, classes (digest, class_id, n), the light sets, the candidate groups of the heavy ones, and the boundary."""
+    """Profiles, classes (digest, class_id, n), the light sets, the candidate groups (key, id, n) of the heavy ones, and the boundary."""
     base = staged(profiles(docs, id_col, text_col, k, percent), "profiles")
     classes = staged(base.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("class_id"), F.first("n").alias("n")), "classes")
     histogram = {r["n"]: r["count"] for r in classes.where(F.col("n") <= 2 * SMALL).groupBy("n").count().collect()}  # at most 2 * SMALL rows
     boundary = boundary_of(cost_of(histogram, percent))
-    heads = classes.select(F.col("class_id").alias("id")).distinct()
-    small = base.where(F.col("n").between(1, boundary) & F.col("id").isNotNull()).select("id", "n", "small").join(if_small(heads, heads.count()), "id", "left_semi")
-
-    marks = base.where(F.col("id").isNotNull() & (100 * F.col("n") >= percent * (boundary + 1))).select("id", F.explode("blocks").alias("sig"))
-    agree = Window.partitionBy("sig")
-    coarse = marks.select("id", F.min("id").over(agree).alias("lo")).where("id <> lo").select(F.col("id").alias("a"), F.col("lo").alias("b"))
-    groups = components(coarse).join(classes.select(F.col("class_id").alias("id"), "n"), "id")
-    return base, classes, small.select("id", "n", "small"), groups.select("id", "n", "root"), boundary
+    heads = classes.select("digest", F.col("class_id").alias("id"))
+    one = base.where("n > 0 and id is not null").join(if_small(heads, heads.count()), ["digest", "id"], "left_semi")
+    small = one.where(F.col("n") <= boundary).select("id", "n", "small")
+    marks = one.where(100 * F.col("n") >= percent * (boundary + 1)).select(F.explode("blocks").alias("key"), "id", "n")
+    return base, classes, small, marks, boundary
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -296,9 +473,12 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     Documents of one class are linked to each other and to all documents of the classes linked to it, so links per
     document are sums over class sizes. An id with several texts stands for each class that it is the smallest id of.
     """
-    _, _, small, groups, boundary = prepared(docs, id_col, text_col, k, percent)
-    pairs = light_pairs(small, boundary, percent).union(heavy_edges(docs, groups, id_col, text_col, k, percent, boundary))
-    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    _, _, small, marks, boundary = prepared(docs, id_col, text_col, k, percent)
+    groups = staged(several(marks), "groups")
+    sizes = staged(groups.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / SHARE)).cast("int").alias("chunks")), "sizes")
+    heavy = scanned(docs, groups.join(sizes, "key").withColumn("pre", F.lit(False)), id_col, text_col, k, percent, boundary)
+    both = light_pairs(small, boundary, percent).union(heavy)
+    return both.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -308,9 +488,14 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     component. Rows that share an id are one node, linked by either text; rows without an id link nothing and have a null
     component. Whole texts are used whatever their length; other columns are ignored; an empty table gives no rows.
     """
-    base, classes, small, groups, boundary = prepared(docs, id_col, text_col, k, percent)
+    base, classes, small, marks, boundary = prepared(docs, id_col, text_col, k, percent)
     slim = base.select("id", "n", "digest")
-    edges = light_edges(small, boundary, percent).union(heavy_edges(docs, groups, id_col, text_col, k, percent))
+    edges = light_edges(small, boundary, percent).union(heavy_edges(docs, marks, id_col, text_col, k, percent))
+
+    # an id with several texts is one node: its classes meet in it
+    same = slim.where("n > 0 and id is not null").join(classes.select("digest", "class_id"), "digest").where("id <> class_id").select(F.col("id").alias("a"), F.col("class_id").alias("b"))
+    double = staged(slim.where("n > 0 and id is not null").groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select(F.col("id").alias("a")), "double")
+    edges = edges.union(same.join(if_small(double, double.count()), "a", "left_semi"))
 
     roots = staged(components(edges), "roots")
     named = classes.select("digest", "class_id").join(if_small(roots.withColumnRenamed("id", "class_id"), roots.count()), "class_id", "left").select("digest", "class_id", F.coalesce("root", "class_id").alias("root"))

@@ -327,6 +327,63 @@ def test_light_and_heavy_agree(spark, boundary, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_links(near)
 
 
+@pytest.mark.parametrize("rounds", [0, 4])
+def test_jaccard_groups_too_large_for_a_task(spark, rounds, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "boundary_of", lambda _: 0)
+    monkeypatch.setattr(jaccard_join, "SHARE", 150)
+    monkeypatch.setattr(jaccard_join, "ROUNDS", rounds)
+    near = list(enumerate(t for t in near_copies(12) if len(t.split()) > 13))
+    got = jaccard_join.linked(spark.createDataFrame(near, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_links(near)
+
+
+def test_jaccard_block_of_many_sets(spark, monkeypatch):
+    """One block that 10,000 unlinked sets agree on costs rows in proportion to them."""
+    monkeypatch.setattr(jaccard_join, "SHARE", 20_000)
+    rows = [(i, 40, 7) for i in range(10_000)]
+    groups = spark.createDataFrame(rows, "id long, n long, key long").repartition(4)
+    docs = spark.createDataFrame([(i, " ".join(["same"] * 3 + [f"w{i}x{j}" for j in range(20)])) for i in range(10_000)], "doc_id long, text string").repartition(4)
+    counted = []
+    with_sets = jaccard_join.with_sets
+
+    def counting(docs, rows, *a):
+        counted.append(rows.count())
+        return with_sets(docs, rows, *a)
+
+    monkeypatch.setattr(jaccard_join, "with_sets", counting)
+    edges = jaccard_join.heavy_edges(docs, groups, "doc_id", "text", 3, 90)
+    assert edges.count() == 0 and sum(counted) < 6 * 10_000
+
+
+@pytest.mark.parametrize("percent", [45, 80, 90])
+def test_spanning_forest_of_a_group(percent):
+    rnd = random.Random(percent)
+    for _ in range(60):
+        base = [rnd.sample(range(400), rnd.randint(8, 40)) for _ in range(rnd.randint(1, 4))]
+        sets = []
+        for _ in range(rnd.randint(2, 25)):
+            s = set(rnd.choice(base))
+            for _ in range(rnd.randint(0, 4)):
+                s.discard(rnd.choice(sorted(s)))
+                s.add(rnd.randrange(400))
+            sets.append(np.array(sorted(s), np.uint64))
+        n = len(sets)
+        hits = [(i, j) for i in range(n) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j]))]
+
+        def parts(edges):
+            root = list(range(n))
+            for _ in range(n):
+                for i, j in edges:
+                    root[i] = root[j] = min(root[i], root[j])
+            return root
+
+        got = jaccard_join.spanning(list(range(n)), sets, [False] * n, percent)
+        assert parts(got) == parts(hits) and len(got) == n - len(set(parts(hits)))
+        if percent > 50:
+            every = jaccard_join.pairs(list(range(n)), sets, percent, lambda i, js: np.ones(len(js), bool))
+            assert sorted(every) == sorted(hits)
+
+
 def plain_pairs(pairs, sets_of, percent):
     first = {}
     for i, t in sorted(pairs):
