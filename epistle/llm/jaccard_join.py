@@ -48,6 +48,8 @@ PERCENT = 90
 SMALL = 48
 #: Shingles that one scanning task takes at once.
 SHARE = 2_000_000
+#: Shingles of members that one task holds against a hub.
+HELD = 1 << 15
 #: Sets of a light group that one task pairs with each other.
 PAIRED = 1000
 #: How often a group that is too large for one task goes through a hub before it is cut into chunks.
@@ -310,7 +312,7 @@ def with_sets(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, k: i
             yield b[["id", *kept]].assign(elements=out)
 
     per = staged(rows.groupBy("id").agg(F.collect_set(F.struct(*kept)).alias("rest")), "wanted")
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(if_small(per, per.count()), "id")
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(per, "id")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "id")
     return text.select("id", "text", F.inline("rest")).select("id", *kept, "text").mapInPandas(sets, f"id long, {schema}, elements binary")
 
@@ -325,10 +327,9 @@ def held_against_hubs(docs: DataFrame, groups: DataFrame, id_col: str, text_col:
     ``pre``: the two are linked; ``open``: not every text of the id is, ``near`` the least distance of such a text from the
     hub, ``far`` the largest of any. A hub with many members has its set copied to as many tasks as they fill.
     """
-    hubs = hubs_of(groups)
-    met = staged(groups.join(if_small(hubs, hubs.count()), "key").where("id <> hub").groupBy("hub", "id").agg(F.max("n").alias("n")), "met")
-    load = staged(met.groupBy("hub").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / SHARE)).cast("int").alias("tasks")), "load")
-    members = met.join(if_small(load, load.count()), "hub").select("id", "hub", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int").alias("task"), F.lit(1).alias("side"))
+    met = staged(groups.join(hubs_of(groups), "key").where("id <> hub").groupBy("hub", "id").agg(F.max("n").alias("n")), "met")
+    load = staged(met.groupBy("hub").agg(F.least(F.count("*"), F.greatest(F.lit(1), F.ceil(F.sum("n") / HELD))).cast("int").alias("tasks")), "load")
+    members = met.join(load, "hub").select("id", "hub", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int").alias("task"), F.lit(1).alias("side"))
     centres = load.select(F.col("hub").alias("id"), "hub", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("side"))
     sets = with_sets(docs, members.union(centres), id_col, text_col, k)
 
@@ -358,9 +359,9 @@ def still_open(groups: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     """What stays of ``groups`` (key, id, n) after the hubs: rows (key, id, n, pre) of groups with an open set."""
     apart = 1 - percent / 100 + 1e-9
     hubs = staged(hubs_of(groups).join(held.where("open").select("hub").distinct(), "hub"), "hubs")
-    members = staged(groups.join(if_small(hubs, hubs.count()), "key").join(held, ["hub", "id"]).select("key", "id", "n", "pre", "open", "near", "far"), "members")
+    members = staged(groups.join(hubs, "key").join(held, ["hub", "id"]).select("key", "id", "n", "pre", "open", "near", "far"), "members")
     limits = staged(members.groupBy("key").agg(F.min("near").alias("least")).where("least is not null"), "limits")
-    stay = members.join(if_small(limits, limits.count()), "key").where(F.col("open") | (F.col("far") >= F.col("least") - F.lit(apart)))
+    stay = members.join(limits, "key").where(F.col("open") | (F.col("far") >= F.col("least") - F.lit(apart)))
     return stay.select("key", "id", "n", "pre")
 
 
@@ -429,8 +430,7 @@ def by_prefix(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, k:
 
 def several(groups: DataFrame) -> DataFrame:
     """``groups`` without groups of one id."""
-    many = staged(groups.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "keys")
-    return groups.join(if_small(many, many.count()), "key")
+    return groups.join(staged(groups.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key"), "keys"), "key")
 
 
 def heavy_edges(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
@@ -438,6 +438,8 @@ def heavy_edges(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str,
     edges = docs.sparkSession.createDataFrame([], "a long, b long")
     for turn in range(ROUNDS + 1):
         groups = staged(several(groups), "groups")
+        if not groups.take(1):
+            break
         held = staged(held_against_hubs(docs, groups, id_col, text_col, k, percent), "held")
         edges = edges.union(held.where("pre").select(F.col("id").alias("a"), F.col("hub").alias("b")))
         if not held.where("open").take(1):
@@ -495,7 +497,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     # an id with several texts is one node: its classes meet in it
     same = slim.where("n > 0 and id is not null").join(classes.select("digest", "class_id"), "digest").where("id <> class_id").select(F.col("id").alias("a"), F.col("class_id").alias("b"))
     double = staged(slim.where("n > 0 and id is not null").groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select(F.col("id").alias("a")), "double")
-    edges = edges.union(same.join(if_small(double, double.count()), "a", "left_semi"))
+    edges = edges.union(same.join(double, "a", "left_semi"))
 
     roots = staged(components(edges), "roots")
     named = classes.select("digest", "class_id").join(if_small(roots.withColumnRenamed("id", "class_id"), roots.count()), "class_id", "left").select("digest", "class_id", F.coalesce("root", "class_id").alias("root"))
