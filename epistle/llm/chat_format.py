@@ -1,7 +1,7 @@
 """Chat formatting into prefix trees.
 
-Conversations are sorted by the hashes of their turns, so that those which share initial turns stand side by
-side; one pass over each sorted partition then writes a tree depth first: a turn that continues the path of the
+Conversations are sorted by the hashes of all their turns, so that those which share initial turns stand side by
+side, and take their rank in that order; one pass over each partition of ranks then writes a tree depth first: a turn that continues the path of the
 conversation before is not written again. Every written turn has its token ids, the position of its first
 token on its path, and the intervals of the pack that its ancestors occupy, to which it may attend. A pack is
 a tree sequence of about PACK tokens; the next pack, and each partition, starts with whole paths again, so a first
@@ -28,8 +28,8 @@ from .packing import encoder
 
 OPEN, MID, CLOSE = "### ", "\n", "</turn>\n"
 PACK = 1 << 18
-#: Turns whose hashes make the sort key; sharing beyond them is still found between neighbours.
-KEY_TURNS = 16
+#: A pack is also closed after so many conversations: equal ones add no tokens.
+MOST = 2000
 
 _CONTROL = re.compile(r"\\|</turn>|###")
 _ESCAPED = re.compile(r"\\(\\|</turn>|###|n)")
@@ -63,25 +63,29 @@ def trees(conversations: DataFrame, tokenizer: str, loss_role: str = "assistant"
     """The table NODES: a row for each turn that is written, and one with ``ended`` for each conversation.
 
     Rows of a conversation are ordered by turn (null first), then role and text, so repeated rows are turns of
-    their own in a fixed order. Null texts and roles are empty; rows without an id form one conversation.
-    Further columns are ignored; an empty table gives no rows. ``loss_start`` and ``loss_end`` bound the tokens of a
+    their own in a fixed order. Null texts and roles are empty; each row without an id is a conversation of its own.
+    Whole texts are used; a conversation, however long, is written by one task, row by row. Further columns are ignored; an empty table gives no rows. ``loss_start`` and ``loss_end`` bound the tokens of a
     ``loss_role`` text, relative to the pack; the last row of a conversation has its whole path as ``ancestors``.
     """
     t = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    # rows without an id are told apart by number, so they are never one group
+    t = staged(t.withColumn("lone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).otherwise(-1)), "rows")
+    order = Window.partitionBy("conv_id", "lone").orderBy("turn", "role", "text")
     t = staged(t.withColumn("i", F.row_number().over(order) - 1), "turns")
-    head = t.where(F.col("i") < KEY_TURNS).select("conv_id", "i", F.lpad(F.hex(F.xxhash64("role", "text")), 16, "0").alias("h"))
-    path = head.groupBy("conv_id").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"])).alias("path"))
-    path = path.withColumnRenamed("conv_id", "c")
-    rows = staged(t.join(path, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c", "turn"), "paths")
+    hashes = t.select("conv_id", "lone", "i", F.lpad(F.hex(F.xxhash64("role", "text")), 16, "0").alias("h"))
+    path = hashes.groupBy("conv_id", "lone").agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"])).alias("path"))
     n = max(1, int(conversations.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartitionByRange(n, "path", "conv_id").sortWithinPartitions("path", "conv_id", "i")
+    # a path stands once for each conversation; its turns carry the rank alone
+    ranked = path.repartitionByRange(n, "path", "conv_id", "lone").sortWithinPartitions("path", "conv_id", "lone")
+    ranked = staged(ranked.select(F.col("conv_id").alias("c"), F.col("lone").alias("l"), F.monotonically_increasing_id().alias("rank")), "ranks")
+    rows = staged(t.join(ranked, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("lone") == F.col("l"))).drop("c", "l", "lone", "turn"), "paths")
+    rows = rows.repartitionByRange(n, "rank").sortWithinPartitions("rank", "i")
 
     def grow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, pack, seq, size = encoder(tokenizer), TaskContext.get().partitionId() << 32, 0, 0
         ids_of = lambda s: np.frombuffer(encode(s), "<u4").astype(np.int32)
         stack: list[tuple[bytes, int, tuple]] = []  # digest, position after it, intervals up to and with it
-        now, depth, sharing, begun = None, 0, True, False
+        now, depth, sharing, begun, held = None, 0, True, False, 0
         out: list[tuple] = []
 
         def end() -> None:
@@ -94,8 +98,9 @@ def trees(conversations: DataFrame, tokenizer: str, loss_role: str = "assistant"
                 if i == 0:  # rows come in order, so a conversation starts
                     if begun:
                         end()
-                    if size > PACK:
-                        pack, seq, size, stack = pack + 1, 0, 0, []
+                    if size > PACK or held >= MOST:
+                        pack, seq, size, stack, held = pack + 1, 0, 0, [], 0
+                    held += 1
                     now, depth, sharing, begun = None if pd.isna(conv) else int(conv), 0, True, True
                 digest = hashlib.blake2b(f"{len(role)} {role}{text}".encode("utf-8", "surrogatepass"), digest_size=16).digest()
                 sharing = sharing and depth < len(stack) and stack[depth][0] == digest

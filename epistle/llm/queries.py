@@ -106,14 +106,14 @@ from d"""
 _OP3 = r"""
 with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
            union all select -7, i, r, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) v(i, r)),
-x as (select *, replace(replace(replace(text, '\', '\\'), '</turn>', '\</turn>'), '###', '\###') as body,
+x as (select *, row_number() over () as n, replace(replace(replace(text, '\', '\\'), '</turn>', '\</turn>'), '###', '\###') as body,
              replace(replace(replace(replace(role, '\', '\\'), '</turn>', '\</turn>'), '###', '\###'), chr(10), '\n') as head from t)
 select conv_id, count(*) as n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
        coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
        sum(length(head) + length(body) + 13)::bigint as formatted_chars
-from x group by conv_id"""
+from x group by conv_id, case when conv_id is null then n end"""
 
 _OP2 = rf"""
 with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '{SQL_WORD}') as w from documents),

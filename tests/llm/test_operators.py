@@ -174,6 +174,30 @@ def test_mixing_is_unbiased_and_bounded(spark):
     assert all(abs(r.t - r.g) <= 5 and r.c == pytest.approx(r.r, abs=0.05) for r in got)
 
 
+def test_mixing_ends_on_a_short_document(spark):
+    """Where a source has a few very long documents, its words still come near the target."""
+    rnd = random.Random(4)
+    sizes = [(i, 3000 if i % 40 == 0 else 20 + rnd.randrange(60), "abcd"[i % 4]) for i in range(4000)]
+    many = spark.createDataFrame(sizes, "doc_id long, n int, source string").selectExpr("doc_id", "repeat('w ', n) text", "source")
+    got = mixing.mixture(many).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g")).collect()
+    assert len(got) == 4 and all(abs(r.t - r.g) <= 100 for r in got)
+
+
+def test_mixing_targets_over_many_sources(spark):
+    sizes = [(f"s{i:04d}", (i * 37) % 500) for i in range(700)] + [(None, 90)]
+    got = {r.source: r for r in mixing.targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
+    weight = {s: (1, 2, 3)[k % 3] for k, (s, _) in enumerate(sorted(sizes, key=lambda x: (x[0] is None, x[0])))}
+    size, capped = dict(sizes), set()
+    while True:
+        rest, free = sum(size.values()) - sum(3 * size[s] for s in capped), [s for s in size if s not in capped]
+        share = {s: rest * weight[s] / sum(weight[f] for f in free) for s in free}
+        over = {s for s in free if share[s] > 3 * size[s]}
+        if not over:
+            break
+        capped |= over
+    assert all(got[s].target == pytest.approx(3 * size[s] if s in capped else share[s]) and got[s].weight == weight[s] for s in size)
+
+
 def plain_substring(pairs, n=13):
     first = {}
     for i, t in pairs:
@@ -525,7 +549,7 @@ def test_encoder_equals_tokenizer(rows):
 CHATS = [
     (1, 0, "user", "hello"), (1, 1, "assistant", "hi \\ </turn> ### there"), (2, 0, "user", "hello"), (2, 1, "assistant", "other\\"), (2, 2, "user", None),
     (3, 0, "user", "hello"), (3, 1, "assistant", "hi \\ </turn> ### there"), (4, 5, "sys\ntem", ""), (4, None, "assistant", "née   \U0001f600"),
-    (5, 0, None, "x" * 30000), (5, 1, "assistant", "\\### Assistant: </turn> ok"), (6, 0, "user", "same"), (6, 0, "user", "same"), (None, 0, "assistant", "no id"),
+    (5, 0, None, "x" * 30000), (5, 1, "assistant", "\\### Assistant: </turn> ok"), (6, 0, "user", "same"), (6, 0, "user", "same"), (None, 0, "assistant", "no id"), (None, 1, "user", "nor this"),
 ]
 
 
@@ -533,8 +557,9 @@ def test_chat_format(spark):
     df = spark.createDataFrame([(*r, 1, 2) for r in CHATS], "conv_id long, turn long, role string, text string, i long, path long").repartition(3)
     nodes = chat_format.trees(df, TOKENIZER)
     want = []
-    for conv in {r[0] for r in CHATS}:
-        own = sorted((r for r in CHATS if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
+    lone = [(r,) for r in CHATS if r[0] is None]
+    for conv, of in [(c, [r for r in CHATS if r[0] == c]) for c in {r[0] for r in CHATS} - {None}] + [(None, list(x)) for x in lone]:
+        own = sorted(of, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
         said = "".join(r[3] or "" for r in own if r[2] == "assistant")
         text = "".join(f"{r[2] or ''}\n{r[3] or ''}\n" for r in own)
         want.append((str(conv), len(own), hashlib.sha256(text.encode()).hexdigest(), len(said), hashlib.sha256(said.encode()).hexdigest()))
@@ -551,11 +576,32 @@ def test_chat_shares_turns_once(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     written = [r for r in nodes if not r.ended]
     assert len(written) == len(CHATS) - 3  # "hello" twice and the reply once are shared
-    assert sum(r.ended for r in nodes) == len({r[0] for r in CHATS})
+    assert sum(r.ended for r in nodes) == len({r[0] for r in CHATS}) + 1  # two rows have no id
     for r in written:  # ancestors fill the positions before a turn
         assert sum(s.stop - s.start for s in r.ancestors) == r.position and all(s.stop <= r.start for s in r.ancestors)
 
 
+def test_chat_shares_turns_of_long_conversations(spark):
+    turns = lambda conv, own: [(conv, i, "user", f"turn {i}" if i < 16 else f"{own} {i}") for i in range(24)]
+    df = spark.createDataFrame(turns(1, "a") + turns(2, "b") + turns(3, "a"), "conv_id long, turn long, role string, text string")
+    nodes = chat_format.trees(df.repartition(3), TOKENIZER).collect()
+    parts = len({r.pack >> 32 for r in nodes})
+    assert parts > 1 or sum(not r.ended for r in nodes) == 32
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert sum(not r.ended for r in chat_format.trees(df, TOKENIZER).collect()) == 32
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_chat_packs_of_equal_conversations_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "MOST", 5)
+    df = spark.createDataFrame([(i, j, "user", "same") for i in range(40) for j in range(2)], "conv_id long, turn long, role string, text string")
+    nodes = chat_format.trees(df, TOKENIZER)
+    assert max(r["count"] for r in nodes.where("ended").groupBy("pack").count().collect()) <= 5
+    assert len({r.turns_sha256 for r in chat_format.read_back(nodes, TOKENIZER).collect()}) == 1
+
+
 def test_pseudonyms(spark, docs, rows, none):
     p = pseudonyms.Pseudonyms(b"k")
     assert sorted(p.permute(x, 1000, "t") for x in range(1000)) == list(range(1000)) and p.permute(0, 1, "t") == 0
