@@ -20,7 +20,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.deduplicated(table(spark, sf_dir, "documents")).drop("kept_text")
+    return substring_dedup.deduplicated(table(spark, sf_dir, "documents")).withColumnRenamed("kept_text", "text")
 
 
 def tokenizer_path() -> str:
@@ -123,7 +123,7 @@ dup as (select doc_id, i from (select *, min(doc_id) over (partition by g) as lo
 gone as (select distinct doc_id, i + k as i from dup, (select unnest(range(13)) as k)),
 pos as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d),
 kept as (select pos.doc_id, string_agg(w[i], ' ' order by i) as t, count(*) as n from pos anti join gone using (doc_id, i) group by pos.doc_id)
-select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256
+select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256, coalesce(t, '') as text
 from d left join kept using (doc_id)"""
 
 ORACLE_SQL = {"op2_substring_dedup": _OP2, "op3_chat_format": _OP3, "op6_quality_rules": _OP6, "op7_exact_dedup": _OP7}

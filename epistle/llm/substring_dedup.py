@@ -2,20 +2,24 @@
 
 A run of windows that share their least gram (winnowing) makes one index entry: that gram's hash as fingerprint,
 and a hash of all the words that these windows span. A batch of documents becomes a sorted run of packed entries,
-dealt by fingerprint; each share is merged with the same share of all older runs:
+dealt by ranges of fingerprints; each share is merge-joined with the same share of all older runs:
 
-* an entry whose span occurs in an earlier document is removed whole;
+* an entry whose span occurs in an earlier document is removed whole (fingerprint and span are 48 bits each);
 * entries of equal fingerprint but different spans agree in some windows at most: only for these, windows are
   hashed one by one from the texts and compared (verification);
 * all other entries hold no repeated window.
 
-The entries that are new become an immutable run; where FANOUT runs of a level have gathered they are compacted into
-one of the next level, which keeps the earliest document of each span.
+The entries that are new become an immutable run; where FANOUT runs of a level have gathered they are merged into
+one of the next level, which keeps the earliest document of each span. Runs and the manifest that names them lie in a folder,
+so an index is opened again for the next batch. Ranges halve as the index grows; older runs, dealt
+by wider ones, are cut where they are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +27,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import shared_dir, staged
 from .hashing import Hashes, anchors, heads, ranges
 
 WINDOW = 13
 GRAM = 4
-FANOUT = 4
+FANOUT = 2
 #: Characters of text for each share of the index; some 250,000 entries.
 SHARE_CHARS = 8_000_000
 LOW48 = np.uint64((1 << 48) - 1)
@@ -69,12 +73,95 @@ def frame(**columns) -> pd.DataFrame:
     return df[COLUMNS].astype({"share": "Int32", "id": "Int64", "entry": "Int32", "span": "Int64", "old": "boolean", "sure": "boolean"})
 
 
+Run = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # fingerprints, spans, ids, entries, from an older run
+
+
+def sort_keys(p: np.ndarray, s: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Byte strings in order of (fingerprint, span, id)."""
+    raw = np.empty((len(p), 20), np.uint8)
+    wide = lambda x: x.astype(">u8").view(np.uint8).reshape(-1, 8)
+    raw[:, :6], raw[:, 6:12], raw[:, 12:] = wide(p)[:, 2:], wide(s)[:, 2:], wide(ids.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63))
+    return raw.view("S20").ravel()
+
+
+def merged_runs(runs: list[Run]) -> Run:
+    """One sorted run of sorted runs: the two shortest are merged, the shorter one's places found in the longer one, until one is left."""
+    heap = [(len(r[0]), k, sort_keys(*r[:3]), r) for k, r in enumerate(runs)]
+    heapq.heapify(heap)
+    tick = len(heap)
+    while len(heap) > 1:
+        n, _, kb, b = heapq.heappop(heap)
+        m, _, ka, a = heapq.heappop(heap)
+        at = np.searchsorted(ka, kb, side="right") + np.arange(n)
+        rest = np.ones(n + m, bool)
+        rest[at] = False
+        out = []
+        for x, y in zip((ka, *a), (kb, *b), strict=True):
+            z = np.empty(n + m, x.dtype)
+            z[at], z[rest] = y, x
+            out.append(z)
+        heapq.heappush(heap, (n + m, tick, out[0], tuple(out[1:])))
+        tick += 1
+    return heap[0][3]
+
+
+def by_share(p: np.ndarray, bits: int) -> list[tuple[int, slice]]:
+    """The stretches of sorted fingerprints that each of 2 ** ``bits`` ranges holds."""
+    share = (p >> np.uint64(48 - bits)).astype(np.int32)
+    cuts = np.flatnonzero(heads(share))
+    return [(int(share[i]), slice(i, j)) for i, j in zip(cuts, [*cuts[1:], len(p)], strict=True)]
+
+
 class SubstringIndex:
-    """Runs of entries of all documents added so far; add batches in order of ascending ids."""
+    """Runs of entries of all documents added so far, in a folder; add batches in order of ascending ids.
 
-    def __init__(self, spark: SparkSession, shares: int, window: int = WINDOW, gram: int = GRAM):
-        self.spark, self.shares, self.window, self.gram = spark, shares, window, gram
-        self.levels: list[list[DataFrame]] = [[]]
+    ``create`` begins an index, ``open`` goes on with one, in this session or a later one. The manifest is appended to after a run
+    is written, so a batch that fails leaves the index as it was.
+    """
+
+    MANIFEST = "version long, level int, name string, bits int, chars long, window int, gram int"
+
+    def __init__(self, spark: SparkSession, path: str, version: int, runs: list[tuple[int, str, int]], chars: int, window: int, gram: int):
+        self.spark, self.path, self.version, self.runs, self.chars, self.window, self.gram = spark, path, version, runs, chars, window, gram
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, window: int = WINDOW, gram: int = GRAM) -> SubstringIndex:
+        index = cls(spark, path, 0, [], 0, window, gram)
+        index.save([], 0)
+        return index
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> SubstringIndex:
+        rows = spark.read.schema(cls.MANIFEST).json(f"{path}/manifest")
+        last = rows.agg(F.max("version")).first()[0]
+        found = rows.where(F.col("version") == last).collect()  # one row a run
+        runs = sorted((r["level"], r["name"], r["bits"]) for r in found if r["name"])
+        return cls(spark, path, last, runs, found[0]["chars"], found[0]["window"], found[0]["gram"])
+
+    def save(self, runs: list[tuple[int, str, int]], chars: int) -> None:
+        rows = [(self.version + 1, *r, chars, self.window, self.gram) for r in runs or [(None, None, None)]]
+        self.spark.createDataFrame(rows, self.MANIFEST).coalesce(1).write.mode("append").json(f"{self.path}/manifest")
+        self.version, self.runs, self.chars = self.version + 1, runs, chars
+
+    def read(self, run: tuple[int, str, int], bits: int) -> DataFrame:
+        """A run's rows (share, run), dealt by ``bits``."""
+        rows = self.spark.read.schema("share int, run binary").parquet(f"{self.path}/runs/{run[1]}")
+        if run[2] == bits:
+            return rows
+
+        def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for r in b["run"]:
+                    parts = unpacked(r)
+                    own = by_share(parts[0], bits)
+                    yield pd.DataFrame({"share": [k for k, _ in own], "run": [packed(*(x[at] for x in parts)) for _, at in own]})
+
+        return rows.mapInPandas(cut_up, "share int, run binary")
+
+    def write(self, rows: DataFrame) -> str:
+        name = uuid.uuid4().hex[:12]
+        rows.write.parquet(f"{self.path}/runs/{name}")
+        return name
 
     def add(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Merge the documents (id, text) of ``batch`` with all runs.
@@ -82,7 +169,9 @@ class SubstringIndex:
         Returns (id, entry, span) of entries to remove whole, and (id, entry) whose windows need comparing, of
         older documents too.
         """
-        window, gram, shares = self.window, self.gram, self.shares
+        window, gram = self.window, self.gram
+        chars = self.chars + (batch.agg(F.sum(F.length("text"))).first()[0] or 0)
+        bits = max(3, (chars // SHARE_CHARS).bit_length())
 
         def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             hashes = Hashes()
@@ -103,24 +192,17 @@ class SubstringIndex:
                 if late.any():
                     yield frame(id=ids[late], entry=at[late], span=s[late].view(np.int64), sure=True)
                 p, s, ids, at = p[~late], s[~late], ids[~late], at[~late]
-                share = (p % np.uint64(shares)).astype(np.int32)
-                order = np.argsort(share, kind="stable")
-                cuts = np.flatnonzero(heads(share[order]))
-                rows = [(int(share[x[0]]), packed(p[x], s[x], ids[x], at[x])) for x in np.split(order, cuts[1:])]
+                rows = [(k, packed(p[x], s[x], ids[x], at[x])) for k, x in by_share(p, bits)]
                 yield frame(share=[r[0] for r in rows], run=[r[1] for r in rows])
 
         fresh = staged(batch.select("id", "text").where("id is not null").mapInPandas(prints, OUT), "run")
-        old = [r.select("share", "run", F.lit(True).alias("old")) for level in self.levels for r in level]
         both = fresh.where("run is not null").select("share", "run", F.lit(False).alias("old"))
-        for r in old:
-            both = both.union(r)
+        for r in self.runs:
+            both = both.union(self.read(r, bits).withColumn("old", F.lit(True)))
 
         def merge(df: pd.DataFrame) -> pd.DataFrame:
             parts = [unpacked(r) for r in df["run"]]
-            was = np.repeat(df["old"].to_numpy(bool), [len(p[0]) for p in parts])
-            p, s, ids, at = map(np.concatenate, zip(*parts, strict=True))
-            order = np.lexsort((ids, s, p))
-            p, s, ids, at, was = p[order], s[order], ids[order], at[order], was[order]
+            p, s, ids, at, was = merged_runs([(*x, np.full(len(x[0]), old)) for x, old in zip(parts, df["old"].to_numpy(bool), strict=True)])
             new = heads(p, s)
             group = np.cumsum(new) - 1
             start = np.flatnonzero(new)
@@ -140,28 +222,30 @@ class SubstringIndex:
             return pd.concat(out) if out else frame(share=[])
 
         done = staged(both.groupBy("share").applyInPandas(merge, OUT), "merged")
-        self.levels[0].append(done.where("run is not null").select("share", "run"))
-        self.compact()
+        name = self.write(done.where("run is not null").select("share", "run"))
+        self.save(self.compacted([*self.runs, (0, name, bits)], bits), chars)
         marks = lambda df, sure: df.where(F.col("sure") == sure).select("id", "entry", "span")
         return marks(fresh, True).union(marks(done, True)), marks(done, False).select("id", "entry")
 
-    def compact(self) -> None:
-        for k, level in enumerate(list(self.levels)):
-            if len(level) >= FANOUT:
-                runs = level[0]
-                for r in level[1:]:
-                    runs = runs.union(r)
-
-                def merge(df: pd.DataFrame) -> pd.DataFrame:
-                    p, s, ids, at = map(np.concatenate, zip(*map(unpacked, df["run"]), strict=True))
-                    order = np.lexsort((ids, s, p))
-                    order = order[heads(p[order], s[order])]
-                    return pd.DataFrame({"share": df["share"].iloc[:1], "run": [packed(p[order], s[order], ids[order], at[order])]})
+    def compacted(self, runs: list[tuple[int, str, int]], bits: int) -> list[tuple[int, str, int]]:
+        """``runs`` with FANOUT of a level merged into one of the next, for as long as there are so many."""
 
-                if k + 1 == len(self.levels):
-                    self.levels.append([])
-                self.levels[k + 1].append(staged(runs.groupBy("share").applyInPandas(merge, "share int, run binary"), f"level{k + 1}"))
-                self.levels[k] = []
+        def merge(df: pd.DataFrame) -> pd.DataFrame:
+            p, s, ids, at, _ = merged_runs([(*x, np.zeros(len(x[0]), bool)) for x in map(unpacked, df["run"])])
+            first = heads(p, s)
+            return pd.DataFrame({"share": df["share"].iloc[:1], "run": [packed(p[first], s[first], ids[first], at[first])]})
+
+        level = 0
+        while level <= max(r[0] for r in runs):
+            own = [r for r in runs if r[0] == level]
+            if len(own) >= FANOUT:
+                rows = self.read(own[0], bits)
+                for r in own[1:]:
+                    rows = rows.union(self.read(r, bits))
+                name = self.write(rows.groupBy("share").applyInPandas(merge, "share int, run binary"))
+                runs = [r for r in runs if r[0] != level] + [(level + 1, name, bits)]
+            level += 1
+        return runs
 
 
 def with_marks(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
@@ -221,7 +305,7 @@ def cut(docs: DataFrame, sure: DataFrame, windows: DataFrame, window: int, gram:
     return with_marks(docs, marks, "left").mapInPandas(rows, "id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = 2) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, batches: int = 3) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256, kept_text.
 
     A word goes when a window that covers it also starts in a document with a smaller id, in the texts as given.
@@ -231,17 +315,18 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     cuts = [k / batches for k in range(1, batches)]
-    chars, ends = docs.agg(F.sum(F.length("text")), F.percentile_approx("id", F.lit(cuts) if cuts else F.lit([1.0]), 10_000)).first()
+    ends = docs.agg(F.percentile_approx("id", F.lit(cuts) if cuts else F.lit([1.0]), 10_000)).first()[0]
     ends = sorted({int(x) for x in ends or []})[: len(cuts)]
-    index = SubstringIndex(docs.sparkSession, max(8, -(-(chars or 0) // SHARE_CHARS)), window, gram)
-    sure = windows = None
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/epistle/{spark.sparkContext.applicationId}/index-{uuid.uuid4().hex[:12]}"
+    SubstringIndex.create(spark, path, window, gram)
+    sure = open_ = None
     for lo, hi in zip([None, *ends], [*ends, None], strict=True):
         part = docs.where("id is not null")
         part = part if lo is None else part.where(F.col("id") > lo)
         part = part if hi is None else part.where(F.col("id") <= hi)
-        whole, open_ = index.add(part)
-        found = repeated_windows(docs if hi is None else docs.where(F.col("id") <= hi), open_, window, gram)
-        found = found if lo is None else found.where(F.col("id") > lo)
+        whole, some = SubstringIndex.open(spark, path).add(part)
         sure = whole if sure is None else sure.union(whole)
-        windows = found if windows is None else windows.union(found)
+        open_ = some if open_ is None else open_.union(some)
+    windows = repeated_windows(docs, open_, window, gram)
     return cut(docs, sure, windows, window, gram).withColumnRenamed("id", id_col)

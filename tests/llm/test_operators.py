@@ -214,7 +214,7 @@ def plain_substring(pairs, n=13):
     return sorted(out)
 
 
-@pytest.mark.parametrize("batches", [1, 2, 6])
+@pytest.mark.parametrize("batches", [1, 3])
 def test_substring_dedup(docs, rows, none, batches):
     got = substring_dedup.deduplicated(docs, batches=batches).collect()
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == plain_substring([r[:2] for r in rows])
@@ -222,13 +222,30 @@ def test_substring_dedup(docs, rows, none, batches):
         assert substring_dedup.deduplicated(none).count() == 0
 
 
-def test_substring_index_compacts(spark):
-    index = substring_dedup.SubstringIndex(spark, 2)
+def test_substring_index_is_opened_again_and_compacts(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "index")
+    substring_dedup.SubstringIndex.create(spark, path)
     text = " ".join(f"w{i}" for i in range(40))
-    for k in range(substring_dedup.FANOUT + 1):
-        sure, _ = index.add(spark.createDataFrame([(k, text), (None, text)], "id long, text string"))
-        assert (sure.count() > 0) == (k > 0)
-    assert [len(x) for x in index.levels] == [1, 1]
+    for k in range(5):
+        monkeypatch.setattr(substring_dedup, "SHARE_CHARS", 1 << (12 - 2 * k))  # ranges halve, older runs are cut
+        index = substring_dedup.SubstringIndex.open(spark, path)
+        own = " ".join(f"own{k}x{i}" for i in range(30))
+        sure, _ = index.add(spark.createDataFrame([(k, f"{text} {own}"), (None, text)], "id long, text string"))
+        assert {r.id for r in sure.collect()} == ({k} if k else set())
+    again = substring_dedup.SubstringIndex.open(spark, path)
+    assert [r[0] for r in sorted(again.runs)] == [0, 2] and again.version == 6
+
+
+def test_merged_runs_are_sorted():
+    rnd = np.random.default_rng(3)
+    runs = []
+    for n in (0, 1, 7, 40, 3):
+        p, s, ids = rnd.integers(0, 5, n).astype(np.uint64) << np.uint64(40), rnd.integers(0, 300, n).astype(np.uint64), rnd.integers(-9, 9, n)
+        order = np.lexsort((ids, s, p))
+        runs.append((p[order], s[order], ids[order], np.arange(n, dtype=np.int32), np.full(n, n == 7)))
+    got = substring_dedup.merged_runs(runs)
+    want = sorted(zip(*(np.concatenate(x).tolist() for x in list(zip(*runs))[:3])))
+    assert list(zip(*(x.tolist() for x in got[:3]))) == want and got[4].sum() == 7
 
 
 def plain_suffix(pairs, n):
