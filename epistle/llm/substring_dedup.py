@@ -145,7 +145,7 @@ class SubstringIndex:
 
     def read(self, run: tuple[int, str, int], bits: int) -> DataFrame:
         """A run's rows (share, run), dealt by ``bits``."""
-        rows = self.spark.read.schema("share int, run binary").parquet(f"{self.path}/runs/{run[1]}")
+        rows = self.spark.read.schema("share int, run binary").parquet(f"{self.path}/runs/{run[1]}").where("run is not null")
         if run[2] == bits:
             return rows
 
@@ -190,17 +190,20 @@ class SubstringIndex:
                 least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
                 late = ids > least  # an earlier document of this very batch has the span
                 if late.any():
-                    yield frame(id=ids[late], entry=at[late], span=s[late].view(np.int64), sure=True)
+                    yield frame(share=(p[late] >> np.uint64(48 - bits)).astype(np.int32), id=ids[late], entry=at[late], span=s[late].view(np.int64), sure=True)
                 p, s, ids, at = p[~late], s[~late], ids[~late], at[~late]
                 rows = [(k, packed(p[x], s[x], ids[x], at[x])) for k, x in by_share(p, bits)]
                 yield frame(share=[r[0] for r in rows], run=[r[1] for r in rows])
 
-        fresh = staged(batch.select("id", "text").where("id is not null").mapInPandas(prints, OUT), "run")
-        both = fresh.where("run is not null").select("share", "run", F.lit(False).alias("old"))
+        both = batch.select("id", "text").where("id is not null").mapInPandas(prints, OUT).withColumn("old", F.lit(False))
         for r in self.runs:
-            both = both.union(self.read(r, bits).withColumn("old", F.lit(True)))
+            both = both.unionByName(self.read(r, bits).withColumn("old", F.lit(True)), allowMissingColumns=True)
 
         def merge(df: pd.DataFrame) -> pd.DataFrame:
+            known = df[df["run"].isna()]  # settled within the batch
+            df = df[df["run"].notna()]
+            if not len(df):
+                return known[COLUMNS]
             parts = [unpacked(r) for r in df["run"]]
             p, s, ids, at, was = merged_runs([(*x, np.full(len(x[0]), old)) for x, old in zip(parts, df["old"].to_numpy(bool), strict=True)])
             new = heads(p, s)
@@ -219,13 +222,13 @@ class SubstringIndex:
             out = [frame(id=ids[m], entry=at[m], span=s[m].view(np.int64), sure=x) for m, x in ((sure, True), (open_, False)) if m.any()]
             if len(run):
                 out.append(frame(share=[int(df["share"].iloc[0])], run=[packed(p[run], s[run], ids[run], at[run])]))
-            return pd.concat(out) if out else frame(share=[])
+            return pd.concat([known[COLUMNS], *out])
 
-        done = staged(both.groupBy("share").applyInPandas(merge, OUT), "merged")
-        name = self.write(done.where("run is not null").select("share", "run"))
+        name = self.write(both.groupBy("share").applyInPandas(merge, OUT))  # the new run, and the marks beside it
+        done = self.spark.read.schema(OUT).parquet(f"{self.path}/runs/{name}")
         self.save(self.compacted([*self.runs, (0, name, bits)], bits), chars)
         marks = lambda df, sure: df.where(F.col("sure") == sure).select("id", "entry", "span")
-        return marks(fresh, True).union(marks(done, True)), marks(done, False).select("id", "entry")
+        return marks(done, True), marks(done, False).select("id", "entry")
 
     def compacted(self, runs: list[tuple[int, str, int]], bits: int) -> list[tuple[int, str, int]]:
         """``runs`` with FANOUT of a level merged into one of the next, for as long as there are so many."""
