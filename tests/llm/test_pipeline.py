@@ -79,10 +79,17 @@ def test_run_equals_plain_python(spark, tmp_path):
         first = {r.piece: r for r in own}
         assert not own or [x for k in sorted(first) for x in np.frombuffer(first[k].ids, "<u4").tolist()] == ids[_]
         taken[s] += copies * len(words(t))
-    weight = {s: (1, 2, 3)[k] for k, s in enumerate(sorted(size, key=lambda s: (s is None, s)))}
-    for s in size:  # no cap is reached here
-        target = min(3 * size[s], sum(size.values()) * weight[s] / sum(weight.values()))
-        assert abs(taken[s] - target) <= max(len(words(t)) for _, t, x in want if x == s)
+    weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(sorted(size, key=lambda s: (s is None, s)))}
+    capped = set()
+    while True:
+        free = [s for s in size if s not in capped]
+        rest = sum(size.values()) - sum(3 * size[s] for s in capped)
+        target = {s: 3 * size[s] if s in capped else rest * weight[s] / sum(weight[f] for f in free) for s in size}
+        if not (over := {s for s in free if target[s] > 3 * size[s]}):
+            break
+        capped |= over
+    for s in size:
+        assert abs(taken[s] - target[s]) <= max(len(words(t)) for _, t, x in want if x == s)
     full = collections.defaultdict(list)
     for r in got:
         full[r.sequence_id].append((r.offset, r.length))
