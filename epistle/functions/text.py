@@ -151,3 +151,50 @@ def html_text(html: pd.Series) -> pd.Series:
         return "\n".join(x for x in lines if x)
 
     return html.map(one)
+
+
+# Lines that begin a signature or a quoted message, and headers of quotes.
+SIGNATURES = ["\n-- \n", "\n--\n", "\n________________________________\n", "\n-----Original Message-----"]
+QUOTE_HEADER = r"(?is)\n\s*(?:On .{0,120}? wrote:|From:.{0,200}?\n\s*(?:Sent|To):)"
+
+
+def without_signature(body: Column) -> Column:
+    """struct<body, removed>: the text before the first signature or quoted message, and the rest; whole where nothing would be left."""
+    body = F.coalesce(body, F.lit(""))
+    ends = [F.nullif(F.instr(body, F.lit(m)), F.lit(0)) for m in SIGNATURES] + [F.nullif(F.regexp_instr(body, F.lit(QUOTE_HEADER)), F.lit(0))]
+    cut = F.least(*ends)
+    kept = F.regexp_replace(F.substring(body, F.lit(1), cut - 1), r"^\s+|\s+$", "")
+    rest = F.regexp_replace(F.substring(body, cut, F.length(body)), r"^\s+|\s+$", "")
+    whole = F.struct(F.regexp_replace(body, r"^\s+|\s+$", "").alias("body"), F.lit(None).cast("string").alias("removed"))
+    return F.when(cut.isNull() | (kept == ""), whole).otherwise(F.struct(kept.alias("body"), rest.alias("removed")))
+
+
+def human_bytes(n: Column) -> Column:
+    """A size in the unit that shows it: one decimal under ten of it."""
+    shown = F.when(F.coalesce(n, F.lit(0)) <= 0, "0 bytes")
+    for unit, size in (("TB", 1 << 40), ("GB", 1 << 30), ("MB", 1 << 20), ("KB", 1 << 10)):
+        v = n / F.lit(size)
+        shown = shown.when(n >= size, F.concat(F.when(v < 10, F.format_number(v, 1)).otherwise(F.format_number(F.bround(v), 0)), F.lit(" " + unit)))
+    return shown.otherwise(F.concat(F.format_number(n, 0), F.lit(" bytes")))
+
+
+def id_list(text: Column) -> Column:
+    """Whole numbers of a JSON list."""
+    return F.from_json(text, "array<bigint>")
+
+
+def card_words(card: Column) -> Column:
+    """All words of the values of a JSON contact card, keys left out, in one line for searching."""
+    texts = F.regexp_extract_all(card, F.lit(r'"(?:[^"\\]|\\.)*"\s*:?'), F.lit(0))
+    values = F.transform(F.filter(texts, lambda t: ~t.endswith(":")), lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, r'^"|"\s*$', ""), r"\\(.)", "$1")))
+    return F.array_join(F.filter(values, lambda v: v != ""), " ")
+
+
+def card_fields(card: Column) -> Column:
+    """struct of a JSON contact card: emails and the business address as one line each, three phones."""
+    text = "string"
+    c = F.from_json(card, f"emails array<{text}>, phones map<{text},{text}>, addresses map<{text},struct<street:{text},city:{text},state:{text},postal_code:{text},country:{text}>>")
+    phone = lambda k: F.coalesce(F.element_at(c["phones"], k), F.lit(""))
+    a = F.element_at(c["addresses"], "business")
+    line = F.array_join(F.filter(F.array(a["street"], a["city"], a["state"], a["postal_code"], a["country"]), lambda v: F.coalesce(v, F.lit("")) != ""), ", ")
+    return F.struct(F.array_join(F.coalesce(c["emails"], F.array().cast("array<string>")), "; ").alias("emails"), *(phone(k).alias(f"phone_{k}") for k in ("business", "home", "mobile")), F.coalesce(line, F.lit("")).alias("address"))

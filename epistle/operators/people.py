@@ -24,6 +24,17 @@ def correspondents(participations: DataFrame, top: int) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
+def partners(participations: DataFrame, top: int) -> DataFrame:
+    """(person_id, other_id, shared, rank): for each person the ``top`` others by shared items, in whatever roles.
+
+    An item's people meet each other, so pairs grow with the squares of the people of single items, not of the archive.
+    """
+    links = participations.select("item_id", "person_id").distinct()
+    pairs = links.join(links.withColumnRenamed("person_id", "other_id"), "item_id").where("person_id <> other_id").groupBy("person_id", "other_id").agg(F.count("*").alias("shared"))
+    rank = F.row_number().over(Window.partitionBy("person_id").orderBy(F.desc("shared"), "other_id"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= top)
+
+
 def per_year(participations: DataFrame, items: DataFrame) -> DataFrame:
     """(person_id, year, items) for every year between a person's first and last, zeros kept."""
     links = participations.select("person_id", "item_id").distinct().join(items.select("item_id", F.substring("occurred", 1, 4).cast("int").alias("year")), "item_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.repair import stemmed
@@ -87,9 +87,13 @@ def phrase(posts: DataFrame, words: list[str]) -> DataFrame:
 
 
 def near(posts: DataFrame, a: str, b: str, between: int = 10) -> DataFrame:
-    """Ids of documents where at most ``between`` words stand between the two, in either order."""
-    x, y = (posts.where(F.col("term") == t).select("doc_id", F.col("pos").alias(c)) for t, c in ((a, "p"), (b, "q")))
-    return x.join(y, "doc_id").where((F.abs(F.col("p") - F.col("q")) <= between + 1) & (F.col("p") != F.col("q"))).select("doc_id").distinct()
+    """Ids of documents where at most ``between`` words stand between the two, in either order.
+
+    Of all places of the two words in order, the nearest two of different words follow one another, so one pass over them decides.
+    """
+    places = Window.partitionBy("doc_id").orderBy("pos")
+    x = posts.where(F.col("term").isin(a, b)).select("doc_id", "pos", "term", F.lag("pos").over(places).alias("p"), F.lag("term").over(places).alias("t"))
+    return x.where((F.col("pos") - F.col("p") <= between + 1) & (F.lit(a == b) | (F.col("term") != F.col("t")))).select("doc_id").distinct()
 
 
 def bm25(posts: DataFrame, terms: list[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from ..operators import threads
 from ..operators.graph import staged
 from ..sources import mail
 
-RECORD = ["kind", "path", "native_id", "message_id", "in_reply_to", "refs", "subject", "occurred", "tz_known", "sender", "receivers", "name", "org", "phones", "body", "rule", "recurrence_id", "error"]
+RECORD = ["kind", "path", "native_id", "message_id", "in_reply_to", "refs", "subject", "occurred", "tz_known", "sender", "receivers", "name", "org", "phones", "body", "rule", "recurrence_id", "error", "people"]
 
 
 @dataclass
@@ -35,7 +35,7 @@ class Ingested:
 
 def _records(df: DataFrame, kind: str, **columns: Column) -> DataFrame:
     """``df`` as records of ``kind``: ``columns`` by name, columns it has itself, the rest null."""
-    types = {"refs": "array<string>", "receivers": "array<string>", "phones": "array<string>", "tz_known": "boolean"}
+    types = {"refs": "array<string>", "receivers": "array<string>", "phones": "array<string>", "tz_known": "boolean", "people": "array<struct<role:string,name:string,address:string>>"}
     pick = lambda c: columns.get(c, F.col(c) if c in df.columns else F.lit(None))
     return df.select(F.lit(kind).alias("kind"), *(pick(c).cast(types.get(c, "string")).alias(c) for c in RECORD if c != "kind"))
 
@@ -80,8 +80,13 @@ def dedup_key(kind: Column) -> Column:
     return F.when(kind == "event", event).when(kind == "contact", contact).otherwise(message)
 
 
+def stable_id(key: Column) -> Column:
+    """A whole number, not negative, that is the same for a key in every run and layout (63 bits of its hash)."""
+    return F.xxhash64(key).bitwiseAND(F.lit((1 << 63) - 1))
+
+
 def ingest(spark: SparkSession, path: str, kinds: list[str] = ("message", "event", "contact")) -> Ingested:
-    """Read everything under ``path`` into the archive's tables. Running it again gives the same keys.
+    """Read everything under ``path`` into the archive's tables. Running it again gives the same keys and ids, which are hashes of keys.
 
     Records are written once, with a number each; of records with one key the first by path and number becomes the item,
     and only numbers and keys, never bodies, take part in finding it.
@@ -89,18 +94,19 @@ def ingest(spark: SparkSession, path: str, kinds: list[str] = ("message", "event
     keyed = read_all(spark, path, kinds).withColumn("dedup_key", F.when(F.col("error").isNull(), dedup_key(F.col("kind")))).withColumn("row", F.monotonically_increasing_id())
     records = staged(keyed, "records")
     good = records.where("dedup_key is not null")
-    first = staged(good.groupBy("dedup_key").agg(F.min(F.struct("path", "row")).alias("f")).select("dedup_key", F.col("f.row").alias("item_id")), "keys")
-    items = good.join(first.select(F.col("item_id").alias("row")), "row", "left_semi").withColumnRenamed("row", "item_id")
-    seen = good.select("dedup_key", "path", F.coalesce("native_id", F.lit("")).alias("native_id")).join(first, "dedup_key")
+    first = staged(good.groupBy("dedup_key").agg(F.min(F.struct("path", "row")).alias("f")).select("dedup_key", F.col("f.row").alias("row"), stable_id(F.col("dedup_key")).alias("item_id")), "keys")
+    items = good.join(first.select("row", "item_id"), "row").drop("row")
+    seen = good.select("dedup_key", "path", F.coalesce("native_id", F.lit("")).alias("native_id")).join(first.drop("row"), "dedup_key")
     item_sources = seen.groupBy("item_id", "path", "native_id").agg(F.count("*").alias("sightings"))
 
     roles = F.concat(
+        F.transform(F.filter(F.coalesce("people", F.array().cast("array<struct<role:string,name:string,address:string>>")), lambda p: p["role"].isin("cc", "bcc")), lambda p: F.struct(p["role"].alias("role"), p["address"].alias("raw"))),
         F.when(F.col("sender").isNotNull(), F.array(F.struct(F.when(F.col("kind") == "event", "organizer").otherwise("from").alias("role"), F.col("sender").alias("raw")))).otherwise(F.array().cast("array<struct<role:string,raw:string>>")),
-        F.transform(F.coalesce("receivers", F.array().cast("array<string>")), lambda a: F.struct(F.when(F.col("kind") == "event", "attendee").when(F.col("kind") == "contact", "card").otherwise("to").alias("role"), a.alias("raw"))),
+        F.transform(F.when(F.col("people").isNotNull(), F.transform(F.filter("people", lambda p: p["role"] == "to"), lambda p: p["address"])).otherwise(F.coalesce("receivers", F.array().cast("array<string>"))), lambda a: F.struct(F.when(F.col("kind") == "event", "attendee").when(F.col("kind") == "contact", "card").otherwise("to").alias("role"), a.alias("raw"))),
     )
     who = items.select("item_id", "occurred", F.explode(roles).alias("r")).select("item_id", "occurred", "r.role", X.identity(F.col("r.raw")).alias("i")).where("i.address <> ''").select("item_id", "occurred", "role", "i.*")
     met = who.groupBy("address", "address_type").agg(F.count("*").alias("uses"), F.min("occurred").alias("first_seen"), F.max("occurred").alias("last_seen"))
-    identities = staged(met.withColumn("person_id", F.monotonically_increasing_id()), "identities")
+    identities = staged(met.withColumn("person_id", stable_id(F.concat_ws("|", "address_type", "address"))), "identities")
     participations = who.join(identities.select("address", "address_type", "person_id"), ["address", "address_type"]).select("item_id", "person_id", "role").distinct()
 
     messages = items.where("kind = 'message'").select("item_id", "message_id", "in_reply_to", "refs", X.normalized_subject(F.col("subject")).alias("subject"), F.to_date(F.substring("occurred", 1, 10)).alias("day"))

@@ -305,7 +305,7 @@ def search_boolean(a):
     return search.boolean(search.postings(a.table("documents")), all_of=["the"], any_of=["stat", "clow*"], none_of=["from"])
 
 
-@query(_POSTS + "select a.doc_id, a.pos::int as start from posts a join posts b on a.doc_id = b.doc_id and b.pos = a.pos + 1 and b.term = 'the' where a.term = 'of'")
+@query(_POSTS + "select doc_id, pos::int as start from (select *, lead(term) over (partition by doc_id order by pos) as next from posts) where term = 'of' and next = 'the'")
 def search_phrase(a):
     return search.phrase(search.postings(a.table("documents")), ["of", "the"])
 
@@ -692,3 +692,6 @@ def attachment_copies(a):
     name = F.when(n == 1, " report?.PDF").when(n == 2, "photo.jpg").when(n == 3, "").otherwise(F.concat(F.lit("Note"), F.col("l_orderkey").cast("string")))
     files = a.table("lineitem").select((F.col("l_orderkey") * 10 + n).alias("attachment_id"), name.alias("filename"))
     return sinks.copied_names(files).withColumn("blob", sinks.blob_path(F.md5(F.col("attachment_id").cast("string")), F.col("filename")))
+
+
+from . import reports  # noqa: E402, F401  registers its queries here

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Types that are listed but not read, with the code of the finding raised for them.
 DECLINED = {".ost": "unsupported_cache", ".dbx": "unsupported_store", ".pab": "unsupported_store", ".pst": "unsupported_store", ".msg": "unsupported_store"}
 HEAD = 32
+CHUNK = 1 << 20
 
 
 def outermost(roots: list[str]) -> list[str]:
@@ -25,18 +32,50 @@ def excluded(path: Column, patterns: list[str]) -> Column:
     return hit
 
 
+def looked_at(path: str, hashed: bool) -> tuple[bytes | None, str | None, str | None]:
+    """The first bytes of a file, its SHA-256 if wanted, and the error where it cannot be read."""
+    try:
+        if "://" in path and not path.startswith("file:"):
+            scheme, rest = path.split("://", 1)
+            host, _, _ = rest.partition("/")
+            fs, place = pafs.FileSystem.from_uri(f"{scheme}://{host}/")[0], rest if scheme in ("s3", "gs") else rest[len(host) :]
+        else:
+            fs, place = pafs.LocalFileSystem(), re.sub("^file:/*", "/", path)
+        with fs.open_input_stream(place) as f:
+            head = f.read(HEAD)
+            if not hashed:
+                return head, None, None
+            h = hashlib.sha256(head)
+            while part := f.read(CHUNK):
+                h.update(part)
+            return head, h.hexdigest(), None
+    except (OSError, ValueError) as e:
+        return None, None, f"{type(e).__name__}: {e}"[:300]
+
+
 def scan(spark: SparkSession, roots: list[str], exclude: list[str] = (), hashed: bool = False) -> DataFrame:
     """(path, name, ext, size, modified, head[, content_hash]) of every file under ``roots``.
 
-    Listing alone reads no content; ``head`` and the hash read files once, in the executors.
+    Listing reads no content. The first HEAD bytes, or where a hash is wanted the whole file a stretch at a time, are read in
+    the executors, so a file may be of any size; what cannot be read has null ``head`` and hash and its ``read_error``.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(outermost(roots)).where(~excluded(F.col("path"), exclude))
     name = F.element_at(F.split("path", "/"), -1)
     out = [
         "path", name.alias("name"), F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1)).alias("ext"), F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified"), F.expr(f"substring(content, 1, {HEAD})").alias("head"),
+        F.col("modificationTime").alias("modified"),
     ]
-    return files.select(*out, *([F.sha2("content", 256).alias("content_hash")] if hashed else []))
+    listed_ = files.select(*out)
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            got = [looked_at(p, hashed) for p in b["path"]]
+            yield b.assign(**{c: [g[k] for g in got] for k, c in enumerate(("head", "content_hash", "read_error"))})
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in listed_.schema)
+    n = listed_.sparkSession.sparkContext.defaultParallelism
+    found = listed_.repartition(n, "path").mapInPandas(read, f"{schema}, head binary, content_hash string, read_error string")
+    return found if hashed else found.drop("content_hash")
 
 
 def listed(inventory: DataFrame, seen: DataFrame) -> DataFrame:

@@ -15,22 +15,52 @@ from pyspark.sql import types as T
 
 MESSAGE = (
     "path string, message_id string, in_reply_to string, refs array<string>, subject string, sender string, receivers array<string>, "
-    "occurred string, tz_known boolean, body string, html string, attachments array<struct<name: string, mime: string, bytes: long>>, error string"
+    "occurred string, tz_known boolean, body string, html string, attachments array<struct<name: string, mime: string, bytes: long>>, error string, "
+    "people array<struct<role: string, name: string, address: string>>, date_header string"
 )
 
 
-COLUMNS = "path message_id in_reply_to refs subject sender receivers occurred tz_known body html attachments error".split()
+COLUMNS = "path message_id in_reply_to refs subject sender receivers occurred tz_known body html attachments error people date_header".split()
+# Forms of dates that are tried where the standard's is not met.
+SALVAGE = ["%a, %d %b %y %H:%M:%S %z", "%d %b %y %H:%M:%S %z", "%a, %d %b %Y %H:%M:%S", "%d %b %Y %H:%M:%S", "%a %b %d %H:%M:%S %Y", "%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S"]
+ROLES = ["from", "to", "cc", "bcc"]
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import datetime
+    import re
     from email import message_from_bytes, policy
     from email.utils import getaddresses, parsedate_to_datetime
 
+    def salvaged(text: str) -> datetime.datetime | None:
+        for form in SALVAGE:
+            try:
+                return datetime.datetime.strptime(text, form)
+            except ValueError:
+                continue
+        return None
+
+    def leaves(part) -> Iterator:
+        """The parts of a mail that are not containers; an attached mail is one of them, and its own parts are not."""
+        if part.get_content_type() == "message/rfc822":
+            yield part
+        elif part.is_multipart():
+            for sub in part.iter_parts():
+                yield from leaves(sub)
+        else:
+            yield part
+
+    def weight(part) -> int:
+        if part.get_content_type() == "message/rfc822":
+            return sum(len(x.as_bytes()) for x in part.get_payload())
+        return len(part.get_payload(decode=True) or b"")
+
     def when(header: str | None) -> tuple[str | None, bool]:
         try:
             t = parsedate_to_datetime(header)
-        except (TypeError, ValueError):
+        except (TypeError, ValueError, OverflowError):
+            t = salvaged(re.sub(r"\([^)]*\)", "", header or "").strip())
+        if t is None:
             return None, False
         known = t.tzinfo is not None
         t = t.astimezone(datetime.UTC) if known else t
@@ -41,22 +71,23 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             m = message_from_bytes(raw, policy=policy.default)
             get = lambda name: str(m[name]).strip() if m[name] is not None else None
             plain, html, files = None, None, []
-            for part in m.walk():
-                if part.is_multipart():
-                    continue
+            for part in leaves(m):
                 kind, name = part.get_content_type(), part.get_filename()
+                if kind == "message/rfc822" and not name:
+                    name = str(part.get_payload(0)["subject"] or "message").strip() + ".eml"
                 if name or part.get_content_disposition() == "attachment":
-                    files.append((name, kind, len(part.get_payload(decode=True) or b"")))
+                    files.append((name, kind, weight(part)))
                 elif kind == "text/plain" and plain is None:
                     plain = part.get_content()
                 elif kind == "text/html" and html is None:
                     html = part.get_content()
-            names = [a.lower() for _, a in getaddresses([v for h in ("to", "cc", "bcc") for v in map(str, m.get_all(h, []))]) if a]
-            sender = next((a.lower() for _, a in getaddresses([get("from") or ""]) if a), None)
+            people = [(role, name or None, a.lower()) for role in ROLES for name, a in getaddresses(list(map(str, m.get_all(role, [])))) if a]
+            names = [a for role, _, a in people if role != "from"]
+            sender = next((a for role, _, a in people if role == "from"), None)
             at, known = when(get("date"))
-            return path, get("message-id"), get("in-reply-to"), (get("references") or "").split(), get("subject"), sender, names, at, known, plain, html, files, None
+            return path, get("message-id"), get("in-reply-to"), (get("references") or "").split(), get("subject"), sender, names, at, known, plain, html, files, None, people, get("date")
         except Exception as e:  # a damaged message is a row with its error, never a failed job
-            return (path, None, None, [], None, None, [], None, False, None, None, [], f"{type(e).__name__}: {e}")
+            return (path, None, None, [], None, None, [], None, False, None, None, [], f"{type(e).__name__}: {e}", [], None)
 
     for b in batches:
         yield pd.DataFrame([one(p, bytes(r)) for p, r in zip(b["path"], b["raw"], strict=True)], columns=COLUMNS)
