@@ -12,10 +12,10 @@ a whole block. At lower thresholds blocks are small and some are empty or hold o
 cut than that and each set leaves out as many of its smallest, as the largest block that two linked sets agree on
 is left out by neither. The sets of a block are a candidate group, however large, and first each is held against the
 group's hub alone, its smallest id: that joins a cluster of near copies by as many comparisons as it has members.
-Sets that the hub does not link stay open. Jaccard distance is a metric, so an open set can be linked to one that the hub
+(Below 0.9 the sets that blocks connect are one group.) Sets that the hub does not link stay open. Jaccard distance is a metric, so an open set can be linked to one that the hub
 links only if their distances from the hub differ by no more than linked sets may be apart; just those stay with
 the open ones. What stays of a group and fits in one task has its inverted lists scanned there. What does not is dealt by
-the elements of the sets' prefixes (linked sets share one) and goes through the hub again. Groups that are still too
+the elements of the sets' prefixes (linked sets share one; not below 0.9, where prefixes are long) and goes through a hub again. Groups that are still too
 large after ROUNDS of this are cut into chunks, and each two chunks meet in a task: the exact way for the rest.
 
 ``linked`` needs components only, so it keeps stars and spanning forests. ``links`` gives every linked pair of classes:
@@ -47,7 +47,7 @@ PERCENT = 90
 #: Sets up to this size may be enumerated; the boundary lies at or below it.
 SMALL = 48
 #: Shingles that one scanning task takes at once.
-SHARE = 2_000_000
+SHARE = 1_000_000
 #: Shingles of members that one task holds against a hub.
 HELD = 1 << 15
 #: Sets of a light group that one task pairs with each other.
@@ -265,24 +265,23 @@ def spanning(ids: list[int], sets: list[np.ndarray], pre: list[bool], percent: i
     for i in range(len(sets)):
         if pivot[i] >= 0:
             continue
-        near[i] = g.around(i)
-        linked = near[i][g.similar(i, near[i], percent)]
+        found = g.around(i)
+        hit = g.similar(i, found, percent)
+        linked, near[i] = found[hit], found[~hit].astype(np.int32)
         for j in linked.tolist():
             join(i, j)
         pivot[linked[pivot[linked] < 0]] = i
         pivot[i] = i
-    met: dict[tuple[int, int], list[int]] = {}
     for q, found in near.items():
-        for x in found.tolist():
-            if pivot[x] != q:
-                met.setdefault((int(pivot[x]), q), []).append(x)
-    for (p, q), xs in met.items():
-        ys = np.array(met.get((q, p), []) if p < q else [], np.int64)
-        for x in xs if len(ys) else []:
-            if find(p) == find(q):
-                break
-            for y in ys[g.similar(x, ys, percent)][:1].tolist():
-                join(x, y)
+        for p in np.unique(pivot[found]).tolist():
+            if p >= q or find(p) == find(q):
+                continue
+            # links of p's own sets to q's own: the former are near to q (or are p), the latter near to p (or are q)
+            xs, ys = found[pivot[found] == p], near[p][pivot[near[p]] == q].astype(np.int64)
+            for x in xs.tolist() if len(ys) else []:
+                if len(hit := ys[g.similar(x, ys, percent)]):
+                    join(x, int(hit[0]))
+                    break
     return out
 
 
@@ -304,12 +303,13 @@ def with_sets(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, k: i
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, last, elements = Hashes(), None, b""
         for b in batches:
-            out = []
-            for t in b["text"]:
-                if t is not last and t != last:  # rows of a document stand together
-                    last, elements = t, shingles(t, hashes, k).tobytes()
-                out.append(elements)
-            yield b[["id", *kept]].assign(elements=out)
+            for lo in range(0, len(b), 500):
+                out = []
+                for t in b["text"][lo : lo + 500]:
+                    if t is not last and t != last:  # rows of a document stand together
+                        last, elements = t, shingles(t, hashes, k).tobytes()
+                    out.append(elements)
+                yield b[["id", *kept]][lo : lo + 500].assign(elements=out)
 
     per = staged(rows.groupBy("id").agg(F.collect_set(F.struct(*kept)).alias("rest")), "wanted")
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(per, "id")
@@ -452,11 +452,11 @@ def heavy_edges(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str,
         rest = left.where("chunks > 1").select("key", "id", "n")
         if turn == ROUNDS or not rest.take(1):
             break
-        groups = by_prefix(docs, rest, id_col, text_col, k, percent) if turn == 0 else rest
+        groups = by_prefix(docs, rest, id_col, text_col, k, percent) if turn == 0 and percent >= PERCENT else rest
     return edges
 
 
-def prepared(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
+def prepared(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, chain: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
     """Profiles, classes (digest, class_id, n), the light sets, the candidate groups (key, id, n) of the heavy ones, and the boundary."""
     base = staged(profiles(docs, id_col, text_col, k, percent), "profiles")
     classes = staged(base.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("class_id"), F.first("n").alias("n")), "classes")
@@ -466,6 +466,12 @@ def prepared(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
     one = base.where("n > 0 and id is not null").join(if_small(heads, heads.count()), ["digest", "id"], "left_semi")
     small = one.where(F.col("n") <= boundary).select("id", "n", "small")
     marks = one.where(100 * F.col("n") >= percent * (boundary + 1)).select(F.explode("blocks").alias("key"), "id", "n")
+    if chain and percent < PERCENT:
+        # blocks are small then, and a set shares some with very many others, each with a hub of its own: sets that blocks
+        # connect are one group, so that each set is sent to one hub; ids that stand for several texts stay in it with all
+        first = staged(several(marks).groupBy("key").agg(F.min("id").alias("lo")), "first")
+        chained = staged(components(marks.join(first, "key").where("id <> lo").select(F.col("id").alias("a"), F.col("lo").alias("b"))), "chained")
+        marks = one.select("id", "n").join(chained, "id").select(F.col("root").alias("key"), "id", "n")
     return base, classes, small, marks, boundary
 
 
@@ -475,7 +481,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     Documents of one class are linked to each other and to all documents of the classes linked to it, so links per
     document are sums over class sizes. An id with several texts stands for each class that it is the smallest id of.
     """
-    _, _, small, marks, boundary = prepared(docs, id_col, text_col, k, percent)
+    _, _, small, marks, boundary = prepared(docs, id_col, text_col, k, percent, chain=False)
     groups = staged(several(marks), "groups")
     sizes = staged(groups.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / SHARE)).cast("int").alias("chunks")), "sizes")
     heavy = scanned(docs, groups.join(sizes, "key").withColumn("pre", F.lit(False)), id_col, text_col, k, percent, boundary)
