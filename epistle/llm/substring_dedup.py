@@ -190,7 +190,8 @@ class SubstringIndex:
                 least = ids[np.flatnonzero(new)][np.cumsum(new) - 1]
                 late = ids > least  # an earlier document of this very batch has the span
                 if late.any():
-                    yield frame(share=(p[late] >> np.uint64(48 - bits)).astype(np.int32), id=ids[late], entry=at[late], span=s[late].view(np.int64), sure=True)
+                    # spread by id, away from the shares: a hot fingerprint's would all meet in one
+                    yield frame(share=(-1 - ids[late] % 4096).astype(np.int32), id=ids[late], entry=at[late], span=s[late].view(np.int64), sure=True)
                 p, s, ids, at = p[~late], s[~late], ids[~late], at[~late]
                 rows = [(k, packed(p[x], s[x], ids[x], at[x])) for k, x in by_share(p, bits)]
                 yield frame(share=[r[0] for r in rows], run=[r[1] for r in rows])
