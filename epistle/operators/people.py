@@ -111,13 +111,19 @@ def merged(participations: DataFrame, merges: DataFrame) -> DataFrame:
     return participations.join(found, "person_id", "left").withColumn("person_id", F.coalesce("root", "person_id")).drop("root").distinct()
 
 
-def similar_names(people: DataFrame, links: DataFrame, least: float) -> DataFrame:
-    """(a, b, score) of people with a shared correspondent (person_id, other_id) whose names differ and are similar."""
+def without_role_mailboxes(people: DataFrame, addresses: DataFrame, roles: list[str]) -> DataFrame:
+    """People none of whose ``addresses`` (person_id, address) is an office's: one whose part before the @ is among ``roles``."""
+    shared = addresses.where(F.lower(F.substring_index("address", "@", 1)).isin([r.lower() for r in roles])).select("person_id")
+    return people.join(shared, "person_id", "left_anti")
+
+
+def similar_names(people: DataFrame, links: DataFrame, least: float, most: float = 1.0) -> DataFrame:
+    """(a, b, score) of people with a shared correspondent (person_id, other_id) whose names differ and are similar; a score is ``most`` at most."""
     n = people.select("person_id", normalized_name(F.col("name")).alias("norm"))
     a = links.join(n, "person_id").select("other_id", F.col("person_id").alias("a"), F.col("norm").alias("na"))
     b = links.join(n, "person_id").select("other_id", F.col("person_id").alias("b"), F.col("norm").alias("nb"))
     pairs = a.join(b, "other_id").where("a < b and na <> nb").select("a", "b", "na", "nb").distinct()
-    return pairs.withColumn("score", jaro_winkler("na", "nb")).where(F.col("score") >= least).select("a", "b", "score")
+    return pairs.withColumn("score", jaro_winkler("na", "nb")).where(F.col("score") >= least).select("a", "b", F.least("score", F.lit(most)).alias("score"))
 
 
 def identities(sightings: DataFrame) -> DataFrame:

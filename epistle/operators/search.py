@@ -96,10 +96,10 @@ def near(posts: DataFrame, a: str, b: str, between: int = 10) -> DataFrame:
     return x.where((F.col("pos") - F.col("p") <= between + 1) & (F.lit(a == b) | (F.col("term") != F.col("t")))).select("doc_id").distinct()
 
 
-def bm25(posts: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, score) of documents with any of ``terms``."""
+def bm25(posts: DataFrame, terms: list[str], lengths: DataFrame | None = None) -> DataFrame:
+    """(doc_id, score) of documents with any of ``terms``; ``lengths`` (doc_id, len) of all documents with words, else counted from ``posts``."""
     hits = posts.where(F.col("term").isin(list(terms)))
-    lengths = posts.groupBy("doc_id").agg(F.count("*").alias("len"))
+    lengths = posts.groupBy("doc_id").agg(F.count("*").alias("len")) if lengths is None else lengths.select("doc_id", "len").where("len > 0")
     size = lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
     tf = hits.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))

@@ -51,3 +51,10 @@ def summary(messages: DataFrame, threads_: DataFrame) -> DataFrame:
     """(thread_id, messages, first_day, last_day)."""
     j = messages.select("item_id", "day").distinct().join(threads_, "item_id")
     return j.groupBy("thread_id").agg(F.count("*").alias("messages"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+
+
+def with_subject(messages: DataFrame, threads_: DataFrame) -> DataFrame:
+    """``summary`` with the subject of each thread's first message (item_id, day, subject), undated ones coming last."""
+    j = messages.join(threads_, "item_id")
+    first = F.min_by("subject", F.struct(F.col("day").isNull(), "day", "item_id"))
+    return j.groupBy("thread_id").agg(F.count("*").alias("messages"), F.min("day").alias("first_day"), F.max("day").alias("last_day"), first.alias("subject"))

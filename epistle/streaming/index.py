@@ -9,27 +9,33 @@ from ..operators.search import postings
 
 
 def fill(docs: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Append the postings of a streaming table (doc_id, text) to ``path``, a folder to each batch.
+    """Append the postings of a streaming table (doc_id, text) to ``path/postings`` and its ids to ``path/docs``, a folder to each batch.
 
-    A batch that is run again overwrites its own folder, so an executor or driver lost half-way leaves nothing twice. A
-    document is indexed once: those in the folders of earlier batches, and repeats within a batch, are passed over.
+    A batch that is run again overwrites its own folders, so an executor or driver lost half-way leaves nothing twice. A
+    document is indexed once: those of earlier batches, and repeats within a batch, are passed over. A batch meets the ids of
+    earlier ones, one row a document, and never their postings.
     """
 
     def batch(df: DataFrame, number: int) -> None:
         new = df.dropDuplicates(["doc_id"])
         if number:
-            known = indexed(df, path).where(f"batch < {number}").select("doc_id").distinct()
-            new = new.join(known, "doc_id", "left_anti")
-        postings(new).write.mode("overwrite").parquet(f"{path}/batch={number}")
+            new = new.join(known(df, path).where(f"batch < {number}"), "doc_id", "left_anti")
+        postings(new).write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
+        new.select("doc_id").write.mode("overwrite").parquet(f"{path}/docs/batch={number}")
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def indexed(df: DataFrame, path: str) -> DataFrame:
     """Postings at ``path`` (doc_id, pos, term, batch), read in the session of ``df``."""
-    return df.sparkSession.read.schema("doc_id long, pos int, term string, batch long").option("basePath", path).parquet(path)
+    return df.sparkSession.read.schema("doc_id long, pos int, term string, batch long").option("basePath", f"{path}/postings").parquet(f"{path}/postings")
+
+
+def known(df: DataFrame, path: str) -> DataFrame:
+    """Ids of documents at ``path`` (doc_id, batch), those without words too."""
+    return df.sparkSession.read.schema("doc_id long, batch long").option("basePath", f"{path}/docs").parquet(f"{path}/docs")
 
 
 def missing(docs: DataFrame, path: str) -> DataFrame:
-    """Ids of documents with words that the index at ``path`` lacks."""
-    return postings(docs).select("doc_id").distinct().join(indexed(docs, path).select("doc_id").distinct(), "doc_id", "left_anti")
+    """Ids of documents that the index at ``path`` lacks."""
+    return docs.select("doc_id").distinct().join(known(docs, path), "doc_id", "left_anti")
