@@ -96,6 +96,7 @@ def ingest(spark: SparkSession, path: str, kinds: list[str] = ("message", "event
     good = records.where("dedup_key is not null")
     first = staged(good.groupBy("dedup_key").agg(F.min(F.struct("path", "row")).alias("f")).select("dedup_key", F.col("f.row").alias("row"), stable_id(F.col("dedup_key")).alias("item_id")), "keys")
     items = good.join(first.select("row", "item_id"), "row").drop("row")
+    heads = staged(items.drop("body", "attachments"), "heads")  # what people, threads and findings need, joined once
     seen = good.select("dedup_key", "path", F.coalesce("native_id", F.lit("")).alias("native_id")).join(first.drop("row"), "dedup_key")
     item_sources = seen.groupBy("item_id", "path", "native_id").agg(F.count("*").alias("sightings"))
 
@@ -104,12 +105,12 @@ def ingest(spark: SparkSession, path: str, kinds: list[str] = ("message", "event
         F.when(F.col("sender").isNotNull(), F.array(F.struct(F.when(F.col("kind") == "event", "organizer").otherwise("from").alias("role"), F.col("sender").alias("raw")))).otherwise(F.array().cast("array<struct<role:string,raw:string>>")),
         F.transform(F.when(F.col("people").isNotNull(), F.transform(F.filter("people", lambda p: p["role"] == "to"), lambda p: p["address"])).otherwise(F.coalesce("receivers", F.array().cast("array<string>"))), lambda a: F.struct(F.when(F.col("kind") == "event", "attendee").when(F.col("kind") == "contact", "card").otherwise("to").alias("role"), a.alias("raw"))),
     )
-    who = items.select("item_id", "occurred", F.explode(roles).alias("r")).select("item_id", "occurred", "r.role", X.identity(F.col("r.raw")).alias("i")).where("i.address <> ''").select("item_id", "occurred", "role", "i.*")
+    who = heads.select("item_id", "occurred", F.explode(roles).alias("r")).select("item_id", "occurred", "r.role", X.identity(F.col("r.raw")).alias("i")).where("i.address <> ''").select("item_id", "occurred", "role", "i.*")
     met = who.groupBy("address", "address_type").agg(F.count("*").alias("uses"), F.min("occurred").alias("first_seen"), F.max("occurred").alias("last_seen"))
     identities = staged(met.withColumn("person_id", stable_id(F.concat_ws("|", "address_type", "address"))), "identities")
-    participations = who.join(identities.select("address", "address_type", "person_id"), ["address", "address_type"]).select("item_id", "person_id", "role").distinct()
+    participations = staged(who.join(identities.select("address", "address_type", "person_id"), ["address", "address_type"]).select("item_id", "person_id", "role").distinct(), "participations")
 
-    messages = items.where("kind = 'message'").select("item_id", "message_id", "in_reply_to", "refs", X.normalized_subject(F.col("subject")).alias("subject"), F.to_date(F.substring("occurred", 1, 10)).alias("day"))
+    messages = heads.where("kind = 'message'").select("item_id", "message_id", "in_reply_to", "refs", X.normalized_subject(F.col("subject")).alias("subject"), F.to_date(F.substring("occurred", 1, 10)).alias("day"))
     smtp = participations.join(identities.where("address_type = 'smtp'").select("person_id"), "person_id", "left_semi").select("item_id", F.col("person_id").alias("participant")).distinct()
     by_subject = threads.subject_links(messages.join(smtp, "item_id"), 180)
     linked = threads.threads(messages, threads.chain_links(messages).union(by_subject))
@@ -121,7 +122,7 @@ def ingest(spark: SparkSession, path: str, kinds: list[str] = ("message", "event
         )
     )
     failed = records.where("dedup_key is null").select(F.lit("read_failure").alias("code"), "path", F.lit(None).cast("long").alias("item_id"))
-    findings = items.select(F.explode(note).alias("code"), "path", "item_id").union(failed)
+    findings = heads.select(F.explode(note).alias("code"), "path", "item_id").union(failed)
     read = records.groupBy("path").agg(F.count("*").alias("records"), F.count_if(F.col("dedup_key").isNull()).alias("errors"))
     outcomes = read.join(item_sources.groupBy("path").agg(F.countDistinct("item_id").alias("items")), "path", "left").fillna(0, ["items"])
     return Ingested(items, item_sources, identities, participations, linked, findings, outcomes)

@@ -31,6 +31,17 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import re
     from email import message_from_bytes, policy
     from email.utils import getaddresses, parsedate_to_datetime
+    from functools import lru_cache
+
+    parsed_header = lru_cache(maxsize=1024)(policy.default.header_fetch_parse)
+
+    class ParseOnce(policy.EmailPolicy):
+        """The default policy, which would parse a header anew on each access, with headers met lately kept."""
+
+        def header_fetch_parse(self, name: str, value: str) -> str:
+            return parsed_header(name, value)
+
+    rules = ParseOnce()
 
     def salvaged(text: str) -> datetime.datetime | None:
         for form in SALVAGE:
@@ -68,7 +79,7 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def one(path: str, raw: bytes) -> tuple:
         try:
-            m = message_from_bytes(raw, policy=policy.default)
+            m = message_from_bytes(raw, policy=rules)
             get = lambda name: str(m[name]).strip() if m[name] is not None else None
             plain, html, files = None, None, []
             for part in leaves(m):
