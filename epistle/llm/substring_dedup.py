@@ -223,7 +223,7 @@ class SubstringIndex:
             out = [frame(id=ids[m], entry=at[m], span=s[m].view(np.int64), sure=x) for m, x in ((sure, True), (open_, False)) if m.any()]
             if len(run):
                 out.append(frame(share=[int(df["share"].iloc[0])], run=[packed(p[run], s[run], ids[run], at[run])]))
-            return pd.concat([known[COLUMNS], *out])
+            return pd.concat([x for x in (known[COLUMNS], *out) if len(x)] or [known[COLUMNS]])
 
         name = self.write(both.groupBy("share").applyInPandas(merge, OUT))  # the new run, and the marks beside it
         done = self.spark.read.schema(OUT).parquet(f"{self.path}/runs/{name}")
