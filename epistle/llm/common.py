@@ -25,3 +25,7 @@ def text_of(column: str | Column) -> Column:
 
 def words_of(column: str | Column) -> Column:
     return F.regexp_extract_all(text_of(column), F.lit(WORD), F.lit(0))
+
+
+#: Bytes of UTF-8 words of letters and digits stay, A-Z in lower case; all others become a blank (bytes from 0x80 belong to words).
+PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, jaccard_join, mixing, packing, pseudonyms, quality_rules, substring_dedup, suffix_dedup, toxicity
+from . import chat_format, exact_dedup, jaccard_join, lexical_search, licenses, mixing, packing, pseudonyms, quality_rules, substring_dedup, suffix_dedup, toxicity, whitening
 
 #: The same white space in SQL: blank, tab, line feed, vertical tab, form feed, carriage return.
 SQL_WORD = r"[^\x20\x09-\x0D]+"
@@ -68,8 +68,20 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokenizer_path()).drop("ids")
 
 
+def op11_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scanned(table(spark, sf_dir, "documents")).drop("found")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {"op1_mixing": op1_mixing, "op6_quality_rules": op6_quality_rules, "op7_exact_dedup": op7_exact_dedup,
-           "op3_chat_format": op3_chat_format, "op2_substring_dedup": op2_substring_dedup, "op4_jaccard_join": op4_jaccard_join, "op5_pseudonyms": op5_pseudonyms, "op8_suffix_dedup": op8_suffix_dedup, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing}
+           "op3_chat_format": op3_chat_format, "op2_substring_dedup": op2_substring_dedup, "op4_jaccard_join": op4_jaccard_join, "op5_pseudonyms": op5_pseudonyms, "op8_suffix_dedup": op8_suffix_dedup, "op9_toxicity": op9_toxicity, "op10_packing": op10_packing, "op11_licenses": op11_licenses, "op12_whitening": op12_whitening, "op13_lexical_search": op13_lexical_search}
 
 _OP6 = rf"""
 with d as (select doc_id, source, coalesce(text, '') as t from documents),
@@ -126,4 +138,16 @@ kept as (select pos.doc_id, string_agg(w[i], ' ' order by i) as t, count(*) as n
 select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256, coalesce(t, '') as text
 from d left join kept using (doc_id)"""
 
-ORACLE_SQL = {"op2_substring_dedup": _OP2, "op3_chat_format": _OP3, "op6_quality_rules": _OP6, "op7_exact_dedup": _OP7}
+_OP13 = r"""
+with low as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w from documents),
+total as (select count(*) as nn, sum(len(w))::bigint as ll from low where len(w) > 0),
+occ as (select doc_id, len(w)::bigint as n, unnest(w) as term from low),
+tf as (select doc_id, n, term, count(*) as tf from occ group by all),
+df as (select term, count(*) as df from tf group by term),
+asked as (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+one as (select item_id, doc_id, floor(1000 * ln((2 * nn + 2)::double / (2 * df + 1)))::bigint * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * nn) // ll)))) as s
+        from asked join tf using (term) join df using (term), total),
+score as (select item_id, doc_id, sum(s)::bigint as score from one group by all having sum(s) > 0)
+select item_id, rank::int as rank, doc_id, score from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from score) where rank <= 10"""
+
+ORACLE_SQL = {"op13_lexical_search": _OP13, "op2_substring_dedup": _OP2, "op3_chat_format": _OP3, "op6_quality_rules": _OP6, "op7_exact_dedup": _OP7}
