@@ -68,8 +68,9 @@ def safe_cell(c: Column) -> Column:
 
 
 def key(*parts: Column) -> Column:
-    """SHA-256 of parts joined by bars; null parts count as empty."""
-    return F.sha2(F.array_join(F.array(*(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), "|"), 256)
+    """SHA-256 of parts joined by bars, bars within parts escaped, so that other parts give another key; null parts count as empty."""
+    escaped = lambda p: F.replace(F.replace(F.coalesce(p.cast("string"), F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+    return F.sha2(F.array_join(F.array(*map(escaped, parts)), "|"), 256)
 
 
 def person_label(name: Column, address: Column) -> Column:

@@ -8,18 +8,18 @@ from pyspark.sql import functions as F
 from .people import sender_share
 from .timeline import plausible
 
-# Signatures at the start of files (hex), the extensions they belong to, extensions of plain text,
+# First bytes of files, the extensions they belong to, extensions of plain text,
 # and the sizes below which a file of a type cannot be whole.
 SIGNATURES = [
-    ("2142444E", [".pst", ".ost"]),
-    ("D0CF11E0A1B11AE1", [".msg"]),
-    ("CFAD12FE", [".dbx"]),
-    ("4A4D4639", [".mbx"]),
-    ("504B0304", [".olm"]),
-    ("9CCBCB8D1375D211", [".wab"]),
-    ("424547494E3A5643414C454E444152", [".ics", ".vcs"]),
-    ("424547494E3A5643415244", [".vcf"]),
-    ("46726F6D20", [".mbox"]),
+    (b"!BDN", [".pst", ".ost"]),
+    (b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1", [".msg"]),
+    (b"\xcf\xad\x12\xfe", [".dbx"]),
+    (b"JMF9", [".mbx"]),
+    (b"PK\x03\x04", [".olm"]),
+    (b"\x9c\xcb\xcb\x8d\x13u\xd2\x11", [".wab"]),
+    (b"BEGIN:VCALENDAR", [".ics", ".vcs"]),
+    (b"BEGIN:VCARD", [".vcf"]),
+    (b"From ", [".mbox"]),
 ]
 TEXTUAL = [".eml", ".mbox", ".ics", ".vcs", ".vcf"]
 LEAST_BYTES = {".pst": 262144, ".ost": 262144, ".dbx": 2048, ".mbx": 1024, ".olm": 256, ".wab": 512, ".pab": 512, ".msg": 512}
@@ -27,9 +27,11 @@ LEAST_BYTES = {".pst": 262144, ".ost": 262144, ".dbx": 2048, ".mbx": 1024, ".olm
 
 def signature_of(head: Column) -> Column:
     """Extensions that the first bytes of a file speak for; null where they match no signature."""
-    h, found = F.upper(F.hex(head)), F.lit(None).cast("array<string>")
-    for hexed, exts in reversed(SIGNATURES):
-        found = F.when(h.startswith(hexed), F.array(*map(F.lit, exts))).otherwise(found)
+    found = F.lit(None).cast("array<string>")
+    for first, exts in reversed(SIGNATURES):
+        # letters of plain text may be of either case
+        same = F.upper(F.decode(head, "ISO-8859-1")).startswith(first.decode()) if first[:6] == b"BEGIN:" else F.substring(head, 1, len(first)) == F.lit(first)
+        found = F.when(same, F.array(*map(F.lit, exts))).otherwise(found)
     return found
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..settings import SHARED_MAILBOXES
+
 KEY = ["code", "source_id", "item_id", "period"]
 OPEN = ["open", "acknowledged"]
 # Codes of findings that qualify a count.
@@ -56,15 +58,6 @@ def year_holes(items: DataFrame, item_sources: DataFrame) -> DataFrame:
     return inner.where("hi - lo > 1").select("source_id", F.explode(F.array_except(F.sequence(F.col("lo") + 1, F.col("hi") - 1), "has")).alias("year"))
 
 
-def resolve(ledger: DataFrame, decisions: DataFrame, now: str) -> DataFrame:
-    """The ledger with users' ``decisions`` (KEY, new_state, new_note): closing states get ``now`` as their time."""
-    d = keyed(decisions).select(*KEY, "new_state", "new_note")
-    j = keyed(ledger).join(d, KEY, "left")
-    closing = F.col("new_state").isin("resolved", "explained", "wont_fix")
-    resolved = F.when(closing, F.lit(now)).when(F.col("new_state").isNull(), F.col("resolved_at"))
-    return j.withColumns({"resolved_at": resolved, "state": F.coalesce("new_state", "state"), "note": F.coalesce("new_note", "note")}).drop("new_state", "new_note")
-
-
 def partial_parse(claims: DataFrame, item_sources: DataFrame, least: float = 0.95) -> DataFrame:
     """(source_id, claimed, got, loss) of sources that gave less than that part of the items they claim."""
     got = item_sources.groupBy("source_id").agg(F.count("*").alias("got"))
@@ -72,20 +65,16 @@ def partial_parse(claims: DataFrame, item_sources: DataFrame, least: float = 0.9
     return j.where(F.col("got") < least * F.col("claimed")).select("source_id", "claimed", "got", (F.col("claimed") - F.col("got")).alias("loss"))
 
 
-# Local parts of addresses that several people share, and names that are nobody's own.
-ROLES = [
-    "info", "office", "admin", "sales", "support", "help", "noreply", "no-reply", "donotreply", "postmaster", "mailer-daemon", "contact",
-    "enquiries", "inquiries", "accounts", "billing", "hr", "jobs", "careers", "newsletter", "marketing", "webmaster", "abuse", "security",
-]
+# Names that are nobody's own.
 GENERIC = [
     "administrator", "admin", "support", "helpdesk", "help desk", "reception", "office", "accounts", "sales", "info", "enquiries", "webmaster",
     "postmaster", "mailer-daemon", "system", "noreply", "no-reply", "unknown", "undisclosed recipients", "recipients",
 ]
 
 
-def over_merged(sightings: DataFrame, names: int = 8) -> DataFrame:
+def over_merged(sightings: DataFrame, names: int = 8, shared: tuple[str, ...] = SHARED_MAILBOXES) -> DataFrame:
     """(address, names, role): addresses seen (address, name) under more names than that, of a shared mailbox, or under a name that is nobody's own."""
-    role = F.split("address", "@")[0].isin(ROLES)
+    role = F.split("address", "@")[0].isin(list(shared))
     generic = F.bool_or(F.lower(F.trim("name")).isin(GENERIC))
     g = sightings.where("name is not null").groupBy("address").agg(F.countDistinct("name").alias("names"), generic.alias("generic"))
     return g.withColumn("role", role).where((F.col("names") > names) | F.col("role") | F.col("generic")).drop("generic")

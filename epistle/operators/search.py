@@ -24,10 +24,10 @@ def stems(posts: DataFrame) -> DataFrame:
     return posts.withColumn("term", stemmed("term"))
 
 
-def documents(items: DataFrame, participations: DataFrame, people: DataFrame, cap: int = 200_000) -> DataFrame:
-    """(doc_id, text): subject, names of everybody in it and body of each item; of a body at most ``cap`` characters are indexed."""
+def documents(items: DataFrame, participations: DataFrame, people: DataFrame, cap: int | None = None) -> DataFrame:
+    """(doc_id, text): subject, names of everybody in it and the body of each item, whole unless ``cap`` bounds its characters."""
     names = participations.join(people.select("person_id", "name"), "person_id").groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("name")), " ").alias("names"))
-    body = F.substring("body", 1, cap) if "body" in items.columns else F.lit(None)
+    body = (F.substring("body", 1, cap) if cap else F.col("body")) if "body" in items.columns else F.lit(None)
     return items.join(names, "item_id", "left").select(F.col("item_id").alias("doc_id"), F.concat_ws("\n", "subject", "names", body).alias("text"))
 
 

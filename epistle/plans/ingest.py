@@ -40,11 +40,14 @@ def _records(df: DataFrame, kind: str, **columns: Column) -> DataFrame:
     return df.select(F.lit(kind).alias("kind"), *(pick(c).cast(types.get(c, "string")).alias(c) for c in RECORD if c != "kind"))
 
 
-def read_all(spark: SparkSession, path: str, kinds: list[str] = ("message", "event", "contact")) -> DataFrame:
-    """Records of every file under ``path`` that has a reader; readers of kinds that are not wanted do not run."""
+def read_all(spark: SparkSession, path: str | list[str], kinds: list[str] = ("message", "event", "contact"), boxes: str = mail.BOXES) -> DataFrame:
+    """Records of every file under ``path``, a folder or a list of files, that has a reader; readers of kinds that are not wanted do not run.
+
+    ``boxes`` is the pattern of mailboxes' names.
+    """
     parts = []
     if "message" in kinds:
-        parts += [_records(r(spark, path), "message", body=F.coalesce("body", X.html_text("html"))) for r in (mail.read_eml, mail.read_mbox, mail.read_olm)]
+        parts += [_records(r, "message", body=F.coalesce("body", X.html_text("html"))) for r in (mail.read_eml(spark, path), mail.read_mbox(spark, path, boxes), mail.read_olm(spark, path))]
     if "event" in kinds:
         own = {"occurred": F.col("starts"), "tz_known": F.col("tz").isNotNull(), "sender": F.col("organizer"), "receivers": F.col("attendees"), "native_id": F.col("uid")}
         parts += [_records(r(spark, path), "event", **own) for r in (mail.read_ics, mail.read_vcs)]
@@ -85,6 +88,45 @@ def stable_id(key: Column) -> Column:
     return F.xxhash64(key).bitwiseAND(F.lit((1 << 63) - 1))
 
 
+def person_id() -> Column:
+    return stable_id(F.concat_ws("|", "address_type", "address"))
+
+
+def people_in(heads: DataFrame) -> DataFrame:
+    """(item_id, occurred, role, address, address_type): everybody whom the heads of items name, once for each time."""
+    none = F.array().cast("array<struct<role:string,raw:string>>")
+    people = F.coalesce("people", F.array().cast("array<struct<role:string,name:string,address:string>>"))
+    copied = F.transform(F.filter(people, lambda p: p["role"].isin("cc", "bcc")), lambda p: F.struct(p["role"].alias("role"), p["address"].alias("raw")))
+    sent = F.struct(F.when(F.col("kind") == "event", "organizer").otherwise("from").alias("role"), F.col("sender").alias("raw"))
+    to = F.when(F.col("people").isNotNull(), F.transform(F.filter("people", lambda p: p["role"] == "to"), lambda p: p["address"])).otherwise(F.coalesce("receivers", F.array().cast("array<string>")))
+    got = F.transform(to, lambda a: F.struct(F.when(F.col("kind") == "event", "attendee").when(F.col("kind") == "contact", "card").otherwise("to").alias("role"), a.alias("raw")))
+    roles = F.concat(copied, F.when(F.col("sender").isNotNull(), F.array(sent)).otherwise(none), got)
+    return heads.select("item_id", "occurred", F.explode(roles).alias("r")).select("item_id", "occurred", "r.role", X.identity(F.col("r.raw")).alias("i")).where("i.address <> ''").select("item_id", "occurred", "role", "i.*")
+
+
+def messages_of(heads: DataFrame) -> DataFrame:
+    """What threads are made from: item_id, message_id, in_reply_to, refs, subject, day of each message."""
+    return heads.where("kind = 'message'").select("item_id", "message_id", "in_reply_to", "refs", X.normalized_subject(F.col("subject")).alias("subject"), F.to_date(F.substring("occurred", 1, 10)).alias("day"))
+
+
+def conversations(messages: DataFrame, smtp: DataFrame) -> DataFrame:
+    """(item_id, thread_id) of messages, linked by replies and by subjects among people (``smtp``: item_id, participant) within half a year."""
+    by_subject = threads.subject_links(messages.join(smtp, "item_id"), 180)
+    return threads.threads(messages, threads.chain_links(messages).union(by_subject))
+
+
+def noted(heads: DataFrame) -> DataFrame:
+    """(code, path, item_id): findings that an item's own record gives."""
+    dated = F.col("occurred").isNotNull()
+    note = F.array_compact(
+        F.array(
+            F.when((F.col("kind") != "contact") & ~dated, "no_date"), F.when((F.col("kind") != "contact") & dated & ~F.col("tz_known"), "unknown_timezone"),
+            F.when(F.col("rule").isNotNull(), "unresolved_recurrence"),
+        )
+    )
+    return heads.select(F.explode(note).alias("code"), "path", "item_id")
+
+
 def ingest(spark: SparkSession, path: str, kinds: list[str] = ("message", "event", "contact")) -> Ingested:
     """Read everything under ``path`` into the archive's tables. Running it again gives the same keys and ids, which are hashes of keys.
 
@@ -100,29 +142,17 @@ def ingest(spark: SparkSession, path: str, kinds: list[str] = ("message", "event
     seen = good.select("dedup_key", "path", F.coalesce("native_id", F.lit("")).alias("native_id")).join(first.drop("row"), "dedup_key")
     item_sources = seen.groupBy("item_id", "path", "native_id").agg(F.count("*").alias("sightings"))
 
-    roles = F.concat(
-        F.transform(F.filter(F.coalesce("people", F.array().cast("array<struct<role:string,name:string,address:string>>")), lambda p: p["role"].isin("cc", "bcc")), lambda p: F.struct(p["role"].alias("role"), p["address"].alias("raw"))),
-        F.when(F.col("sender").isNotNull(), F.array(F.struct(F.when(F.col("kind") == "event", "organizer").otherwise("from").alias("role"), F.col("sender").alias("raw")))).otherwise(F.array().cast("array<struct<role:string,raw:string>>")),
-        F.transform(F.when(F.col("people").isNotNull(), F.transform(F.filter("people", lambda p: p["role"] == "to"), lambda p: p["address"])).otherwise(F.coalesce("receivers", F.array().cast("array<string>"))), lambda a: F.struct(F.when(F.col("kind") == "event", "attendee").when(F.col("kind") == "contact", "card").otherwise("to").alias("role"), a.alias("raw"))),
-    )
-    who = heads.select("item_id", "occurred", F.explode(roles).alias("r")).select("item_id", "occurred", "r.role", X.identity(F.col("r.raw")).alias("i")).where("i.address <> ''").select("item_id", "occurred", "role", "i.*")
+    who = people_in(heads)
     met = who.groupBy("address", "address_type").agg(F.count("*").alias("uses"), F.min("occurred").alias("first_seen"), F.max("occurred").alias("last_seen"))
-    identities = staged(met.withColumn("person_id", stable_id(F.concat_ws("|", "address_type", "address"))), "identities")
+    identities = staged(met.withColumn("person_id", person_id()), "identities")
     participations = staged(who.join(identities.select("address", "address_type", "person_id"), ["address", "address_type"]).select("item_id", "person_id", "role").distinct(), "participations")
 
-    messages = heads.where("kind = 'message'").select("item_id", "message_id", "in_reply_to", "refs", X.normalized_subject(F.col("subject")).alias("subject"), F.to_date(F.substring("occurred", 1, 10)).alias("day"))
+    messages = messages_of(heads)
     smtp = participations.join(identities.where("address_type = 'smtp'").select("person_id"), "person_id", "left_semi").select("item_id", F.col("person_id").alias("participant")).distinct()
-    by_subject = threads.subject_links(messages.join(smtp, "item_id"), 180)
-    linked = threads.threads(messages, threads.chain_links(messages).union(by_subject))
+    linked = conversations(messages, smtp)
 
-    note = F.array_compact(
-        F.array(
-            F.when((F.col("kind") != "contact") & F.col("occurred").isNull(), "no_date"), F.when((F.col("kind") != "contact") & F.col("occurred").isNotNull() & ~F.col("tz_known"), "unknown_timezone"),
-            F.when(F.col("rule").isNotNull(), "unresolved_recurrence"),
-        )
-    )
     failed = records.where("dedup_key is null").select(F.lit("read_failure").alias("code"), "path", F.lit(None).cast("long").alias("item_id"))
-    findings = heads.select(F.explode(note).alias("code"), "path", "item_id").union(failed)
+    findings = noted(heads).union(failed)
     read = records.groupBy("path").agg(F.count("*").alias("records"), F.count_if(F.col("dedup_key").isNull()).alias("errors"))
     outcomes = read.join(item_sources.groupBy("path").agg(F.countDistinct("item_id").alias("items")), "path", "left").fillna(0, ["items"])
     return Ingested(items, item_sources, identities, participations, linked, findings, outcomes)

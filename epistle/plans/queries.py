@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import checks, integrity, people, search, threads, timeline
+from ..operators import ledger as ledgers
 from ..sources import sinks
 from .archive import KINDS, SQL, Archive
 
@@ -457,7 +458,7 @@ def findings_resolve(a):
     ledger, _ = _ledger(a)
     k = F.col("source_id")
     d = ledger.where(k % 7 == 0).select(*integrity.KEY, F.when(k % 4 == 0, "explained").otherwise("open").alias("new_state"), F.lit("seen").alias("new_note"))
-    return integrity.resolve(ledger, d, "2024-07-01")
+    return ledgers.decided(ledger, d, "2024-07-01")
 
 
 @query(

@@ -104,7 +104,16 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([one(p, bytes(r)) for p, r in zip(b["path"], b["raw"], strict=True)], columns=COLUMNS)
 
 
-def read_eml(spark: SparkSession, path: str) -> DataFrame:
+#: Names of mailboxes.
+BOXES = "*.{mbox,mbx}"
+
+
+def listed_path(c: Column) -> Column:
+    """A file's path as Spark's file sources list it, from the form with escapes that its metadata has."""
+    return F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
+
+
+def read_eml(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Messages of ``.eml`` files under ``path``; undated ones have a null instant, unreadable ones an error.
 
     An empty file holds no message and gives no row, as Spark's file scan passes it over; a file inventory still lists it.
@@ -113,13 +122,13 @@ def read_eml(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("content").alias("raw")).mapInPandas(_parsed, MESSAGE)
 
 
-def records(spark: SparkSession, path: str, separator: str, glob: str) -> DataFrame:
+def records(spark: SparkSession, path: str | list[str], separator: str, glob: str) -> DataFrame:
     """(path, value): the text of files under ``path`` between occurrences of ``separator``, as unchanged bytes."""
     t = spark.read.option("lineSep", separator).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
-    return t.select(F.col("_metadata.file_path").alias("path"), "value")
+    return t.select(listed_path(F.col("_metadata.file_path")).alias("path"), "value")
 
 
-def read_mbox(spark: SparkSession, path: str, glob: str = "*.{mbox,mbx}") -> DataFrame:
+def read_mbox(spark: SparkSession, path: str | list[str], glob: str = BOXES) -> DataFrame:
     """Messages of ``.mbox`` files and text ``.mbx`` files, split at lines that begin with ``From ``; quoted ``>From `` lines are restored."""
     body = F.regexp_replace(F.regexp_replace("value", r"^(?:From )?[^\n]*\n", ""), r"(?m)^>(>*From )", "$1")
     # the record's first line is the rest of the separator line; bytes that are not UTF-8 stay as they are
@@ -142,7 +151,7 @@ def _plain(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"\\[nN]", "\n"), r"\\([,;\\])", "$1")
 
 
-def read_ics(spark: SparkSession, path: str) -> DataFrame:
+def read_ics(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Events of ``.ics`` files; rules are kept, not expanded.
 
     ``starts`` and ``ends`` are ISO text: UTC where the value says so, else the wall clock with ``tz`` of its parameter
@@ -179,7 +188,7 @@ def _quoted(values: pd.Series) -> pd.Series:
     return values.map(one)
 
 
-def read_vcs(spark: SparkSession, path: str) -> DataFrame:
+def read_vcs(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Events of version 1.0 calendars (``.vcs``): quoted-printable texts, floating times, positional rules put as RFC 5545 ones.
 
     Rules with more than an interval, weekdays and a count stay as they are.
@@ -260,7 +269,7 @@ def _archived(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 OLM_MEMBER_BYTES, OLM_SWELL = 256 << 20, 200
 
 
-def read_olm(spark: SparkSession, path: str) -> DataFrame:
+def read_olm(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Messages of zipped XML mail archives (``.olm``), a file to a task: a zip cannot be split, and Spark reads whole files up to 2 GB."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.olm").load(path)
     return files.select("path", F.col("content").alias("raw")).mapInPandas(_archived, MESSAGE)
@@ -284,13 +293,13 @@ def _strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([c for p, r in zip(b["path"], b["raw"], strict=True) for c in cards(p, bytes(r))], columns="path name org title emails phones confidence".split())
 
 
-def read_wab(spark: SparkSession, path: str) -> DataFrame:
+def read_wab(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Addresses saved from binary address books (``.wab``), each with the nearest name among the four texts before it; confidence 0.5."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.wab").load(path)
     return files.select("path", F.col("content").alias("raw")).mapInPandas(_strings, "path string, name string, org string, title string, emails array<string>, phones array<string>, confidence double")
 
 
-def read_vcf(spark: SparkSession, path: str) -> DataFrame:
+def read_vcf(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Cards of ``.vcf`` files: name, organisation, title, e-mail addresses and telephone numbers."""
     text = _unfolded(F.split("value", "END:VCARD")[0])
     v = F.col("v")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from epistle.operators import people, state
 from epistle.operators.index import SearchIndex
 from epistle.operators.search import bm25, postings
-from epistle.settings import ROLE_MAILBOXES, from_toml, settings
+from epistle.settings import SHARED_MAILBOXES, Settings, from_toml
 from epistle.sources import stores
 
 
@@ -109,13 +109,13 @@ def test_similar_names_have_a_ceiling_and_leave_offices_out(spark):
     p = spark.createDataFrame([(1, "Martha Jones"), (2, "Marhta Jones"), (3, "Martha Jonas")], "person_id long, name string")
     mail = spark.createDataFrame([(1, "m@x"), (2, "n@x"), (3, "INFO@x")], "person_id long, address string")
     links = spark.createDataFrame([(1, 9), (2, 9), (3, 9)], "person_id long, other_id long")
-    some = people.without_role_mailboxes(p, mail, list(ROLE_MAILBOXES))
+    some = people.without_role_mailboxes(p, mail, list(SHARED_MAILBOXES))
     assert rows(people.similar_names(some, links, 0.92, 0.85)) == [(1, 2, 0.85)]
 
 
 def test_settings():
-    s = from_toml('[scan]\nextensions = ["EML", " ", ".Ics"]\n[identity]\nme = [" Ann@X.example "]\nmerge_suggest_threshold = 1\n')
-    assert s.scan.extensions == (".eml", ".ics") and s.identity.me == ("ann@x.example",) and s.extract.batch_size == 1000
-    for bad in ({"scn": {}}, {"scan": {"rots": []}}, {"scan": {"roots": "x"}}, {"extract": {"batch_size": 0}}, {"extract": {"batch_size": 1.5}}, {"integrity": {"soft_gap_ratio": 2}}, {"extract": {"sample_limit": True}}, {"scan": 3}):
+    s = from_toml('[folders]\nendings = ["EML", " ", ".Ics"]\n[persons]\nown_addresses = [" Ann@X.example "]\nalike = 1\n')
+    assert s.folders.endings == (".eml", ".ics") and s.persons.own_addresses == ("ann@x.example",) and s.persons.alike == 1.0 and s.doubts == Settings().doubts
+    for bad in ('[fold]\nx = 1', '[folders]\nends = []', '[folders]\nendings = "x"', "[persons]\nnames_of_one_address = 0", "[persons]\nnames_of_one_address = 1.5", "[doubts]\nthin_month = 2", "[doubts]\nfirst_year = true", "folders = 3"):
         with pytest.raises(ValueError):
-            settings(bad)
+            from_toml(bad)
