@@ -36,6 +36,8 @@ STEP = 25
 SHARE_CHARS = 16_000_000
 #: A text is worked on in slices of so many windows, to bound memory; entries may break there.
 SLICE = 1 << 21
+#: Bytes of suffixes that a task holds before it hands over sorted runs, and entries that it lists at a time.
+HELD, LISTED = 64 << 20, 500_000
 #: Groups of up to so many suffixes are compared in pairs, larger ones by classes.
 PAIRS = 10
 NO_ID = -(1 << 63)
@@ -60,8 +62,12 @@ def windowed_least(g: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(back[:n], ahead[width - 1 : width - 1 + n]) & place).astype(np.int64)
 
 
-def entries(text: bytes, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window, anchor, gram hash and span hash of each entry of a text."""
+def entries(text: bytes, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """First and last window, anchor, gram hash, span hash and repeats of each entry of a text.
+
+    Neighbouring entries that are alike (equal hashes and shape, as in a text of short period) are one with so many repeats,
+    each as many windows behind the one before as an entry has.
+    """
     out = []
     for lo in range(0, max(0, len(text) - window + 1), SLICE):
         x = np.frombuffer(text[lo : lo + SLICE + window - 1], np.uint8).astype(np.uint64) + np.uint64(1)
@@ -69,8 +75,16 @@ def entries(text: bytes, window: int, gram: int) -> tuple[np.ndarray, np.ndarray
         at = windowed_least(g, window - gram + 1)
         first = np.flatnonzero(heads(at))
         last = np.concatenate([first[1:] - 1, [len(at) - 1]])
-        out.append((first + lo, last + lo, at[first] + lo, g[at[first]].view(np.int64), ranges(x, first, last + window).view(np.int64)))
-    return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.zeros(0, np.int64),) * 5
+        one = (first + lo, last + lo, at[first] + lo, g[at[first]].view(np.int64), ranges(x, first, last + window).view(np.int64))
+        begin = np.flatnonzero(heads(one[3], one[4], last - first, at[first] - first))
+        out.append((*(v[begin] for v in one), np.diff(np.concatenate([begin, [len(first)]]))))
+    return tuple(map(np.concatenate, zip(*out, strict=True))) if out else (np.zeros(0, np.int64),) * 6
+
+
+def periodic(text: bytes, lo: int, hi: int, stride: int) -> bool:
+    """Whether the bytes from ``lo`` to ``hi`` repeat every ``stride``."""
+    view = memoryview(text)
+    return view[lo : hi - stride] == view[lo + stride : hi]
 
 
 def encoded(texts: pd.Series) -> list[bytes]:
@@ -207,7 +221,8 @@ def with_marks(docs: DataFrame, marks: DataFrame, how: str) -> DataFrame:
     return joined(docs, marks, how)
 
 
-RANGES = "id long, start int, stop int, hash long"
+#: Windows start to stop, and ``repeats`` - 1 times the same, each ``stride`` further on; the hash is that of the bytes of the first.
+RANGES = "id long, start int, stop int, hash long, repeats int, stride int"
 
 
 def pieces(first: int, last: int, at: int, part: int, step: int) -> Iterator[tuple[int, int, int]]:
@@ -226,35 +241,55 @@ def suffix_ranges(docs: DataFrame, open_: DataFrame, shares: int, window: int, g
     common = gram if step is None else window - step + 1
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["share", "shape", "rest", "before", "places", "begin"]
+        found: dict[int, dict[tuple[bytes, bytes], list[tuple]]] = {}
+        held = 0
+
+        def handed() -> pd.DataFrame:
+            rows = []
+            for share, own in found.items():
+                keys = sorted(own)
+                shape, rest = front_coded([k[0] for k in keys])
+                counts = np.cumsum([0] + [len(own[k]) for k in keys[:-1]]).astype(np.int32)
+                where = np.array([x for k in keys for x in own[k]], np.int64)
+                rows.append((share, shape.tobytes(), rest, b"".join(k[1] for k in keys), where.tobytes(), counts.tobytes()))
+            found.clear()
+            return pd.DataFrame(rows, columns=names)
+
         for b in batches:
-            found: dict[int, list[tuple]] = {}
             for doc, text, marked, parts in zip(b["id"], encoded(b["text"]), b["entry"], b["part"], strict=True):
-                first, last, at, g, _ = entries(text, window, gram)
-                for i, part in sorted(set(zip(marked.tolist(), parts.tolist(), strict=True))):
-                    if i >= len(first):
-                        continue
-                    s1, s2, p = int(first[i]), int(last[i]), int(at[i])
+                first, last, at, g, _, repeats = entries(text, window, gram)
+                wanted = np.unique(np.stack([marked, parts], axis=1).astype(np.int64), axis=0)
+                for i, part in wanted[wanted[:, 0] < len(first)].tolist():
+                    s1, s2, p, n = int(first[i]), int(last[i]), int(at[i]), int(repeats[i])
+                    stride = s2 - s1 + 1
+                    # the repeats are alike by hashes; bytes decide, and if they differ each is an entry of its own
+                    whole = n == 1 or periodic(text, s1, s2 + (n - 1) * stride + window, stride)
                     key = int(g[i].view(np.uint64))
-                    for p_, lo, hi in [(p, s1, s2)] if step is None else pieces(s1, s2, p, part, step):
-                        key = key if step is None else checksum(text[p_ : p_ + common])
-                        found.setdefault(key % shares, []).append((text[p_ : hi + window], text[lo:p_], int(doc), lo, p_, hi))
-            rows = []
-            for share, own in found.items():
-                own.sort(key=lambda x: x[:2])
-                new = [k == 0 or x[:2] != own[k - 1][:2] for k, x in enumerate(own)]
-                one = [x for x, is_new in zip(own, new, strict=True) if is_new]
-                shape, rest = front_coded([x[0] for x in one])
-                where = np.array([x[2:] for x in own], np.int64)
-                rows.append((share, shape.tobytes(), rest, b"".join(x[1] for x in one), where.tobytes(), np.flatnonzero(new).astype(np.int32).tobytes()))
-            yield pd.DataFrame(rows, columns=["share", "shape", "rest", "before", "places", "begin"])
+                    for k in range(1 if whole else n):
+                        off = k * stride
+                        for p_, lo, hi in [(p, s1, s2)] if step is None else pieces(s1, s2, p, part, step):
+                            p_, lo, hi = p_ + off, lo + off, hi + off
+                            key = key if step is None else checksum(text[p_ : p_ + common])
+                            own = found.setdefault(key % shares, {})
+                            suffix, before = text[p_ : hi + window], text[lo:p_]
+                            if (places := own.get((suffix, before))) is None:
+                                places = own[suffix, before] = []
+                                held += len(suffix) + len(before)
+                            places.append((int(doc), lo, p_, hi, n if whole else 1, stride))
+                            held += 160
+                    if held > HELD:
+                        yield handed()
+                        held = 0
+        yield handed()
 
     def combine(df: pd.DataFrame) -> pd.DataFrame:
         shapes = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in df["shape"]]
-        places = [np.frombuffer(x, np.int64).reshape(-1, 4) for x in df["places"]]
+        places = [np.frombuffer(x, np.int64).reshape(-1, 6) for x in df["places"]]
         folded = [[*np.frombuffer(x, np.int32).tolist(), len(p)] for x, p in zip(df["begin"], places, strict=True)]  # where each suffix's places begin
         begins = [np.concatenate([[0], np.cumsum((p[:, 2] - p[:, 1])[f[:-1]])]).tolist() for p, f in zip(places, folded, strict=True)]
         before, rests = list(df["before"]), list(df["rest"])
-        out: list[tuple[int, int, int, int]] = []
+        out: list[tuple[int, int, int, int, int, int]] = []
         group: list[tuple[int, int, int, bytes]] = []
 
         def settle() -> None:
@@ -274,17 +309,17 @@ def suffix_ranges(docs: DataFrame, open_: DataFrame, shares: int, window: int, g
                 left.append(b)
                 suffix.append(s)
                 where.append(own)
-            several = [k for k, x in enumerate(where) if len(x) > 1]
+            several = [k for k, x in enumerate(where) if len(x) > 1 or x[0][4] > 1]
             for k in several:
                 check = checksum(left[k] + suffix[k])
-                out.extend((doc, lo, hi, check) for doc, lo, _, hi in where[k])
+                out.extend((doc, lo, hi, check, n, stride) for doc, lo, _, hi, n, stride in where[k])
             if len(left) < 2 or len(several) == len(left):
                 return
             spans = equal_windows(shared, left, [x[0][2] - x[0][3] for x in where], [x[0][2] - x[0][1] for x in where], window, common)
             for x, l, s, own in zip(where, left, suffix, spans, strict=True):
-                if len(x) == 1:
-                    doc, s1, p, _ = x[0]
-                    out.extend((doc, p - hi, p - lo, checksum(l[p - hi - s1 :] + s[: window - lo])) for lo, hi in own)
+                if len(x) == 1 and x[0][4] == 1:
+                    doc, s1, p = x[0][:3]
+                    out.extend((doc, p - hi, p - lo, checksum(l[p - hi - s1 :] + s[: window - lo]), 1, 1) for lo, hi in own)
 
         for got in merged(list(zip(shapes, rests, strict=True))):
             if got[0] < common:
@@ -292,7 +327,7 @@ def suffix_ranges(docs: DataFrame, open_: DataFrame, shares: int, window: int, g
                 group = []
             group.append(got)
         settle()
-        return pd.DataFrame(out, columns=["id", "start", "stop", "hash"])
+        return pd.DataFrame(out, columns=["id", "start", "stop", "hash", "repeats", "stride"])
 
     each = with_marks(docs, open_.groupBy("id").agg(F.collect_list("entry").alias("entry"), F.collect_list("part").alias("part")), "inner")
     sorted_runs = each.select("id", "text", "entry", "part").mapInPandas(runs, "share int, shape binary, rest binary, before binary, places binary, begin binary")
@@ -304,36 +339,42 @@ def checksum(covered: bytes) -> int:
 
 
 def split_parts(docs: DataFrame, open_: DataFrame, window: int, gram: int) -> DataFrame:
-    """(id, entry, part, c): the parts of hot entries, and how many parts have the same bytes from their anchor on."""
+    """(id, entry, part, c): the parts of hot entries, and how many parts (repeats apart) have the same bytes from their anchor on."""
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for doc, text, marked in zip(b["id"], encoded(b["text"]), b["entry"], strict=True):
-                first, last, at, _, _ = entries(text, window, gram)
+                first, last, at, _, _, repeats = entries(text, window, gram)
                 for i in np.unique(marked[marked < len(first)]).tolist():
                     for p, _, _ in pieces(int(first[i]), int(last[i]), int(at[i]), -1, STEP):
-                        out.append((doc, i, (int(at[i]) - p) // STEP, checksum(text[p : p + window - STEP + 1])))
-            yield pd.DataFrame(out, columns=["id", "entry", "part", "key"])
+                        out.append((doc, i, (int(at[i]) - p) // STEP, checksum(text[p : p + window - STEP + 1]), int(repeats[i])))
+            yield pd.DataFrame(out, columns=["id", "entry", "part", "key", "n"])
 
     each = with_marks(docs, open_.groupBy("id").agg(F.collect_set("entry").alias("entry")), "inner")
-    found = staged(each.select("id", "text", "entry").mapInPandas(keyed, "id long, entry int, part int, key long"), "parts")
-    return found.join(found.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key").select("id", "entry", "part", "c")
+    found = staged(each.select("id", "text", "entry").mapInPandas(keyed, "id long, entry int, part int, key long, n int"), "parts")
+    return found.join(found.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("all")).where("all > 1"), "key").select("id", "entry", "part", "c")
 
 
 def cut(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
-    marks = found.groupBy("id").agg(*(F.collect_list(c).alias(c) for c in ("start", "stop", "hash")))
+    marks = found.groupBy("id").agg(*(F.collect_list(c).alias(c) for c in ("start", "stop", "hash", "repeats", "stride")))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc, text, start, stop, hashes in zip(batch["id"], encoded(batch["text"]), batch["start"], batch["stop"], batch["hash"], strict=True):
+            for doc, text, *marks_ in zip(batch["id"], encoded(batch["text"]), *(batch[c] for c in ("start", "stop", "hash", "repeats", "stride")), strict=True):
                 gone = np.zeros(len(text) + 1, np.int32)
-                if start is not None:
-                    for s, e, x in zip(start.tolist(), stop.tolist(), hashes.tolist(), strict=True):
-                        if checksum(text[s : e + window]) == x:  # rows may share an id: a mark is for the bytes that it was made from
+                if marks_[0] is not None:
+                    for s, e, x, n, stride in zip(*(m.tolist() for m in marks_), strict=True):
+                        # rows may share an id: a mark is for the bytes that it was made from
+                        if checksum(text[s : e + window]) != x:
+                            continue
+                        if n == 1:
                             gone[s] += 1
                             gone[e + window] -= 1
+                        elif periodic(text, s, e + (n - 1) * stride + window, stride):
+                            gone[s + stride * np.arange(n)] += 1
+                            gone[e + window + stride * np.arange(n)] -= 1
                 keep = np.cumsum(gone)[:-1] == 0
                 kept = np.frombuffer(text, np.uint8)[keep].tobytes()
                 runs = int((~keep[:1]).sum() + (keep[:-1] & ~keep[1:]).sum())
@@ -354,19 +395,24 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).alias("text"))
 
     def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, held = [], 0
+        table = lambda: pd.DataFrame(dict(zip(("id", "entry", "gram", "span", "n"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
         for b in batches:
-            found = []
             for doc, text in zip(b["id"], encoded(b["text"]), strict=True):
-                first, _, _, g, span = entries(text, window, gram)
-                found.append((np.full(len(first), doc, np.int64), np.arange(len(first), dtype=np.int32), g, span))
-            if found:
-                yield pd.DataFrame(dict(zip(("id", "entry", "gram", "span"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
-
-    every = staged(docs.mapInPandas(listed, "id long, entry int, gram long, span long"), "entries")
-    spans = every.groupBy("gram", "span").agg(F.count("*").alias("n"))
+                first, _, _, g, span, repeats = entries(text, window, gram)
+                found.append((np.full(len(first), doc, np.int64), np.arange(len(first), dtype=np.int32), g, span, repeats))
+                held += len(first) + 1
+                if held > LISTED:
+                    yield table()
+                    found, held = [], 0
+        if found:
+            yield table()
+
+    every = staged(docs.mapInPandas(listed, "id long, entry int, gram long, span long, n long"), "entries")
+    spans = every.groupBy("gram", "span").agg(F.sum("n").alias("n"))
     # staged, so that a hot gram's entries meet it in a shuffle of their own, which adaptive execution splits
     common = staged(spans.groupBy("gram").agg(F.sum("n").alias("n"), F.count("*").alias("c")).where("n > 1").select("gram", "c"), "common")
-    open_ = staged(every.drop("span").join(common, "gram").select("id", "entry", F.lit(-1).alias("part"), "c"), "open")
+    open_ = staged(every.drop("span", "n").join(common, "gram").select("id", "entry", F.lit(-1).alias("part"), "c"), "open")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     shares = max(8, -(-chars // SHARE_CHARS))
     found = suffix_ranges(docs, open_.where(F.col("c") <= hot), shares, window, gram)

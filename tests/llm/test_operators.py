@@ -280,6 +280,38 @@ def test_suffix_dedup_at_its_own_window(spark):
     assert {r.doc_id: r.n_removed for r in got if r.doc_id in (6, 7)} == {6: 0, 7: 0} and sorted(map(key, got))
 
 
+def peak_mb(spark):
+    """The most memory that any Python worker has held so far."""
+
+    def own(batches):
+        import resource
+
+        import pandas as pd
+
+        for _ in batches:
+            yield pd.DataFrame({"mb": [resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024]})
+
+    return spark.range(0, 64, 1, 16).mapInPandas(own, "mb double").agg(F.max("mb")).first()[0]
+
+
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_suffix_dedup_of_short_periods(spark, monkeypatch, hot):
+    texts = ["-" * 700, "-" * 160 + "a", "abcdefg" * 90, "x" + "abcdefg" * 40 + "y", "ab" * 61, "q" * 120, "q" * 119 + "r", "q" * 119 + "s", "01234" * 24, "01234" * 24 + "0", "z" * 121]
+    pairs = [*enumerate(texts), (50, texts[2][3:]), (51, texts[4] + texts[0])]
+    monkeypatch.setattr(suffix_dedup, "SLICE", 300)
+    monkeypatch.setattr(suffix_dedup, "HELD", 500)
+    monkeypatch.setattr(suffix_dedup, "LISTED", 3)
+    got = suffix_dedup.deduplicated(spark.createDataFrame(pairs, "doc_id long, text string").repartition(3), window=120, hot=hot).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == plain_suffix([(i, t.encode()) for i, t in pairs], 120)
+
+
+def test_suffix_dedup_of_long_texts_of_short_period(spark):
+    texts = ["-" * 10_000_000, "abcdefg" * 1_400_000 + "end", "0" * 5_000_000 + "1" * 399]
+    got = suffix_dedup.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).drop("kept").collect()
+    assert {r.doc_id: (r.n_removed, r.n_spans) for r in got} == {0: (10_000_000, 1), 1: (9_800_000, 1), 2: (5_000_000, 1)}
+    assert peak_mb(spark) < 1000
+
+
 def test_suffix_marks_come_through_the_merge(docs, monkeypatch):
     empty = lambda docs, open_, *a: docs.sparkSession.createDataFrame([], suffix_dedup.RANGES)
     monkeypatch.setattr(suffix_dedup, "suffix_ranges", empty)
