@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import checks, integrity, people, search, threads, timeline
 from ..operators import ledger as ledgers
+from ..operators.graph import shared_dir
+from ..operators.index import SearchIndex
 from ..sources import sinks
 from .archive import KINDS, SQL, Archive
 
@@ -190,8 +194,8 @@ from orders left join (select item_id, string_agg(person_id::varchar, ',' order
 )
 def message_dedup_key(a):
     to = a.participations.where("role = 'to'").groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set(F.col("person_id").cast("string"))), ",").alias("r"))
-    sender = a.table("orders").select(F.col("o_orderkey").alias("item_id"), "o_custkey")
-    j = a.items.join(sender, "item_id").join(to, "item_id", "left")
+    sent = a.table("orders").select(F.col("o_orderkey").alias("item_id"), "o_custkey", F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("occurred"), F.col("o_orderpriority").alias("subject"))
+    j = sent.join(to, "item_id", "left")
     return j.select("item_id", X.key(F.lit("msg"), F.col("o_custkey"), F.col("r"), F.substring("occurred", 1, 16), X.normalized_subject(F.col("subject"))).alias("dedup_key"))
 
 
@@ -301,19 +305,32 @@ _POSTS = r"""with posts as (select doc_id, unnest(range(len(t))) as pos, unnest(
 from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') as t from documents)) """
 
 
+_BUILT: dict[tuple[str, str], SearchIndex] = {}
+
+
+def _indexed(a) -> SearchIndex:
+    """The index of a folder's documents, built by the first search of a session."""
+    at = (a.spark.sparkContext.applicationId, a.dir)
+    if at not in _BUILT:
+        index = SearchIndex(a.spark, f"{shared_dir(a.spark)}/epistle/{at[0]}/documents-{uuid.uuid4().hex[:12]}")
+        index.build(a.table("documents"))
+        _BUILT[at] = index
+    return _BUILT[at]
+
+
 @query(_POSTS + "select doc_id from posts group by doc_id having bool_or(term = 'the') and (bool_or(term = 'stat') or bool_or(starts_with(term, 'clow'))) and not bool_or(term = 'from')")
 def search_boolean(a):
-    return search.boolean(search.postings(a.table("documents")), all_of=["the"], any_of=["stat", "clow*"], none_of=["from"])
+    return search.boolean(_indexed(a).postings("the", "stat", "clow*", "from"), all_of=["the"], any_of=["stat", "clow*"], none_of=["from"])
 
 
 @query(_POSTS + "select doc_id, pos::int as start from (select *, lead(term) over (partition by doc_id order by pos) as next from posts) where term = 'of' and next = 'the'")
 def search_phrase(a):
-    return search.phrase(search.postings(a.table("documents")), ["of", "the"])
+    return search.phrase(_indexed(a).postings("of", "the"), ["of", "the"]).select("doc_id", F.col("start").cast("int").alias("start"))
 
 
 @query(_POSTS + "select distinct a.doc_id from posts a join posts b on a.doc_id = b.doc_id and a.term = 'that' and b.term = 'stat' and abs(a.pos - b.pos) <= 11")
 def search_near(a):
-    return search.near(search.postings(a.table("documents")), "that", "stat")
+    return search.near(_indexed(a).postings("that", "stat"), "that", "stat")
 
 
 @query(
@@ -324,7 +341,7 @@ select doc_id, round(sum(case when ln((docs - df + 0.5) / (df + 0.5)) > 0 then l
 from tf join df using (term) join l using (doc_id) cross join s group by doc_id"""
 )
 def search_bm25(a):
-    return search.bm25(search.postings(a.table("documents")), ["stat", "clown", "the"]).select("doc_id", F.round("score", 6).alias("score"))
+    return _indexed(a).bm25(["stat", "clown", "the"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
 _BENT = "case when item_id % 50 = 0 then '1961' || occurred[5:] when item_id % 70 = 1 then '2099' || occurred[5:] else occurred end"

@@ -35,8 +35,7 @@ select doc_id, round(sum(case when ln((docs - df + 0.5) / (df + 0.5)) > 0 then l
 from tf join df using (term) join l using (doc_id) cross join s group by doc_id"""
 )
 def index_bm25(a):
-    i, terms = _index(a), ["stat", "clown"]
-    return search.bm25(i.postings(*terms), terms, i.documents()).select("doc_id", F.round("score", 6).alias("score"))
+    return _index(a).bm25(["stat", "clown"]).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(_NEW_POSTS + "select doc_id, pos::int as start from (select *, lead(term) over (partition by doc_id order by pos) as next from posts) where term = 'the' and next = 'clown'")
@@ -49,6 +48,48 @@ def index_prefix(a):
     return _index(a).postings("cl*", "s*").groupBy("term").agg(F.count("*").alias("places"), F.countDistinct("doc_id").alias("docs"))
 
 
+_FIELDS = """, n as (select item_id, string_agg(distinct name, ' ' order by name) as people from participations join people using (person_id) where item_id % 5 <> 0 group by 1),
+f as (select item_id as doc_id, regexp_extract_all(lower(subject), '[\\p{L}\\p{N}]+') as s, regexp_extract_all(lower(coalesce(people, '')), '[\\p{L}\\p{N}]+') as p from items left join n using (item_id))"""
+
+
+def _fielded(a) -> SearchIndex:
+    """Items by subject and by the people in them; every fifth is taken in later, without people."""
+    names = a.participations.where("item_id % 5 <> 0").join(a.people.select("person_id", "name"), "person_id").groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("name")), " ").alias("people"))
+    docs = a.items.join(names, "item_id", "left").select(F.col("item_id").alias("doc_id"), "subject", "people")
+    index = SearchIndex(a.spark, f"{shared_dir(a.spark)}/epistle/{a.spark.sparkContext.applicationId}/fields-{uuid.uuid4().hex[:12]}")
+    index.build(docs.where("doc_id % 5 <> 0"), ["subject", "people"])
+    index.update(docs.where("doc_id % 5 = 0"))
+    return index
+
+
+@query(_FIELDS + " select doc_id, list_contains(s, 'urgent') as in_subject, list_contains(p, 'supplier') as in_people from f where list_contains(s, 'urgent') or list_contains(p, 'supplier')")
+def index_fields(a):
+    """Where a word stands: in the subject, among the people."""
+    i = _fielded(a)
+    one, two = i.postings("urgent", field="subject").select("doc_id").distinct(), i.postings("supplier", field="people").select("doc_id").distinct()
+    both = one.withColumn("in_subject", F.lit(True)).join(two.withColumn("in_people", F.lit(True)), "doc_id", "full_outer")
+    return both.fillna(False, ["in_subject", "in_people"])
+
+
+@query(
+    _FIELDS
+    + """, s as (select sum(len(s) > 0)::bigint as docs, sum(len(s)) / sum(len(s) > 0)::double as al from f), h as (select doc_id, len(s) as len, len(list_filter(s, lambda x: x = 'urgent')) as tf from f where list_contains(s, 'urgent')),
+w as (select count(*) as df from h)
+select doc_id, round(case when ln((docs - df + 0.5) / (df + 0.5)) > 0 then ln((docs - df + 0.5) / (df + 0.5)) else 1e-6 end * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al)), 6) as score from h cross join s cross join w"""
+)
+def index_field_bm25(a):
+    """Ranked within a field, by the field's own statistics as two generations leave them."""
+    return _fielded(a).bm25(["urgent"], "subject").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(_POSTS + "select doc_id, count(*) as uses from posts where term in ('license', 'licensed', 'licenses', 'licensing') group by doc_id")
+def index_stems(a):
+    """Documents with any form of a word, by the stem that its forms share."""
+    index = SearchIndex(a.spark, f"{shared_dir(a.spark)}/epistle/{a.spark.sparkContext.applicationId}/stems-{uuid.uuid4().hex[:12]}")
+    index.build(a.table("documents"), ["text"], stem=True)
+    return index.postings("Licensing").groupBy("doc_id").agg(F.count("*").alias("uses"))
+
+
 _TICKS = "((epoch(o_orderdate)::bigint + 11644473600) * 10000000 + 5)"
 
 
