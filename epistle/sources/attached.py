@@ -205,6 +205,46 @@ def pdf(raw: bytes) -> Iterator[tuple[str, str]]:
             yield f"stream at {m.start()}", text
 
 
+def of_messages(raw: DataFrame) -> DataFrame:
+    """(path, message_id, place, filename, content_hash, data): the attachments of mails (path, raw), with their bytes and the SHA-256 of these.
+
+    Attached mails are attachments, named by their subject; a mail that cannot be read has none.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import hashlib
+        from email import message_from_bytes, policy
+
+        def of(path: str, mail: bytes) -> Iterator[tuple]:
+            try:
+                m = message_from_bytes(mail, policy=policy.default)
+                mid, place, todo = m["message-id"], 0, [m]
+                while todo:
+                    part = todo.pop()
+                    inner = part is not m and part.get_content_type() == "message/rfc822"
+                    if part.is_multipart() and not inner:
+                        todo += reversed(list(part.iter_parts()))
+                        continue
+                    name = part.get_filename()
+                    if inner:
+                        sub = part.get_payload(0)
+                        name, data = name or f"{str(sub['subject'] or 'message').strip()}.eml", sub.as_bytes()
+                    elif part is not m and (name or part.get_content_disposition() == "attachment"):
+                        data = part.get_payload(decode=True) or b""
+                    else:
+                        continue
+                    yield path, mid and str(mid).strip(), place, name, hashlib.sha256(data).hexdigest(), data
+                    place += 1
+            except Exception:  # the mail's own reader tells of it
+                return
+
+        for b in batches:
+            for path, mail in zip(b["path"], b["raw"], strict=True):
+                yield pd.DataFrame(of(path, bytes(mail)), columns="path message_id place filename content_hash data".split())
+
+    return raw.mapInPandas(run, "path string, message_id string, place int, filename string, content_hash string, data binary")
+
+
 READERS: dict[str, Callable[[bytes], Iterator[tuple[str, str]]]] = (
     dict.fromkeys(PLAIN, plain) | dict.fromkeys(MARKUP, markup) | {".rtf": rich, ".docx": document, ".pptx": slides, ".xlsx": workbook, ".odt": open_document, ".ods": open_document, ".odp": open_document, ".pdf": pdf}
 )

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.exports import end_of
+
 MESSAGE = (
     "path string, message_id string, in_reply_to string, refs array<string>, subject string, sender string, receivers array<string>, "
     "occurred string, tz_known boolean, body string, html string, attachments array<struct<name: string, mime: string, bytes: long>>, error string, "
@@ -118,8 +120,7 @@ def read_eml(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     An empty file holds no message and gives no row, as Spark's file scan passes it over; a file inventory still lists it.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.eml").load(path)
-    return files.select("path", F.col("content").alias("raw")).mapInPandas(_parsed, MESSAGE)
+    return raw_eml(spark, path).mapInPandas(_parsed, MESSAGE)
 
 
 def records(spark: SparkSession, path: str | list[str], separator: str, glob: str) -> DataFrame:
@@ -128,13 +129,32 @@ def records(spark: SparkSession, path: str | list[str], separator: str, glob: st
     return t.select(listed_path(F.col("_metadata.file_path")).alias("path"), "value")
 
 
-def read_mbox(spark: SparkSession, path: str | list[str], glob: str = BOXES) -> DataFrame:
-    """Messages of ``.mbox`` files and text ``.mbx`` files, split at lines that begin with ``From ``; quoted ``>From `` lines are restored."""
+def raw_eml(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, raw): the bytes of each ``.eml`` file."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.eml").load(path)
+    return files.select("path", F.col("content").alias("raw"))
+
+
+def raw_mbox(spark: SparkSession, path: str | list[str], glob: str = BOXES) -> DataFrame:
+    """(path, raw): the bytes of each message of mailboxes, split at lines that begin with ``From ``; quoted ``>From `` lines are restored."""
     body = F.regexp_replace(F.regexp_replace("value", r"^(?:From )?[^\n]*\n", ""), r"(?m)^>(>*From )", "$1")
     # the record's first line is the rest of the separator line; bytes that are not UTF-8 stay as they are
-    first = F.locate("\n", "value")
     raw = F.when(F.is_valid_utf8("value"), body.cast("binary")).otherwise(F.expr("substring(cast(value as binary), locate('\n', value) + 1)"))
-    return records(spark, path, "\nFrom ", glob).where(first > 0).select("path", raw.alias("raw")).mapInPandas(_parsed, MESSAGE)
+    return records(spark, path, "\nFrom ", glob).where(F.locate("\n", "value") > 0).select("path", raw.alias("raw"))
+
+
+def claimed(spark: SparkSession, path: str | list[str], glob: str = BOXES) -> DataFrame:
+    """(path, claimed): how many messages a mailbox holds by its separator lines, counted without reading any message.
+
+    A separator is a line that begins with ``From `` and ends with a year; a line of a text that lost its quote mark is none.
+    """
+    t = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path).select(listed_path(F.col("_metadata.file_path")).alias("path"), "value")
+    return t.where(F.col("value").rlike(r"^From \S+.*\b(19|20)\d\d\s*$")).groupBy("path").agg(F.count("*").alias("claimed"))
+
+
+def read_mbox(spark: SparkSession, path: str | list[str], glob: str = BOXES) -> DataFrame:
+    """Messages of ``.mbox`` files and text ``.mbx`` files, split at lines that begin with ``From ``; quoted ``>From `` lines are restored."""
+    return raw_mbox(spark, path, glob).mapInPandas(_parsed, MESSAGE)
 
 
 def _unfolded(c: Column) -> Column:
@@ -152,20 +172,26 @@ def _plain(c: Column) -> Column:
 
 
 def read_ics(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Events of ``.ics`` files; rules are kept, not expanded.
+    """Events of ``.ics`` files; rules are kept, not expanded, with the occurrences that they leave out and those that have events of their own.
 
     ``starts`` and ``ends`` are ISO text: UTC where the value says so, else the wall clock with ``tz`` of its parameter
-    (null when floating). All-day events have a date only.
+    (null when floating). All-day events have a date only. Where a length stands for an end, the end follows from it.
     """
-    text = _unfolded(F.split("value", "END:VEVENT")[0])
+    # what reminders within an event say of lengths and times is not the event's
+    text = F.regexp_replace(_unfolded(F.split("value", "END:VEVENT")[0]), r"(?s)BEGIN:VALARM.*?END:VALARM[^\n]*\n?", "")
     e = records(spark, path, "BEGIN:VEVENT", "*.ics").where(F.col("value").contains("END:VEVENT")).select("path", text.alias("v"))
     v = F.col("v")
     iso = lambda c: F.regexp_replace(F.regexp_replace(c, r"^(\d{4})(\d\d)(\d\d)", "$1-$2-$3"), r"T(\d\d)(\d\d)(\d\d)", "T$1:$2:$3")
     zone = F.regexp_extract(_property(v, "DTSTART", 1), r"(?i)TZID=\"?([^;:\"]+)", 1)
-    start = _property(v, "DTSTART")
+    start, length = _property(v, "DTSTART"), _property(v, "DURATION")
+    at = iso(start)
+    whole_days = F.date_format(F.date_add(F.to_date(at), F.regexp_extract(length, r"^\+?P(\d+)D$", 1).try_cast("int")), "yyyy-MM-dd")
+    ends = F.coalesce(iso(_property(v, "DTEND")), F.when(F.length(start) == 8, whole_days).otherwise(end_of(at, length)))
+    excluded = F.flatten(F.transform(F.regexp_extract_all(v, F.lit(r"(?mi)^EXDATE(?:;[^:\n]*)?:([^\n]*)$"), F.lit(1)), lambda x: F.transform(F.split(x, ","), lambda d: iso(F.trim(d)))))
     return e.select(
-        "path", _property(v, "UID").alias("uid"), _plain(_property(v, "SUMMARY")).alias("subject"), _plain(_property(v, "LOCATION")).alias("location"), _plain(_property(v, "DESCRIPTION")).alias("body"),
-        iso(start).alias("starts"), iso(_property(v, "DTEND")).alias("ends"), F.when(start.endswith("Z"), "UTC").when(zone != "", zone).alias("tz"), (F.length(start) == 8).alias("all_day"),
+        "path", _property(v, "UID").alias("uid"), iso(_property(v, "RECURRENCE-ID")).alias("recurrence_id"), _property(v, "SEQUENCE").try_cast("int").alias("sequence"), _property(v, "STATUS").alias("status"), excluded.alias("exdates"),
+        _plain(_property(v, "SUMMARY")).alias("subject"), _plain(_property(v, "LOCATION")).alias("location"), _plain(_property(v, "DESCRIPTION")).alias("body"),
+        at.alias("starts"), ends.alias("ends"), F.when(start.endswith("Z"), "UTC").when(zone != "", zone).alias("tz"), (F.length(start) == 8).alias("all_day"),
         _property(v, "RRULE").alias("rule"), F.lower(F.regexp_replace(_property(v, "ORGANIZER"), "(?i)^mailto:", "")).alias("organizer"),
         F.transform(F.regexp_extract_all(v, F.lit(r"(?mi)^ATTENDEE(?:;[^:\n]*)?:(?:mailto:)?([^\n]*)$"), F.lit(1)), F.lower).alias("attendees"),
     )

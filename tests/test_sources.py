@@ -2,7 +2,12 @@
 
 from email.message import EmailMessage
 
-from epistle.sources.mail import read_eml, read_ics, read_mbox, read_vcf
+from pyspark.sql import functions as F
+
+from epistle.operators import integrity, recurrence
+from epistle.plans.ingest import dedup_key, read_all
+from epistle.sources import attached
+from epistle.sources.mail import claimed, raw_eml, raw_mbox, read_eml, read_ics, read_mbox, read_vcf
 from epistle.sources.sinks import write_csv, write_json, write_markdown
 
 
@@ -68,3 +73,58 @@ def test_markdown(spark, tmp_path):
     assert write_markdown(df, f"{tmp_path}/md") == 4
     lines = [x for p in sorted((tmp_path / "md").glob("year=*/part-*")) for x in p.read_text().splitlines()]
     assert lines == ["## 1999-01", "- 1999-01-03 10:00 **event** ", "## 1999-02", "- 1999-02-03 10:00 **message** b", "## 2000-01", "- 2000-01-01 00:00 **message** c", "## undated", "- ? **task** u"]
+
+
+def event(uid, start, *more):
+    return "\r\n".join(["BEGIN:VEVENT", f"UID:{uid}", f"DTSTART:{start}", *more, "END:VEVENT", ""])
+
+
+def test_recurrence(spark, tmp_path):
+    parts = [
+        event("w", "20040301T090000Z", "DURATION:PT1H30M", "RRULE:FREQ=DAILY;COUNT=9", "EXDATE:20040304T090000Z,20040305T090000Z", "EXDATE;VALUE=DATE-TIME:20040306T090000Z", "BEGIN:VALARM", "DURATION:PT9H", "TRIGGER:-PT5M", "END:VALARM"),
+        event("w", "20040302T110000Z", "RECURRENCE-ID:20040302T090000Z", "DTEND:20040302T120000Z"),
+        event("w", "20040303T090000Z", "RECURRENCE-ID:20040303T090000Z", "STATUS:CANCELLED"),
+        event("w", "20040306T100000Z", "RECURRENCE-ID:20040306T090000Z", "SEQUENCE:2"),
+        event("w", "20040306T080000Z", "RECURRENCE-ID:20040306T090000Z", "SEQUENCE:1"),
+        event("w", "20040307T090000Z", "RECURRENCE-ID:20040307T090000Z", "SUMMARY:other room"),
+        event("lone", "20040307T090000Z", "RECURRENCE-ID:20040306T090000Z"),
+        event("day", "20040307", "DURATION:P2D"),
+    ]
+    (tmp_path / "a.ics").write_bytes(("BEGIN:VCALENDAR\r\n" + "".join(parts) + "END:VCALENDAR\r\n").encode())
+    e = read_ics(spark, str(tmp_path)).withColumn("item_id", F.xxhash64("uid", F.coalesce("recurrence_id", F.lit("")), "starts"))
+    rows = {(r["uid"], r["recurrence_id"], r["starts"]): r for r in e.collect()}
+    assert rows["w", None, "2004-03-01T09:00:00Z"]["ends"] == "2004-03-01T10:30:00Z" and rows["day", None, "2004-03-07"]["ends"] == "2004-03-09"
+    got = sorted((r["series_id"] is not None, r["original"], r["what"], r["starts"]) for r in recurrence.exceptions(e).collect())
+    assert got == [
+        (False, "2004-03-06T09:00:00Z", "moved", "2004-03-07T09:00:00Z"), (True, "2004-03-02T09:00:00Z", "moved", "2004-03-02T11:00:00Z"), (True, "2004-03-03T09:00:00Z", "cancelled", None), (True, "2004-03-04T09:00:00Z", "cancelled", None),
+        (True, "2004-03-05T09:00:00Z", "cancelled", None), (True, "2004-03-06T09:00:00Z", "moved", "2004-03-06T10:00:00Z"), (True, "2004-03-07T09:00:00Z", "changed", "2004-03-07T09:00:00Z"),
+    ]
+    m = recurrence.with_exceptions(e).collect()
+    assert len(m) == 1 and [x[:10] for x in m[0]["cancelled"]] == ["2004-03-03", "2004-03-04", "2004-03-05"] and [x["starts"][11:13] for x in m[0]["moved"]] == ["11", "10"]
+    keys = read_all(spark, str(tmp_path), ["event"]).select("recurrence_id", dedup_key(F.lit("event")).alias("k")).collect()
+    assert len({r["k"] for r in keys}) == 8 and sum(r["recurrence_id"] is not None for r in keys) == 6
+
+
+def test_claims(spark, tmp_path):
+    one = b"From a@x Mon Jan 04 10:00:00 1999\nSubject: s\nMessage-ID: <%d@x>\n\nbody\n\n"
+    (tmp_path / "a.mbox").write_bytes(b"".join(one % n for n in range(6)) + b"From the editor\nnothing\n")
+    (tmp_path / "b.mbox").write_bytes(one % 9)
+    claims = claimed(spark, str(tmp_path))
+    assert sorted((r["path"][-6:], r["claimed"]) for r in claims.collect()) == [("a.mbox", 6), ("b.mbox", 1)]
+    got = read_mbox(spark, str(tmp_path)).where("message_id is not null and message_id <> '<3@x>' and message_id <> '<4@x>'").select(F.col("path").alias("source_id"), "message_id")
+    lost = integrity.partial_parse(claims.withColumnRenamed("path", "source_id"), got).collect()
+    assert [(r["source_id"][-6:], r["claimed"], r["got"], r["loss"]) for r in lost] == [("a.mbox", 6, 4, 2)]
+
+
+def test_attachments_of_mails(spark, tmp_path):
+    m, inner = message(1), message(2)
+    m.add_attachment(b"hello there", maintype="text", subtype="plain", filename="n.txt")
+    m.add_attachment(inner)
+    (tmp_path / "a.eml").write_bytes(m.as_bytes())
+    (tmp_path / "b.eml").write_bytes(b"\x00junk")
+    (tmp_path / "c.mbox").write_bytes(b"From x\n" + message(3).as_bytes() + b"\nFrom x\n" + m.as_bytes())
+    found = attached.of_messages(raw_eml(spark, str(tmp_path)).union(raw_mbox(spark, str(tmp_path))))
+    rows = sorted((r["path"][-1], r["message_id"], r["place"], r["filename"], len(r["content_hash"])) for r in found.collect())
+    assert rows == [(p, "<1@x>", n, f, 64) for p in "lx" for n, f in enumerate(["n.txt", "Grüße 2.eml"])]
+    texts = attached.extracted(attached.parts(found.withColumn("attachment_id", F.xxhash64("content_hash")).dropDuplicates(["content_hash"]))).collect()
+    assert {r["status"] for r in texts} == {"done"} and "hello there" in {r["text"] for r in texts}
