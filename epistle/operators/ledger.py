@@ -32,7 +32,7 @@ GAPS = ["hard_gap", "source_contradiction"]
 PEOPLE = ["under_merged", "over_merged_risk", "self_identity_unclaimed"]
 LOOK = ["magic_mismatch", "zero_or_tiny", "orphaned_ost"]
 
-ROWS = "code string, severity string, source_id long, item_id long, period string, loss long, evidence string"
+ROWS = "code string, severity string, source_id long, item_id long, period string, loss long, evidence string, period_end string"
 
 
 def rank(severity: Column) -> Column:
@@ -70,7 +70,7 @@ def run_checks(spark: SparkSession, families: dict[str, Callable[[], list[DataFr
             parts.append(rows)
         except Exception as e:  # one broken family never stops the rest
             counts[name] = -1
-            parts.append(spark.createDataFrame([("check_failed", "medium", None, None, None, None, f"{name}: {type(e).__name__}: {e}"[:500])], ROWS))
+            parts.append(spark.createDataFrame([("check_failed", "medium", None, None, None, None, f"{name}: {type(e).__name__}: {e}"[:500], None)], ROWS))
     return reduce(DataFrame.unionByName, parts), counts
 
 
@@ -177,19 +177,21 @@ def per_drive(sources: DataFrame) -> DataFrame:
 def qualifiers(findings: DataFrame, source_ids: list[int] | None = None, since: str | None = None, until: str | None = None, by_kind: bool = False) -> DataFrame:
     """(code, findings, loss, severity, severity_rank, ids, first, last): why a count over this slice may be short.
 
-    A finding with a period counts where it lies between the months ``since`` and ``until``; one without always does. Where the count is
+    A finding with a period counts where that and the months ``since`` to ``until`` overlap (a gap that begins before and reaches into
+    them does); one without always does. Where the count is
     of one kind, the reasons stay and the estimate does not, as no loss can be divided by kinds. ids holds what tells the
     findings apart (source, item, period).
     """
     f = findings.where(F.col("code").isin(QUALIFYING) & F.col("state").isin(OPEN))
     f = f.where(F.col("source_id").isin(list(source_ids))) if source_ids else f
     dated = F.coalesce("period", F.lit("")) != ""
-    f = f.where(~dated | (F.col("period") >= since)) if since else f
+    last = F.coalesce("period_end", "period") if "period_end" in f.columns else F.col("period")
+    f = f.where(~dated | (last >= since)) if since else f
     f = f.where(~dated | (F.col("period") <= until)) if until else f
     worst = F.min(F.struct(rank(F.col("severity")).alias("r"), F.col("severity").alias("s")))
     months = F.when(dated, F.col("period"))
     loss = F.lit(None).cast("long") if by_kind else F.nullif(F.sum(F.coalesce("loss", F.lit(0))), F.lit(0))
-    g = f.groupBy("code").agg(F.count("*").alias("findings"), loss.alias("loss"), worst.alias("w"), F.array_sort(F.collect_set(F.struct("source_id", "item_id", "period"))).alias("ids"), F.min(months).alias("first"), F.max(months).alias("last"))
+    g = f.groupBy("code").agg(F.count("*").alias("findings"), loss.alias("loss"), worst.alias("w"), F.array_sort(F.collect_set(F.struct("source_id", "item_id", "period"))).alias("ids"), F.min(months).alias("first"), F.max(F.when(dated, last)).alias("last"))
     return g.select("code", "findings", "loss", F.col("w.s").alias("severity"), F.col("w.r").alias("severity_rank"), "ids", "first", "last")
 
 

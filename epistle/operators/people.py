@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import given_name, jaro_winkler, normalized_name, surname
+from ..settings import Persons
 from .graph import components
 
 
@@ -117,6 +118,18 @@ def without_role_mailboxes(people: DataFrame, addresses: DataFrame, roles: list[
     return people.join(shared, "person_id", "left_anti")
 
 
+def proposals(people: DataFrame, addresses: DataFrame | None, links: DataFrame | None, limits: Persons) -> DataFrame:
+    """(a, b, confidence), a < b: the best proposal of each pair of ``people`` (person_id, name, org, domain) by equal names, surnames and, with ``links``, similar names.
+
+    People with an address that several share are left out.
+    """
+    own = people if addresses is None else without_role_mailboxes(people, addresses, list(limits.shared_mailboxes))
+    found = same_name(own).union(same_surname(own))
+    if links is not None:
+        found = found.union(similar_names(own, links, limits.alike, 0.85))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "confidence").groupBy("a", "b").agg(F.max("confidence").alias("confidence"))
+
+
 def similar_names(people: DataFrame, links: DataFrame, least: float, most: float = 1.0) -> DataFrame:
     """(a, b, score) of people with a shared correspondent (person_id, other_id) whose names differ and are similar; a score is ``most`` at most."""
     n = people.select("person_id", normalized_name(F.col("name")).alias("norm"))

@@ -10,8 +10,8 @@ FIRST_YEAR = 1970
 TRAIL, NEED, THIN = 12, 6, 0.15
 
 
-def plausible(occurred: Column, this_year: int) -> Column:
-    return F.substring(occurred, 1, 4).cast("int").between(FIRST_YEAR, this_year + 1)
+def plausible(occurred: Column, this_year: int, first_year: int = FIRST_YEAR) -> Column:
+    return F.substring(occurred, 1, 4).cast("int").between(first_year, this_year + 1)
 
 
 def months(span: DataFrame) -> DataFrame:
@@ -20,9 +20,9 @@ def months(span: DataFrame) -> DataFrame:
     return span.where("lo is not null").select(F.explode(F.sequence(day(F.col("lo")), day(F.col("hi")), F.expr("interval 1 month"))).alias("d")).select(F.date_format("d", "yyyy-MM").alias("month"))
 
 
-def census(items: DataFrame, item_sources: DataFrame, this_year: int) -> DataFrame:
+def census(items: DataFrame, item_sources: DataFrame, this_year: int, first_year: int = FIRST_YEAR) -> DataFrame:
     """(month, kind, items, sources) for every month of the plausible span and every kind present, zeros kept."""
-    dated = items.where(plausible(F.col("occurred"), this_year)).select("item_id", "kind", F.substring("occurred", 1, 7).alias("month"))
+    dated = items.where(plausible(F.col("occurred"), this_year, first_year)).select("item_id", "kind", F.substring("occurred", 1, 7).alias("month"))
     counts = dated.groupBy("month", "kind").agg(F.countDistinct("item_id").alias("items"))
     found = dated.join(item_sources, "item_id").groupBy("month", "kind").agg(F.countDistinct("source_id").alias("sources"))
     spine = months(counts.agg(F.min("month").alias("lo"), F.max("month").alias("hi"))).join(F.broadcast(counts.select("kind").distinct()))
@@ -30,12 +30,12 @@ def census(items: DataFrame, item_sources: DataFrame, this_year: int) -> DataFra
     return full.select("month", "kind", F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("sources", F.lit(0)).alias("sources"))
 
 
-def classed(census_: DataFrame) -> DataFrame:
-    """(month, n, gap): hard_gap for empty months, soft_gap for thin ones. One row a month, so one window is enough."""
+def classed(census_: DataFrame, thin: float = THIN) -> DataFrame:
+    """(month, n, gap): hard_gap for empty months, soft_gap for thin ones (less than ``thin`` of the median before). One row a month, so one window is enough."""
     total = census_.groupBy("month").agg(F.sum("items").alias("n"))
     before = "over (order by month rows between 12 preceding and 1 preceding)"
     seen, median = F.expr(f"count(if(n > 0, 1, null)) {before}"), F.expr(f"percentile(if(n > 0, n, null), 0.5) {before}")
-    gap = F.when(F.col("n") == 0, "hard_gap").when((seen >= NEED) & (F.col("n") < THIN * median), "soft_gap")
+    gap = F.when(F.col("n") == 0, "hard_gap").when((seen >= NEED) & (F.col("n") < thin * median), "soft_gap")
     return total.select("month", "n", gap.alias("gap"))
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import exports, integrity, ledger, people, search, timeline
-from .queries import _census, query
+from ..settings import Settings
+from . import audit
+from .queries import _CENSUS, ORACLE_SQL, _census, query
 
 _SOURCES = """, sources as (select s_suppkey as source_id, 'C:/Mail/' || s_name || case s_suppkey % 3 when 0 then '.PST' when 1 then '.ost' else '.mbox' end as path,
   case s_suppkey % 3 when 0 then '.pst' when 1 then '.ost' else '.mbox' end as ext, s_suppkey % 5 <> 0 as readable, s_suppkey % 7 = 0 as placeholder,
@@ -224,3 +226,29 @@ select person_id, other_id, shared, rank::int as rank from (select *, row_number
 def top_partners(a):
     """Any two people of an item, whatever their roles."""
     return people.partners(a.participations, 5)
+
+
+_AUDITED = f""", i as (select item_id, kind, subject, item_id % 7 <> 0 as tz_known, case when item_id % 40 = 0 then 0.5 else 1.0 end as confidence, case when item_id % 90 = 0 then 'FREQ=DAILY' end as rule,
+  case when item_id % 60 = 1 then null when item_id % 80 = 2 then '1931' || occurred[5:] else occurred end as occurred from items)
+{_CENSUS.replace("from items", "from i").rstrip()},
+runs as (select gap from (select gap, left(month, 4)::int * 12 + right(month, 2)::int - row_number() over (partition by gap order by month) as run from classed where gap is not null) group by gap, run),
+y as (select distinct source_id, occurred[1:4]::int as year from i join item_sources using (item_id) where occurred is not null), span as (select source_id, min(year) as lo, max(year) as hi from y group by 1),
+holes as (select source_id, year from (select source_id, unnest(range(lo + 1, hi)) as year from span) anti join y using (source_id, year)),
+q as (select 'no_date' as code, item_id from i where occurred is null union all select 'unknown_timezone', item_id from i where occurred is not null and not tz_known union all select 'implausible_date', item_id from i where occurred[1:4]::int < 1970
+  union all select 'unresolved_recurrence', item_id from i where rule is not null union all select 'low_confidence_text', item_id from i where confidence < 1),
+per as (select code || '_summary' as code from q join item_sources using (item_id) group by q.code, source_id having count(distinct item_id) >= 5),
+every as (select code, 'medium' as severity from q union all select code, 'medium' from per union all select gap, case gap when 'hard_gap' then 'high' else 'info' end from runs union all select 'source_contradiction', 'high' from holes
+  union all select 'duplicate_account_store', 'medium' from ({ORACLE_SQL["source_overlap"]}) union all select 'self_identity_unclaimed', 'medium' from ({ORACLE_SQL["self_identity_unclaimed"]}) union all select 'identity_conflict', 'high' from ({ORACLE_SQL["identity_conflict"]}))
+select code, severity, count(*) as findings from every group by all"""
+
+
+@query(_AUDITED)
+def audit_counts(a):
+    """Findings by code of the families that need no files, from one run of all of them under a user's settings."""
+    k = F.col("item_id")
+    bent = F.when(k % 60 == 1, None).when(k % 80 == 2, F.concat(F.lit("1931"), F.expr("substring(occurred, 5)"))).otherwise(F.col("occurred"))
+    items = a.items.withColumns({"tz_known": k % 7 != 0, "confidence": F.when(k % 40 == 0, 0.5).otherwise(1.0), "rule": F.when(k % 90 == 0, "FREQ=DAILY"), "occurred": bent})
+    facts = audit.Facts(items, a.item_sources, participations=a.participations, own=a.people.where("nation < 8").select("person_id"))
+    wanted = Settings().changed("doubts.same_store", 0.05).changed("doubts.frequent_sender", 0.001)
+    rows, counts = ledger.run_checks(a.spark, audit.families(facts, 2024, wanted))
+    return rows.groupBy("code", "severity").agg(F.count("*").alias("findings"))
