@@ -24,11 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return shared_dir(spark)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there."""
+def staged(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder, in folders by the column ``by`` if it is named, and read it back: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/epistle/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
