@@ -25,6 +25,8 @@ FAN = 64
 WEIGHTS = (1, 2, 3)
 #: Documents of a source that wait for the last level.
 SPARE = 256
+#: Equal rows that one task numbers.
+MANY = 20_000
 #: A row's key: a hash, by which rows are dealt and ordered, and what tells rows of equal hash apart.
 KEY = "struct<h:bigint,id:bigint,n:int>"
 
@@ -48,6 +50,31 @@ def ordered_sums(df: DataFrame, order: list[Column], **sums: Column) -> DataFram
     return out.select(*df.columns, *((F.col(f"__w_{k}") + F.col(f"__b_{k}")).alias(k) for k in sums), *(f"all_{k}" for k in sums))
 
 
+def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``df`` with rows of equal ``keys`` (null equal to null) numbered from 1, in no fixed order, as ``name``.
+
+    A key with more than MANY rows, such as that of texts without an id, is dealt to several tasks, each of which numbers its rows
+    from where the one before ends.
+    """
+    many = staged(df.groupBy(*keys).agg(F.count("*").alias("__c")).where(F.col("__c") > MANY), "many")
+    n_many = many.count()
+    if not n_many:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))))
+    same = [F.col(f"__k{i}").eqNullSafe(F.col(k)) for i, k in enumerate(keys)]
+    hot = many.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), "__c")
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    dealt = df.withColumn("__m", F.monotonically_increasing_id()).join(if_small(hot, n_many), on, "left").withColumn("__s", F.coalesce(F.pmod(F.xxhash64("__m"), F.ceil(F.col("__c") / MANY)), F.lit(0)))
+    dealt = staged(dealt.select(*df.columns, "__m", "__c", "__s"), "dealt")
+    shares = dealt.where("__c is not null").groupBy(*keys, "__s").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)  # one row for each MANY
+    shares = staged(shares.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__s").alias("__t"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__b")), "shares")
+    own = F.row_number().over(Window.partitionBy(*keys, "__s").orderBy("__m"))
+    out = dealt.withColumn("__r", own).join(if_small(shares, shares.count()), on & (F.col("__t") == F.col("__s")), "left")
+    return out.select(*df.columns, (F.col("__r") + F.coalesce("__b", F.lit(0))).cast("int").alias(name))
+
+
 def targets(sizes: DataFrame) -> DataFrame:
     """(source, source_size) -> with weight and target. One row per source; null sorts last.
 
@@ -106,7 +133,7 @@ def mixture(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     """
     sized = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(text_of(text_col)).alias("h"))
     sized = staged(sized, "sized")
-    sized = sized.withColumn("n", F.row_number().over(Window.partitionBy("id", "source", "size", "h").orderBy("size")))
+    sized = staged(numbered(sized, ["id", "source", "size", "h"], "n"), "numbered")
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     per = staged(per.join(targets(per.select("source", "source_size")).select(F.col("source").alias("s"), "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s"), "targets")
     stats = per.agg(F.count("*"), F.max("rows")).first()
@@ -143,7 +170,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     take = mixture(docs, id_col, text_col, source_col, seed).where("copies > 0")
     take = take.select(F.col(id_col).alias("__i"), F.col(source_col).alias("__s"), F.col("size").alias("__z"), F.col("text_hash").alias("__h"), F.col("n").alias("__n"), "copies")
     sized = docs.withColumns({"__z": F.regexp_count(text_of(text_col), F.lit(WORD)).cast("long"), "__h": F.xxhash64(text_of(text_col))})
-    sized = sized.withColumn("__n", F.row_number().over(Window.partitionBy(id_col, source_col, "__z", "__h").orderBy("__z")))
+    sized = numbered(sized, [id_col, source_col, "__z", "__h"], "__n")
     a, b = sized.alias("a"), take.alias("b")
     same = F.col(f"a.{id_col}").eqNullSafe(F.col("b.__i")) & F.col(f"a.{source_col}").eqNullSafe(F.col("b.__s")) & (F.col("a.__z") == F.col("b.__z")) & (F.col("a.__h") == F.col("b.__h")) & (F.col("a.__n") == F.col("b.__n"))
     out = a.join(b, same).select(*(F.col(f"a.`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), "copies")).alias("__copy"))

@@ -182,7 +182,11 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     so the rest fill sequences alone. Null and empty texts are one piece of END. Repeated rows are documents
     of their own; ids may be null; other columns are ignored; an empty table gives no rows.
     """
-    cut = staged(pieces(docs, tokenizer, id_col, text_col, capacity), "pieces")
+    # Each range of parts has few enough offsets for a broadcast, so the ids never go through a shuffle; its pieces lie in a
+    # folder of their own, so that however many ranges there are, each file is read once.
+    width = max(1, BROADCAST_ROWS // capacity)
+    found = pieces(docs, tokenizer, id_col, text_col, capacity)
+    cut = staged(found.withColumn("parts", F.floor(F.col("part") / width).cast("int")), "pieces", by="parts")
     counts = staged(cut.groupBy("length", "part").agg(F.count("*").alias("n")), "counts")
     totals = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -199,13 +203,10 @@ def packed(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         nth = rank - run[:, 1]
         return pd.DataFrame({"sequence_id": run[:, 2] + nth // run[:, 3], "offset": run[:, 4] + nth % run[:, 3] * length})
 
-    # Each range of parts has few enough offsets for a broadcast, so the ids never go through a shuffle.
-    width = max(1, BROADCAST_ROWS // capacity)
     last = counts.agg(F.max("part")).first()[0] or 0
     ranked = None
-    for lo in range(0, last + 1, width):
-        within = F.col("part").between(lo, lo + width - 1)
-        some = cut.where(within).join(F.broadcast(offsets.where(within)), ["length", "part"])
+    for k in range(last // width + 1):
+        some = cut.where(F.col("parts") == k).join(F.broadcast(offsets.where(F.col("part").between(k * width, (k + 1) * width - 1))), ["length", "part"])
         ranked = some if ranked is None else ranked.union(some)
     out = ranked.withColumn("at", place("length", F.col("before") + F.col("nth")))
     return out.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "at.sequence_id", "at.offset", "ids")

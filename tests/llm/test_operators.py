@@ -218,7 +218,7 @@ def plain_substring(pairs, n=13):
 def test_substring_dedup(docs, rows, none, batches):
     got = substring_dedup.deduplicated(docs, batches=batches).collect()
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == plain_substring([r[:2] for r in rows])
-    if batches == 2:
+    if batches == 3:
         assert substring_dedup.deduplicated(none).count() == 0
 
 
@@ -280,6 +280,37 @@ def test_suffix_dedup_at_its_own_window(spark):
     assert {r.doc_id: r.n_removed for r in got if r.doc_id in (6, 7)} == {6: 0, 7: 0} and sorted(map(key, got))
 
 
+def test_equal_rows_without_id_are_dealt(spark):
+    """100,000 equal rows without an id: no task numbers more than MANY, every copy is counted once and the mix holds."""
+    many = spark.range(0, 100_000, 1, 8).selectExpr("cast(null as long) as doc_id", "'same few words here' as text", "'s1' as source", "id as extra")
+    some = spark.range(0, 300, 1, 2).selectExpr("id as doc_id", "concat('text of words ', repeat('w ', cast(id % 50 as int))) as text", "concat('s', id % 3) as source", "id as extra")
+    both = many.union(some)
+    keys = ["doc_id", "source", "text"]
+    out = mixing.numbered(both, keys, "n")
+    assert out.groupBy(*keys).agg(F.count("*").alias("c"), F.countDistinct("n").alias("d"), F.min("n").alias("lo"), F.max("n").alias("hi")).where("c <> d or lo <> 1 or hi <> c").count() == 0
+    assert out.count() == both.count() and out.columns == [*both.columns, "n"]
+    kept = mixing.mixed(both)
+    taken = mixing.mixture(both).groupBy("source").agg(F.sum("copies").alias("c")).collect()
+    assert {r["source"]: r["count"] for r in kept.groupBy("source").count().collect()} == {r["source"]: r["c"] for r in taken}
+    assert exact_dedup.keep_one(both).where("doc_id is null").count() == 1
+
+
+def test_pieces_are_read_once(spark, monkeypatch):
+    """Many ranges of parts: each has its own folder, which alone its branch of the plan reads."""
+    docs = spark.range(0, 200, 1, 40).selectExpr("id as doc_id", "repeat('some words ', cast(id % 30 as int)) as text")
+    whole = sorted(map(tuple, packing.packed(docs, TOKENIZER).select("doc_id", "piece", "length", "ids_crc32").collect()))
+    monkeypatch.setattr(packing, "BROADCAST_ROWS", packing.CAPACITY * 3)
+    few = packing.packed(docs, TOKENIZER)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(parts") >= 14
+    rows = few.collect()
+    assert sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in rows) == whole
+    used = collections.Counter()
+    for r in rows:
+        used[r["sequence_id"]] += r["length"]
+    assert max(used.values()) <= packing.CAPACITY and len({(r["sequence_id"], r["offset"]) for r in rows}) == len(rows)
+
+
 def peak_mb(spark):
     """The most memory that any Python worker has held so far."""
 
