@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import merges
 from ..operators.graph import shared_dir
 from .delivery import Mailstore
 from .queries import query
@@ -65,3 +66,25 @@ select address, count(*) as uses, min(strftime(make_timestamp(2001, 3, (doc_id %
 def delivered_people(a):
     """Addresses of the items after two deliveries, how often each is met and since when."""
     return twice_delivered(a).tables().identities.select("address", "uses", "first_seen")
+
+
+_MERGED = """, c as (select c_custkey as person_id from customer),
+r as (select person_id, case when person_id % 3 = 0 then person_id when person_id % 3 = 1 then case when person_id % 15 = 1 or person_id < 3 then person_id else person_id - 1 end
+  else case when (person_id - 1) % 15 = 1 or person_id < 3 then person_id - 1 else person_id - 2 end end as root from c),
+p as (select root, count(distinct item_id) as items, min(occurred) as first_seen, max(occurred) as last_seen from r join participations using (person_id) join items using (item_id) group by 1)
+select person_id, case when root <> person_id then root end as merged_into, coalesce(case when root = person_id then items end, 0) as items, case when root = person_id then first_seen end as first_seen, case when root = person_id then last_seen end as last_seen
+from r left join p using (root)"""
+
+
+@query(_MERGED)
+def merge_log_people(a):
+    """Customers in threes, the third merged into the second and that into the first; some of the second merges are taken back later."""
+    k = F.col("c_custkey")
+    log = merges.MergeLog(a.spark, folder_for(a, "merges"))
+    c = a.table("customer")
+    log.merge(c.where((k % 3 == 2)).select(k.alias("loser"), (k - 1).alias("winner")), "2024-01-01")
+    log.merge(c.where((k % 3 == 1) & (k > 3)).select(k.alias("loser"), (k - 1).alias("winner")), "2024-01-02")
+    log.undo(merges.in_force(log.entries()).where("loser % 15 = 1").select("entry"), "2024-01-03")
+    people = c.select(k.alias("person_id"), F.col("c_name").alias("name"), F.lit(False).alias("is_self"))
+    own = a.participations.join(people.select("person_id"), "person_id", "left_semi")
+    return merges.people_now(people, own, a.items, log.entries()).select("person_id", "merged_into", "items", "first_seen", "last_seen")

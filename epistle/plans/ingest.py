@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import threads
 from ..operators.graph import staged
+from ..sources import boxes as framed
 from ..sources import mail
 
 RECORD = ["kind", "path", "native_id", "message_id", "in_reply_to", "refs", "subject", "occurred", "tz_known", "sender", "receivers", "name", "org", "phones", "body", "rule", "recurrence_id", "error", "people"]
@@ -47,7 +48,11 @@ def read_all(spark: SparkSession, path: str | list[str], kinds: list[str] = ("me
     """
     parts = []
     if "message" in kinds:
-        parts += [_records(r, "message", body=F.coalesce("body", X.html_text("html"))) for r in (mail.read_eml(spark, path), mail.read_mbox(spark, path, boxes), mail.read_olm(spark, path))]
+        # one name for each binary box, to be left to its own reader; Spark's listing of the folder is as long
+        binary = [r["path"] for r in framed.claimed(spark, path).select("path").collect()]
+        text = mail.read_mbox(spark, path, boxes).where(~F.col("path").isin(binary)) if binary else mail.read_mbox(spark, path, boxes)
+        readers = [mail.read_eml(spark, path), text, mail.read_olm(spark, path), *([framed.read_mbx(spark, path)] if binary else [])]
+        parts += [_records(r, "message", body=F.coalesce("body", X.html_text("html"))) for r in readers]
     if "event" in kinds:
         own = {"occurred": F.col("starts"), "tz_known": F.col("tz").isNotNull(), "sender": F.col("organizer"), "receivers": F.col("attendees"), "native_id": F.col("uid")}
         parts += [_records(r(spark, path), "event", **own) for r in (mail.read_ics, mail.read_vcs)]

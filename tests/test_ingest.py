@@ -41,6 +41,17 @@ def test_ingest(spark, tmp_path):
     assert again == {r["dedup_key"] for r in items.values()}
 
 
+def test_ingest_of_text_and_binary_boxes(spark, tmp_path):
+    import struct
+
+    one = mail(1, "Framed", "b@y.example")
+    record = b"JMF6" + struct.pack("<III", 16 + len(one), 1, 0) + one
+    (tmp_path / "a.mbx").write_bytes((b"JMF9" + struct.pack("<II", 0, 1)).ljust(0x54, b"\0") + record)
+    (tmp_path / "b.mbx").write_bytes(b"From x\n" + mail(2, "Plain", "b@y.example"))
+    got = ingest(spark, str(tmp_path), ["message"]).items.collect()
+    assert sorted((r["subject"], r["path"][-5:]) for r in got) == [("Framed", "a.mbx"), ("Plain", "b.mbx")]
+
+
 def test_streamed_index(spark, tmp_path):
     docs = [(1, "a b"), (2, "c"), (2, "c")], [(2, "c"), (3, None), (4, "a")]
     for n, rows in enumerate(docs):
