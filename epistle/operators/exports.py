@@ -28,6 +28,8 @@ NOTES = {
     "orphan_reply": "answers something that is not here",
     "missing_blob": "an attachment has no contents here",
 }
+#: Columns put together from several values, by which a table is not sorted.
+GATHERED = ["to", "cc", "attendees", "data_quality", "emails", "address", "responses"]
 ATTENDING = ["attendee", "optional", "resource"]
 
 
@@ -113,15 +115,15 @@ def rows_of(kind: str, items: DataFrame, people: DataFrame, sources: DataFrame,
     made = {
         "date": day(at), "time": clock(at), "start": F.when(timed, clock(at)), "end": F.when(timed, clock(end)), "duration_min": F.when(timed, minutes(at, end)), "due_date": day(end),
         "all_day": yes(~timed), "timezone": F.coalesce(has("tz"), F.lit("unknown")), "timezone_known": yes(has("tz").isNotNull()), "recurring": yes(has("rule").isNotNull()), "recurrence_rule": has("rule"),
-        "has_attachments": yes(F.coalesce(has("attachment_names"), F.lit("")) != ""), "body_preview": preview(has("body")), "body": preview(has("body"), 2000), "notes": F.trim(has("body")), "first_seen": day(at),
+        "has_attachments": yes(F.coalesce(has("has_attachments").cast("boolean"), F.coalesce(has("attachment_names"), F.lit("")) != "")), "body_preview": preview(has("body")), "body": preview(has("body"), 2000), "notes": F.trim(has("body")), "first_seen": day(at),
         "display_name": F.coalesce(has("display_name"), F.col("subject")),
     }
     return i.select(*(F.col(c).alias(c) if c in ("item_id", "attendee_count") else F.coalesce(made.get(c, has(c)).cast("string"), F.lit("")).alias(c) for c in COLUMNS[kind]))
 
 
 def ordered(rows: DataFrame, key: str, descending: bool = False) -> DataFrame:
-    """``rows`` by one of their columns: texts in any case of letters, blanks and nulls last either way, then by id."""
-    if key not in rows.columns:
+    """``rows`` by one of their columns, looked-up ones (folder, category, attachments, source files, first sender) too: texts in any case of letters, blanks and nulls last either way, then by id."""
+    if key not in rows.columns or key in GATHERED:
         raise ValueError(f"no column {key!r}")
     c = F.nullif(F.lower(key), F.lit("")) if dict(rows.dtypes)[key] == "string" else F.col(key)
     c = c.cast("long") if key == "duration_min" else c

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import given_name, jaro_winkler, normalized_name, surname
 from ..settings import Persons
-from .graph import components
+from .graph import components, staged
 
 
 def statistics(participations: DataFrame, items: DataFrame) -> DataFrame:
@@ -25,15 +25,40 @@ def correspondents(participations: DataFrame, top: int) -> DataFrame:
     return pairs.withColumn("rank", rank).where(F.col("rank") <= top)
 
 
-def partners(participations: DataFrame, top: int) -> DataFrame:
-    """(person_id, other_id, shared, rank): for each person the ``top`` others by shared items, in whatever roles.
+def _foremost(pairs: DataFrame, by: str, top: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("shared"), "other_id"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= top)
+
 
-    An item's people meet each other, so pairs grow with the squares of the people of single items, not of the archive.
+def partners(participations: DataFrame, top: int, crowd: int = 1000) -> DataFrame:
+    """(person_id, other_id, shared, rank): for each person the ``top`` others by shared items, in whatever roles; ties by the smaller id.
+
+    People of items with up to ``crowd`` people meet one another. Of larger items (a letter to everybody) people with the
+    same set of such items form a class: classes meet, and as any two people of a pair of classes share equally many large
+    items, the ``top`` + 1 smallest ids of a class stand for all its others. So no large item is expanded into its pairs,
+    and the result is that of all pairs. Work on large items grows with the squares of their classes.
     """
-    links = participations.select("item_id", "person_id").distinct()
-    pairs = links.join(links.withColumnRenamed("person_id", "other_id"), "item_id").where("person_id <> other_id").groupBy("person_id", "other_id").agg(F.count("*").alias("shared"))
-    rank = F.row_number().over(Window.partitionBy("person_id").orderBy(F.desc("shared"), "other_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= top)
+    links = staged(participations.select("item_id", "person_id").distinct(), "links")
+    large = staged(links.groupBy("item_id").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("item_id"), "crowds")
+    small = links.join(large, "item_id", "left_anti")
+    pairs = small.join(small.withColumnRenamed("person_id", "other_id"), "item_id").where("person_id <> other_id").groupBy("person_id", "other_id").agg(F.count("*").alias("shared"))
+    if not large.take(1):
+        return _foremost(pairs, "person_id", top)
+    sets = links.join(large, "item_id").groupBy("person_id").agg(F.array_sort(F.collect_list("item_id")).alias("large"))
+    classes = sets.groupBy("large").agg(F.min("person_id").alias("class"))
+    members = staged(sets.join(classes, "large").select("person_id", "class"), "members")
+    within = classes.select("class", F.explode("large").alias("item_id"))
+    meet = within.join(within.withColumnRenamed("class", "other_class"), "item_id").groupBy("class", "other_class").agg(F.count("*").alias("common"))
+    meet = staged(meet, "classes")
+    first = F.row_number().over(Window.partitionBy("class").orderBy("person_id"))
+    heads = members.withColumn("k", first).where(F.col("k") <= top + 1).select(F.col("class").alias("other_class"), F.col("person_id").alias("other_id"))
+    # one more than wanted, as a person may be among its own class's others
+    offered = _foremost(meet.join(heads, "other_class").select("class", "other_id", F.col("common").alias("shared")), "class", top + 1).drop("rank")
+    far = members.join(offered, "class").where("person_id <> other_id").select("person_id", "other_id", "shared")
+    of = lambda who, c: members.select(F.col("person_id").alias(who), F.col("class").alias(c))
+    near = pairs.join(of("person_id", "class"), "person_id", "left").join(of("other_id", "other_class"), "other_id", "left").join(meet, ["class", "other_class"], "left")
+    near = near.select("person_id", "other_id", (F.col("shared") + F.coalesce("common", F.lit(0))).alias("shared"))
+    return _foremost(near.union(far).groupBy("person_id", "other_id").agg(F.max("shared").alias("shared")), "person_id", top)
 
 
 def per_year(participations: DataFrame, items: DataFrame) -> DataFrame:
@@ -131,12 +156,22 @@ def proposals(people: DataFrame, addresses: DataFrame | None, links: DataFrame |
 
 
 def similar_names(people: DataFrame, links: DataFrame, least: float, most: float = 1.0) -> DataFrame:
-    """(a, b, score) of people with a shared correspondent (person_id, other_id) whose names differ and are similar; a score is ``most`` at most."""
+    """(a, b, score) of people with a shared correspondent (person_id, other_id) whose names differ and are similar; a score is ``most`` at most.
+
+    Names meet before people do: a name counts once with each correspondent and a pair of names is scored once, after its
+    lengths allow the score (a shared beginning adds two fifths of what is missing at most). People meet on similar names.
+    """
     n = people.select("person_id", normalized_name(F.col("name")).alias("norm"))
-    a = links.join(n, "person_id").select("other_id", F.col("person_id").alias("a"), F.col("norm").alias("na"))
-    b = links.join(n, "person_id").select("other_id", F.col("person_id").alias("b"), F.col("norm").alias("nb"))
-    pairs = a.join(b, "other_id").where("a < b and na <> nb").select("a", "b", "na", "nb").distinct()
-    return pairs.withColumn("score", jaro_winkler("na", "nb")).where(F.col("score") >= least).select("a", "b", F.least("score", F.lit(most)).alias("score"))
+    known = staged(links.join(n, "person_id").where("norm is not null").select("other_id", "norm", "person_id").distinct(), "names")
+    names = known.select("other_id", "norm", F.length("norm").alias("len")).distinct()
+    x, y = names.alias("x"), names.alias("y")
+    jaro = (least - 0.4) / 0.6
+    fits = F.least("x.len", "y.len") >= (3 * jaro - 2 - 1e-9) * F.greatest("x.len", "y.len")
+    met = x.join(y, F.expr("x.other_id = y.other_id and x.norm < y.norm")).where(fits).select(F.col("x.norm").alias("na"), F.col("y.norm").alias("nb")).distinct()
+    alike = met.withColumn("score", jaro_winkler("na", "nb")).where(F.col("score") >= least)
+    one = lambda who, name: known.select("other_id", F.col("norm").alias(name), F.col("person_id").alias(who))
+    pairs = alike.join(one("p", "na"), "na").join(one("q", "nb"), ["nb", "other_id"]).where("p <> q")
+    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.least("score", F.lit(most)).alias("score")).distinct()
 
 
 def identities(sightings: DataFrame) -> DataFrame:

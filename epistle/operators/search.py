@@ -45,8 +45,12 @@ def bounds(since: str | None, until: str | None) -> tuple[str | None, str | None
     return since, until and after(until)
 
 
-def selected(items: DataFrame, kinds: list[str] = (), since: str | None = None, until: str | None = None, undated: bool = False, people: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
-    """Items of these kinds and dates that are linked to ``people`` and ``sources`` (tables with item_id); undated sets dates aside."""
+def selected(items: DataFrame, kinds: list[str] = (), since: str | None = None, until: str | None = None, undated: bool = False, people: DataFrame | None = None, sources: DataFrame | None = None,
+             folder: str | None = None, tags: DataFrame | None = None, attached: bool | None = None) -> DataFrame:
+    """Items of these kinds and dates that are linked to ``people``, ``sources`` and ``tags`` (tables with item_id); undated sets dates aside.
+
+    ``folder`` and ``attached`` (with or without attachments) look at the columns that ``filing.filed`` gives.
+    """
     low, high = bounds(since, until)
     if kinds:
         items = items.where(F.col("kind").isin(list(kinds)))
@@ -55,7 +59,9 @@ def selected(items: DataFrame, kinds: list[str] = (), since: str | None = None,
     else:
         items = items.where(F.col("occurred") >= low) if low else items
         items = items.where(F.col("occurred") < high) if high else items
-    for links in (people, sources):
+    items = items if folder is None else items.where(F.col("folder") == folder)
+    items = items if attached is None else items.where(F.col("has_attachments") == attached)
+    for links in (people, sources, tags):
         items = items if links is None else items.join(links, "item_id", "left_semi")
     return items
 

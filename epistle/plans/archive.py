@@ -40,6 +40,27 @@ class Archive:
         got = self.item_sources.select("item_id", (F.col("source_id") + SUPPLIERS).alias("person_id"), F.lit("to").alias("role"))
         return sent.union(got)
 
+    @property
+    def folders(self) -> DataFrame:
+        """Each order lies in a folder of its customer's segment, within the nation's."""
+        c = self.table("customer").join(F.broadcast(self.table("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+        c = c.select(F.col("c_custkey").alias("o_custkey"), F.concat_ws("/", "n_name", "c_mktsegment").alias("folder"))
+        return self.table("orders").join(c, "o_custkey").select(F.col("o_orderkey").alias("item_id"), "folder")
+
+    @property
+    def _lines(self) -> DataFrame:
+        return self.table("lineitem").join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
+
+    @property
+    def tags(self) -> DataFrame:
+        """The brands of an order's parts."""
+        return self._lines.select(F.col("l_orderkey").alias("item_id"), F.col("p_brand").alias("tag")).distinct()
+
+    @property
+    def attachments(self) -> DataFrame:
+        """What was returned of an order, by the parts' names."""
+        return self._lines.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("item_id"), F.col("l_linenumber").alias("attachment_id"), F.col("p_name").alias("filename"))
+
 
 #: The same tables as SQL, to stand before a query.
 SQL = """items as (select o_orderkey as item_id, case o_orderstatus when 'O' then 'message' when 'F' then 'event' else 'task' end as kind,

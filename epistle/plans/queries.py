@@ -712,4 +712,4 @@ def attachment_copies(a):
     return sinks.copied_names(files).withColumn("blob", sinks.blob_path(F.md5(F.col("attachment_id").cast("string")), F.col("filename")))
 
 
-from . import contents, deliveries, reports, upkeep  # noqa: E402, F401  register their queries here
+from . import contents, deliveries, filings, reports, upkeep  # noqa: E402, F401  register their queries here

@@ -28,6 +28,10 @@ SALVAGE = ["%a, %d %b %y %H:%M:%S %z", "%d %b %y %H:%M:%S %z", "%a, %d %b %Y %H:
 ROLES = ["from", "to", "cc", "bcc"]
 
 
+#: What is said of a file that Spark does not read as a whole.
+TOO_LARGE = "file of more than 2 GB"
+
+
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import datetime
     import re
@@ -79,8 +83,10 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = t.astimezone(datetime.UTC) if known else t
         return t.strftime("%Y-%m-%dT%H:%M:%SZ"), known
 
-    def one(path: str, raw: bytes) -> tuple:
+    def one(path: str, raw: bytes | None) -> tuple:
         try:
+            if raw is None:
+                raise OverflowError(TOO_LARGE)
             m = message_from_bytes(raw, policy=rules)
             get = lambda name: str(m[name]).strip() if m[name] is not None else None
             plain, html, files = None, None, []
@@ -103,7 +109,7 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             return (path, None, None, [], None, None, [], None, False, None, None, [], f"{type(e).__name__}: {e}", [], None)
 
     for b in batches:
-        yield pd.DataFrame([one(p, bytes(r)) for p, r in zip(b["path"], b["raw"], strict=True)], columns=COLUMNS)
+        yield pd.DataFrame([one(p, None if r is None else bytes(r)) for p, r in zip(b["path"], b["raw"], strict=True)], columns=COLUMNS)
 
 
 #: Names of mailboxes.
@@ -129,10 +135,19 @@ def records(spark: SparkSession, path: str | list[str], separator: str, glob: st
     return t.select(listed_path(F.col("_metadata.file_path")).alias("path"), "value")
 
 
+def whole(spark: SparkSession, path: str | list[str], glob: str) -> DataFrame:
+    """(path, raw): the bytes of each file; null for one that is larger than Spark reads as a whole (2 GB), which readers give as an error.
+
+    The bound on sizes ends at the scan, so a large file is listed and never opened.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
+    most = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str((1 << 31) - 1)))
+    return files.where(F.col("length") <= most).select("path", F.col("content").alias("raw")).union(files.where(F.col("length") > most).select("path", F.lit(None).cast("binary")))
+
+
 def raw_eml(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, raw): the bytes of each ``.eml`` file."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.eml").load(path)
-    return files.select("path", F.col("content").alias("raw"))
+    """(path, raw): the bytes of each ``.eml`` file, as ``whole`` gives them."""
+    return whole(spark, path, "*.eml")
 
 
 def raw_mbox(spark: SparkSession, path: str | list[str], glob: str = BOXES) -> DataFrame:
@@ -263,7 +278,10 @@ def _archived(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             "occurred": at and at[:19] + "Z", "tz_known": bool(at), "body": None if html else body, "html": html, "attachments": files,
         }
 
-    def rows(path: str, raw: bytes) -> Iterator[dict]:
+    def rows(path: str, raw: bytes | None) -> Iterator[dict]:
+        if raw is None:
+            yield empty | {"path": path, "error": TOO_LARGE}
+            return
         try:
             z = zipfile.ZipFile(io.BytesIO(raw))
         except zipfile.BadZipFile as e:
@@ -286,7 +304,7 @@ def _archived(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for b in batches:
         for p, r in zip(b["path"], b["raw"], strict=True):
-            found = list(rows(p, bytes(r)))
+            found = list(rows(p, None if r is None else bytes(r)))
             for k in range(0, len(found), 1000):
                 yield pd.DataFrame(found[k : k + 1000], columns=COLUMNS)
 
@@ -297,8 +315,7 @@ OLM_MEMBER_BYTES, OLM_SWELL = 256 << 20, 200
 
 def read_olm(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Messages of zipped XML mail archives (``.olm``), a file to a task: a zip cannot be split, and Spark reads whole files up to 2 GB."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.olm").load(path)
-    return files.select("path", F.col("content").alias("raw")).mapInPandas(_archived, MESSAGE)
+    return whole(spark, path, "*.olm").mapInPandas(_archived, MESSAGE)
 
 
 def _strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
