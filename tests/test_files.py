@@ -22,6 +22,30 @@ def test_scan(spark, tmp_path):
     assert {tuple(r) for r in now.collect()} == {("p", 5, "mine", "done", True), ("q", 6, None, "new", True), ("gone", 2, None, "done", False)}
 
 
+def test_walk(spark, tmp_path):
+    """Loops of links end, two ways to one folder are one, roots are never excluded, what cannot be read is a row."""
+    deep = tmp_path / "Trash" / "a" / "b" / "c"
+    deep.mkdir(parents=True)
+    (deep / "x.eml").write_bytes(b"From: x\n")
+    (tmp_path / "Trash" / "a" / "Temp").mkdir()
+    (tmp_path / "Trash" / "a" / "Temp" / "gone.eml").write_bytes(b"x")
+    (tmp_path / "Trash" / "y.eml").write_bytes(b"y" * 100)
+    (deep / "back").symlink_to(tmp_path / "Trash", target_is_directory=True)
+    (tmp_path / "Trash" / "second").symlink_to(deep, target_is_directory=True)
+    (tmp_path / "Trash" / "nowhere").symlink_to(tmp_path / "missing")
+    root, lost, one = str(tmp_path / "Trash"), str(tmp_path / "lost"), str(tmp_path / "one.eml")
+    (tmp_path / "one.eml").write_bytes(b"1")
+    (tmp_path / "empty").mkdir()
+    tail = lambda p: p[len(str(tmp_path)) + 1 :]
+    plain = files.walk(spark, [root, lost, one, str(tmp_path / "empty")], ["temp", "trash"]).collect()
+    assert sorted((r["kind"], tail(r["path"])) for r in plain) == [("error", "lost"), ("file", "Trash/a/b/c/x.eml"), ("file", "Trash/y.eml"), ("file", "one.eml")]
+    followed = files.walk(spark, [root], ["temp"], follow=True).collect()
+    assert sorted((r["kind"], tail(r["path"])) for r in followed) == [("error", "Trash/nowhere"), ("file", "Trash/second/x.eml"), ("file", "Trash/y.eml")]
+    got = {tail(r["path"]): (r["size"], r["content_hash"] is not None, r["read_error"]) for r in files.scan(spark, [root, lost], ["temp"], hashed=True, walked=True, most=50).collect()}
+    assert got["Trash/a/b/c/x.eml"] == (8, True, None) and got["Trash/y.eml"] == (100, False, "not hashed: more than 50 bytes")
+    assert got["lost"][:2] == (None, False) and "FileNotFoundError" in got["lost"][2] and len(got) == 3
+
+
 def test_outermost():
     assert files.outermost(["/a/b", "/a", "/ab/", "/ab"]) == ["/a", "/ab"]
 
