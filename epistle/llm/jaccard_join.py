@@ -9,10 +9,11 @@ sets of the group are linked, both are linked to it, so a star keeps the compone
 
 Heavy: larger sets are cut by hash range into one block more than partners may differ in elements, so linked sets agree on
 a whole block. At lower thresholds blocks are small and some are empty or hold one element; then some more blocks are
-cut than that and each set leaves out as many of its smallest, as the largest block that two linked sets agree on
-is left out by neither. The sets of a block are a candidate group, however large, and first each is held against the
+cut than that, so that linked sets agree on several, and each set leaves out one fewer than these: for components its
+most frequent ones, after a count of all blocks over all sets, so a set that shares a passage with others, but has
+enough of its own, is in no list; for all pairs its smallest ones. The sets of a block are a candidate group, however large, and first each is held against the
 group's hub alone, its smallest id: that joins a cluster of near copies by as many comparisons as it has members.
-(Below 0.9 the sets that blocks connect are one group.) Sets that the hub does not link stay open. Jaccard distance is a metric, so an open set can be linked to one that the hub
+(Below 0.9 a set is in many blocks: those of one hub are one group.) Sets that the hub does not link stay open. Jaccard distance is a metric, so an open set can be linked to one that the hub
 links only if their distances from the hub differ by no more than linked sets may be apart; just those stay with
 the open ones. What stays of a group and fits in one task has its inverted lists scanned there. What does not is dealt by
 the elements of the sets' prefixes (linked sets share one; not below 0.9, where prefixes are long) and goes through a hub again. Groups that are still too
@@ -62,8 +63,8 @@ def differ(a: int, percent: int = PERCENT) -> int:
 
 
 def spare(d: int, percent: int) -> int:
-    """Blocks more than needed for sets that differ in ``d`` elements; as many of the smallest are left out."""
-    return d // 4 if percent < PERCENT else 0
+    """Blocks more than needed for sets that differ in ``d`` elements; as many may be left out."""
+    return d // 2 if percent < PERCENT else 0
 
 
 def size_classes(top: int, percent: int = PERCENT) -> list[int]:
@@ -80,20 +81,28 @@ def shingles(text: str | None, hashes: Hashes, k: int = SHINGLE) -> np.ndarray:
     return np.unique(runs(hashes.of(words), min(k, len(words)))) if words else np.zeros(0, np.uint64)
 
 
-def blocks(s: np.ndarray, ends: np.ndarray, percent: int = PERCENT) -> list[np.ndarray]:
-    """Signatures of a set's blocks, for its size class and for the next."""
-    c, out = int(np.searchsorted(ends, len(s))), []
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s), dtype=np.uint64)])
+def bands(n: int, ends: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """For the size class of a set of ``n`` elements and the next: in how many two linked sets of it differ at most, and in how many this set and its partner."""
+    c, out = int(np.searchsorted(ends, n)), []
     for at in (c, c + 1):
         d = differ(int(ends[at]), percent)
-        m = d + 1 + spare(d, percent)
-        if m < 2 or at > c and len(s) * 100 // percent <= ends[c]:
+        if d + 1 + spare(d, percent) < 2 or at > c and n * 100 // percent <= ends[c]:
             continue  # only equal sets could be linked
+        largest = min(int(ends[at]), n * 100 // percent)
+        out.append((d, (n + largest) * (100 - percent) // (100 + percent)))
+    return out
+
+
+def blocks(s: np.ndarray, ends: np.ndarray, percent: int = PERCENT, every: bool = False) -> list[np.ndarray]:
+    """Signatures of a set's blocks for each of its ``bands``; without ``every`` the smallest spare ones are left out."""
+    out, total = [], np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s), dtype=np.uint64)])
+    for d, _ in bands(len(s), ends, percent):
+        m = d + 1 + spare(d, percent)
         cuts = np.searchsorted(s, (np.arange(m + 1, dtype=np.float64) * (2.0**64 / m)).clip(0, 2.0**64 - 2048).astype(np.uint64))
         cuts[-1] = len(s)
         tag = np.arange(m, dtype=np.uint64) + np.uint64(m << 32)
         marks = mixed((total[cuts[1:]] - total[cuts[:-1]]) ^ (tag * M1))
-        out.append(marks[np.lexsort((marks, cuts[1:] - cuts[:-1]))[spare(d, percent) :]])
+        out.append(marks if every else marks[np.lexsort((marks, cuts[1:] - cuts[:-1]))[spare(d, percent) :]])
     return out
 
 
@@ -101,8 +110,11 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def profiles(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """(id, n, digest, blocks, small): set size, hash of the set, block signatures, the set itself if small."""
+def profiles(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, every: bool = False) -> DataFrame:
+    """(id, n, digest, blocks, small): set size, hash of the set, block signatures, the set itself if small.
+
+    With ``every``, ``blocks`` has for each band all signatures and how many of them, less one, a linked set agrees on.
+    """
     ends = np.array(size_classes(1 << 40, percent), np.int64)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,12 +125,16 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int)
                 for doc, text in zip(b["id"][lo : lo + 500], b["text"][lo : lo + 500], strict=True):
                     s = shingles(text, hashes, k)
                     n = len(s)
-                    marks = blocks(s, ends, percent) if n else []
-                    out.append((doc, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), _signed(np.concatenate(marks)) if marks else [], _signed(s) if 0 < n <= SMALL else None))
+                    marks = [_signed(x) for x in blocks(s, ends, percent, every)] if n else []
+                    if every:
+                        marks = [{"sure": len(x) - 1 - own, "keys": x} for x, (_, own) in zip(marks, bands(n, ends, percent) if n else [], strict=True)]
+                    elif marks:
+                        marks = np.concatenate(marks)
+                    out.append((doc, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), marks, _signed(s) if 0 < n <= SMALL else None))
                 yield pd.DataFrame(out, columns=["id", "n", "digest", "blocks", "small"]).astype({"id": "Int64"})
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(rows, "id long, n long, digest binary, blocks array<long>, small array<long>")
+    return slim.mapInPandas(rows, f"id long, n long, digest binary, blocks {'array<struct<sure:int,keys:array<long>>>' if every else 'array<long>'}, small array<long>")
 
 
 def subset_rows(n: int, boundary: int, percent: int) -> int:
@@ -456,23 +472,47 @@ def heavy_edges(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str,
     return edges
 
 
-def prepared(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, chain: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, int]:
-    """Profiles, classes (digest, class_id, n), the light sets, the candidate groups (key, id, n) of the heavy ones, and the boundary."""
-    base = staged(profiles(docs, id_col, text_col, k, percent), "profiles")
+def several_texts(base: DataFrame) -> DataFrame:
+    """(id) of the ids that stand for sets that differ."""
+    own = base.where("n > 0 and id is not null").groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+    return staged(own.where("lo <> hi").select("id"), "double")
+
+
+def rare_marks(sets: DataFrame, double: DataFrame) -> DataFrame:
+    """Rows (key, id, n): the blocks of ``sets`` (id, n, blocks) by which linked ones are sure to meet.
+
+    Linked sets agree on more than ``sure`` blocks of a band, so they meet in one that is not among either's ``sure`` last
+    ones in the order of (sets that hold the block, block). Blocks that one set alone holds come first in that order and
+    meet nothing: only sets with more than ``sure`` shared blocks give rows. An id that stands for ``double`` sets gives all.
+    """
+    each = sets.select("id", "n", F.posexplode("blocks").alias("band", "b")).select("id", "n", "band", "b.sure", F.explode("b.keys").alias("key"))
+    often = staged(each.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("key", "c"), "often")
+    shared = each.join(often, "key").groupBy("id", "n", "band", "sure").agg(F.collect_set(F.struct("c", "key")).alias("found"))
+    marked = shared.join(if_small(double.withColumn("all", F.lit(True)), double.count()), "id", "left").withColumn("most", F.size("found") - F.when(F.col("all"), 0).otherwise(F.col("sure")))
+    return marked.where("most > 0").select("id", "n", F.explode(F.expr("slice(sort_array(found), 1, most)")).alias("f")).select("f.key", "id", "n")
+
+
+def by_hub(marks: DataFrame) -> DataFrame:
+    """Groups (key, id, n): the sets of all blocks (key, id, n) whose smallest id is ``key``. Sets that share a block share its hub."""
+    hubs = staged(marks.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("hi")).where("hub < hi").select("key", "hub"), "hubs")
+    return marks.join(hubs, "key").groupBy(F.col("hub").alias("key"), "id").agg(F.max("n").alias("n"))
+
+
+def prepared(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, rare: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, int]:
+    """Profiles, classes (digest, class_id, n), ids of several sets, the light sets, the candidate groups (key, id, n) of the heavy ones, and the boundary."""
+    rare = rare and percent < PERCENT
+    base = staged(profiles(docs, id_col, text_col, k, percent, every=rare), "profiles")
     classes = staged(base.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("class_id"), F.first("n").alias("n")), "classes")
     histogram = {r["n"]: r["count"] for r in classes.where(F.col("n") <= 2 * SMALL).groupBy("n").count().collect()}  # at most 2 * SMALL rows
     boundary = boundary_of(cost_of(histogram, percent))
     heads = classes.select("digest", F.col("class_id").alias("id"))
     one = base.where("n > 0 and id is not null").join(if_small(heads, heads.count()), ["digest", "id"], "left_semi")
     small = one.where(F.col("n") <= boundary).select("id", "n", "small")
-    marks = one.where(100 * F.col("n") >= percent * (boundary + 1)).select(F.explode("blocks").alias("key"), "id", "n")
-    if chain and percent < PERCENT:
-        # blocks are small then, and a set shares some with very many others, each with a hub of its own: sets that blocks
-        # connect are one group, so that each set is sent to one hub; ids that stand for several texts stay in it with all
-        first = staged(several(marks).groupBy("key").agg(F.min("id").alias("lo")), "first")
-        chained = staged(components(marks.join(first, "key").where("id <> lo").select(F.col("id").alias("a"), F.col("lo").alias("b"))), "chained")
-        marks = one.select("id", "n").join(chained, "id").select(F.col("root").alias("key"), "id", "n")
-    return base, classes, small, marks, boundary
+    heavy = one.where(100 * F.col("n") >= percent * (boundary + 1))
+    double = several_texts(base)
+    # at 0.9 and above blocks are large and few; below, a set shares some with very many others
+    marks = by_hub(staged(rare_marks(heavy, double), "marks")) if rare else heavy.select(F.explode("blocks").alias("key"), "id", "n")
+    return base, classes, double, small, marks, boundary
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -481,7 +521,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     Documents of one class are linked to each other and to all documents of the classes linked to it, so links per
     document are sums over class sizes. An id with several texts stands for each class that it is the smallest id of.
     """
-    _, _, small, marks, boundary = prepared(docs, id_col, text_col, k, percent, chain=False)
+    _, _, _, small, marks, boundary = prepared(docs, id_col, text_col, k, percent, rare=False)
     groups = staged(several(marks), "groups")
     sizes = staged(groups.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / SHARE)).cast("int").alias("chunks")), "sizes")
     heavy = scanned(docs, groups.join(sizes, "key").withColumn("pre", F.lit(False)), id_col, text_col, k, percent, boundary)
@@ -496,14 +536,13 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
     component. Rows that share an id are one node, linked by either text; rows without an id link nothing and have a null
     component. Whole texts are used whatever their length; other columns are ignored; an empty table gives no rows.
     """
-    base, classes, small, marks, boundary = prepared(docs, id_col, text_col, k, percent)
+    base, classes, double, small, marks, boundary = prepared(docs, id_col, text_col, k, percent)
     slim = base.select("id", "n", "digest")
     edges = light_edges(small, boundary, percent).union(heavy_edges(docs, marks, id_col, text_col, k, percent))
 
     # an id with several texts is one node: its classes meet in it
     same = slim.where("n > 0 and id is not null").join(classes.select("digest", "class_id"), "digest").where("id <> class_id").select(F.col("id").alias("a"), F.col("class_id").alias("b"))
-    double = staged(slim.where("n > 0 and id is not null").groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select(F.col("id").alias("a")), "double")
-    edges = edges.union(same.join(double, "a", "left_semi"))
+    edges = edges.union(same.join(double.withColumnRenamed("id", "a"), "a", "left_semi"))
 
     roots = staged(components(edges), "roots")
     named = classes.select("digest", "class_id").join(if_small(roots.withColumnRenamed("id", "class_id"), roots.count()), "class_id", "left").select("digest", "class_id", F.coalesce("root", "class_id").alias("root"))

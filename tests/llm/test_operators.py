@@ -533,6 +533,53 @@ def test_jaccard_at_lower_similarity(spark, boundary, monkeypatch):
     assert sorted((r.a, r.b) for r in got) == want and len(want) > 100
 
 
+@pytest.mark.parametrize("boundary", [0, 12, None])
+def test_jaccard_components_at_lower_similarity(spark, boundary, monkeypatch):
+    """Clusters about the threshold, sets that are mostly a passage of all of them, and ids that stand for several texts."""
+    if boundary is not None:
+        monkeypatch.setattr(jaccard_join, "boundary_of", lambda _: boundary)
+    rnd, texts = random.Random(17), near_copies(8)
+    passage = [f"p{i}" for i in range(60)]
+    for n in (12, 25, 60, 150, 400):
+        base = [f"u{rnd.randrange(10**6)}" for _ in range(n)] + passage[: rnd.choice((0, 30, 60))]
+        for _ in range(12):
+            w = list(base)
+            for at in rnd.sample(range(len(w)), len(w) // 45 + rnd.randint(0, 1)):
+                w[at] = f"u{rnd.randrange(10**6)}"
+            texts.append(" ".join(w))
+    texts += [" ".join(passage + [f"e{i}x{j}" for j in range(rnd.randint(1, 20))]) for i in range(40)]
+    ids = list(range(len(texts)))
+    near = list(zip(ids, texts, strict=True)) + [(3, texts[-1]), (7, texts[20]), (7, texts[7]), (len(ids), ""), (len(ids) + 1, None)]
+    got = jaccard_join.linked(spark.createDataFrame(near, "doc_id long, text string").repartition(3), k=5, percent=80).collect()
+    root = {i: i for i, _ in near}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    sets = [(i, five_words(t)) for i, t in near]
+    for a, (i, s) in enumerate(sets):
+        for j, u in sets[:a]:
+            if s and u and 100 * len(s & u) >= 80 * len(s | u) and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((i, len(s), find(i)) for i, s in sets)
+
+
+def test_jaccard_passage_of_many_sets_at_lower_similarity(spark, monkeypatch):
+    """A passage that 4,000 unlike sets hold makes groups of few of them, and a cluster among them a few rows for each member."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    unlike = [(i, f"{' '.join(f'w{i}x{j}' for j in range(40))} {passage} {' '.join(f'v{i}x{j}' for j in range(20))}") for i in range(4000)]
+    base = [f"c{j}" for j in range(200)]
+    cluster = [(5000 + i, " ".join(base[:i] + [f"e{i}"] + base[i + 1 :]) + " " + passage) for i in range(100)]
+    docs = spark.createDataFrame(unlike + cluster, "doc_id long, text string").repartition(4)
+    marks = jaccard_join.prepared(docs, "doc_id", "text", 5, 80)[4].collect()
+    assert len({r.id for r in marks if r.id < 4000}) < 80 and {r.id for r in marks if r.id >= 5000} == {i for i, _ in cluster}
+    assert sum(r.id >= 5000 for r in marks) < 10 * len(cluster)
+    got = jaccard_join.linked(docs, k=5, percent=80).where("doc_id <> component_id").collect()
+    assert len(got) == 99 and {r.component_id for r in got} == {5000}
+
+
 def test_pipeline_drops_copies_with_scattered_edits(spark):
     import corpus_pipeline
 
