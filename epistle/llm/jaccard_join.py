@@ -55,6 +55,7 @@ HELD = 1 << 15
 PAIRED = 1000
 #: How often a group that is too large for one task goes through a hub before it is cut into chunks.
 ROUNDS = 4
+LOW48 = (1 << 48) - 1
 
 
 def differ(a: int, percent: int = PERCENT) -> int:
@@ -81,22 +82,22 @@ def shingles(text: str | None, hashes: Hashes, k: int = SHINGLE) -> np.ndarray:
     return np.unique(runs(hashes.of(words), min(k, len(words)))) if words else np.zeros(0, np.uint64)
 
 
-def bands(n: int, ends: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """For the size class of a set of ``n`` elements and the next: in how many two linked sets of it differ at most, and in how many this set and its partner."""
+def bands(n: int, ends: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int, int]]:
+    """The size class of a set of ``n`` elements and the next: its number, in how many two linked sets of it differ at most, and in how many this set and its partner."""
     c, out = int(np.searchsorted(ends, n)), []
     for at in (c, c + 1):
         d = differ(int(ends[at]), percent)
         if d + 1 + spare(d, percent) < 2 or at > c and n * 100 // percent <= ends[c]:
             continue  # only equal sets could be linked
         largest = min(int(ends[at]), n * 100 // percent)
-        out.append((d, (n + largest) * (100 - percent) // (100 + percent)))
+        out.append((at, d, (n + largest) * (100 - percent) // (100 + percent)))
     return out
 
 
 def blocks(s: np.ndarray, ends: np.ndarray, percent: int = PERCENT, every: bool = False) -> list[np.ndarray]:
     """Signatures of a set's blocks for each of its ``bands``; without ``every`` the smallest spare ones are left out."""
     out, total = [], np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s), dtype=np.uint64)])
-    for d, _ in bands(len(s), ends, percent):
+    for _, d, _ in bands(len(s), ends, percent):
         m = d + 1 + spare(d, percent)
         cuts = np.searchsorted(s, (np.arange(m + 1, dtype=np.float64) * (2.0**64 / m)).clip(0, 2.0**64 - 2048).astype(np.uint64))
         cuts[-1] = len(s)
@@ -113,7 +114,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def profiles(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, every: bool = False) -> DataFrame:
     """(id, n, digest, blocks, small): set size, hash of the set, block signatures, the set itself if small.
 
-    With ``every``, ``blocks`` has for each band all signatures and how many of them, less one, a linked set agrees on.
+    With ``every``, ``blocks`` has for each band all signatures, of 48 bits below the band's number, as that halves what is
+    shuffled, and how many of them, less one, a linked set agrees on (fewer where two of a set are equal by chance).
     """
     ends = np.array(size_classes(1 << 40, percent), np.int64)
 
@@ -127,14 +129,15 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
                     n = len(s)
                     marks = [_signed(x) for x in blocks(s, ends, percent, every)] if n else []
                     if every:
-                        marks = [{"sure": len(x) - 1 - own, "keys": x} for x, (_, own) in zip(marks, bands(n, ends, percent) if n else [], strict=True)]
+                        marks = [np.unique(x & LOW48) for x in marks]
+                        marks = [{"band": at, "sure": len(x) - 1 - own, "keys": x | at << 48} for x, (at, _, own) in zip(marks, bands(n, ends, percent) if n else [], strict=True)]
                     elif marks:
                         marks = np.concatenate(marks)
                     out.append((doc, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), marks, _signed(s) if 0 < n <= SMALL else None))
                 yield pd.DataFrame(out, columns=["id", "n", "digest", "blocks", "small"]).astype({"id": "Int64"})
 
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return slim.mapInPandas(rows, f"id long, n long, digest binary, blocks {'array<struct<sure:int,keys:array<long>>>' if every else 'array<long>'}, small array<long>")
+    return slim.mapInPandas(rows, f"id long, n long, digest binary, blocks {'array<struct<band:int,sure:int,keys:array<long>>>' if every else 'array<long>'}, small array<long>")
 
 
 def subset_rows(n: int, boundary: int, percent: int) -> int:
@@ -485,11 +488,14 @@ def rare_marks(sets: DataFrame, double: DataFrame) -> DataFrame:
     ones in the order of (sets that hold the block, block). Blocks that one set alone holds come first in that order and
     meet nothing: only sets with more than ``sure`` shared blocks give rows. An id that stands for ``double`` sets gives all.
     """
-    each = sets.select("id", "n", F.posexplode("blocks").alias("band", "b")).select("id", "n", "band", "b.sure", F.explode("b.keys").alias("key"))
-    often = staged(each.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("key", "c"), "often")
-    shared = each.join(often, "key").groupBy("id", "n", "band", "sure").agg(F.collect_set(F.struct("c", "key")).alias("found"))
-    marked = shared.join(if_small(double.withColumn("all", F.lit(True)), double.count()), "id", "left").withColumn("most", F.size("found") - F.when(F.col("all"), 0).otherwise(F.col("sure")))
-    return marked.where("most > 0").select("id", "n", F.explode(F.expr("slice(sort_array(found), 1, most)")).alias("f")).select("f.key", "id", "n")
+    slots = sets.select("id", "n", F.explode("blocks").alias("b"))
+    each = slots.select(F.explode("b.keys").alias("key"), "id")
+    often = staged(each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "often")
+    shared = each.join(often, "key").groupBy("id", F.shiftright("key", 48).cast("int").alias("band")).agg(F.collect_set(F.struct("c", "key")).alias("found"))
+    known = slots.groupBy("id", "b.band").agg(F.max("n").alias("n"), F.min("b.sure").alias("sure"))
+    marked = shared.join(known, ["id", "band"]).join(if_small(double.withColumn("all", F.lit(True)), double.count()), "id", "left")
+    most = F.size("found") - F.when(F.col("all"), 0).otherwise(F.col("sure"))
+    return marked.withColumn("most", most).where("most > 0").select("id", "n", F.explode(F.expr("slice(sort_array(found), 1, most)")).alias("f")).select("f.key", "id", "n")
 
 
 def by_hub(marks: DataFrame) -> DataFrame:
