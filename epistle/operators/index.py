@@ -1,6 +1,7 @@
 """A durable search index: postings in folders by term, documents and statistics beside them, changed by generations.
 
-``path/postings/gen=G/bucket=B`` holds (doc_id, pos, term, field, size, len) sorted by term, ``path/docs/gen=G`` (doc_id, len) with a null
+``path/postings/gen=G/bucket=B`` holds (doc_id, pos, term, field, size, len), each file the words of one share of the documents,
+sorted by term: a task writes what it splits, and no posting is shuffled. ``path/docs/gen=G`` holds (doc_id, len) with a null
 length for a document that was taken out, and ``path/stats/gen=G``, written last, the fields, whether terms are stems, and how
 many documents and words the whole index has. The last generation of a document counts; one that ``stats`` lacks was cut short
 and counts for nothing: the next writer takes its number and overwrites it.
@@ -13,15 +14,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.repair import stemmed
-from .search import B, K1, TOKEN
+from ..functions.repair import stem_of, stemmed
+from .graph import staged
+from .search import B, K1, TOKEN, shares
 
 #: Terms are dealt by their first letters, so that a prefix of that length reads one folder too.
-BUCKETS, LETTERS = 64, 2
+BUCKETS, LETTERS = 16, 2
+#: Touched ids up to which the postings that are looked up among them stay where they are.
+BROADCAST_IDS = 1_000_000
 #: Positions of one field lie apart from those of the next, so that no phrase reaches from one into another.
 APART = 1 << 40
 _DOCS, _POSTS = "doc_id long, len long, gen int", "doc_id long, pos long, term string, field string, size long, len long, gen int, bucket int"
@@ -80,7 +83,7 @@ class SearchIndex:
         """How a word of a search stands in the index; a star at its end, which stands for any ending, stays."""
         if word.endswith("*") or not self.statistics()[""]["stem"]:
             return word
-        return stemmed.func(pd.Series([word.lower()]))[0]
+        return stem_of(word.lower())
 
     def hits(self, *terms: str, field: str | None = None) -> DataFrame:
         """(doc_id, pos, term, field, size, len) of ``terms``, a star at an end standing for any ending; only their folders are read."""
@@ -123,12 +126,14 @@ class SearchIndex:
         """Postings of each document's last generation; ids that only the first one has are not looked up."""
         if not self.generation():
             return posts
-        later = self._docs().where("gen > 0").groupBy("doc_id").agg(F.max("gen").alias("last"))
+        touched = self._docs().where("gen > 0")
+        later = touched.groupBy("doc_id").agg(F.max("gen").alias("last"))
+        later = F.broadcast(later) if touched.count() <= BROADCAST_IDS else later
         return posts.join(later, "doc_id", "left").where("last is null or gen = last").drop("last")
 
     def _write_postings(self, posts: DataFrame, gen: int) -> None:
-        # ranges down to the document: a word that all documents hold spreads over tasks
-        dealt = posts.withColumn("bucket", bucket(F.col("term"))).repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term", "doc_id", "pos")
+        # each task sorts what it has: a word that all documents hold lies in every share and never in one task
+        dealt = posts.withColumn("bucket", bucket(F.col("term"))).sortWithinPartitions("bucket", "term", "doc_id", "pos")
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/gen={gen}")
 
     def _write_stats(self, rows: list[tuple], gen: int) -> None:
@@ -136,32 +141,37 @@ class SearchIndex:
         self.spark.createDataFrame(rows, kinds).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/stats/gen={gen}")
 
     def _write(self, docs: DataFrame, removed: DataFrame, gen: int, fields: list[str], stem: bool) -> None:
-        docs = docs.select("doc_id", *fields).where("doc_id is not null").dropDuplicates(["doc_id"])
+        docs = docs.select("doc_id", *fields).where("doc_id is not null")
+        docs = shares(docs, *fields).dropDuplicates(["doc_id"])
         tokens = {f: F.regexp_extract_all(F.lower(F.coalesce(F.col(f), F.lit(""))), F.lit(TOKEN), F.lit(0)) for f in fields}
         split = docs.select("doc_id", *(tokens[f].alias(f) for f in fields))
         whole = reduce(lambda a, b: a + b, (F.size(f) for f in fields)).cast("long")
-        one = lambda k, f: split.select("doc_id", F.posexplode(f).alias("p", "term"), F.lit(f).alias("field"), F.size(f).cast("long").alias("size"), whole.alias("len")).withColumn("pos", F.col("p") + F.lit(k * APART))
-        posts = reduce(DataFrame.union, (one(k, f) for k, f in enumerate(fields))).select("doc_id", "pos", "term", "field", "size", "len")
+        each = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(k * APART).alias("base"), F.size(f).cast("long").alias("size"), F.col(f).alias("words")) for k, f in enumerate(fields)))
+        split = split.select("doc_id", whole.alias("len"), F.explode(each).alias("f")).select("doc_id", "len", "f.*")
+        posts = split.select("doc_id", "base", F.posexplode("words").alias("p", "term"), "field", "size", "len").select("doc_id", (F.col("p") + F.col("base")).alias("pos"), "term", "field", "size", "len")
         self._write_postings(posts.withColumn("term", stemmed("term")) if stem else posts, gen)
 
-        # lengths and sums come from what was written, so no text is split twice
-        written = self.spark.read.schema(_POSTS).parquet(f"{self.path}/postings/gen={gen}")
-        lengths = written.groupBy("doc_id").agg(F.first("len").alias("len"))
+        # lengths and sums come from what was written, from the first word of each field: no text is split twice
+        heads = staged(self._heads(self.spark.read.schema(_POSTS).parquet(f"{self.path}/postings/gen={gen}"), fields).select("doc_id", "field", "size", "len"), "heads")
+        lengths = heads.groupBy("doc_id").agg(F.first("len").alias("len"))
         ids = docs.select("doc_id").join(lengths, "doc_id", "left").fillna(0, ["len"])
         gone = removed.distinct().join(docs.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(None).cast("long").alias("len"))
         ids.union(gone).write.mode("overwrite").parquet(f"{self.path}/docs/gen={gen}")
-        sums = self._sums(written, fields)
+        sums = self._sums(heads, fields)
         if gen:
             before = self.statistics()
             touched = self.spark.read.schema("doc_id long, len long").parquet(f"{self.path}/docs/gen={gen}").select("doc_id")
-            lost = self._sums(self._counting(self._all()).join(touched, "doc_id", "left_semi"), fields)
+            lost = self._sums(self._counting(self._heads(self._all(), fields)).join(touched, "doc_id", "left_semi"), fields)
             sums = {f: (before[f]["docs"] + n - lost[f][0], before[f]["words"] + w - lost[f][1]) for f, (n, w) in sums.items()}
         self._write_stats([(f, *sums[f], fields.index(f) if f else -1, stem) for f in ["", *fields]], gen)
 
-    def _sums(self, posts: DataFrame, fields: list[str]) -> dict[str, tuple[int, int]]:
+    def _heads(self, posts: DataFrame, fields: list[str]) -> DataFrame:
+        """The posting of the first word of each field of each document: it carries the field's and the document's length."""
+        return posts.where(F.col("pos").isin([k * APART for k in range(len(fields))]))
+
+    def _sums(self, heads: DataFrame, fields: list[str]) -> dict[str, tuple[int, int]]:
         """Documents with words, and words, of each field and of all ('')."""
-        per = posts.groupBy("field", "doc_id").agg(F.count("*").alias("n"))
-        rows = per.groupBy("field").agg(F.count("*").alias("docs"), F.sum("n").alias("words")).collect()  # one row a field
+        rows = heads.groupBy("field").agg(F.count("*").alias("docs"), F.sum("size").alias("words")).collect()  # one row a field
         found = {r["field"]: (r["docs"], r["words"]) for r in rows}
-        docs = per.select("doc_id").distinct().count() if len(fields) > 1 else sum(n for n, _ in found.values())
+        docs = heads.select("doc_id").distinct().count() if len(fields) > 1 else sum(n for n, _ in found.values())
         return {f: found.get(f, (0, 0)) for f in fields} | {"": (docs, sum(w for _, w in found.values()))}

@@ -12,6 +12,8 @@ from ..functions.repair import stemmed
 
 TOKEN = r"[\p{L}\p{N}]+"
 K1, B = 1.2, 0.75
+#: Characters of text in a share of the documents, whose words a task groups or sorts; about a sixth as many words.
+SHARE = 16_000_000
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -24,6 +26,23 @@ def stems(posts: DataFrame) -> DataFrame:
     return posts.withColumn("term", stemmed("term"))
 
 
+def shares(docs: DataFrame, *texts: str, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` dealt by id in shares of about ``SHARE`` characters of ``texts``, so that no task's words grow with the table."""
+    chars = docs.agg(F.sum(reduce(lambda a, b: a + b, (F.coalesce(F.length(t), F.lit(0)) for t in texts)).cast("long"))).first()[0] or 0
+    return docs.repartition(chars // SHARE + 1, id_col)
+
+
+def term_counts(docs: DataFrame, stem: bool = False) -> DataFrame:
+    """(term, docs, uses): documents with each term (or stem) of ``docs`` (doc_id, text), and its places.
+
+    Words meet within the shares of their documents, so only a share's vocabulary is shuffled.
+    """
+    uses = postings(shares(docs.select("doc_id", "text"), "text")).groupBy("doc_id", "term").agg(F.count("*").alias("uses"))
+    if stem:
+        uses = stems(uses).groupBy("doc_id", "term").agg(F.sum("uses").alias("uses"))
+    return uses.groupBy("term").agg(F.count("doc_id").alias("docs"), F.sum("uses").alias("uses"))
+
+
 def documents(items: DataFrame, participations: DataFrame, people: DataFrame, cap: int | None = None) -> DataFrame:
     """(doc_id, text): subject, names of everybody in it and the body of each item, whole unless ``cap`` bounds its characters."""
     names = participations.join(people.select("person_id", "name"), "person_id").groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("name")), " ").alias("names"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import recurrence
+from ..operators.graph import staged
 from ..operators.index import SearchIndex
 from ..sources import attached
 from .deliveries import folder_for
@@ -39,7 +40,8 @@ def index_attachments(a):
     per = files.select("attachment_id", "item_id", "filename").join(text, "attachment_id").groupBy("item_id")
     lines = lambda c: F.array_join(F.array_sort(F.collect_list(F.struct("attachment_id", c)))[c], "\n").alias(f"{c}s")
     index = SearchIndex(a.spark, folder_for(a, "attachments"))
-    index.build(per.agg(lines("filename"), lines("text")).withColumnRenamed("item_id", "doc_id"), ["filenames", "texts"])
+    docs = staged(per.agg(lines("filename"), lines("text")).withColumnRenamed("item_id", "doc_id"), "attached")
+    index.build(docs, ["filenames", "texts"])
     return index.postings("license", "docx").groupBy("doc_id").agg(F.count("*").alias("uses"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import checks, integrity, people, search, threads, timeline
 from ..operators import ledger as ledgers
-from ..operators.graph import shared_dir
+from ..operators.graph import shared_dir, staged
 from ..operators.index import SearchIndex
 from ..sources import sinks
 from .archive import KINDS, SQL, Archive
@@ -688,15 +688,13 @@ d as (select item_id as doc_id, regexp_extract_all(lower(subject || ' ' || coale
 select t.term as term, count(distinct doc_id) as docs, count(*) as uses from (select doc_id, unnest(t) as term from d) t group by 1"""
 )
 def search_vocabulary(a):
-    posts = search.postings(search.documents(a.items, a.participations, a.people))
-    return posts.groupBy("term").agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("uses"))
+    return search.term_counts(staged(search.documents(a.items, a.participations, a.people), "documents"))
 
 
 @query()
 def search_stems(a):
     """Documents and uses of each stem; no SQL function stems."""
-    posts = search.stems(search.postings(a.table("documents")))
-    return posts.groupBy("term").agg(F.countDistinct("doc_id").alias("docs"), F.count("*").alias("uses"))
+    return search.term_counts(a.table("documents"), stem=True)
 
 
 @query(

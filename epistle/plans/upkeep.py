@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import search, state, threads
-from ..operators.graph import shared_dir
+from ..operators.graph import shared_dir, staged
 from ..operators.index import SearchIndex
 from ..sources import stores
 from .queries import _POSTS, query
@@ -55,7 +55,7 @@ f as (select item_id as doc_id, regexp_extract_all(lower(subject), '[\\p{L}\\p{N
 def _fielded(a) -> SearchIndex:
     """Items by subject and by the people in them; every fifth is taken in later, without people."""
     names = a.participations.where("item_id % 5 <> 0").join(a.people.select("person_id", "name"), "person_id").groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_set("name")), " ").alias("people"))
-    docs = a.items.join(names, "item_id", "left").select(F.col("item_id").alias("doc_id"), "subject", "people")
+    docs = staged(a.items.join(names, "item_id", "left").select(F.col("item_id").alias("doc_id"), "subject", "people"), "fielded")
     index = SearchIndex(a.spark, f"{shared_dir(a.spark)}/epistle/{a.spark.sparkContext.applicationId}/fields-{uuid.uuid4().hex[:12]}")
     index.build(docs.where("doc_id % 5 <> 0"), ["subject", "people"])
     index.update(docs.where("doc_id % 5 = 0"))

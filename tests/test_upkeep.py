@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from epistle.operators import people, state
+from epistle.operators import people, search, state
 from epistle.operators.index import SearchIndex
 from epistle.operators.search import bm25, postings
 from epistle.settings import SHARED_MAILBOXES, Settings, from_toml
@@ -55,6 +55,32 @@ def test_index_empty_and_pruned(spark, tmp_path):
     assert rows(bm25(i.postings(*terms), terms, i.documents())) == rows(bm25(postings(many), terms))
 
 
+def test_index_shuffles_no_posting(spark, tmp_path, monkeypatch):
+    """Words are sorted where their texts are split, in shares by size: neither a share nor what is shuffled grows with the index."""
+    plans, write = [], SearchIndex._write_postings
+    monkeypatch.setattr(SearchIndex, "_write_postings", lambda self, posts, gen: plans.append(posts._jdf.queryExecution().executedPlan().toString()) or write(self, posts, gen))
+    monkeypatch.setattr(search, "SHARE", 300)
+    many = docs(spark, *((n, f"word w{n} word") for n in range(200)))
+    i = SearchIndex(spark, f"{tmp_path}/i")
+    i.build(many)
+    files = spark.read.parquet(f"{tmp_path}/i/postings").select(F.input_file_name().alias("f"), "term", F.monotonically_increasing_id().alias("k"))
+    shares = {r["f"].rsplit("/", 1)[1].split("-")[1] for r in files.select("f").distinct().collect()}
+    assert len(shares) > 5 and files.where("term = 'word'").select("f").distinct().count() == len(shares)
+    assert plans[0].count("Exchange hashpartitioning(doc_id") == 1 and plans[0].index("Exchange") > plans[0].index("Generate")
+    assert i.postings("word").count() == 400 and i.statistics()[""]["words"] == 600
+    i.update(docs(spark, (3, "word")), docs(spark, (4, None)))
+    assert i.compact(f"{tmp_path}/w").postings("word").count() == 397 and "Exchange" not in plans[-1].replace("BroadcastExchange", "").split("BroadcastHashJoin")[0]
+
+
+def test_terms_are_counted_within_shares(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARE", 20)
+    some = docs(spark, (1, "Cats cat a"), (2, "cat"), (2, "a cat"), (None, "cat"), (3, None))
+    assert rows(search.term_counts(some)) == [("a", 2, 2), ("cat", 2, 4), ("cats", 1, 1)]
+    assert rows(search.term_counts(some, stem=True)) == [("a", 2, 2), ("cat", 2, 5)]
+    plan = search.term_counts(some)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hash") == 2 and "hashpartitioning(doc_id#" in plan and "hashpartitioning(term#" in plan
+
+
 def test_store_records(spark):
     one = lambda f, values, kind="string": [r[0] for r in spark.createDataFrame(list(enumerate(values)), f"i int, v {kind}").select("i", f(F.col("v")).alias("x")).orderBy("i").select("x").collect()]
     assert one(stores.kind_of, ["IPM.Note", None, "", "ipm.appointment.x", "IPM.Contact", "IPM.TaskRequest", "IPM.Activity", "REPORT.IPM.Note.NDR", "odd"]) == ["message"] * 3 + ["event", "contact", "task", "note", "message", "message"]
