@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_cell
-from ..operators.graph import staged
+from ..operators.graph import ROWS, shared_out, staged
 
 
 def write_csv(df: DataFrame, path: str) -> int:
@@ -41,12 +41,13 @@ def copied_names(attachments: DataFrame) -> DataFrame:
     safe = F.when(safe == "", F.concat(F.lit("attachment-"), F.col("attachment_id").cast("string"))).otherwise(safe)
     key = F.lower("safe")
     # a name may be that of a great part of all rows: rows are numbered within ranges of (name, id), and ranges counted before
-    ranged = attachments.withColumn("safe", safe).repartitionByRange(key, "attachment_id").withColumns({"key": key, "part": F.spark_partition_id()})
+    n = attachments.count()
+    ranged = attachments.withColumn("safe", safe).repartitionByRange(n // ROWS + 1, key, "attachment_id").withColumns({"key": key, "part": F.spark_partition_id()})
     ranged = staged(ranged, "names")
     sizes = ranged.groupBy("key", "part").agg(F.count("*").alias("size"))
     before = F.coalesce(F.sum("size").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     local = F.row_number().over(Window.partitionBy("key", "part").orderBy("attachment_id"))
-    rows = ranged.withColumn("local", local).join(sizes.select("key", "part", before.alias("before")), ["key", "part"]).withColumn("n", F.col("before") + F.col("local"))
+    rows = shared_out(ranged, n, "key", "part").withColumn("local", local).join(sizes.select("key", "part", before.alias("before")), ["key", "part"]).withColumn("n", F.col("before") + F.col("local"))
     numbered = F.concat(F.regexp_replace("safe", r"\.[^.]*$", ""), F.lit(" ("), F.col("n").cast("string"), F.lit(")"), F.regexp_extract("safe", r"(\.[^.]*)$", 1))
     return rows.select(*attachments.columns, F.when(F.col("n") > 1, numbered).otherwise(F.col("safe")).alias("copied"))
 
