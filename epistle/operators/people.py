@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import given_name, jaro_winkler, normalized_name, surname
 from ..settings import Persons
-from .graph import components, staged
+from .graph import components, shared_out, staged
 
 
 def statistics(participations: DataFrame, items: DataFrame) -> DataFrame:
@@ -18,16 +18,25 @@ def statistics(participations: DataFrame, items: DataFrame) -> DataFrame:
 
 def correspondents(participations: DataFrame, top: int) -> DataFrame:
     """(person_id, other_id, shared, rank): for each sender the ``top`` receivers by distinct shared items."""
-    sent = participations.where("role = 'from'").select("item_id", "person_id")
-    got = participations.where("role = 'to'").select("item_id", F.col("person_id").alias("other_id"))
-    pairs = sent.join(got, "item_id").where("person_id <> other_id").groupBy("person_id", "other_id").agg(F.countDistinct("item_id").alias("shared"))
-    rank = F.row_number().over(Window.partitionBy("person_id").orderBy(F.desc("shared"), "other_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= top)
+    met = staged(participations.where("role in ('from', 'to')").select("item_id", "person_id", "role").distinct(), "met")
+    n = met.count()
+    met = shared_out(met, n, "item_id")
+    sent = met.where("role = 'from'").select("item_id", "person_id")
+    got = met.where("role = 'to'").select("item_id", F.col("person_id").alias("other_id"))
+    return _foremost(_shared(sent.join(got, "item_id"), n), n, "person_id", top)
 
 
-def _foremost(pairs: DataFrame, by: str, top: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("shared"), "other_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= top)
+def _shared(met: DataFrame, rows: int) -> DataFrame:
+    """(person_id, other_id, shared): how many of the ``rows`` or so meetings each pair of people has."""
+    return shared_out(met.where("person_id <> other_id"), rows, "person_id", "other_id").groupBy("person_id", "other_id").agg(F.count("*").alias("shared"))
+
+
+def _foremost(pairs: DataFrame, rows: int, by: str, top: int) -> DataFrame:
+    """The ``top`` of the ``rows`` or so pairs of each ``by``; those of each hundredth of the others are found first, so nobody with very many pairs fills a task."""
+    ranked = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("shared"), "other_id"))
+    part = F.pmod(F.xxhash64("other_id"), F.lit(100))
+    some = shared_out(pairs.withColumn("part", part), rows, by, "part").withColumn("rank", ranked(by, "part")).where(F.col("rank") <= top).drop("rank", "part")
+    return shared_out(some, rows, by).withColumn("rank", ranked(by)).where(F.col("rank") <= top)
 
 
 def partners(participations: DataFrame, top: int, crowd: int = 1000) -> DataFrame:
@@ -40,10 +49,12 @@ def partners(participations: DataFrame, top: int, crowd: int = 1000) -> DataFram
     """
     links = staged(participations.select("item_id", "person_id").distinct(), "links")
     large = staged(links.groupBy("item_id").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("item_id"), "crowds")
-    small = links.join(large, "item_id", "left_anti")
-    pairs = small.join(small.withColumnRenamed("person_id", "other_id"), "item_id").where("person_id <> other_id").groupBy("person_id", "other_id").agg(F.count("*").alias("shared"))
+    small = links.join(large, "item_id", "left_anti") if large.take(1) else links
+    met = small.groupBy("item_id").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1))).first()[0] or 0
+    small = shared_out(small, links.count(), "item_id")
+    pairs = _shared(small.join(small.withColumnRenamed("person_id", "other_id"), "item_id"), met)
     if not large.take(1):
-        return _foremost(pairs, "person_id", top)
+        return _foremost(pairs, met, "person_id", top)
     sets = links.join(large, "item_id").groupBy("person_id").agg(F.array_sort(F.collect_list("item_id")).alias("large"))
     classes = sets.groupBy("large").agg(F.min("person_id").alias("class"))
     members = staged(sets.join(classes, "large").select("person_id", "class"), "members")
@@ -53,12 +64,13 @@ def partners(participations: DataFrame, top: int, crowd: int = 1000) -> DataFram
     first = F.row_number().over(Window.partitionBy("class").orderBy("person_id"))
     heads = members.withColumn("k", first).where(F.col("k") <= top + 1).select(F.col("class").alias("other_class"), F.col("person_id").alias("other_id"))
     # one more than wanted, as a person may be among its own class's others
-    offered = _foremost(meet.join(heads, "other_class").select("class", "other_id", F.col("common").alias("shared")), "class", top + 1).drop("rank")
+    offered = _foremost(meet.join(heads, "other_class").select("class", "other_id", F.col("common").alias("shared")), meet.count() * (top + 1), "class", top + 1).drop("rank")
     far = members.join(offered, "class").where("person_id <> other_id").select("person_id", "other_id", "shared")
     of = lambda who, c: members.select(F.col("person_id").alias(who), F.col("class").alias(c))
     near = pairs.join(of("person_id", "class"), "person_id", "left").join(of("other_id", "other_class"), "other_id", "left").join(meet, ["class", "other_class"], "left")
     near = near.select("person_id", "other_id", (F.col("shared") + F.coalesce("common", F.lit(0))).alias("shared"))
-    return _foremost(near.union(far).groupBy("person_id", "other_id").agg(F.max("shared").alias("shared")), "person_id", top)
+    rows = met + members.count() * (top + 1)
+    return _foremost(shared_out(near.union(far), rows, "person_id", "other_id").groupBy("person_id", "other_id").agg(F.max("shared").alias("shared")), rows, "person_id", top)
 
 
 def per_year(participations: DataFrame, items: DataFrame) -> DataFrame:
@@ -78,9 +90,12 @@ def sender_share(participations: DataFrame, least: float) -> DataFrame:
 
 def source_overlap(item_sources: DataFrame, least_items: int, least_share: float) -> DataFrame:
     """(a, b, shared, overlap) of sources that share that part of the smaller one's items: one self-join on items."""
-    sizes = item_sources.groupBy("source_id").agg(F.count("*").alias("n")).where(F.col("n") >= least_items)
-    left, right = item_sources.select("item_id", F.col("source_id").alias("a")), item_sources.select("item_id", F.col("source_id").alias("b"))
-    pairs = left.join(right, "item_id").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    links = staged(item_sources.select("item_id", "source_id"), "sources")
+    n = links.count()
+    sizes = links.groupBy("source_id").agg(F.count("*").alias("n")).where(F.col("n") >= least_items)
+    links = shared_out(links, n, "item_id")
+    left, right = links.select("item_id", F.col("source_id").alias("a")), links.select("item_id", F.col("source_id").alias("b"))
+    pairs = shared_out(left.join(right, "item_id").where("a < b"), 2 * n, "a", "b").groupBy("a", "b").agg(F.count("*").alias("shared"))
     size = lambda c: sizes.select(F.col("source_id").alias(c), F.col("n").alias(f"n_{c}"))
     out = pairs.join(size("a"), "a").join(size("b"), "b").withColumn("overlap", F.col("shared") / F.least("n_a", "n_b"))
     return out.where(F.col("overlap") >= least_share).select("a", "b", "shared", "overlap")
