@@ -13,7 +13,7 @@ cut than that, so that linked sets agree on several, and each set leaves out one
 most frequent ones, after a count of all blocks over all sets, so a set that shares a passage with others, but has
 enough of its own, is in no list; for all pairs its smallest ones. The sets of a block are a candidate group, however large, and first each is held against the
 group's hub alone, its smallest id: that joins a cluster of near copies by as many comparisons as it has members.
-(Below 0.9 a set is in many blocks: those of one hub are one group.) Sets that the hub does not link stay open. Jaccard distance is a metric, so an open set can be linked to one that the hub
+(A set is in many blocks: for components those of one hub are one group.) Sets that the hub does not link stay open. Jaccard distance is a metric, so an open set can be linked to one that the hub
 links only if their distances from the hub differ by no more than linked sets may be apart; just those stay with
 the open ones. What stays of a group and fits in one task has its inverted lists scanned there. What does not is dealt by
 the elements of the sets' prefixes (linked sets share one; not below 0.9, where prefixes are long) and goes through a hub again. Groups that are still too
@@ -56,6 +56,8 @@ PAIRED = 1000
 #: How often a group that is too large for one task goes through a hub before it is cut into chunks.
 ROUNDS = 4
 LOW48 = (1 << 48) - 1
+#: Bits for each id that is looked for, and bits of one bitmap as Spark builds them.
+BITS, BITMAP = 16, 1 << 15
 
 
 def differ(a: int, percent: int = PERCENT) -> int:
@@ -315,6 +317,17 @@ def pairs(ids: list[int], sets: list[np.ndarray], percent: int, wanted: Callable
             yield ids[i], ids[j]
 
 
+def perhaps_among(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
+    """``docs`` without most rows whose id is not among the ``rows`` values of ``ids``: a broadcast bitmap of hashes, two bytes an id, lets one in sixteen others pass."""
+    buckets = BITS * rows // BITMAP + 1
+    h = F.xxhash64("id")
+    bucket, place = F.pmod(h, F.lit(buckets)).alias("bucket"), F.shiftright(h, 40).bitwiseAND(F.lit(BITMAP - 1)).alias("place")
+    maps = ids.select(bucket, place).groupBy("bucket").agg(F.bitmap_construct_agg("place").alias("map"))
+    byte = F.conv(F.hex(F.substring("map", (F.col("place") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    found = byte.bitwiseAND(F.expr("shiftleft(1, cast(place % 8 as int))")) != 0
+    return docs.select("*", bucket, place).join(F.broadcast(maps), "bucket").where(found).select(docs.columns)
+
+
 def with_sets(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     """``rows`` (id and others), each with the set of its document as ``elements``."""
     kept = [c for c in rows.columns if c != "id"]
@@ -331,7 +344,8 @@ def with_sets(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str, k: i
                 yield b[["id", *kept]][lo : lo + 500].assign(elements=out)
 
     per = staged(rows.groupBy("id").agg(F.collect_set(F.struct(*kept)).alias("rest")), "wanted")
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(per, "id")
+    # a join shuffles the texts of both sides' other ids too, so most of these are left out before
+    text = perhaps_among(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), per, per.count()).join(per, "id")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "id")
     return text.select("id", "text", F.inline("rest")).select("id", *kept, "text").mapInPandas(sets, f"id long, {schema}, elements binary")
 
@@ -504,9 +518,9 @@ def by_hub(marks: DataFrame) -> DataFrame:
     return marks.join(hubs, "key").groupBy(F.col("hub").alias("key"), "id").agg(F.max("n").alias("n"))
 
 
-def prepared(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, rare: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, int]:
-    """Profiles, classes (digest, class_id, n), ids of several sets, the light sets, the candidate groups (key, id, n) of the heavy ones, and the boundary."""
-    rare = rare and percent < PERCENT
+def prepared(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, hubs: bool = True) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame, int]:
+    """Profiles, classes (digest, class_id, n), ids of several sets, the light sets, the candidate groups (key, id, n) of the heavy ones, by blocks or their hubs, and the boundary."""
+    rare = hubs and percent < PERCENT
     base = staged(profiles(docs, id_col, text_col, k, percent, every=rare), "profiles")
     classes = staged(base.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("class_id"), F.first("n").alias("n")), "classes")
     histogram = {r["n"]: r["count"] for r in classes.where(F.col("n") <= 2 * SMALL).groupBy("n").count().collect()}  # at most 2 * SMALL rows
@@ -517,8 +531,8 @@ def prepared(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
     heavy = one.where(100 * F.col("n") >= percent * (boundary + 1))
     double = several_texts(base)
     # at 0.9 and above blocks are large and few; below, a set shares some with very many others
-    marks = by_hub(staged(rare_marks(heavy, double), "marks")) if rare else heavy.select(F.explode("blocks").alias("key"), "id", "n")
-    return base, classes, double, small, marks, boundary
+    marks = staged(rare_marks(heavy, double), "marks") if rare else heavy.select(F.explode("blocks").alias("key"), "id", "n")
+    return base, classes, double, small, by_hub(marks) if hubs else marks, boundary
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -527,7 +541,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: in
     Documents of one class are linked to each other and to all documents of the classes linked to it, so links per
     document are sums over class sizes. An id with several texts stands for each class that it is the smallest id of.
     """
-    _, _, _, small, marks, boundary = prepared(docs, id_col, text_col, k, percent, rare=False)
+    _, _, _, small, marks, boundary = prepared(docs, id_col, text_col, k, percent, hubs=False)
     groups = staged(several(marks), "groups")
     sizes = staged(groups.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / SHARE)).cast("int").alias("chunks")), "sizes")
     heavy = scanned(docs, groups.join(sizes, "key").withColumn("pre", F.lit(False)), id_col, text_col, k, percent, boundary)

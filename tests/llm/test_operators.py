@@ -441,6 +441,32 @@ def test_jaccard_groups_too_large_for_a_task(spark, rounds, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_links(near)
 
 
+def test_jaccard_sets_of_one_hub_meet_once(spark, monkeypatch):
+    """Sets that share many blocks with a hub and are not linked to it have their elements sent once for a hub and not for each block."""
+    monkeypatch.setattr(jaccard_join, "boundary_of", lambda _: 0)
+    base = [f"b{j}" for j in range(400)]
+    near = [(i, " ".join(w if j % 20 or not i else f"x{i}y{j}" for j, w in enumerate(base))) for i in range(12)]
+    counted, with_sets = [], jaccard_join.with_sets
+
+    def counting(docs, rows, *a):
+        counted.append(rows.count())
+        return with_sets(docs, rows, *a)
+
+    monkeypatch.setattr(jaccard_join, "with_sets", counting)
+    got = jaccard_join.linked(spark.createDataFrame(near, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == plain_links(near)
+    assert len(counted) == 2 and max(counted) < len(near) ** 2 / 2
+
+
+def test_jaccard_bitmap_of_ids(spark):
+    """No id that is looked for is lost, negative and very large ones included, and most others' texts are left out before the join."""
+    wanted = [-5, 0, 7, 2**62, *range(100_000, 105_000)]
+    docs = spark.createDataFrame([(i, "t") for i in [*wanted, *range(200_000, 220_000)]] + [(None, "t")], "id long, text string")
+    left = jaccard_join.perhaps_among(docs, spark.createDataFrame([(i,) for i in wanted], "id long"), len(wanted))
+    ids = [r.id for r in left.collect()]
+    assert left.columns == ["id", "text"] and set(wanted) <= set(ids) and len(ids) - len(wanted) < 2_000
+
+
 def test_jaccard_block_of_many_sets(spark, monkeypatch):
     """One block that 10,000 unlinked sets agree on costs rows in proportion to them."""
     monkeypatch.setattr(jaccard_join, "SHARE", 20_000)
