@@ -174,18 +174,21 @@ def similar_names(people: DataFrame, links: DataFrame, least: float, most: float
     """(a, b, score) of people with a shared correspondent (person_id, other_id) whose names differ and are similar; a score is ``most`` at most.
 
     Names meet before people do: a name counts once with each correspondent and a pair of names is scored once, after its
-    lengths allow the score (a shared beginning adds two fifths of what is missing at most). People meet on similar names.
+    lengths allow the score (a shared beginning adds two fifths of what is missing at most). People stand in a list beside
+    their name and correspondent, so only those of similar names that met are paired, and they are not dealt by names.
     """
     n = people.select("person_id", normalized_name(F.col("name")).alias("norm"))
-    known = staged(links.join(n, "person_id").where("norm is not null").select("other_id", "norm", "person_id").distinct(), "names")
-    names = known.select("other_id", "norm", F.length("norm").alias("len")).distinct()
+    known = links.join(n, "person_id").where("norm is not null")
+    names = staged(known.groupBy("other_id", "norm").agg(F.collect_set("person_id").alias("people")).withColumn("len", F.length("norm")), "names")
     x, y = names.alias("x"), names.alias("y")
     jaro = (least - 0.4) / 0.6
     fits = F.least("x.len", "y.len") >= (3 * jaro - 2 - 1e-9) * F.greatest("x.len", "y.len")
-    met = x.join(y, F.expr("x.other_id = y.other_id and x.norm < y.norm")).where(fits).select(F.col("x.norm").alias("na"), F.col("y.norm").alias("nb")).distinct()
-    alike = met.withColumn("score", jaro_winkler("na", "nb")).where(F.col("score") >= least)
-    one = lambda who, name: known.select("other_id", F.col("norm").alias(name), F.col("person_id").alias(who))
-    pairs = alike.join(one("p", "na"), "na").join(one("q", "nb"), ["nb", "other_id"]).where("p <> q")
+    met = x.join(y, F.expr("x.other_id = y.other_id and x.norm < y.norm")).where(fits)
+    met = met.select(F.col("x.norm").alias("na"), F.col("y.norm").alias("nb"), F.col("x.people").alias("ps"), F.col("y.people").alias("qs"))
+    # staged, or the filter on the score would be moved below the distinct and score each meeting
+    once = staged(met.select("na", "nb").distinct(), "met")
+    alike = staged(once.withColumn("score", jaro_winkler("na", "nb")).where(F.col("score") >= least), "alike")
+    pairs = met.join(alike, ["na", "nb"]).select("score", F.explode("ps").alias("p"), "qs").select("score", "p", F.explode("qs").alias("q")).where("p <> q")
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), F.least("score", F.lit(most)).alias("score")).distinct()
 
 

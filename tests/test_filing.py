@@ -4,7 +4,9 @@ import itertools
 import random
 from collections import Counter, defaultdict
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from epistle.operators import exports, filing, people, search
 from epistle.sources.mail import TOO_LARGE, read_eml, read_olm
@@ -78,6 +80,22 @@ def test_similar_names_meet_once(spark):
     assert rows(got.select("a", "b")) == [(0, 1), (1, 2), (3, 4)]
 
 
+def test_pairs_of_names_are_scored_once(spark, monkeypatch):
+    """However many correspondents two names share, and however many people bear them, Python does not get the pair for each meeting."""
+    scored = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        scored.add(len(a))
+        return pd.Series([0.95] * len(a))
+
+    monkeypatch.setattr(people, "jaro_winkler", score)
+    who = spark.createDataFrame([(k, "Ann Leeson" if k % 2 else "Anne Leeson") for k in range(6)], "person_id long, name string")
+    links = spark.range(200).withColumnRenamed("id", "other_id").join(who.select("person_id"))
+    found = people.similar_names(who, links, 0.9).count()
+    assert found == 9 and scored.value <= 2  # for the filter and for the column, not for 200 meetings
+
+
 def test_large_files_are_errors(spark, tmp_path):
     (tmp_path / "a.eml").write_bytes(b"Subject: small\n\nx\n")
     (tmp_path / "b.eml").write_bytes(b"Subject: large\n\n" + b"x" * 500)
