@@ -17,15 +17,21 @@ def folder_for(a, name: str) -> str:
     return f"{shared_dir(a.spark)}/epistle/{a.spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Messages of one mailbox file.
+MESSAGES = 10_000
+
+
 def put_boxes(docs: DataFrame, folder: str) -> None:
-    """Write (doc_id, box, subject, text) as mailboxes, one in each folder ``box=N`` of ``folder``, in place of those that were there."""
+    """Write (doc_id, box, subject, text) as mailboxes, in each folder ``box=N`` of ``folder`` as many files as its messages fill, in place of those that were there."""
     d = F.col("doc_id")
     head = F.format_string(
         "From x\nFrom: p%d@x.example\nTo: q%d@y.example\nSubject: %s\nMessage-ID: <%d@x.example>\nDate: %02d Mar 2001 10:%02d:00 +0000\nContent-Type: text/plain; charset=utf-8\n\n",
         d % 97, d % 89, F.col("subject"), d, d % 28 + 1, d % 60,
     )
     body = F.regexp_replace(F.concat(F.lit("\n"), F.coalesce("text", F.lit(""))), "\nFrom ", "\n>From ")
-    boxes = docs.select("box", F.concat(head, F.substring(body, F.lit(2), F.length(body)), F.lit("\n")).alias("value")).repartition("box")
+    files = docs.count() // MESSAGES + 1
+    dealt = docs.repartition(files + 5, "box", F.pmod(F.xxhash64("doc_id"), F.lit(files)))
+    boxes = dealt.select("box", F.concat(head, F.substring(body, F.lit(2), F.length(body)), F.lit("\n")).alias("value"))
     boxes.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("box").text(folder)
 
 

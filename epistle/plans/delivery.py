@@ -66,7 +66,7 @@ class Mailstore:
         read = read_all(self.spark, paths or self.folder, self.kinds, self.boxes)
         keyed = (read if paths else read.limit(0)).withColumn("dedup_key", F.when(F.col("error").isNull(), dedup_key(F.col("kind"))))
         keyed = keyed.withColumns({"row": F.monotonically_increasing_id(), "generation": F.lit(generation).cast("long"), "item_id": F.when(F.col("dedup_key").isNotNull(), stable_id(F.col("dedup_key")))})
-        fresh = staged(keyed.repartitionByRange("path").sortWithinPartitions("path", "row"), "fresh")
+        fresh = staged(keyed.repartitionByRange("path", "row").sortWithinPartitions("path", "row"), "fresh")
         records = self._table("records", fresh)
         stay = records.join(touched.select("path"), "path", "left_anti").select(fresh.columns)
 

@@ -109,7 +109,9 @@ def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             return (path, None, None, [], None, None, [], None, False, None, None, [], f"{type(e).__name__}: {e}", [], None)
 
     for b in batches:
-        yield pd.DataFrame([one(p, None if r is None else bytes(r)) for p, r in zip(b["path"], b["raw"], strict=True)], columns=COLUMNS)
+        for lo in range(0, len(b), 500):  # a batch has thousands of messages
+            part = b[lo : lo + 500]
+            yield pd.DataFrame([one(p, None if r is None else bytes(r)) for p, r in zip(part["path"], part["raw"], strict=True)], columns=COLUMNS)
 
 
 #: Names of mailboxes.

@@ -5,8 +5,10 @@ import os
 import pytest
 
 from epistle.operators.versions import Versions
+from epistle.plans import deliveries
 from epistle.plans.delivery import Mailstore
 from epistle.plans.ingest import ingest
+from epistle.sources.mail import read_mbox
 from epistle.streaming.delivery import follow
 
 
@@ -92,3 +94,12 @@ def test_versions(spark, tmp_path):
     v.compact()
     v.commit({"t": (make((2, "f")), "k", make((2, ""))), "u": (make((9, "z")), "k", None)})
     assert rows() == [(2, "f"), (3, "e")] and v.layers("t") == 2 and v.table("u").count() == 1
+
+
+def test_boxes_have_files_by_their_messages(spark, tmp_path, monkeypatch):
+    """A box is not one file by one task, and the files of a box hold each of its messages once."""
+    monkeypatch.setattr(deliveries, "MESSAGES", 10)
+    docs = spark.range(100).selectExpr("id as doc_id", "0 as box", "'s' as subject", "'body' as text")
+    deliveries.put_boxes(docs, str(tmp_path / "boxes"))
+    read = read_mbox(spark, str(tmp_path / "boxes"), "*.txt").select("path", "message_id").collect()
+    assert len({r.path for r in read}) > 3 and len(read) == len({r.message_id for r in read}) == 100
