@@ -5,9 +5,9 @@ import os
 import pytest
 
 from epistle.operators.versions import Versions
-from epistle.plans import deliveries
 from epistle.plans.delivery import Mailstore
 from epistle.plans.ingest import ingest
+from epistle.plans.queries import deliveries
 from epistle.sources.mail import read_mbox
 from epistle.streaming.delivery import follow
 
