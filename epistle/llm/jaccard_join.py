@@ -11,7 +11,8 @@ Heavy: larger sets are cut by hash range into one block more than partners may d
 a whole block. At lower thresholds blocks are small and some are empty or hold one element; then some more blocks are
 cut than that, so that linked sets agree on several, and each set leaves out one fewer than these: for components its
 most frequent ones, after a count of all blocks over all sets, so a set that shares a passage with others, but has
-enough of its own, is in no list; for all pairs its smallest ones. The sets of a block are a candidate group, however large, and first each is held against the
+enough of its own, is in no list; for all pairs its smallest ones. Blocks without elements are the most frequent, so a
+set that may leave out all of its own names none of them. The sets of a block are a candidate group, however large, and first each is held against the
 group's hub alone, its smallest id: that joins a cluster of near copies by as many comparisons as it has members.
 (A set is in many blocks: for components those of one hub are one group.) Sets that the hub does not link stay open. Jaccard distance is a metric, so an open set can be linked to one that the hub
 links only if their distances from the hub differ by no more than linked sets may be apart; just those stay with
@@ -55,7 +56,8 @@ HELD = 1 << 15
 PAIRED = 1000
 #: How often a group that is too large for one task goes through a hub before it is cut into chunks.
 ROUNDS = 4
-LOW48 = (1 << 48) - 1
+#: Keys of blocks that are counted: the band from bit 48 on, a bit for blocks without elements, a signature.
+BAND, EMPTY = 48, 47
 #: Bits for each id that is looked for, and bits of one bitmap as Spark builds them.
 BITS, BITMAP = 16, 1 << 15
 
@@ -70,11 +72,13 @@ def spare(d: int, percent: int) -> int:
     return d // 2 if percent < PERCENT else 0
 
 
-def size_classes(top: int, percent: int = PERCENT) -> list[int]:
-    """Upper ends of size classes; a linked partner is in the same class or the next."""
+def size_classes(top: int, percent: int = PERCENT, step: int = 1) -> list[int]:
+    """Upper ends of size classes, each so many ``step`` as wide as sizes of linked sets are apart; a linked partner is in the same class or the next."""
     ends = [1]
     while ends[-1] < top:
         ends.append((ends[-1] + 1) * 100 // percent)
+        for _ in range(step - 1):
+            ends[-1] = (ends[-1] + 1) * 100 // percent
     return ends
 
 
@@ -97,7 +101,7 @@ def bands(n: int, ends: np.ndarray, percent: int = PERCENT) -> list[tuple[int, i
 
 
 def blocks(s: np.ndarray, ends: np.ndarray, percent: int = PERCENT, every: bool = False) -> list[np.ndarray]:
-    """Signatures of a set's blocks for each of its ``bands``; without ``every`` the smallest spare ones are left out."""
+    """Signatures of a set's blocks for each of its ``bands``; without ``every`` the smallest spare ones are left out, with it they are keys below BAND."""
     out, total = [], np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(s), dtype=np.uint64)])
     for _, d, _ in bands(len(s), ends, percent):
         m = d + 1 + spare(d, percent)
@@ -105,7 +109,8 @@ def blocks(s: np.ndarray, ends: np.ndarray, percent: int = PERCENT, every: bool
         cuts[-1] = len(s)
         tag = np.arange(m, dtype=np.uint64) + np.uint64(m << 32)
         marks = mixed((total[cuts[1:]] - total[cuts[:-1]]) ^ (tag * M1))
-        out.append(marks if every else marks[np.lexsort((marks, cuts[1:] - cuts[:-1]))[spare(d, percent) :]])
+        size = cuts[1:] - cuts[:-1]
+        out.append(marks & np.uint64((1 << EMPTY) - 1) | (size == 0).astype(np.uint64) << np.uint64(EMPTY) if every else marks[np.lexsort((marks, size))[spare(d, percent) :]])
     return out
 
 
@@ -113,13 +118,25 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def counted(marks: np.ndarray, at: int, own: int) -> dict:
+    """The keys of a set's blocks in band ``at``, and how many of them, less one, a set agrees on that differs in ``own`` elements at most.
+
+    Empty blocks come last in the order of ``rare_marks``; they go where those that may be left out are as many.
+    """
+    keys = np.unique(marks)
+    sure, empty = len(keys) - 1 - own, int((keys >> EMPTY).sum())
+    if empty <= sure:
+        keys, sure = keys[: len(keys) - empty], sure - empty
+    return {"band": at, "sure": sure, "keys": keys | at << BAND}
+
+
 def profiles(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, every: bool = False) -> DataFrame:
     """(id, n, digest, blocks, small): set size, hash of the set, block signatures, the set itself if small.
 
-    With ``every``, ``blocks`` has for each band all signatures, of 48 bits below the band's number, as that halves what is
-    shuffled, and how many of them, less one, a linked set agrees on (fewer where two of a set are equal by chance).
+    With ``every``, ``blocks`` has the ``counted`` keys of each band instead, of signatures that are cut short, as that
+    halves what is shuffled. Classes are twice as wide then, so fewer sets are in two bands.
     """
-    ends = np.array(size_classes(1 << 40, percent), np.int64)
+    ends = np.array(size_classes(1 << 40, percent, 2 if every else 1), np.int64)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = Hashes()
@@ -131,8 +148,7 @@ def profiles(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
                     n = len(s)
                     marks = [_signed(x) for x in blocks(s, ends, percent, every)] if n else []
                     if every:
-                        marks = [np.unique(x & LOW48) for x in marks]
-                        marks = [{"band": at, "sure": len(x) - 1 - own, "keys": x | at << 48} for x, (at, _, own) in zip(marks, bands(n, ends, percent) if n else [], strict=True)]
+                        marks = [counted(x, at, own) for x, (at, _, own) in zip(marks, bands(n, ends, percent) if n else [], strict=True)]
                     elif marks:
                         marks = np.concatenate(marks)
                     out.append((doc, n, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), marks, _signed(s) if 0 < n <= SMALL else None))
@@ -499,13 +515,14 @@ def rare_marks(sets: DataFrame, double: DataFrame) -> DataFrame:
     """Rows (key, id, n): the blocks of ``sets`` (id, n, blocks) by which linked ones are sure to meet.
 
     Linked sets agree on more than ``sure`` blocks of a band, so they meet in one that is not among either's ``sure`` last
-    ones in the order of (sets that hold the block, block). Blocks that one set alone holds come first in that order and
+    ones in the order of (sets that hold the block, block), blocks without elements last of all. Blocks that one set alone holds come first in that order and
     meet nothing: only sets with more than ``sure`` shared blocks give rows. An id that stands for ``double`` sets gives all.
     """
     slots = sets.select("id", "n", F.explode("blocks").alias("b"))
     each = slots.select(F.explode("b.keys").alias("key"), "id")
-    often = staged(each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "often")
-    shared = each.join(often, "key").groupBy("id", F.shiftright("key", 48).cast("int").alias("band")).agg(F.collect_set(F.struct("c", "key")).alias("found"))
+    empty = F.shiftright("key", EMPTY).bitwiseAND(F.lit(1)) == 1
+    often = each.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").withColumn("c", F.when(empty, F.lit(1 << 62)).otherwise(F.col("c")))
+    shared = each.join(staged(often, "often"), "key").groupBy("id", F.shiftright("key", BAND).cast("int").alias("band")).agg(F.collect_set(F.struct("c", "key")).alias("found"))
     known = slots.groupBy("id", "b.band").agg(F.max("n").alias("n"), F.min("b.sure").alias("sure"))
     marked = shared.join(known, ["id", "band"]).join(if_small(double.withColumn("all", F.lit(True)), double.count()), "id", "left")
     most = F.size("found") - F.when(F.col("all"), 0).otherwise(F.col("sure"))

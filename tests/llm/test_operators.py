@@ -5,6 +5,7 @@ import datetime
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from epistle.llm import chat_format, exact_dedup, jaccard_join, mixing, packing, pseudonyms, quality_rules, substring_dedup, suffix_dedup, toxicity
-from epistle.llm.common import components
+from epistle.llm.common import components, staged
+from epistle.operators import graph
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, id long, size long"
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -606,6 +608,50 @@ def test_jaccard_passage_of_many_sets_at_lower_similarity(spark, monkeypatch):
     assert len(got) == 99 and {r.component_id for r in got} == {5000}
 
 
+def test_jaccard_blocks_named_at_lower_similarity(spark):
+    """Few keys for each shingle, none of blocks without elements where these may be left out, and more shared ones than a set may leave out."""
+    rnd, texts = random.Random(5), []
+    for n in (40, 70, 110, 160, 230, 320, 450, 640, 900):
+        words = [f"u{rnd.randrange(10**6)}" for _ in range(n)]
+        for edits in (0, n // 60, n // 50):
+            w = list(words)
+            for at in rnd.sample(range(n), edits):
+                w[at] = f"u{rnd.randrange(10**6)}"
+            texts.append(" ".join(w))
+        texts.append(" ".join(words[: n * 5 // 6]))
+    near = list(enumerate(texts))
+    rows = jaccard_join.profiles(spark.createDataFrame(near, "doc_id long, text string"), "doc_id", "text", 5, 80, every=True).collect()
+    assert sum(len(b["keys"]) for r in rows for b in r.blocks) < 0.68 * sum(r.n for r in rows)
+    assert not any(k >> jaccard_join.EMPTY & 1 for r in rows for b in r.blocks for k in b["keys"])
+    own = {r.id: {b.band: b for b in r.blocks} for r in rows}
+    linked = plain_pairs(near, five_words, 80)
+    assert len(linked) > 20
+    for i, j in linked:
+        both = [(x, own[j][band]) for band, x in own[i].items() if band in own[j]]
+        assert any(len(set(x["keys"]) & set(y["keys"])) > max(x.sure, y.sure) for x, y in both) or set(five_words(texts[i])) == set(five_words(texts[j]))
+
+
+def test_jaccard_empty_blocks_stay_where_few_may_be_left_out():
+    """A set whose empty blocks are more than it may leave out names all of them, last in the order."""
+    marks = np.array([5, 3, 9, 1 << jaccard_join.EMPTY | 4, 1 << jaccard_join.EMPTY | 2], np.uint64)
+    signed = marks.view(np.int64)
+    assert jaccard_join.counted(signed, 0, 3)["keys"].tolist() == sorted(signed.tolist()) and jaccard_join.counted(signed, 0, 3)["sure"] == 1
+    some = jaccard_join.counted(signed, 0, 2)
+    assert some["keys"].tolist() == [3, 5, 9] and some["sure"] == 0
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    """What is staged is read from the shared folder alone: the files of its shuffles go with the query that wrote it."""
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    table = staged(spark.range(200_000).selectExpr("id % 50000 k").groupBy("k").count(), "counts")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before
+    assert table.count() == 50_000 and spark.conf.get(graph.CLEANUP, "false") == "false"
+
+
 def test_pipeline_drops_copies_with_scattered_edits(spark):
     import corpus_pipeline
 
