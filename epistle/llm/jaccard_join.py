@@ -16,8 +16,10 @@ set that may leave out all of its own names none of them. The sets of a block ar
 group's hub alone, its smallest id: that joins a cluster of near copies by as many comparisons as it has members.
 (A set is in many blocks: for components those of one hub are one group.) Sets that the hub does not link stay open. Jaccard distance is a metric, so an open set can be linked to one that the hub
 links only if their distances from the hub differ by no more than linked sets may be apart; just those stay with
-the open ones. What stays of a group and fits in one task has its inverted lists scanned there. What does not is dealt by
-the elements of the sets' prefixes (linked sets share one; not below 0.9, where prefixes are long) and goes through a hub again. Groups that are still too
+the open ones. Sets near their hub, as copies with edits are, are held against each other by the elements in which they
+differ from it alone: these are few, and few sets share one. Sets far from it stay a group: linked sets are both near
+or both far, as the two ranges of distances overlap. What stays of a group and fits in one task has its inverted lists scanned there. What does not goes through a hub
+again, at first as it is, then dealt by the elements of the sets' prefixes (linked sets share one; not below 0.9, where prefixes are long). Groups that are still too
 large after ROUNDS of this are cut into chunks, and each two chunks meet in a task: the exact way for the rest.
 
 ``linked`` needs components only, so it keeps stars and spanning forests. ``links`` gives every linked pair of classes:
@@ -52,6 +54,10 @@ SMALL = 48
 SHARE = 1_000_000
 #: Shingles of members that one task holds against a hub.
 HELD = 1 << 15
+#: Distance from their hub up to which sets are held against each other by how they differ from it.
+NEAR = 0.5
+#: Sets that one task holds against each other so.
+MET = 20_000
 #: Sets of a light group that one task pairs with each other.
 PAIRED = 1000
 #: How often a group that is too large for one task goes through a hub before it is cut into chunks.
@@ -322,6 +328,41 @@ def spanning(ids: list[int], sets: list[np.ndarray], pre: list[bool], percent: i
     return out
 
 
+def joined(ids: list[int], size: np.ndarray, unlike: list[np.ndarray], pre: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Edges that connect all linked sets of a group, from the elements in which each differs from one common set; those with ``pre`` are connected already.
+
+    Two sets differ in the elements in which just one of them differs from the common set. Where more than half of all differ,
+    the element is turned round for all: that changes the common set, not what two sets differ in.
+    """
+    m, out = len(ids), []
+    item, often = np.unique(np.concatenate(unlike), return_inverse=True, return_counts=True)[1:]
+    owner = np.repeat(np.arange(m), [len(x) for x in unlike])
+    turned = 2 * often > m
+    if turned.any():
+        have, flip = np.zeros((turned.sum(), m), bool), turned[item]
+        have[(np.cumsum(turned) - 1)[item[flip]], owner[flip]] = True
+        one, lacks = np.nonzero(~have)
+        item, owner = np.concatenate([item[~flip], np.flatnonzero(turned)[one]]), np.concatenate([owner[~flip], lacks])
+    differs = np.bincount(owner, minlength=m)
+    shared = np.bincount(item, minlength=len(often))[item] > 1  # the others meet nothing
+    item, owner = item[shared], owner[shared]
+    by_item, by_owner = np.argsort(item, kind="stable"), np.argsort(owner, kind="stable")
+    lists, begin = owner[by_item], np.searchsorted(item[by_item], np.arange(len(often) + 1))
+    own, first = item[by_owner], np.searchsorted(owner[by_owner], np.arange(m + 1))
+    label = np.arange(m)
+    label[pre] = m
+    for i in np.flatnonzero(~pre).tolist():
+        items = own[first[i] : first[i + 1]]
+        both = np.bincount(lists[Group.gathered(begin[items], begin[items + 1] - begin[items])], minlength=m)
+        apart, total = differs[i] + differs - 2 * both, size[i] + size
+        found = np.flatnonzero((100 * (total - apart) >= percent * (total + apart)) & (label != label[i]))
+        if len(found):
+            labels, at = np.unique(label[found], return_index=True)
+            out += [(ids[i], ids[j]) for j in found[at].tolist()]
+            label[np.isin(label, labels)] = label[i]
+    return out
+
+
 def pairs(ids: list[int], sets: list[np.ndarray], percent: int, wanted: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[tuple[int, int]]:
     """All linked pairs of places (i, j) for which ``wanted`` holds, from counts over inverted lists."""
     g = Group(sets, percent)
@@ -371,11 +412,12 @@ def hubs_of(groups: DataFrame) -> DataFrame:
 
 
 def held_against_hubs(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
-    """Each member of ``groups`` (key, id, n) against its group's hub: rows (hub, id, pre, open, far).
+    """The sets of each member of ``groups`` (key, id, n) against their group's hub: rows (hub, id, n, pre, d, unlike).
 
-    ``pre``: the two are linked; ``open``: not every text of the id is, ``near`` the least distance of such a text from the
-    hub, ``far`` the largest of any. A hub with many members has its set copied to as many tasks as they fill.
+    ``pre``: the two are linked; ``d``: their distance; ``unlike``: the elements in which they differ, of sets near a hub
+    that is one set. A hub with many members has its set copied to as many tasks as they fill.
     """
+    reach = NEAR + 1 - percent / 100 + 1e-9
     met = staged(groups.join(hubs_of(groups), "key").where("id <> hub").groupBy("hub", "id").agg(F.max("n").alias("n")), "met")
     load = staged(met.groupBy("hub").agg(F.least(F.count("*"), F.greatest(F.lit(1), F.ceil(F.sum("n") / HELD))).cast("int").alias("tasks")), "load")
     members = met.join(load, "hub").select("id", "hub", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int").alias("task"), F.lit(1).alias("side"))
@@ -383,9 +425,9 @@ def held_against_hubs(docs: DataFrame, groups: DataFrame, id_col: str, text_col:
     sets = with_sets(docs, members.union(centres), id_col, text_col, k)
 
     def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, centre = None, []
+        at, centre, out = None, [], []
+        columns = ["hub", "id", "n", "pre", "d", "unlike"]
         for b in batches:
-            out = []
             for doc, e, hub, task, side in zip(b["id"], b["elements"], b["hub"], b["task"], b["side"], strict=True):
                 s = np.frombuffer(e, np.uint64)
                 if (hub, task) != at:
@@ -394,23 +436,69 @@ def held_against_hubs(docs: DataFrame, groups: DataFrame, id_col: str, text_col:
                     centre.append(s)
                     continue
                 for c in centre:
-                    both = len(np.intersect1d(c, s, assume_unique=True))
-                    union = len(c) + len(s) - both
-                    out.append((hub, doc, 100 * both >= percent * union, 1 - both / max(1, union)))
-            yield pd.DataFrame(out, columns=["hub", "id", "pre", "d"])
+                    x = np.sort(np.concatenate([c, s]), kind="stable")
+                    once = np.concatenate([[True], x[1:] != x[:-1], [True]])
+                    x = x[once[1:] & once[:-1]]
+                    both = (len(c) + len(s) - len(x)) // 2
+                    union = both + len(x)
+                    d = 1 - both / max(1, union)
+                    out.append((hub, doc, len(s), 100 * both >= percent * union, d, x.tobytes() if len(centre) == 1 and d <= reach else None))
+                if len(out) >= 500:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+        yield pd.DataFrame(out, columns=columns)
 
     dealt = sets.repartition(F.col("hub"), F.col("task")).sortWithinPartitions("hub", "task", "side").select("id", "elements", "hub", "task", "side")
-    found = dealt.mapInPandas(compared, "hub long, id long, pre boolean, d double")
-    return found.groupBy("hub", "id").agg(F.max("pre").alias("pre"), F.max(~F.col("pre")).alias("open"), F.min(F.when(~F.col("pre"), F.col("d"))).alias("near"), F.max("d").alias("far"))
+    return dealt.mapInPandas(compared, "hub long, id long, n long, pre boolean, d double, unlike binary")
+
+
+def summed(met: DataFrame) -> DataFrame:
+    """``met``, by hub and id: rows (hub, id, pre, open, near, far).
+
+    ``pre``: some text of the id is linked to the hub; ``open``: not every one is. ``near`` and ``far`` are of texts that are
+    not near the hub: the least distance of one that is not linked to it, and the largest of any.
+    """
+    away = F.col("unlike").isNull() | (F.col("d") >= NEAR)
+    return met.groupBy("hub", "id").agg(F.max("pre").alias("pre"), F.max(~F.col("pre")).alias("open"), F.min(F.when(~F.col("pre") & away, F.col("d"))).alias("near"), F.max(F.when(away, F.col("d"))).alias("far"))
+
+
+def near_edges(met: DataFrame, percent: int) -> DataFrame:
+    """Edges that connect all linked sets near the same hub, from how they differ from it; each two chunks of a hub's sets in a task."""
+    near = met.where("unlike is not null")
+    limits = near.where("not pre").groupBy("hub").agg((F.min("d") - F.lit(1 - percent / 100 + 1e-9)).alias("least"))
+    near = near.join(staged(limits, "limits"), "hub").where("not pre or d >= least").drop("d", "least")
+    chunks = F.greatest(F.ceil(F.sum(F.length("unlike")) / (8 * SHARE)), F.ceil(F.count("*") / MET)).cast("int")
+    near = near.join(staged(near.groupBy("hub").agg(chunks.alias("chunks"), F.count("*").alias("c")).where("c > 1").drop("c"), "sizes"), "hub")
+    rows = near.withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("hub", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "n", "pre", "unlike")
+
+    def tasks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
+
+        def settled() -> pd.DataFrame:
+            ids, n, pre, unlike = zip(*held, strict=True) if held else [()] * 4
+            edges = joined(ids, np.array(n, np.int64), [np.frombuffer(x, np.uint64) for x in unlike], np.array(pre, bool), percent) if len(ids) > 1 else []
+            return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+        for b in batches:
+            for this, *row in zip(zip(b["hub"], b["i"], b["j"], strict=True), b["id"], b["n"], b["pre"], b["unlike"], strict=True):
+                if this != key:
+                    yield settled()
+                    key, held = this, []
+                held.append(row)
+        yield settled()
+
+    dealt = rows.repartition(F.col("hub"), F.col("i"), F.col("j")).sortWithinPartitions("hub", "i", "j", "id")
+    return dealt.mapInPandas(tasks, "a long, b long")
 
 
 def still_open(groups: DataFrame, held: DataFrame, percent: int) -> DataFrame:
-    """What stays of ``groups`` (key, id, n) after the hubs: rows (key, id, n, pre) of groups with an open set."""
+    """What stays of ``groups`` (key, id, n) that is not near its hub: rows (key, id, n, pre) of groups with an open set."""
     apart = 1 - percent / 100 + 1e-9
-    hubs = staged(hubs_of(groups).join(held.where("open").select("hub").distinct(), "hub"), "hubs")
-    members = staged(groups.join(hubs, "key").join(held, ["hub", "id"]).select("key", "id", "n", "pre", "open", "near", "far"), "members")
+    hubs = staged(hubs_of(groups).join(held.where("near is not null").select("hub").distinct(), "hub"), "hubs")
+    members = staged(groups.join(hubs, "key").join(held.where("far is not null"), ["hub", "id"]).select("key", "id", "n", "pre", "near", "far"), "members")
     limits = staged(members.groupBy("key").agg(F.min("near").alias("least")).where("least is not null"), "limits")
-    stay = members.join(limits, "key").where(F.col("open") | (F.col("far") >= F.col("least") - F.lit(apart)))
+    stay = members.join(limits, "key").where(F.col("far") >= F.col("least") - F.lit(apart))
     return stay.select("key", "id", "n", "pre")
 
 
@@ -489,10 +577,12 @@ def heavy_edges(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str,
         groups = staged(several(groups), "groups")
         if not groups.take(1):
             break
-        held = staged(held_against_hubs(docs, groups, id_col, text_col, k, percent), "held")
+        met = staged(held_against_hubs(docs, groups, id_col, text_col, k, percent), "against")
+        held = staged(summed(met), "held")
         edges = edges.union(held.where("pre").select(F.col("id").alias("a"), F.col("hub").alias("b")))
         if not held.where("open").take(1):
             break
+        edges = edges.union(near_edges(met, percent))
         left = staged(still_open(groups, held, percent), "open")
         sizes = staged(left.groupBy("key").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / SHARE)).cast("int").alias("chunks"), F.count("*").alias("c")).where("c > 1").drop("c"), "sizes")
         left = staged(left.join(sizes, "key"), "sized")
@@ -501,7 +591,7 @@ def heavy_edges(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str,
         rest = left.where("chunks > 1").select("key", "id", "n")
         if turn == ROUNDS or not rest.take(1):
             break
-        groups = by_prefix(docs, rest, id_col, text_col, k, percent) if turn == 0 and percent >= PERCENT else rest
+        groups = by_prefix(docs, rest, id_col, text_col, k, percent) if turn == 1 and percent >= PERCENT else rest
     return edges
 
 
@@ -539,17 +629,18 @@ def prepared(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int,
     """Profiles, classes (digest, class_id, n), ids of several sets, the light sets, the candidate groups (key, id, n) of the heavy ones, by blocks or their hubs, and the boundary."""
     rare = hubs and percent < PERCENT
     base = staged(profiles(docs, id_col, text_col, k, percent, every=rare), "profiles")
-    classes = staged(base.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("class_id"), F.first("n").alias("n")), "classes")
+    classes = staged(base.where("n > 0 and id is not null").groupBy("digest").agg(F.min("id").alias("class_id"), F.first("n").alias("n"), F.count("*").alias("rows")), "classes")
     histogram = {r["n"]: r["count"] for r in classes.where(F.col("n") <= 2 * SMALL).groupBy("n").count().collect()}  # at most 2 * SMALL rows
     boundary = boundary_of(cost_of(histogram, percent))
-    heads = classes.select("digest", F.col("class_id").alias("id"))
-    one = base.where("n > 0 and id is not null").join(if_small(heads, heads.count()), ["digest", "id"], "left_semi")
+    # only classes of several rows are joined: where they are broadcast, no blocks are shuffled
+    repeated = classes.where("rows > 1").select("digest", "class_id")
+    one = base.where("n > 0 and id is not null").join(if_small(repeated, repeated.count()), "digest", "left").where("class_id is null or id = class_id")
     small = one.where(F.col("n") <= boundary).select("id", "n", "small")
     heavy = one.where(100 * F.col("n") >= percent * (boundary + 1))
     double = several_texts(base)
     # at 0.9 and above blocks are large and few; below, a set shares some with very many others
     marks = staged(rare_marks(heavy, double), "marks") if rare else heavy.select(F.explode("blocks").alias("key"), "id", "n")
-    return base, classes, double, small, by_hub(marks) if hubs else marks, boundary
+    return base, classes, double, small, staged(by_hub(marks), "meeting") if hubs else marks, boundary
 
 
 def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -460,6 +460,58 @@ def test_jaccard_sets_of_one_hub_meet_once(spark, monkeypatch):
     assert len(counted) == 2 and max(counted) < len(near) ** 2 / 2
 
 
+def test_jaccard_large_group_near_its_hub_is_not_dealt_anew(spark, monkeypatch):
+    """Edited copies that are more than a task takes, most of them not linked to their hub: elements are sent to the hub alone, however large the group."""
+    monkeypatch.setattr(jaccard_join, "boundary_of", lambda _: 0)
+    monkeypatch.setattr(jaccard_join, "SHARE", 1500)
+    rnd = random.Random(11)
+    base = [f"b{j}" for j in range(300)]
+    near = [(0, " ".join(base))]
+    for i in range(40):
+        w = [x if rnd.random() > (0.02, 0.05)[i % 2] else f"x{rnd.randrange(10**6)}" for x in base]
+        near += [(3 * i + 1, " ".join(w)), (3 * i + 2, " ".join([*w[:150], "y", *w[150:]])), (3 * i + 3, " ".join(w[:-2]))]
+    counted, with_sets = [], jaccard_join.with_sets
+
+    def counting(docs, rows, *a):
+        counted.append(rows)
+        return with_sets(docs, rows, *a)
+
+    monkeypatch.setattr(jaccard_join, "with_sets", counting)
+    want = plain_links(near)
+    assert 10 < len({c for _, _, c in want}) < len(near)
+    got = jaccard_join.linked(spark.createDataFrame(near, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == want
+    assert len(counted) == 2 and counted[1].count() == 0
+
+
+@pytest.mark.parametrize("percent", [45, 80, 90])
+def test_joined_by_what_sets_differ_in(percent):
+    """The components are those of all pairs, whatever set the differences are from."""
+    rnd = random.Random(percent)
+    base = set(range(1, 200))
+    sets = [frozenset(base)]
+    for _ in range(150):
+        s = set(rnd.choice(sets))
+        s -= set(rnd.sample(sorted(s), rnd.randint(0, 14)))
+        sets.append(frozenset(s | {rnd.randrange(1, 10**6) for _ in range(rnd.randint(0, 14))}))
+    for centre in (base, set(range(100, 400)), set()):
+        pre = np.array([100 * len(s & centre) >= percent * len(s | centre) for s in sets])
+        unlike = [np.array(sorted(s ^ centre), np.uint64) for s in sets]
+        edges = jaccard_join.joined(list(range(len(sets))), np.array([len(s) for s in sets]), unlike, pre, percent)
+        linked = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+        assert set(map(frozenset, edges)) <= set(map(frozenset, linked))
+        known = [(int(i), int(np.flatnonzero(pre)[0])) for i in np.flatnonzero(pre)]
+
+        def parts(pairs):
+            root = list(range(len(sets)))
+            for _ in sets:
+                for i, j in pairs:
+                    root[i] = root[j] = min(root[i], root[j])
+            return root
+
+        assert parts(edges + known) == parts(linked + known)
+
+
 def test_jaccard_bitmap_of_ids(spark):
     """No id that is looked for is lost, negative and very large ones included, and most others' texts are left out before the join."""
     wanted = [-5, 0, 7, 2**62, *range(100_000, 105_000)]
